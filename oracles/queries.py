@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import date
-from functools import reduce
+from functools import cached_property, reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,25 +64,69 @@ def typed(spark: SparkSession, sf_dir: str, name: str, dirty: bool = True) -> Da
     return cast_fields(raw, BRONZE[name], KEY_TYPE)
 
 
-def silver_tables(spark: SparkSession, sf_dir: str, dirty: bool) -> dict[str, DataFrame]:
-    raw = {name: make(spark, sf_dir, dirty) for name, make in adapter.BRONZE.items()}
-    customers = silver.dim_customers(raw["customers"], KEY_TYPE)
-    products = silver.dim_products(raw["products"], KEY_TYPE)
-    orders = silver.fact_orders(raw["orders"], customers, KEY_TYPE)
-    items = silver.fact_order_items(raw["order_items"], orders, products, KEY_TYPE)
-    reviews = silver.fact_reviews(raw["product_reviews"], products, customers, KEY_TYPE)
-    return {
-        "dim_customers": customers,
-        "dim_products": products,
-        "dim_date": silver.dim_date(orders),
-        "fact_orders": orders,
-        "fact_order_items": items,
-        "fact_reviews": reviews,
-    }
+class Silver:
+    """The silver tables over the test tables; a table's plan is made when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, dirty: bool) -> None:
+        self._raw = lambda name: adapter.BRONZE[name](spark, sf_dir, dirty)
+
+    @cached_property
+    def dim_customers(self) -> DataFrame:
+        return silver.dim_customers(self._raw("customers"), KEY_TYPE)
+
+    @cached_property
+    def dim_products(self) -> DataFrame:
+        return silver.dim_products(self._raw("products"), KEY_TYPE)
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return silver.dim_date(self.fact_orders)
+
+    @cached_property
+    def fact_orders(self) -> DataFrame:
+        return silver.fact_orders(self._raw("orders"), self.dim_customers, KEY_TYPE)
+
+    @cached_property
+    def fact_order_items(self) -> DataFrame:
+        return silver.fact_order_items(
+            self._raw("order_items"), self.fact_orders, self.dim_products, KEY_TYPE
+        )
+
+    @cached_property
+    def fact_reviews(self) -> DataFrame:
+        return silver.fact_reviews(
+            self._raw("product_reviews"), self.dim_products, self.dim_customers, KEY_TYPE
+        )
+
+
+class Doubled:
+    """The same tables as two ingest dates of equal content, read together."""
+
+    def __init__(self, tables: Silver) -> None:
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        df = getattr(self._tables, name)
+        return df.union(df)
+
+
+DATAMARTS: dict[str, Callable[[Silver | Doubled], DataFrame]] = {
+    "dm_sales_daily": lambda s: gold.dm_sales_daily(s.fact_orders),
+    "dm_sales_by_product": lambda s: gold.dm_sales_by_product(
+        s.fact_order_items, s.dim_products
+    ),
+    "dm_customer_metrics": lambda s: gold.dm_customer_metrics(s.fact_orders, s.dim_customers),
+    "dm_product_reviews_impact": lambda s: gold.dm_product_reviews_impact(
+        s.dim_products, s.fact_reviews, s.fact_order_items
+    ),
+    "dm_stock_performance": lambda s: gold.dm_stock_performance(
+        s.dim_products, s.fact_order_items
+    ),
+}
 
 
 def gold_table(spark: SparkSession, sf_dir: str, dirty: bool, name: str) -> DataFrame:
-    return rounded(jobs.datamarts(silver_tables(spark, sf_dir, dirty))[name])
+    return rounded(DATAMARTS[name](Silver(spark, sf_dir, dirty)))
 
 
 # Silver and gold tables, from clean and from dirty input.
@@ -91,9 +135,9 @@ def gold_table(spark: SparkSession, sf_dir: str, dirty: bool, name: str) -> Data
 def _register_tables() -> None:
     for dirty, suffix in ((False, ""), (True, "_dirty")):
         for name in SILVER:
-            QUERIES[name + suffix] = lambda spark, sf_dir, d=dirty, n=name: silver_tables(
-                spark, sf_dir, d
-            )[n]
+            QUERIES[name + suffix] = lambda spark, sf_dir, d=dirty, n=name: getattr(
+                Silver(spark, sf_dir, d), n
+            )
             SQL[name + suffix] = text.with_silver(dirty, f"SELECT * FROM {name}")
         for name in GOLD:
             QUERIES[name + suffix] = lambda spark, sf_dir, d=dirty, n=name: gold_table(
@@ -171,8 +215,8 @@ _register_pages()
     )
 )
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marts = jobs.datamarts(silver_tables(spark, sf_dir, False))
-    infos = [paging.page_info(df, name) for name, df in marts.items()]
+    tables = Silver(spark, sf_dir, False)
+    infos = [paging.page_info(make(tables), name) for name, make in DATAMARTS.items()]
     names = ("table", "total_rows", "total_pages", "order_by")
     return spark.createDataFrame(
         [tuple(info[n] for n in names) for info in infos],
@@ -371,13 +415,13 @@ _FK_ENRICH_SQL = text.with_silver(
 
 @query(_FK_ENRICH_SQL)
 def fk_enrich_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = silver_tables(spark, sf_dir, True)["fact_orders"]
+    orders = Silver(spark, sf_dir, True).fact_orders
     return fk_enrich(typed(spark, sf_dir, "order_items"), orders, "order_id", "order_date")
 
 
 @query(_FK_ENRICH_SQL)
 def fk_enrich_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = silver_tables(spark, sf_dir, True)["fact_orders"]
+    orders = Silver(spark, sf_dir, True).fact_orders
     items = typed(spark, sf_dir, "order_items")
     return fk_enrich(items, orders, "order_id", "order_date", salt=8)
 
@@ -508,7 +552,7 @@ def _plus_one(orders: DataFrame) -> DataFrame:
 def _two_days_of_orders(spark: SparkSession, sf_dir: str) -> str:
     """Day one written twice, then day two with amounts one higher."""
     root = scratch_path(spark, "silver")
-    orders = silver_tables(spark, sf_dir, False)["fact_orders"]
+    orders = Silver(spark, sf_dir, False).fact_orders
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
     lake.write_silver(_plus_one(orders), root, "fact_orders", DAY_TWO)
@@ -544,7 +588,7 @@ def snapshot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table declared over day one shows day two once its partitions are repaired."""
     root, database = scratch_path(spark, "silver"), f"stratacart_{uuid4().hex}"
-    orders = silver_tables(spark, sf_dir, False)["fact_orders"]
+    orders = Silver(spark, sf_dir, False).fact_orders
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
     catalog.create_database(spark, database)
     catalog.register_table(spark, database, "fact_orders", root, KEY_TYPE)
@@ -569,8 +613,7 @@ def _copies_sql(name: str) -> str:
 
 def _register_copies() -> None:
     def over_all_dates(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-        doubled = {n: df.union(df) for n, df in silver_tables(spark, sf_dir, True).items()}
-        return rounded(jobs.datamarts(doubled)[name])
+        return rounded(DATAMARTS[name](Doubled(Silver(spark, sf_dir, True))))
 
     for name in GOLD:
         QUERIES[f"{name}_all_dates"] = lambda spark, sf_dir, n=name: over_all_dates(
@@ -641,6 +684,4 @@ def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales per day from raw orders: cast, filter, dedup, key check, aggregate, ratio."""
-    customers = silver.dim_customers(adapter.customers(spark, sf_dir), KEY_TYPE)
-    orders = silver.fact_orders(adapter.orders(spark, sf_dir), customers, KEY_TYPE)
-    return rounded(gold.dm_sales_daily(orders))
+    return gold_table(spark, sf_dir, False, "dm_sales_daily")

@@ -8,8 +8,10 @@ from pyspark.sql.types import StringType
 
 from stratacart.schemas import Fields, spark_type
 
-# What a numeric cast of a string ignores at either end.
-_BLANKS = "".join(map(chr, range(0x21))) + "\x7f"
+# What a numeric cast of a string ignores at either end, and the numbers
+# with a decimal point it reads as whole by cutting the decimals off.
+_BLANKS = r"[\x00-\x20\x7f]*"
+_DECIMAL = rf"^{_BLANKS}([+-]?\d*)\.\d*{_BLANKS}\z"
 
 
 def _whole_number(text: Column, sql_type: str) -> Column:
@@ -17,10 +19,9 @@ def _whole_number(text: Column, sql_type: str) -> Column:
 
     The pattern work sits in coalesce, so it runs only for values try_cast refused.
     """
-    trimmed = F.btrim(text, F.lit(_BLANKS))
-    whole = F.regexp_extract(trimmed, r"^([+-]?\d*)\.\d*\z", 1)
+    whole = F.regexp_extract(text, _DECIMAL, 1)
     truncated = F.when(
-        trimmed.rlike(r"^[+-]?\d*\.\d*\z"),
+        text.rlike(_DECIMAL),
         F.when(whole.rlike(r"\d"), whole.try_cast(sql_type)).otherwise(F.lit(0).cast(sql_type)),
     )
     return F.coalesce(text.try_cast(sql_type), truncated)
@@ -52,7 +53,7 @@ def cast_fields(df: DataFrame, fields: Fields, key_type: str = "int") -> DataFra
     Strings go through the casts above. Sources that bring their own types (JDBC)
     are cast from those; a number outside the target's range becomes NULL.
     """
-    selected = []
+    schema, selected = df.schema, []
     for name, kind in fields:
         target = spark_type(kind, key_type)
         column = F.col(name)
@@ -61,7 +62,7 @@ def cast_fields(df: DataFrame, fields: Fields, key_type: str = "int") -> DataFra
         elif target == "double":
             column = to_double(column)
         elif target in ("int", "bigint"):
-            if isinstance(df.schema[name].dataType, StringType):
+            if isinstance(schema[name].dataType, StringType):
                 column = to_int(column) if target == "int" else to_bigint(column)
             else:
                 column = column.try_cast(target)

@@ -1,10 +1,18 @@
 """Equi-joins of a fact with a table that has one row per key.
 
 No join strategy is requested: Catalyst broadcasts a side whose size it knows to be
-small and sort-merges otherwise. A foreign key that holds many rows is split at run
-time by AQE's skew join. ``salt`` does the same by hand for sessions without AQE:
-rows spread over ``salt`` sub-keys by a hash of the whole row, which unlike a random
-number gives the same answer when a lost task is run again.
+small and sort-merges otherwise, and AQE splits a foreign key that holds many rows.
+
+``salt`` adds a second join column, a hash of the whole row modulo ``salt``, against
+``salt`` copies of each parent key:
+
+* 1, the default for facts, copies nothing. It makes both sides shuffle for this join,
+  without which AQE cannot split a hot key; a parent fresh from its deduplication is
+  already laid out by the key and would pull the fact into that layout.
+* More spreads every key over that many tasks, for sessions without AQE.
+* None joins on the key alone, for a child that has few rows per key.
+
+Unlike a random number, the hash is the same when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -15,11 +23,13 @@ from pyspark.sql import functions as F
 _SALT = "__salt"
 
 
-def _join(child: DataFrame, parent: DataFrame, key: str, how: str, salt: int) -> DataFrame:
+def _join(
+    child: DataFrame, parent: DataFrame, key: str, how: str, salt: int | None
+) -> DataFrame:
+    if salt is None:
+        return child.join(parent, key, how)
     if salt < 1:
         raise ValueError("salt must be at least 1")
-    if salt == 1:
-        return child.join(parent, key, how)
     spread = F.pmod(F.xxhash64(*child.columns), F.lit(salt)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     return (
@@ -29,13 +39,15 @@ def _join(child: DataFrame, parent: DataFrame, key: str, how: str, salt: int) ->
     )
 
 
-def fk_filter(child: DataFrame, parent: DataFrame, key: str, salt: int = 1) -> DataFrame:
+def fk_filter(
+    child: DataFrame, parent: DataFrame, key: str, salt: int | None = 1
+) -> DataFrame:
     """Rows of ``child`` whose key exists in ``parent``; never multiplies rows."""
     return _join(child, parent.select(key), key, "left_semi", salt).select(*child.columns)
 
 
 def fk_enrich(
-    child: DataFrame, parent: DataFrame, key: str, *names: str, salt: int = 1
+    child: DataFrame, parent: DataFrame, key: str, *names: str, salt: int | None = 1
 ) -> DataFrame:
     """Rows of ``child`` whose key exists in ``parent``, with the named parent columns."""
     joined = _join(child, parent.select(key, *names), key, "inner", salt)
@@ -43,7 +55,7 @@ def fk_enrich(
 
 
 def left_enrich(
-    child: DataFrame, parent: DataFrame, key: str, *names: str, salt: int = 1
+    child: DataFrame, parent: DataFrame, key: str, *names: str, salt: int | None = 1
 ) -> DataFrame:
     """All rows of ``child`` with the named parent columns, NULL where there is no match."""
     joined = _join(child, parent.select(key, *names), key, "left", salt)

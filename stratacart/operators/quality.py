@@ -12,7 +12,9 @@ _RANK = "__rank"
 
 def require_key(df: DataFrame, *keys: str) -> DataFrame:
     """Drop rows where any key is NULL."""
-    return df.dropna(subset=list(keys))
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def require_positive(df: DataFrame, *names: str, reject_nan: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ columns led by the join key and hence without another shuffle, adds the copies u
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from stratacart.functions.scalars import safe_ratio
 from stratacart.operators.aggregates import order_totals, product_sales, review_stats
 from stratacart.operators.joins import left_enrich
 
+# Both sides hold a row per key and ingest date: nothing to spread.
+_join_per_key = partial(left_enrich, salt=None)
+
 
 def dm_sales_daily(orders: DataFrame, unique_ids: bool = False) -> DataFrame:
     """Revenue, distinct orders and average order value per day."""
@@ -34,7 +39,7 @@ def dm_sales_by_product(
     """Quantity and revenue per sold product. ``sales`` is product_sales(items), if at hand."""
     sales = product_sales(items) if sales is None else sales
     return (
-        left_enrich(sales, products, "product_id", "product_name", "category", "brand")
+        _join_per_key(sales, products, "product_id", "product_name", "category", "brand")
         .groupBy("product_id", "product_name", "category", "brand")
         .agg(
             F.sum("total_quantity_sold").alias("total_quantity_sold"),
@@ -49,7 +54,7 @@ def dm_customer_metrics(
     """Orders, spending, first and last order date per customer with orders."""
     totals = order_totals(orders, "customer_id", "total_spent", unique_ids)
     per_country = (
-        left_enrich(totals, customers, "customer_id", "country")
+        _join_per_key(totals, customers, "customer_id", "country")
         .groupBy("customer_id", "country")
         .agg(
             F.max("total_orders").alias("total_orders"),
@@ -72,10 +77,10 @@ def dm_product_reviews_impact(
     """Rating and revenue of every product, zeros where it has no review or sale."""
     sales = product_sales(items) if sales is None else sales
     named = products.select("product_id", "product_name")
-    rated = left_enrich(
+    rated = _join_per_key(
         named, review_stats(reviews, unique_ids), "product_id", "avg_rating", "nb_reviews"
     )
-    return left_enrich(rated, sales, "product_id", "total_revenue").na.fill(
+    return _join_per_key(rated, sales, "product_id", "total_revenue").na.fill(
         {"avg_rating": 0.0, "nb_reviews": 0, "total_revenue": 0.0}
     )
 
@@ -86,7 +91,7 @@ def dm_stock_performance(
     """Sold quantity against stock of every product."""
     sales = product_sales(items) if sales is None else sales
     stock = products.select("product_id", "product_name", "category", "stock_quantity")
-    sold = left_enrich(stock, sales, "product_id", "total_quantity_sold").na.fill(
+    sold = _join_per_key(stock, sales, "product_id", "total_quantity_sold").na.fill(
         {"total_quantity_sold": 0}
     )
     ratio = safe_ratio(F.col("total_quantity_sold"), F.col("stock_quantity"))

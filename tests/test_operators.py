@@ -1,0 +1,182 @@
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratacart.functions.scalars import date_parts, line_amount, safe_ratio
+from stratacart.operators.aggregates import order_totals, product_sales, review_stats
+from stratacart.operators.joins import fk_enrich, fk_filter, left_enrich
+from stratacart.operators.quality import (
+    dedup_by_key,
+    distinct_values,
+    require_between,
+    require_key,
+    require_positive,
+)
+
+NAN = float("nan")
+
+
+def rows(df):
+    return sorted(
+        (tuple(r) for r in df.collect()), key=lambda r: [(v is not None, v) for v in r]
+    )
+
+
+def test_require_key(spark):
+    df = spark.createDataFrame([(1, None), (None, 1), (1, 1)], "a int, b int")
+    assert rows(require_key(df, "a")) == [(1, None), (1, 1)]
+    assert rows(require_key(df, "a", "b")) == [(1, 1)]
+
+
+def test_require_positive(spark):
+    df = spark.createDataFrame([(None,), (0.0,), (-1.0,), (NAN,), (1.0,)], "x double")
+    assert require_positive(df, "x").count() == 2
+    assert rows(require_positive(df, "x", reject_nan=True)) == [(1.0,)]
+
+
+def test_require_between(spark):
+    df = spark.createDataFrame([(None,), (0,), (1,), (5,), (6,)], "rating int")
+    assert rows(require_between(df, "rating", 1, 5)) == [(1,), (5,)]
+
+
+def test_dedup_treats_null_as_one_key(spark):
+    df = spark.createDataFrame(
+        [(None, "b"), (None, "a"), (1, "d"), (1, None), (2, "c")], "k int, v string"
+    )
+    assert rows(dedup_by_key(df, "k")) == [(None, "a"), (1, None), (2, "c")]
+
+
+def test_dedup_order_and_compound_keys(spark):
+    df = spark.createDataFrame(
+        [(1, 1, 5, "x"), (1, 1, 9, "y"), (1, 2, 1, "z")], "a int, b int, n int, v string"
+    )
+    assert rows(dedup_by_key(df, ["a", "b"], [F.col("n").desc()])) == [
+        (1, 1, 9, "y"),
+        (1, 2, 1, "z"),
+    ]
+    assert rows(dedup_by_key(df.select("a"), "a")) == [(1,)]
+
+
+def test_dedup_does_not_depend_on_input_order(spark):
+    data = [(i % 7, i % 13, str(i % 5)) for i in range(500)]
+    schema = "k int, n int, v string"
+    first = dedup_by_key(spark.createDataFrame(data, schema), "k")
+    second = dedup_by_key(spark.createDataFrame(data[::-1], schema).repartition(31), "k")
+    assert rows(first) == rows(second)
+
+
+def test_dedup_limits_rows_before_the_shuffle(spark, executed_plan):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    plan = executed_plan(dedup_by_key(df, "k"))
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_distinct_values(spark):
+    df = spark.createDataFrame([(1,), (None,), (1,), (None,)], "x int")
+    result = distinct_values(df, "x", "y")
+    assert result.columns == ["y"] and rows(result) == [(None,), (1,)]
+
+
+@pytest.fixture
+def child(spark):
+    return spark.createDataFrame(
+        [("a", 1), ("b", 1), ("c", 2), ("d", None), ("e", 3)], "id string, k int"
+    )
+
+
+@pytest.fixture
+def parent(spark):
+    return spark.createDataFrame([(1, "one"), (2, None), (None, "none")], "k int, name string")
+
+
+@pytest.mark.parametrize("salt", [None, 1, 4])
+def test_joins(child, parent, salt):
+    assert rows(fk_filter(child, parent, "k", salt)) == [("a", 1), ("b", 1), ("c", 2)]
+    enriched = fk_enrich(child, parent, "k", "name", salt=salt)
+    assert enriched.columns == ["id", "k", "name"]
+    assert rows(enriched) == [("a", 1, "one"), ("b", 1, "one"), ("c", 2, None)]
+    assert rows(left_enrich(child, parent, "k", "name", salt=salt)) == [
+        ("a", 1, "one"),
+        ("b", 1, "one"),
+        ("c", 2, None),
+        ("d", None, None),
+        ("e", 3, None),
+    ]
+
+
+def test_fk_filter_never_multiplies(child, parent):
+    assert fk_filter(child, parent.union(parent), "k").count() == 3
+
+
+def test_salt_must_be_positive(child, parent):
+    with pytest.raises(ValueError, match="salt"):
+        fk_filter(child, parent, "k", salt=0)
+
+
+def test_salting_spreads_a_hot_key(spark, executed_plan):
+    """Half the rows hold one key; with a salt no shuffle task gets more than its share."""
+    hot = spark.range(8000).select(
+        "id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k")
+    )
+    parents = spark.range(8000).select(F.col("id").alias("k"))
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    hot.createOrReplaceGlobalTempView("hot_rows")
+    parents.createOrReplaceGlobalTempView("hot_parents")
+    hot, parents = session.table("global_temp.hot_rows"), session.table("global_temp.hot_parents")
+
+    def largest_task(salt):
+        joined = fk_filter(hot, parents, "k", salt)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count()
+        return sizes.agg(F.max("count")).first()[0]
+
+    assert largest_task(1) > 4000
+    assert largest_task(64) < 1600
+
+
+def test_product_sales_and_review_stats(spark):
+    items = spark.createDataFrame(
+        [(1, 2, 1.5), (1, 3, 2.0), (2, None, 1.0)],
+        "product_id int, quantity int, line_amount double",
+    )
+    sales = product_sales(items)
+    assert dict(sales.dtypes)["total_quantity_sold"] == "bigint"
+    assert rows(sales) == [(1, 5, 3.5), (2, None, 1.0)]
+    reviews = spark.createDataFrame(
+        [(1, 10, 5), (1, 10, 4), (1, None, 3)], "product_id int, review_id int, rating int"
+    )
+    assert rows(review_stats(reviews)) == [(1, 4.0, 1)]
+
+
+def test_order_totals_counts_ids_once(spark):
+    orders = spark.createDataFrame(
+        [(7, 1, 2.0, date(2024, 1, 2)), (7, 1, 3.0, date(2024, 1, 1)), (7, None, 1.0, None)],
+        "customer_id int, order_id int, total_amount double, order_date date",
+    )
+    expected = (7, 6.0, 1, date(2024, 1, 1), date(2024, 1, 2))
+    assert rows(order_totals(orders, "customer_id", "spent")) == [expected]
+
+
+def test_safe_ratio(spark):
+    df = spark.createDataFrame(
+        [(1, 5.0, 0), (2, 5.0, None), (3, None, 2), (4, 5.0, 2), (5, 5.0, -1)],
+        "i int, n double, d int",
+    )
+    ratio = safe_ratio(F.col("n"), F.col("d")).alias("r")
+    assert [r for _, r in rows(df.select("i", ratio))] == [0.0, 0.0, None, 2.5, 0.0]
+
+
+def test_date_parts_uses_iso_weeks(spark):
+    days = [date(2021, 1, 3), date(2020, 12, 31), date(2024, 12, 30)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = {r.d: (r.year, r.week, r.quarter) for r in df.withColumns(date_parts(F.col("d"))).collect()}
+    assert got == {days[0]: (2021, 53, 1), days[1]: (2020, 53, 4), days[2]: (2024, 1, 4)}
+
+
+def test_line_amount(spark):
+    df = spark.createDataFrame([(3, 1.5), (None, 1.0)], "q int, p double")
+    assert rows(df.select(line_amount(F.col("q"), F.col("p")))) == [(None,), (4.5,)]
