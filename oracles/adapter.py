@@ -1,8 +1,10 @@
-"""The test tables as raw commerce tables, every column a string as in a CSV file.
+"""The test tables as raw commerce tables.
 
-``dirty`` adds what the quality rules exist for: unreadable keys, numbers and dates,
-amounts out of range, conflicting copies, missing parents, and foreign keys a third of
-whose rows hold one value. ``sql.py`` states the same data as typed SQL.
+Clean tables keep the types of the Parquet files, as a database source would bring them.
+``dirty`` ones are strings as in a CSV file and hold what the quality rules exist for:
+unreadable keys, numbers and dates, amounts out of range, conflicting copies, missing
+parents, and foreign keys a third of whose rows hold one value. ``sql.py`` states the
+same data as typed SQL.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ def customers(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFram
     joined = table(spark, sf_dir, "customer").join(
         nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    signup = _text(F.date_add(F.lit("1995-01-01").cast("date"), (key % 2000).cast("int")))
+    signup = F.date_add(F.lit("1995-01-01").cast("date"), (key % 2000).cast("int"))
     if not dirty:
         return joined.select(
-            _text(key).alias("customer_id"),
+            key.alias("customer_id"),
             F.col("c_mktsegment").alias("gender"),
             F.col("n_name").alias("country"),
             signup.alias("signup_date"),
@@ -54,7 +56,7 @@ def customers(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFram
         F.when(F.col("copy") == 1, F.concat(F.lit("A_"), "n_name"))
         .when(~_every(key, 29, 6), F.col("n_name"))
         .alias("country"),
-        F.when(_every(key, 23, 4), "2024-13-01").otherwise(signup).alias("signup_date"),
+        F.when(_every(key, 23, 4), "2024-13-01").otherwise(_text(signup)).alias("signup_date"),
     )
 
 
@@ -68,10 +70,10 @@ def products(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame
     )
     if not dirty:
         return parts.select(
-            _text(key).alias("product_id"),
+            key.alias("product_id"),
             *names,
-            _text(F.col("p_retailprice")).alias("price"),
-            _text(F.col("p_size") - 1).alias("stock_quantity"),
+            F.col("p_retailprice").alias("price"),
+            (F.col("p_size") - 1).alias("stock_quantity"),
         )
     return _with_copies(parts.where(~_every(key, 7, 2)), key).select(
         F.when(_every(key, 97, 5), "n/a")
@@ -97,10 +99,10 @@ def orders(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
     )
     if not dirty:
         return source.select(
-            _text(key).alias("order_id"),
-            _text(F.col("o_custkey")).alias("customer_id"),
-            _text(F.col("o_orderdate")).alias("order_date"),
-            _text(F.col("o_totalprice")).alias("total_amount"),
+            key.alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderdate").alias("order_date"),
+            F.col("o_totalprice").alias("total_amount"),
             *labels,
         )
     amount = F.col("o_totalprice")
@@ -129,7 +131,7 @@ def item_id() -> Column:
     checksum = (
         F.col("l_partkey") * 7919
         + F.col("l_suppkey") * 104729
-        + F.round(F.col("l_extendedprice") * 100).cast("bigint") * 31
+        + F.floor(F.col("l_extendedprice") * 100 + 0.5) * 31
         + F.col("l_quantity").cast("bigint") * 1299709
     ) % 1048573
     return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + checksum
@@ -138,25 +140,25 @@ def item_id() -> Column:
 def order_items(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
     source = table(spark, sf_dir, "lineitem").withColumn("id", item_id())
     key, order = F.col("id"), F.col("l_orderkey")
-    quantity = _text(F.col("l_quantity").cast("int"))
+    quantity = F.col("l_quantity").cast("int")
     if not dirty:
         return source.select(
-            _text(key).alias("order_item_id"),
-            _text(order).alias("order_id"),
-            _text(F.col("l_partkey")).alias("product_id"),
+            key.alias("order_item_id"),
+            order.alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
             quantity.alias("quantity"),
-            _text(F.col("l_extendedprice")).alias("unit_price"),
+            F.col("l_extendedprice").alias("unit_price"),
         )
     kept = source.where(~_every(F.col("l_partkey"), 10, 9))
     return _with_copies(kept, key).select(
         F.when(_every(key, 89, 11), "n/a").otherwise(_text(key)).alias("order_item_id"),
         _text(order).alias("order_id"),
         F.when(_every(order, 3, 0), "1").otherwise(_text(F.col("l_partkey"))).alias("product_id"),
-        F.when(_every(key, 13, 4), "0")
-        .when(_every(key, 13, 5), F.concat(quantity, F.lit(".9")))
-        .otherwise(quantity)
+        F.when(_every(order, 13, 4), "0")
+        .when(_every(order, 13, 5), F.concat(quantity, F.lit(".9")))
+        .otherwise(_text(quantity))
         .alias("quantity"),
-        _text(F.col("l_extendedprice") + F.col("copy")).alias("unit_price"),
+        (F.col("l_extendedprice") + F.col("copy")).alias("unit_price"),
     )
 
 
@@ -166,11 +168,11 @@ def product_reviews(spark: SparkSession, sf_dir: str, dirty: bool = False) -> Da
     product = F.get_json_object("props", "$.k")
     if not dirty:
         return events.select(
-            _text(key).alias("review_id"),
+            key.alias("review_id"),
             product.alias("product_id"),
-            _text(F.col("user_id")).alias("customer_id"),
-            _text(F.col("value")).alias("rating"),
-            _text(F.col("ts")).alias("review_date"),
+            F.col("user_id").alias("customer_id"),
+            F.col("value").alias("rating"),
+            F.col("ts").alias("review_date"),
         )
     return _with_copies(events, key).select(
         F.when(_every(key, 97, 5), "").otherwise(_text(key)).alias("review_id"),

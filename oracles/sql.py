@@ -23,7 +23,7 @@ b_orders AS (
 numbered_items AS (
   SELECT *, (l_orderkey * 8 + l_linenumber) * 1048576
          + (l_partkey * 7919 + l_suppkey * 104729
-            + CAST(round(l_extendedprice * 100) AS BIGINT) * 31
+            + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 31
             + CAST(l_quantity AS BIGINT) * 1299709) % 1048573 AS id
   FROM lineitem),
 b_order_items AS (
@@ -71,14 +71,14 @@ b_orders AS (
 numbered_items AS (
   SELECT *, (l_orderkey * 8 + l_linenumber) * 1048576
          + (l_partkey * 7919 + l_suppkey * 104729
-            + CAST(round(l_extendedprice * 100) AS BIGINT) * 31
+            + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 31
             + CAST(l_quantity AS BIGINT) * 1299709) % 1048573 AS id
   FROM lineitem),
 b_order_items AS (
   SELECT CASE WHEN id % 89 <> 11 THEN id END AS order_item_id,
          l_orderkey AS order_id,
          CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END AS product_id,
-         CASE WHEN id % 13 = 4 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS quantity,
+         CASE WHEN l_orderkey % 13 = 4 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS quantity,
          l_extendedprice + copy AS unit_price
   FROM numbered_items JOIN copies ON copy = 0 OR id % 5 = 0
   WHERE l_partkey % 10 <> 9),
@@ -144,35 +144,41 @@ dim_date AS (
   FROM fact_orders)
 """
 
-# Money is rounded to cents and ratios to six digits, as the Spark queries do.
-GOLD = """
+
+def money(total: str) -> str:
+    """A sum of doubles, rounded so that the order of adding does not show."""
+    return f"CASE WHEN abs({total}) < 1e10 THEN round({total}, 2) ELSE round({total}, -2) END"
+
+
+def average_order(total: str) -> str:
+    orders = "count(DISTINCT order_id)"
+    return f"CASE WHEN {orders} > 0 THEN ({money(total)}) / {orders} ELSE 0.0 END"
+
+
+GOLD = f"""
 dm_sales_daily AS (
-  SELECT order_date AS date, round(sum(total_amount), 2) AS total_revenue,
+  SELECT order_date AS date, {money("sum(total_amount)")} AS total_revenue,
          count(DISTINCT order_id) AS total_orders,
-         round(CASE WHEN count(DISTINCT order_id) > 0
-               THEN sum(total_amount) / count(DISTINCT order_id) ELSE 0.0 END, 6)
-           AS avg_order_value
+         {average_order("sum(total_amount)")} AS avg_order_value
   FROM fact_orders GROUP BY order_date),
 dm_sales_by_product AS (
   SELECT i.product_id, p.product_name, p.category, p.brand,
          CAST(sum(i.quantity) AS BIGINT) AS total_quantity_sold,
-         round(sum(i.line_amount), 2) AS total_revenue
+         {money("sum(i.line_amount)")} AS total_revenue
   FROM fact_order_items i LEFT JOIN dim_products p ON p.product_id = i.product_id
   GROUP BY i.product_id, p.product_name, p.category, p.brand),
 dm_customer_metrics AS (
   SELECT o.customer_id, c.country, count(DISTINCT o.order_id) AS total_orders,
-         round(sum(o.total_amount), 2) AS total_spent,
+         {money("sum(o.total_amount)")} AS total_spent,
          min(o.order_date) AS first_order_date, max(o.order_date) AS last_order_date,
-         round(CASE WHEN count(DISTINCT o.order_id) > 0
-               THEN sum(o.total_amount) / count(DISTINCT o.order_id) ELSE 0.0 END, 6)
-           AS avg_order_value
+         {average_order("sum(o.total_amount)")} AS avg_order_value
   FROM fact_orders o LEFT JOIN dim_customers c ON c.customer_id = o.customer_id
   GROUP BY o.customer_id, c.country),
 dm_product_reviews_impact AS (
   SELECT p.product_id, p.product_name,
          round(coalesce(r.avg_rating, 0.0), 6) AS avg_rating,
          coalesce(r.nb_reviews, 0) AS nb_reviews,
-         round(coalesce(s.total_revenue, 0.0), 2) AS total_revenue
+         {money("coalesce(s.total_revenue, 0.0)")} AS total_revenue
   FROM dim_products p
   LEFT JOIN (SELECT product_id, avg(rating) AS avg_rating,
                     count(DISTINCT review_id) AS nb_reviews
