@@ -603,7 +603,7 @@ def catalog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, database = scratch_path(spark, "silver"), f"stratacart_{uuid4().hex}"
     orders = Silver(spark, sf_dir, False).fact_orders
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
-    catalog.create_database(spark, database)
+    catalog.create_database(spark, database, f"{root}/warehouse")
     catalog.register_table(spark, database, "fact_orders", root, KEY_TYPE)
     catalog.repair_partitions(spark, database, "fact_orders")
     lake.write_silver(_plus_one(orders), root, "fact_orders", DAY_TWO)
@@ -679,6 +679,7 @@ _TOTALS = {
 def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV files to bronze to silver to catalog to datamarts, each job run twice."""
     root, database = scratch_path(spark, "pipeline"), f"stratacart_{uuid4().hex}"
+    catalog.create_database(spark, database, f"{root}/warehouse")
     sources = {}
     for name, make in adapter.BRONZE.items():
         path = f"{root}/landing/{name}"

@@ -11,8 +11,11 @@ from stratacart.schemas import GOLD_INPUTS, SILVER, SILVER_PARTITION, columns, d
 from stratacart.sources.lake import ALL, LATEST, Snapshot, as_day
 
 
-def create_database(spark: SparkSession, database: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """Create a database unless it exists; its own tables go to ``location``, or else to
+    the session's warehouse folder."""
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{place}")
 
 
 def use_database(spark: SparkSession, database: str) -> None:
