@@ -526,7 +526,7 @@ def agg_product_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def fill_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zeros for parts that the dirty items no longer sell."""
+    """Zeros for parts that no dirty item names."""
     parts = adapter.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")
     )

@@ -41,7 +41,7 @@ b_reviews AS (
 DIRTY_BRONZE = """
 copies AS (SELECT unnest([0, 1]) AS copy),
 b_customers AS (
-  SELECT CASE WHEN c_custkey % 97 <> 5 THEN c_custkey END AS customer_id,
+  SELECT CASE WHEN c_custkey % 97 <> 5 AND c_custkey % 7 <> 2 THEN c_custkey END AS customer_id,
          c_mktsegment AS gender,
          CASE WHEN copy = 1 THEN 'A_' || n_name
               WHEN c_custkey % 29 <> 6 THEN n_name END AS country,
@@ -49,15 +49,13 @@ b_customers AS (
               CAST(DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS DATE)
          END AS signup_date
   FROM customer JOIN nation ON c_nationkey = n_nationkey
-       JOIN copies ON copy = 0 OR c_custkey % 5 = 0
-  WHERE c_custkey % 7 <> 2),
+       JOIN copies ON copy = 0 OR c_custkey % 5 = 0),
 b_products AS (
-  SELECT CASE WHEN p_partkey % 97 <> 5 THEN p_partkey END AS product_id,
+  SELECT CASE WHEN p_partkey % 97 <> 5 AND p_partkey % 7 <> 2 THEN p_partkey END AS product_id,
          p_name AS product_name, p_type AS category, p_brand AS brand,
          CASE WHEN p_partkey % 41 <> 8 THEN p_retailprice + copy END AS price,
          CASE WHEN p_partkey % 31 <> 7 THEN p_size - 1 + copy END AS stock_quantity
-  FROM part JOIN copies ON copy = 0 OR p_partkey % 5 = 0
-  WHERE p_partkey % 7 <> 2),
+  FROM part JOIN copies ON copy = 0 OR p_partkey % 5 = 0),
 b_orders AS (
   SELECT CASE WHEN o_orderkey % 103 <> 9 THEN o_orderkey END AS order_id,
          CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE o_custkey END AS customer_id,
@@ -77,11 +75,11 @@ numbered_items AS (
 b_order_items AS (
   SELECT CASE WHEN id % 89 <> 11 THEN id END AS order_item_id,
          l_orderkey AS order_id,
-         CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END AS product_id,
+         CASE WHEN l_orderkey % 3 = 0 OR l_partkey % 10 = 9 THEN 1 ELSE l_partkey END
+           AS product_id,
          CASE WHEN l_orderkey % 13 = 4 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS quantity,
          l_extendedprice + copy AS unit_price
-  FROM numbered_items JOIN copies ON copy = 0 OR id % 5 = 0
-  WHERE l_partkey % 10 <> 9),
+  FROM numbered_items JOIN copies ON copy = 0 OR id % 5 = 0),
 b_reviews AS (
   SELECT CASE WHEN event_id % 97 <> 5 THEN event_id END AS review_id,
          CASE WHEN copy = 1 THEN 0

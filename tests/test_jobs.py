@@ -51,15 +51,18 @@ def collect_sink(results):
 
 
 def test_gold_from_folders_equals_gold_from_catalog(spark, lakehouse):
-    by_folder, by_catalog, by_day = {}, {}, {}
+    by_folder, by_catalog, by_day, over_all = {}, {}, {}, {}
     silver_root = f"{lakehouse}/silver"
     jobs.run_gold(spark, collect_sink(by_folder), root=silver_root, key_type="bigint")
     jobs.run_gold(spark, collect_sink(by_catalog), database="lakehouse")
     jobs.run_gold(
         spark, collect_sink(by_day), database="lakehouse", snapshot=DAY, unique_ids=True
     )
+    jobs.run_gold(
+        spark, collect_sink(over_all), root=silver_root, snapshot=lake.ALL, key_type="bigint"
+    )
     assert set(by_folder) == set(GOLD)
-    assert by_folder == by_catalog == by_day
+    assert by_folder == by_catalog == by_day == over_all
 
 
 def test_sinks(spark, lakehouse, tmp_path):
