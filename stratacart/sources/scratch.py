@@ -3,7 +3,6 @@ computed twice or must survive the loss of executors."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from stratacart.sources import files
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="stratacart-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder in the session's warehouse if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def scratch_path(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A fresh folder name below ``root``, which all executors must share."""
+    return f"{(root or scratch_root(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, root: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to a scratch folder and read it back: the frame and its folder."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, root)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
