@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from stratacart.llm import merge_replay
+from stratacart.llm import grammar_output, merge_replay, url_rules
 from stratacart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -28,6 +29,52 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op3_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grammar_output.encode_to_files(docs, WORD_TOKENIZER, end_id=2)
+
+
+URL_RULES = [
+    url_rules.Rule("allow", "com", "/"),
+    url_rules.Rule("block", "example.com", "/en/"),
+    url_rules.Rule("allow", "www.example.com", "/en/"),
+    url_rules.Rule("block", "net", "/es/"),
+    url_rules.Rule("block", "net", "/fr/"),
+]
+
+
+@query(
+    """
+    WITH parts AS (
+        SELECT page_id, regexp_replace(coalesce(url, ''), '^.*?://', '', 's') AS rest,
+               contains(coalesce(url, ''), '://') AS known
+        FROM pages
+    ), split AS (
+        SELECT page_id,
+               CASE WHEN known THEN translate(regexp_extract(rest, '^[^/?#]*'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+               CASE WHEN known THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+        FROM parts
+    ), rules(verdict, host, path) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+               ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'),
+               ('block', 'net', '/fr/')
+    ), fits AS (
+        SELECT s.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+               max_by(r.verdict, length(r.host || r.path)) AS verdict
+        FROM split s JOIN rules r
+          ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+        GROUP BY s.page_id
+    )
+    SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+    FROM split s LEFT JOIN fits f USING (page_id)
+    """
+)
+def op5_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query()
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
