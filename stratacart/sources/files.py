@@ -38,3 +38,13 @@ def any_file(spark: SparkSession, path: str) -> str | None:
         if entry.isFile():
             return entry.getPath().toString()
     return None
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Create the file ``path`` with ``data``; for what fits the driver's memory."""
+    fs, hadoop_path = _resolve(spark, path)
+    stream = fs.create(hadoop_path)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
