@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from stratacart.llm import grammar_output, merge_replay, url_rules
+from stratacart.llm import grammar_output, merge_replay, ngram_join, url_rules
 from stratacart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ def op5_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merge_replay.token_digests(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
