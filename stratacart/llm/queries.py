@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from stratacart.llm import grammar_output, line_dedup, merge_replay, ngram_join, url_rules
+from stratacart.llm import (
+    grammar_output,
+    line_dedup,
+    merge_replay,
+    ngram_join,
+    subspace_join,
+    url_rules,
+)
 from stratacart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +37,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query()
 def op3_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
