@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from stratacart.llm import (
+    fingerprints,
     grammar_output,
     line_dedup,
     merge_replay,
@@ -37,6 +38,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op1_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
