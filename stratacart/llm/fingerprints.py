@@ -43,7 +43,7 @@ CELLS = 8
 GROWTH = 4
 BLOCK_BYTES = 2 << 20
 _PARAGRAPH = re.compile(r"[^\n.,;:!?]*[\n.,;:!?]+[ \t]*|[^\n.,;:!?]+")
-_LONG = 160
+_LONG = 60
 _WORD = re.compile(r"\s*\S+\s*|\s+")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from stratacart.llm import (
+    factor_machine,
     fingerprints,
     grammar_output,
     line_dedup,
@@ -100,6 +101,18 @@ def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.token_digests(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query()
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = factor_machine.learn(docs, table(spark, sf_dir, "labels"))
+    return factor_machine.score(docs, model).select(
+        "doc_id",
+        factor_machine.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
