@@ -256,21 +256,19 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(
-    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """Key, the columns ``keep`` as they are, and ``score``."""
+    """The columns ``keep`` as they are, and ``score``, a name that none of them has."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", BLOCK_BYTES):
-                found = scores(shared.value, features(_texts(part["__text"])))
-                names = [n for n in part.schema.names if n != "__text"]
+            for part in slices(batch, text, BLOCK_BYTES):
+                found = scores(shared.value, features(_texts(part[text])))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[n] for n in names), pa.array(found, pa.float64())],
-                    names=[*names, "score"],
+                    [*(part[n] for n in keep), pa.array(found, pa.float64())],
+                    names=[*keep, "score"],
                 )
 
-    rows = docs.select(key, *keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    return rows.mapInArrow(run, rows.select(*keep).schema.add("score", "double"))

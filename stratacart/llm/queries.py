@@ -12,8 +12,10 @@ from stratacart.llm import (
     factor_machine,
     fingerprints,
     grammar_output,
+    licences,
     line_dedup,
     merge_replay,
+    mixing,
     ngram_join,
     subspace_join,
     url_rules,
@@ -55,6 +57,86 @@ def op3_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_output.encode_to_files(docs, WORD_TOKENIZER, end_id=2)
 
 
+#: Topics by words that stand for them in the four languages of the documents.
+LEXICON = {
+    "people": ["he", "you", "sie", "il", "nous", "los"],
+    "place": ["in", "at", "from", "im", "auf", "sur", "en"],
+    "time": ["was", "when", "wird", "est", "era"],
+}
+MIX = {"source_power": 0.7, "lang_power": 0.7, "topic_power": 0.7}
+
+
+def _counted(word: str) -> str:
+    padded = "' ' || coalesce(text, '') || ' '"
+    return (
+        f"((length({padded}) - length(replace({padded}, ' {word} ', '')))"
+        f" // {len(word) + 2})"
+    )
+
+
+def _mixing_sql() -> str:
+    counts = {t: " + ".join(map(_counted, words)) for t, words in sorted(LEXICON.items())}
+    best = f"greatest({', '.join(counts.values())})"
+    cases = " ".join(f"WHEN {n} = most THEN '{t}'" for t, n in counts.items())
+    return f"""
+    WITH RECURSIVE counted AS (
+        SELECT *, {best} AS most,
+               CASE WHEN length(text) > 0
+                   THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS n_tokens
+        FROM documents
+    ), marked AS (
+        SELECT doc_id, source, lang, n_tokens,
+               CASE WHEN most = 0 THEN 'other' {cases} END AS topic
+        FROM counted
+    ), cells AS (
+        SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM marked GROUP BY ALL
+    ), totals AS (
+        SELECT *, sum(n) OVER (PARTITION BY source) AS s, sum(n) OVER (PARTITION BY lang) AS l,
+               sum(n) OVER (PARTITION BY topic) AS t
+        FROM cells
+    ), shares AS (
+        SELECT source, lang, topic, n,
+               pow(s, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY source)) AS s,
+               pow(l, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY lang)) AS l,
+               pow(t, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY topic)) AS t
+        FROM totals
+    ), raked AS (
+        SELECT 0 AS step, *, n AS w FROM shares
+        UNION ALL
+        SELECT step + 1, source, lang, topic, n, s, l, t,
+               w * t / sum(w) OVER (PARTITION BY topic) AS w
+        FROM (
+            SELECT * REPLACE (w * l / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+                SELECT * REPLACE (w * s / sum(w) OVER (PARTITION BY source) AS w)
+                FROM raked WHERE step < {mixing.ROUNDS}
+            )
+        )
+    ), last AS (
+        SELECT source, lang, topic, w * s / sum(w) OVER (PARTITION BY source) / n AS w
+        FROM raked WHERE step = {mixing.ROUNDS} AND n > 0
+    )
+    SELECT doc_id, m.source, m.lang, m.topic, n_tokens,
+           round(w / (SELECT max(w) FROM last), 9) AS probability,
+           ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT
+               / 4503599627370496.0 < w / (SELECT max(w) FROM last) AS kept
+    FROM marked m JOIN last c ON m.source IS NOT DISTINCT FROM c.source
+        AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic IS NOT DISTINCT FROM c.topic
+    """
+
+
+@query(_mixing_sql())
+def op4_fitted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), LEXICON, **MIX).select(
+        "doc_id",
+        "source",
+        "lang",
+        "topic",
+        "n_tokens",
+        F.round("probability", 9).alias("probability"),
+        "kept",
+    )
+
+
 URL_RULES = [
     url_rules.Rule("allow", "com", "/"),
     url_rules.Rule("block", "example.com", "/en/"),
@@ -95,6 +177,48 @@ def op5_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _licence_sql() -> str:
+    templates = ", ".join(
+        f"('{name}', {licences.bigrams_of(body)!r})" for name, body in licences.NOTICES.items()
+    )
+    return rf"""
+    WITH templates(name, bigrams) AS (VALUES {templates}),
+    cut AS (
+        SELECT doc_id, list_concat(
+            string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
+            list_filter(string_split(coalesce(text, ''), chr(10)),
+                        lambda x: regexp_matches(x, '[.!?][ \t]'))) AS passages
+        FROM documents
+    ), numbered AS (
+        SELECT doc_id, unnest(passages) AS passage, generate_subscripts(passages, 1) AS pos FROM cut
+    ), split AS (
+        SELECT doc_id, pos, list_filter(string_split_regex(translate(passage,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS words
+        FROM numbered
+    ), paired AS (
+        SELECT doc_id, pos, list_distinct(list_transform(range(1, len(words)),
+            lambda i: words[i] || ' ' || words[i + 1])) AS bigrams
+        FROM split WHERE len(words) > 1
+    ), scored AS (
+        SELECT doc_id, pos, name,
+               2.0::DOUBLE * len(list_intersect(p.bigrams, t.bigrams))
+                   / (len(p.bigrams) + len(t.bigrams)) AS dice
+        FROM paired p, templates t
+    ), hits AS (
+        SELECT doc_id, pos, max(dice) AS dice, arg_min(name, (-dice, name)) AS name
+        FROM scored WHERE dice * 100 >= 80 GROUP BY doc_id, pos
+    )
+    SELECT d.doc_id, arg_min(h.name, (-h.dice, h.name)) AS licence, max(h.dice) AS dice,
+           count(h.pos) AS n_hits
+    FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id
+    """
+
+
+@query(_licence_sql())
+def op6_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.NOTICES, percent=80)
+
+
 @query()
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
