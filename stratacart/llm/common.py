@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratacart.sources.scratch import materialize
 
+HOME = str(Path(__file__).resolve().parents[2])
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The characters \x20 and \x09 to \x0D.
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package from where the driver has it, as
+    well as from where they are started."""
+    paths = spark.sparkContext.environment
+    known = [x for x in paths.get("PYTHONPATH", "").split(":") if x]
+    if HOME not in known:
+        paths["PYTHONPATH"] = ":".join([*known, HOME])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: computed once, and there when an
     executor is lost."""
@@ -51,6 +62,7 @@ def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:
 def part_of(column: Column, cuts: Sequence[int]) -> Column:
     """The number of ``cuts`` that are at most the value; null is below all of them."""
     bounds = np.asarray(cuts, dtype=np.int64)
+    on_workers(SparkSession.active())
 
     @F.arrow_udf("int")
     def place(values: pa.Array) -> pa.Array:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import slices
+from stratacart.llm.common import on_workers, slices
 from stratacart.llm.shingles import word_hashes
 
 WORD_BINS = 1 << 15
@@ -215,6 +215,7 @@ def held_out(key: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """A model of ``labels.quality`` from a bounded sample of the rows that are not held out."""
+    on_workers(docs.sparkSession)
     known = (
         labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("id"))
@@ -259,6 +260,7 @@ def score(
     docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """The columns ``keep`` as they are, and ``score``, a name that none of them has."""
+    on_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,11 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-from stratacart.llm.common import slices
+from stratacart.llm.common import on_workers, slices
 
 #: Bytes of text whose unknown words are replayed together.
 BLOCK_BYTES = 4 << 20
@@ -202,32 +201,36 @@ def _replay(name: str, pattern: str) -> MergeReplay:
 
 
 def encode_decode(
-    docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    ranks: str,
+    pattern: str,
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    key: str = "doc_id",
 ) -> DataFrame:
     """Encode each text by the rank file at the path ``ranks`` and decode the ids again.
 
-    Returns key, ``ids`` (array of int) and ``decoded`` (bytes). The rank file, of a fixed
-    size, is shipped to each executor once.
+    Returns key, the columns ``keep``, ``ids`` (array of int) and ``decoded`` (bytes). The
+    rank file, of a fixed size, is shipped to each executor once.
     """
 
-    def rows(replay: MergeReplay, key_values: pa.Array, encoded: list[bytes]) -> list[pa.Array]:
+    def rows(replay: MergeReplay, encoded: list[bytes]) -> list[pa.Array]:
         ids = [_ids(packed) for packed in encoded]
         return [
-            key_values,
             pa.array(ids, pa.list_(pa.int32())),
             pa.array([replay.decode(x) for x in ids], pa.binary()),
         ]
 
-    return _encoded(docs, ranks, pattern, key, text, rows, "ids array<int>, decoded binary")
+    return _encoded(docs, ranks, pattern, text, (key, *keep), rows, "ids array<int>, decoded binary")
 
 
 def token_digests(
-    docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """Key, ``n_tokens`` and the SHA-256 digests ``ids_sha256`` of the decimal ids and
     ``decoded_sha256`` of the decoded bytes, taken in the task that encodes."""
 
-    def rows(replay: MergeReplay, key_values: pa.Array, encoded: list[bytes]) -> list[pa.Array]:
+    def rows(replay: MergeReplay, encoded: list[bytes]) -> list[pa.Array]:
         counts, shown, decoded = [], [], []
         for packed in encoded:
             ids = _ids(packed)
@@ -235,37 +238,38 @@ def token_digests(
             shown.append(hashlib.sha256(replay.text_of(ids).encode()).hexdigest())
             decoded.append(hashlib.sha256(replay.decode(ids)).hexdigest())
         return [
-            key_values,
             pa.array(counts, pa.int64()),
             pa.array(shown, pa.string()),
             pa.array(decoded, pa.string()),
         ]
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _encoded(docs, ranks, pattern, key, text, rows, columns)
+    return _encoded(docs, ranks, pattern, text, (key,), rows, columns)
 
 
 def _encoded(
     docs: DataFrame,
     ranks: str,
     pattern: str,
-    key: str,
     text: str,
-    rows: Callable[[MergeReplay, pa.Array, list[bytes]], list[pa.Array]],
+    keep: tuple[str, ...],
+    rows: Callable[[MergeReplay, list[bytes]], list[pa.Array]],
     columns: str,
 ) -> DataFrame:
+    on_workers(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(ranks)
     name = ranks.rstrip("/").rpartition("/")[2]
+    picked = docs.select(*dict.fromkeys([*keep, text]))
+    result = StructType([*picked.select(*keep).schema, *StructType.fromDDL(columns)])
+    schema = to_arrow_schema(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _replay(name, pattern)
         for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
-                encoded = list(replay.encode([x or "" for x in part["text"].to_pylist()]))
-                yield pa.RecordBatch.from_arrays(rows(replay, part["key"], encoded), schema=schema)
+            for part in slices(batch, text, BLOCK_BYTES):
+                encoded = list(replay.encode([x or "" for x in part[text].to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[k] for k in keep), *rows(replay, encoded)], schema=schema
+                )
 
-    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = picked.schema["key"].dataType
-    result = StructType([StructField(key, kind), *StructType.fromDDL(columns)])
-    schema = to_arrow_schema(result)
     return picked.mapInArrow(run, result)

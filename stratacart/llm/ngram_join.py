@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import slices, stored
+from stratacart.llm.common import on_workers, slices, stored
 from stratacart.llm.components import components
 from stratacart.llm.shingles import shingle_sets
 
@@ -202,6 +202,7 @@ def _fits(percent: int) -> str:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id of its group) of each row."""
+    on_workers(docs.sparkSession)
     own = stored(prefixes(docs, width, percent), "prefixes")
     nodes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("node"),

@@ -63,7 +63,7 @@ LEXICON = {
     "place": ["in", "at", "from", "im", "auf", "sur", "en"],
     "time": ["was", "when", "wird", "est", "era"],
 }
-MIX = {"source_power": 0.7, "lang_power": 0.7, "topic_power": 0.7}
+MIX = {"source_power": 0.7, "lang_power": 0.9, "topic_power": 0.9}
 
 
 def _counted(word: str) -> str:
@@ -97,8 +97,8 @@ def _mixing_sql() -> str:
     ), shares AS (
         SELECT source, lang, topic, n,
                pow(s, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY source)) AS s,
-               pow(l, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY lang)) AS l,
-               pow(t, 0.7) / (SELECT sum(pow(x, 0.7)) FROM (SELECT sum(n) AS x FROM cells GROUP BY topic)) AS t
+               pow(l, 0.9) / (SELECT sum(pow(x, 0.9)) FROM (SELECT sum(n) AS x FROM cells GROUP BY lang)) AS l,
+               pow(t, 0.9) / (SELECT sum(pow(x, 0.9)) FROM (SELECT sum(n) AS x FROM cells GROUP BY topic)) AS t
         FROM totals
     ), raked AS (
         SELECT 0 AS step, *, n AS w FROM shares

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import stored
+from stratacart.llm.common import on_workers, stored
 from stratacart.llm.components import components
 
 #: Dimensions of a block, and those of them that the grid covers.
@@ -312,6 +312,7 @@ def near_vectors(
     vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """Key, n_links, component_id (the smallest key of the group) and kept of each row."""
+    on_workers(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     rows = rows.withColumn("linkable", F.expr(f"id IS NOT NULL AND {_usable('vector')}"))
     nodes = stored(

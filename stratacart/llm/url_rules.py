@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import lower_ascii
+from stratacart.llm.common import lower_ascii, on_workers
 from stratacart.sources.files import write_bytes
 from stratacart.sources.scratch import scratch_path
 
@@ -155,6 +155,7 @@ def judge(
     pages: DataFrame, rules: Iterable[Rule], key: str = "page_id", url: str = "url"
 ) -> DataFrame:
     """Key, host, path, rule and verdict of each row."""
+    on_workers(pages.sparkSession)
     name = ship(pages.sparkSession, pack(rules))
     host, path = url_parts(F.col(url))
 
