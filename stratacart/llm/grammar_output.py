@@ -37,15 +37,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratacart.llm.common import part_of, quantiles, shuffle_partitions, slices
+from stratacart.llm.common import on_workers, part_of, quantiles, shuffle_partitions, slices
 from stratacart.sources.scratch import scratch_path
 
 #: A shard is closed once it has this many ids; a longer document is a shard by itself.
 SHARD_IDS = 1 << 20
 #: A pair is replaced while it occurs at least so often in its shard.
 MIN_COUNT = 128
-BLOCK_BYTES = 4 << 20
-REMEMBERED = 600_000
+#: A round of replacements goes on to another if it shortens the sequence by this part.
+MIN_GAIN = 0.002
+BLOCK_BYTES = 1 << 20
+#: Pieces in the younger of the two dictionaries that a Python worker remembers.
+REMEMBERED = 250_000
 #: Unknown pieces that the library gets as one text.
 JOINED = 256
 STEP = 256
@@ -72,7 +75,9 @@ class WordEncoder:
         self.marks = {mark: self._plain([mark.decode()])[0] for mark in (b",", b".")}
         #: A piece that parts others when many are encoded as one text.
         (self.bar,) = np.frombuffer(self._plain(["|"])[0], "<u2").tolist()
+        #: Pieces met lately, and those before; what is met again moves to the former.
         self.pieces: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -97,21 +102,23 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 16-bit ids of each text, without special tokens."""
-        pieces = self.pieces
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.earlier, self.pieces = self.pieces, {}
+        pieces, earlier = self.pieces, self.earlier
         parted = []
         for text in texts:
             data = text.encode()
             parted.append((data if b"<|" in data else data.lower()).split())
         unknown = set().union(*parted).difference(pieces)
         marked = {x for x in unknown if x[-1:] in self.marks and x[:-1].isalnum()}
-        bodies = {x[:-1] for x in marked}.difference(pieces)
-        self._learn(sorted(unknown.difference(marked) | bodies))
+        unknown = unknown.difference(marked).union(x[:-1] for x in marked).difference(pieces)
+        again = unknown.intersection(earlier)
+        pieces.update((x, earlier[x]) for x in again)
+        self._learn(sorted(unknown.difference(again)))
         for x in marked:
             pieces[x] = pieces[x[:-1]] + self.marks[x[-1:]]
         for parts in parted:
-            yield b"".join([pieces[x] for x in parts])
+            yield b"".join(map(pieces.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
@@ -125,8 +132,10 @@ def pair_grammar(
     """Re-Pair: (sequence, rules, lengths) for ids below ``base``.
 
     Each round takes the frequent pairs from the most frequent down and skips a pair whose
-    first symbol ends, or whose last symbol begins, a pair taken in this round. Such pairs
-    cannot overlap, so that a round replaces them all at once.
+    first symbol ends, or whose last symbol begins, a pair taken in this round. Pairs taken
+    overlap in runs of one symbol alone, where every other one is replaced, so a round replaces
+    them all at once. Rounds end when no pair is frequent or one shortens the sequence by less
+    than a part in ``1 / MIN_GAIN``.
     """
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
@@ -151,13 +160,10 @@ def pair_grammar(
         lasts: set[int] = set()
         for value in values.tolist():
             a, b = value >> 32, value & 0xFFFFFFFF
-            if a not in lasts and b not in firsts and a != b:
+            if a not in lasts and b not in firsts and (a != b or a not in firsts):
                 firsts.add(a)
                 lasts.add(b)
                 taken.append(value)
-            elif a == b and not taken:  # a run of one symbol goes alone
-                taken.append(value)
-                break
         chosen = np.array(sorted(taken), dtype=np.int64)
         dense[:] = False
         dense[(chosen * _MIX).view(np.uint64) >> np.uint64(64 - _BIN_BITS)] = True
@@ -166,15 +172,17 @@ def pair_grammar(
         place[place == len(chosen)] = 0
         same = chosen[place] == pairs[hits]
         hits, place = hits[same], place[same]
-        if len(chosen) == 1 and (chosen[0] >> 32) == (chosen[0] & 0xFFFFFFFF):
-            run = np.cumsum(np.concatenate(([True], np.diff(hits) != 1)))
-            first = hits[np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1))]
-            even = (hits - first[run - 1]) % 2 == 0
-            hits, place = hits[even], place[even]
+        new_run = np.ones(len(hits), dtype=bool)
+        new_run[1:] = np.diff(hits) != 1
+        first = hits[new_run][np.cumsum(new_run) - 1]
+        even = (hits - first) % 2 == 0
+        hits, place = hits[even], place[even]
         sequence[hits] = base + n_rules + place
         sequence = np.delete(sequence, hits + 1)
         rules.append(chosen)
         n_rules += len(chosen)
+        if len(hits) < MIN_GAIN * len(sequence):
+            break
     flat = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
     pairs = np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1).astype(np.int64)
     lengths = np.ones(base + n_rules, dtype=np.int64)
@@ -273,6 +281,7 @@ def write_shards(
     Ids are dealt by ranges of the key, two bytes each, so that texts are not shuffled.
     """
     spark = docs.sparkSession
+    on_workers(spark)
     spark.sparkContext.addFile(tokenizer)
     name = tokenizer.rstrip("/").rpartition("/")[2]
     base = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
@@ -365,6 +374,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 
     The shards' totals, a row each, are summed in order in one task; documents are not.
     """
+    on_workers(spark)
     shards = spark.read.parquet(path)
     totals = shards.select("part", "shard", "n_ids")
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)

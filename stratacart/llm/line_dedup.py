@@ -20,7 +20,7 @@ Results per row:
 * rows that share a doc_id are one document: a key they share alone stays in all of them; the
   bitmap is per row of distinct (doc_id, text);
 * a null doc_id comes after all others; rows without one are one document;
-* an empty table gives an empty table; other columns are not looked at.
+* an empty table gives an empty table; other columns are passed on.
 """
 
 from __future__ import annotations
@@ -66,10 +66,12 @@ def _hot_keys(lines: DataFrame) -> DataFrame:
     parts = lines.groupBy(F.expr(f"spark_partition_id() % {MERGERS}").alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(hash, {TRACKED})").alias("sketch")
     )
-    return parts.select(
-        F.expr(
-            f"explode(approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {HOT_KEYS}))"
-        ).alias("top")
+    # Grouped by a constant, since the functions do not take the sketch of no rows.
+    merged = parts.groupBy(F.lit("all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")
+    )
+    return merged.select(
+        F.explode(F.expr(f"approx_top_k_estimate(sketch, {HOT_KEYS})")).alias("top")
     ).select(F.col("top.item").alias("hash"))
 
 
@@ -117,9 +119,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """The columns of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (all names
-    that ``docs`` must not have)."""
-    mine = F.struct(*[docs[c] for c in docs.columns]).alias("mine")
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``, which replace columns of
+    these names."""
+    added = ("kept_text", "n_lines", "n_dropped")
+    mine = F.struct(*[docs[c] for c in docs.columns if c not in added]).alias("mine")
     keyed = docs.select(mine, F.xxhash64(docs["text"]).alias("row"))
     maps = keep_bitmaps(docs.select("doc_id", "text"), min_chars)
     joined = (

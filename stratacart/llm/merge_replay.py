@@ -79,7 +79,7 @@ class MergeReplay:
         places = places[np.argsort(joined[places], kind="stable")]
         index: list[list[int] | None] = [None] * (self.top + 1)
         present, starts = np.unique(joined[places], return_index=True)
-        stops = [*starts[1:].tolist(), len(places)]
+        stops = [*starts[1:].tolist(), len(places)][: len(starts)]
         flat = places.tolist()
         for rank, start, stop in zip(present.tolist(), starts.tolist(), stops, strict=True):
             index[rank] = flat[start:stop]

@@ -19,7 +19,7 @@ Results per row:
 * a null or empty text has no tokens; a source without any token is never kept;
 * shares to the power 0 ask for equal shares, 1 for the corpus's own;
 * repeated ids are drawn together; an empty table gives an empty table;
-* the columns of the input stay, and must not have the names of those added.
+* the columns of the input stay; those with the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -194,19 +194,29 @@ def mixed(
     text: str = "text",
 ) -> DataFrame:
     """``docs`` with topic, n_tokens, probability and kept."""
+    added = ("topic", "n_tokens", "probability", "kept")
+    mine = F.struct(*[docs[c] for c in docs.columns if c not in added])
     marked = docs.select(
-        "*",
-        topic_of(F.col(text), lexicon).alias("topic"),
-        F.coalesce(token_count(F.col(text)), F.lit(0)).alias("n_tokens"),
+        mine.alias("mine"),
+        topic_of(docs[text], lexicon).alias("topic"),
+        F.coalesce(token_count(docs[text]), F.lit(0)).alias("n_tokens"),
     )
-    cells = marked.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"))
+    cells = marked.groupBy("mine.source", "mine.lang", "topic").agg(F.sum("n_tokens").alias("n"))
     weights = raked_weights(cells, source_power, lang_power, topic_power).select(
         F.struct("source", "lang", "topic").alias("cell"), "probability"
     )
     # No hint: a row per cell, which Spark broadcasts if it is small and else splits hot keys.
     joined = marked.join(
         weights,
-        F.expr("source <=> cell.source AND lang <=> cell.lang AND topic <=> cell.topic"),
+        F.expr(
+            "mine.source <=> cell.source AND mine.lang <=> cell.lang AND topic <=> cell.topic"
+        ),
         "left",
-    ).drop("cell")
-    return joined.withColumn("kept", draw(F.col(key), seed) < F.col("probability"))
+    )
+    return joined.select(
+        "mine.*",
+        "topic",
+        "n_tokens",
+        "probability",
+        (draw(F.col(f"mine.{key}"), seed) < F.col("probability")).alias("kept"),
+    )

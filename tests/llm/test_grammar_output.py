@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from stratacart.llm import grammar_output
+from stratacart.llm.grammar_output import (
+    STEP,
+    WordEncoder,
+    encode_to_files,
+    expand,
+    pair_grammar,
+    read_range,
+)
+from tokenizers import Tokenizer
+
+FILE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(FILE)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_grammar_expands_to_the_ids(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, rng.integers(1, 6), rng.integers(0, 3000)).astype("<u4")
+    sequence, rules, lengths = pair_grammar(ids, 6, 2)
+    assert (expand(sequence, 6, rules) == ids).all()
+    for i, size in enumerate(lengths):
+        assert len(expand(np.array([6 + i]), 6, rules)) == size
+    sizes = np.where(sequence < 6, 1, lengths[np.maximum(sequence - 6, 0)] if len(lengths) else 1)
+    steps = np.concatenate(([0], np.cumsum(sizes)))[: len(sequence) : STEP]
+    for _ in range(20 if len(ids) else 0):
+        a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
+        if a < b:
+            got = read_range(a, b, sequence, steps, 6, rules, lengths)
+            assert (got == ids[a:b]).all()
+
+
+def test_repetition_shrinks():
+    ids = np.tile(np.arange(8, dtype="<u4"), 4096)
+    assert len(pair_grammar(ids, 8)[0]) < len(ids) / 50
+
+
+def test_pieces_equal_whole_texts(library):
+    rng = random.Random(3)
+    texts = [
+        "".join(rng.choice(["the ", "Cat,", ". ", "\n", "É", "é", "|", " | ", "ß", "<|endoftext|>",
+                            "<|EndOfText|>", "12.5", "it's", "　", "\x1c", chr(rng.randrange(1, 0x3000))])
+                for _ in range(rng.randrange(30)))
+        for _ in range(800)
+    ]
+    encoder = WordEncoder(FILE)
+    for text, packed in zip(texts, encoder.encode(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, "<u2").tolist() == expected, repr(text)
+
+
+def test_rows_in_order(spark, library, monkeypatch):
+    monkeypatch.setattr(grammar_output, "SHARD_IDS", 200)
+    texts = ["one two", None, "", "x " * 5000, "one two"]
+    rows = [(7 * i - 20, t, "k") for i, t in enumerate(texts * 8)]
+    rows += [(None, "last", "k"), (999, "one two", "k"), (999, "one two", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(3)
+    found = sorted(encode_to_files(docs, FILE).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(
+        (r[0] for r in rows), key=lambda i: (i is None, i or 0)
+    )
+    texts_of = {i: t for i, t, _ in rows}
+    start = 0
+    for r in found:
+        ids = [*library.encode(texts_of[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        crc = zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc)
+        start += len(ids)
+    assert encode_to_files(docs.limit(0), FILE).collect() == []

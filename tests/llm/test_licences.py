@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+import re
+
+from stratacart.llm.licences import NOTICES, anchors, bigrams_of, scan, size_bounds
+
+
+def brute(text: str | None, templates: dict[str, str], percent: int) -> tuple:
+    """Best (licence, dice) over all passages and all templates, and the passages that match."""
+    text = text or ""
+    cut = re.sub(r"([.!?])[ \t]+", r"\1\n", text).split("\n")
+    cut += [x for x in text.split("\n") if re.search(r"[.!?][ \t]", x)]
+    best, hits = (None, None), 0
+    for passage in cut:
+        own = set(bigrams_of(passage))
+        scores = []
+        for name, body in templates.items():
+            other = set(bigrams_of(body))
+            if own and 200 * len(own & other) >= percent * (len(own) + len(other)):
+                scores.append((-2.0 * len(own & other) / (len(own) + len(other)), name))
+        if scores:
+            hits += 1
+            dice, name = min(scores)
+            if best[1] is None or (dice, name) < (-best[1], best[0]):
+                best = (name, -dice)
+    return *best, hits
+
+
+def corpus() -> list[str | None]:
+    rng = random.Random(2)
+    bodies = list(NOTICES.values())
+    texts: list[str | None] = [None, "", " ", "license", "word " * 30_000, *bodies]
+    for _ in range(200):
+        words = rng.choice(bodies).split()
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], ["extra", words[i]], [words[i].upper()]])
+        lines = [" ".join(words), "Some other line. And more of it.", "Licensed to nobody"]
+        rng.shuffle(lines)
+        texts.append(rng.choice(["\n", " ", ".  "]).join(lines))
+    return texts
+
+
+def test_equals_all_templates(spark):
+    texts = corpus()
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[8], 1), (8, texts[8], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits int")
+    for percent in (80, 60):
+        found = sorted(str(tuple(r)) for r in scan(docs, NOTICES, percent).collect())
+        assert found == sorted(str((i, *brute(t, NOTICES, percent))) for i, t, _ in rows)
+    assert scan(docs.limit(0)).collect() == []
+
+
+def test_bounds_lose_nothing():
+    rng = random.Random(5)
+    for percent in (60, 80, 95):
+        for body in NOTICES.values():
+            own = bigrams_of(body)
+            low, high = size_bounds(len(own), percent)
+            words = anchors(body, percent)
+            for _ in range(200):
+                kept = set(rng.sample(own, rng.randrange(len(own) + 1)))
+                other = kept | {f"q{i} q{i}" for i in range(rng.randrange(6))}
+                if 200 * len(kept) >= percent * (len(own) + len(other)) and other:
+                    assert low <= len(other) <= high
+                    assert any(w in " ".join(other) for w in words)
+
+
+def test_one_projection(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan

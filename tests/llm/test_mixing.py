@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+from stratacart.llm.mixing import draw, mixed, raked_weights, topic_of
+
+LEXICON = {"a": ["x", "y"], "b": ["z"]}
+POWERS = {"source_power": 0.5, "lang_power": 0.8, "topic_power": 0.0}
+
+
+def rows_of(n: int) -> list[tuple]:
+    rng = random.Random(3)
+    return [
+        (
+            i,
+            " ".join(rng.choice(["x", "z", "other", "words"]) for _ in range(rng.randrange(1, 40))),
+            rng.choice(["s0"] * 6 + ["s1", "s2", None]),
+            rng.choice(["en", "en", "de", None]),
+            "clash",
+        )
+        for i in range(n)
+    ]
+
+
+def table(spark, rows):
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, source string, lang string, probability string"
+    )
+
+
+def test_margins_are_reached(spark):
+    docs = table(spark, rows_of(600))
+    found = mixed(docs, LEXICON, **POWERS).collect()
+    for name, power in (("source", 0.5), ("lang", 0.8), ("topic", 0.0)):
+        own: dict = {}
+        raked: dict = {}
+        for r in found:
+            own[r[name]] = own.get(r[name], 0) + r.n_tokens
+            raked[r[name]] = raked.get(r[name], 0) + r.n_tokens * r.probability
+        want = {k: v**power for k, v in own.items()}
+        for k in own:
+            share = want[k] / sum(want.values())
+            assert abs(raked[k] / sum(raked.values()) - share) < 1e-6, (name, k)
+    assert max(r.probability for r in found) == 1.0
+    expected = sum(r.probability for r in found)
+    assert abs(sum(r.kept for r in found) - expected) < 4 * np.sqrt(expected)
+
+
+def test_equals_arrays(spark):
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 1000, (4, 3, 2)).astype(float)
+    cells = [
+        (f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k]))
+        for i in range(4) for j in range(3) for k in range(2)
+    ]
+    got = {
+        (r.source, r.lang, r.topic): r.probability
+        for r in raked_weights(
+            spark.createDataFrame(cells, "source string, lang string, topic string, n long"),
+            0.5, 0.7, 0.2, rounds=6,
+        ).collect()
+    }
+    shares = []
+    for axis, power in ((0, 0.5), (1, 0.7), (2, 0.2)):
+        total = n.sum(axis=tuple(x for x in range(3) if x != axis)) ** power
+        shares.append(total / total.sum())
+    w = n.copy()
+    for step in range(7):
+        for axis in range(3) if step < 6 else (0,):
+            other = tuple(x for x in range(3) if x != axis)
+            shape = [-1 if x == axis else 1 for x in range(3)]
+            w *= (shares[axis] / w.sum(axis=other)).reshape(shape)
+    p = w / n / (w / n).max()
+    for i in range(4):
+        for j in range(3):
+            for k in range(2):
+                assert abs(got[f"s{i}", f"l{j}", f"t{k}"] - p[i, j, k]) < 1e-9
+
+
+def test_edges(spark):
+    rows = [
+        (1, None, "s", "en", ""), (2, "", "s", "en", ""), (3, "x y z", None, None, ""),
+        (3, "x y z", None, None, ""), (None, "z", "s", "de", ""), (4, "w " * 50_000, "s", "en", ""),
+        (5, "", "nothing", "en", ""),
+    ]
+    found = mixed(table(spark, rows), LEXICON, **POWERS).collect()
+    assert len(found) == len(rows)
+    by = {(r.doc_id, r.source): r for r in found}
+    assert by[1, "s"].n_tokens == by[2, "s"].n_tokens == 0
+    assert by[5, "nothing"].probability == 0 and not by[5, "nothing"].kept
+    assert by[3, None].topic == "a" and by[4, "s"].topic == "other"
+    twice = [r.kept for r in found if r.doc_id == 3]
+    assert twice[0] == twice[1]
+    assert mixed(table(spark, rows).limit(0), LEXICON, **POWERS).collect() == []
+
+
+def test_topics_and_draws(spark):
+    texts = ["x", " x ", "xx", "z z z x y", "x  x", "", "é x"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        topic_of(F.col("text"), LEXICON)
+    )
+    assert [r[0] for r in found.collect()] == ["a", "a", "other", "a", "a", "other", "a"]
+    draws = [r[0] for r in spark.range(4000).select(draw(F.col("id"), 1)).collect()]
+    assert 0 <= min(draws) and max(draws) < 1 and abs(np.mean(draws) - 0.5) < 0.03
+
+
+def test_no_python_in_the_plan(spark):
+    plan = mixed(table(spark, rows_of(20)), LEXICON, **POWERS)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
