@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import date
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,21 +55,17 @@ def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
 
 
 def money(total: Column) -> Column:
-    """A sum of doubles, rounded so that the order of adding does not show."""
-    return F.when(F.abs(total) < 1e10, F.round(total, 2)).otherwise(F.round(total, -2))
+    """A sum of amounts in cents, rounded to these, so that the order of adding does not show."""
+    return F.round(total, 2)
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round what depends on the order of adding. An average order that agrees with its
-    rounded total is given as computed from that; a wrong one stays as it is."""
+    """Round what depends on the order of adding: sums to cents, ratios to six decimals and
+    averages of sums to twelve significant digits."""
     df = df.withColumns({c: money(F.col(c)) for c in df.columns if c in MONEY})
     df = df.withColumns({c: F.round(c, 6) for c in df.columns if c in RATIOS})
-    if "avg_order_value" not in df.columns:
-        return df
-    total = "total_spent" if "total_spent" in df.columns else "total_revenue"
-    given, again = F.col("avg_order_value"), safe_ratio(F.col(total), F.col("total_orders"))
-    agrees = F.abs(given - again) <= 1e-8 * F.abs(again)
-    return df.withColumn("avg_order_value", F.when(agrees, again).otherwise(given))
+    digits = F.format_string("%.11e", "avg_order_value").cast("double")
+    return df.withColumns({c: digits for c in df.columns if c == "avg_order_value"})
 
 
 def typed(spark: SparkSession, sf_dir: str, name: str, dirty: bool = True) -> DataFrame:
@@ -205,9 +201,13 @@ _PAGES: dict[str, tuple[str, bool, dict, str]] = {
 }
 
 
+def _page(df: DataFrame, table: str, page: int = 1, page_size: int = 100, **how) -> DataFrame:
+    return paging.gold_page(paging.prepare_pages(df, table, **how), page, page_size)
+
+
 def _register_pages() -> None:
     for name, (table, dirty, request, clause) in _PAGES.items():
-        QUERIES[name] = lambda spark, sf_dir, t=table, d=dirty, r=request: paging.gold_page(
+        QUERIES[name] = lambda spark, sf_dir, t=table, d=dirty, r=request: _page(
             gold_table(spark, sf_dir, d, t), t, **r
         )
         SQL[name] = text.with_gold(dirty, f"SELECT * FROM {table} ORDER BY {clause}")
@@ -216,25 +216,68 @@ def _register_pages() -> None:
 _register_pages()
 
 
+_DEEP = {"order_by": "first_order_date", "order_dir": "asc"}
+
+
+@query(
+    text.with_gold(
+        False,
+        "SELECT * FROM dm_customer_metrics "
+        "ORDER BY first_order_date ASC NULLS LAST, customer_id LIMIT 600 OFFSET 200",
+    )
+)
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages that lie in several of the sorted parts."""
+    df = gold_table(spark, sf_dir, False, "dm_customer_metrics")
+    pages = paging.prepare_pages(df, "dm_customer_metrics", **_DEEP, parts=8)
+    return reduce(DataFrame.union, [paging.gold_page(pages, n, 200) for n in (2, 3, 4)])
+
+
+def _info_sql(name: str, page: int, size: int, sort: str, direction: str) -> str:
+    return (
+        f"SELECT '{name}' AS \"table\", {page} AS page, {size} AS page_size, "
+        f"count(*) AS total_rows, (count(*) + {size - 1}) // {size} AS total_pages, "
+        f"'{sort}' AS order_by, '{direction}' AS order_dir, "
+        f"'{_COLUMNS[name]}' AS columns FROM {name}"
+    )
+
+
+# The columns of the datamarts in their published order.
+_COLUMNS = {
+    "dm_sales_daily": "date,total_revenue,total_orders,avg_order_value",
+    "dm_sales_by_product": (
+        "product_id,product_name,category,brand,total_quantity_sold,total_revenue"
+    ),
+    "dm_customer_metrics": (
+        "customer_id,country,total_orders,total_spent,first_order_date,last_order_date,"
+        "avg_order_value"
+    ),
+    "dm_product_reviews_impact": "product_id,product_name,avg_rating,nb_reviews,total_revenue",
+    "dm_stock_performance": (
+        "product_id,product_name,category,stock_quantity,total_quantity_sold,"
+        "stock_turnover_ratio"
+    ),
+}
+_INFO_REQUEST = {"page": 3, "page_size": 7, "order_by": "country", "order_dir": "asc"}
+
+
 @query(
     text.with_gold(
         False,
         " UNION ALL ".join(
-            f"SELECT '{name}' AS \"table\", count(*) AS total_rows, "
-            f"(count(*) + 99) // 100 AS total_pages, '{mart.default_sort}' AS order_by "
-            f"FROM {name}"
-            for name, mart in GOLD.items()
+            [_info_sql(name, 1, 100, mart.default_sort, "desc") for name, mart in GOLD.items()]
+            + [_info_sql("dm_customer_metrics", 3, 7, "country", "asc")]
         ),
     )
 )
 def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the default request of each datamart and for another one; one lazy plan."""
     tables = Silver(spark, sf_dir, False)
     infos = [paging.page_info(make(tables), name) for name, make in DATAMARTS.items()]
-    names = ("table", "total_rows", "total_pages", "order_by")
-    return spark.createDataFrame(
-        [tuple(info[n] for n in names) for info in infos],
-        "table string, total_rows bigint, total_pages bigint, order_by string",
-    )
+    customers = DATAMARTS["dm_customer_metrics"](tables)
+    infos.append(paging.page_info(customers, "dm_customer_metrics", **_INFO_REQUEST))
+    together = reduce(DataFrame.unionByName, infos)
+    return together.withColumn("columns", F.array_join("columns", ","))
 
 
 # Casts and scalar functions.
@@ -541,9 +584,38 @@ def fill_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(text.with_bronze(True, "SELECT * FROM b_orders"))
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders whose files have their columns in opposite orders."""
     path = scratch_path(spark, "csv-orders")
-    adapter.orders(spark, sf_dir, True).write.option("header", True).csv(path)
-    return cast_fields(read_csv(spark, path, ["order_id"]), BRONZE["orders"], KEY_TYPE)
+    orders = adapter.orders(spark, sf_dir, True)
+    # Rows are told apart by their text alone, so that both folders together have each once.
+    first = F.xxhash64(*orders.columns) % 2 == 0
+    orders.where(first).write.option("header", True).csv(f"{path}/a")
+    turned = orders.where(~first).select(*reversed(orders.columns))
+    turned.write.option("header", True).csv(f"{path}/b")
+    both = read_csv(spark, [f"{path}/a", f"{path}/b"], ["order_id"])
+    return cast_fields(both, BRONZE["orders"], KEY_TYPE)
+
+
+_WIDE = 3_000_000_000
+
+
+@query(
+    text.with_bronze(
+        False,
+        f"SELECT * REPLACE (order_id + {_WIDE} AS order_id, customer_id + {_WIDE} AS customer_id) "
+        "FROM b_orders",
+    )
+)
+def wide_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond 2**31 as text, through the silver table with the default type of ids."""
+
+    def raised(df: DataFrame, *names: str) -> DataFrame:
+        wide = {n: (F.col(n).cast("bigint") + F.lit(_WIDE)).cast("string") for n in names}
+        return df.withColumns(wide)
+
+    customers = silver.dim_customers(raised(adapter.customers(spark, sf_dir), "customer_id"))
+    orders = raised(adapter.orders(spark, sf_dir), "order_id", "customer_id")
+    return silver.fact_orders(orders, customers)
 
 
 @query(text.with_bronze(True, "SELECT * FROM b_customers"))
@@ -569,6 +641,8 @@ def _two_days_of_orders(spark: SparkSession, sf_dir: str) -> str:
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
     lake.write_silver(orders, root, "fact_orders", DAY_ONE)
     lake.write_silver(_plus_one(orders), root, "fact_orders", DAY_TWO)
+    for day in (DAY_ONE, DAY_TWO):
+        lake.complete_day(spark, root, day, ["fact_orders"])
     return root
 
 
@@ -677,7 +751,17 @@ _TOTALS = {
     )
 )
 def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV files to bronze to silver to catalog to datamarts, each job run twice."""
+    """Rows and a total of each table that the jobs stored."""
+    tables = {name: _job_table(spark, sf_dir, name) for name in [*SILVER, *GOLD]}
+    totals = {name: F.col(column).cast("double") for name, column in _TOTALS.items()}
+    return _summary(tables, totals)
+
+
+@lru_cache(maxsize=4)
+def _jobs_done(application: str, sf_dir: str) -> tuple[str, str]:
+    """CSV files to bronze to silver to catalog to datamarts, each job run twice, once in an
+    application: the folder and the database that they filled."""
+    spark = SparkSession.active()
     root, database = scratch_path(spark, "pipeline"), f"stratacart_{uuid4().hex}"
     catalog.create_database(spark, database, f"{root}/warehouse")
     sources = {}
@@ -690,10 +774,24 @@ def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         jobs.run_silver(spark, f"{root}/bronze", f"{root}/silver", DAY_ONE, KEY_TYPE)
         catalog.register_silver(spark, database, f"{root}/silver", KEY_TYPE)
         jobs.run_gold(spark, jobs.parquet_sink(f"{root}/gold"), database=database)
-    tables = {name: catalog.read_table(spark, database, name, DAY_ONE) for name in SILVER}
-    tables |= {name: rounded(spark.read.parquet(f"{root}/gold/{name}")) for name in GOLD}
-    totals = {name: F.col(column).cast("double") for name, column in _TOTALS.items()}
-    return _summary(tables, totals)
+    return root, database
+
+
+def _job_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    root, database = _jobs_done(spark.sparkContext.applicationId, sf_dir)
+    if name in SILVER:
+        return catalog.read_table(spark, database, name, DAY_ONE)
+    return rounded(jobs.read_gold(spark, f"{root}/gold", name))
+
+
+def _register_job_tables() -> None:
+    """All rows of each table that the jobs stored."""
+    for name in [*SILVER, *GOLD]:
+        QUERIES[f"job_{name}"] = lambda spark, sf_dir, n=name: _job_table(spark, sf_dir, n)
+        SQL[f"job_{name}"] = text.with_gold(True, f"SELECT * FROM {name}")
+
+
+_register_job_tables()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

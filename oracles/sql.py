@@ -144,13 +144,14 @@ dim_date AS (
 
 
 def money(total: str) -> str:
-    """A sum of doubles, rounded so that the order of adding does not show."""
-    return f"CASE WHEN abs({total}) < 1e10 THEN round({total}, 2) ELSE round({total}, -2) END"
+    """A sum of amounts in cents, rounded to these, so that the order of adding does not show."""
+    return f"round({total}, 2)"
 
 
 def average_order(total: str) -> str:
     orders = "count(DISTINCT order_id)"
-    return f"CASE WHEN {orders} > 0 THEN ({money(total)}) / {orders} ELSE 0.0 END"
+    average = f"CASE WHEN {orders} > 0 THEN {total} / {orders} ELSE 0.0 END"
+    return f"CAST(printf('%.11e', {average}) AS DOUBLE)"
 
 
 GOLD = f"""

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from stratacart.schemas import Fields, spark_type
 
-# What a numeric cast of a string ignores at either end.
+# What a cast of a string ignores at either end.
 _BLANKS = r"[\x00-\x20\x7f]*"
 
 # Whole numbers that fit their type whatever their digits.
@@ -16,6 +16,13 @@ _PLAIN = {"int": r"^[+-]?\d{1,9}\z", "bigint": r"^[+-]?\d{1,18}\z"}
 # Numbers whose decimals, if any, are cut off: up to 18 digits, and any number of them.
 _SHORT = rf"^{_BLANKS}([+-]?\d{{1,18}})(?:\.\d*)?{_BLANKS}\z"
 _LONG = rf"^{_BLANKS}([+-]?\d+)(?:\.\d*)?{_BLANKS}\z"
+# What a double may look like: decimal or hexadecimal digits, or a name in any case.
+_DOUBLE = (
+    rf"^{_BLANKS}[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[fFdD]?"
+    rf"|0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*[pP][+-]?\d+[fFdD]?|(?i:nan|inf(?:inity)?)){_BLANKS}\z"
+)
+# What a date may look like: a year, month and day as far as given, and a time behind them.
+_DATE = rf"(?s)^{_BLANKS}[+-]?\d{{4,7}}(?:-\d{{1,2}}(?:-\d{{1,2}}(?:[ T].*)?)?)?{_BLANKS}\z"
 # A decimal point without digits before it counts as zero.
 _FRACTION = rf"^{_BLANKS}[+-]?\.\d*{_BLANKS}\z"
 
@@ -48,8 +55,9 @@ def to_bigint(text: Column) -> Column:
 
 
 def to_double(column: Column) -> Column:
-    """String to double. 'NaN' stays NaN, as in a plain cast."""
-    return column.try_cast("double")
+    """String to double. 'NaN' stays NaN, as in a plain cast; what cannot be a number is not
+    cast at all, since a failing cast is dear."""
+    return F.when(column.cast("string").rlike(_DOUBLE), column.try_cast("double"))
 
 
 def to_date_lenient(column: Column) -> Column:
@@ -57,7 +65,7 @@ def to_date_lenient(column: Column) -> Column:
     return F.try_to_date(column)
 
 
-def cast_fields(df: DataFrame, fields: Fields, key_type: str = "int") -> DataFrame:
+def cast_fields(df: DataFrame, fields: Fields, key_type: str = "bigint") -> DataFrame:
     """Select ``fields`` from ``df`` by name, each in its type.
 
     Strings go through the casts above. Sources that bring their own types (JDBC)
@@ -67,12 +75,14 @@ def cast_fields(df: DataFrame, fields: Fields, key_type: str = "int") -> DataFra
     for name, kind in fields:
         target = spark_type(kind, key_type)
         column = F.col(name)
+        text = isinstance(schema[name].dataType, StringType)
         if target == "date":
-            column = to_date_lenient(column)
+            looks_right = column.rlike(_DATE) if text else F.lit(True)
+            column = F.when(looks_right, to_date_lenient(column))
         elif target == "double":
-            column = to_double(column)
+            column = to_double(column) if text else column.try_cast("double")
         elif target in ("int", "bigint"):
-            if isinstance(schema[name].dataType, StringType):
+            if text:
                 column = to_int(column) if target == "int" else to_bigint(column)
             else:
                 column = column.try_cast(target)

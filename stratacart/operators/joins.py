@@ -30,7 +30,9 @@ def _join(
         return child.join(parent, key, how)
     if salt < 1:
         raise ValueError("salt must be at least 1")
-    spread = F.pmod(F.xxhash64(*child.columns), F.lit(salt)).cast("int")
+    # With one copy the hash decides nothing and is taken of the key alone.
+    hashed = [key] if salt == 1 else child.columns
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salt)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     return (
         child.withColumn(_SALT, spread)

@@ -7,24 +7,22 @@ chosen column come the table's key and then its other columns, so pages never ov
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratacart.schemas import GOLD
-from stratacart.sources.scratch import materialize
+from stratacart.sources.scratch import discard, materialize
 
 # Limits and defaults of a page request.
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 DIRECTIONS = ("asc", "desc")
 
-#: Up to this many rows a page is a top-k; further in, rows are numbered in parallel.
-TOP_K_ROWS = 100_000
-
 _POSITION = "__position"
-_PART = "__part"
-_SLOT = "__slot"
+_SLOT_BITS = 33
 
 
 class PageError(ValueError):
@@ -75,6 +73,13 @@ def stored_gold(spark: SparkSession, database: str, table: str) -> DataFrame:
     return spark.table(f"`{database}`.`{table}`")
 
 
+def check_page(page: int, page_size: int) -> None:
+    if page < 1:
+        raise PageError("page starts at 1")
+    if not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise PageError(f"page_size must be from 1 to {MAX_PAGE_SIZE}")
+
+
 def validate_page(
     df: DataFrame,
     table: str,
@@ -86,10 +91,7 @@ def validate_page(
     """Check a request against the datamart's columns; runs no Spark job."""
     if table not in GOLD:
         raise UnknownTable(f"no datamart is called {table}")
-    if page < 1:
-        raise PageError("page starts at 1")
-    if not 1 <= page_size <= MAX_PAGE_SIZE:
-        raise PageError(f"page_size must be from 1 to {MAX_PAGE_SIZE}")
+    check_page(page, page_size)
     if order_dir not in DIRECTIONS:
         raise PageError(f"order_dir must be one of {DIRECTIONS}")
     sort = order_by or GOLD[table].default_sort
@@ -105,50 +107,85 @@ def _total_order(df: DataFrame, request: PageRequest) -> list[Column]:
     return [first, *(F.col(n).asc_nulls_last() for n in names if n != request.order_by)]
 
 
-def gold_page(
+@dataclass(frozen=True)
+class PreparedPages:
+    """A datamart stored in the order of its pages, until ``close`` deletes the folder.
+
+    ``__position`` has the sort task in its upper bits and the row within the task in the
+    lower 33. ``parts`` has a task, the rows before it and its own rows, for each task that
+    has any: as many entries as sort tasks, kept by the driver. A page is a few ranges of the
+    position, so Parquet statistics leave unread what lies outside, and a page costs the same
+    wherever it is.
+    """
+
+    spark: SparkSession
+    request: PageRequest
+    columns: tuple[str, ...]
+    schema: StructType
+    folder: str
+    parts: tuple[tuple[int, int, int], ...]
+
+    @property
+    def total_rows(self) -> int:
+        return sum(rows for _, _, rows in self.parts)
+
+    def __enter__(self) -> PreparedPages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        discard(self.spark, self.folder)
+
+
+def prepare_pages(
     df: DataFrame,
     table: str,
-    page: int = 1,
-    page_size: int = DEFAULT_PAGE_SIZE,
     order_by: str | None = None,
     order_dir: str = "desc",
-) -> DataFrame:
-    """One page of the datamart ``df``, sorted."""
-    request = validate_page(df, table, page, page_size, order_by, order_dir)
+    root: str | None = None,
+    parts: int | None = None,
+) -> PreparedPages:
+    """Sort the datamart ``df`` in parallel, in as many tasks as Spark sees fit or in
+    ``parts``, and store it for reading page by page, below ``root`` or in the scratch folder.
+    Close the result when no page is read any more."""
+    request = validate_page(df, table, order_by=order_by, order_dir=order_dir)
     order = _total_order(df, request)
-    if request.offset + page_size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(request.offset).limit(page_size)
-    return _deep_page(df, order, request)
-
+    in_order = (
+        df.orderBy(*order)
+        if parts is None
+        else df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    )
+    numbered = in_order.withColumn(_POSITION, F.monotonically_increasing_id())
+    stored, folder = materialize(numbered, "sorted-pages", root)
+    counts = (
+        stored.groupBy(F.shiftright(_POSITION, _SLOT_BITS).alias("part"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .orderBy("part")
+        .collect()
+    )
+    before = accumulate((r["rows"] for r in counts), initial=0)
+    placed = tuple((r["part"], n, r["rows"]) for r, n in zip(counts, before, strict=False))
+    return PreparedPages(
+        df.sparkSession, request, tuple(df.columns), stored.schema, folder, placed
+    )
 
-def _deep_page(df: DataFrame, order: list[Column], request: PageRequest) -> DataFrame:
-    """A page far into the table, without carrying the rows before it through one task.
 
-    The table is range-sorted once in parallel and stored with its row positions: task
-    number in the upper bits, row number within the task in the lower 33. Row counts per
-    task then tell which tasks hold the page.
-    """
-    numbered = df.orderBy(*order).withColumn(_POSITION, F.monotonically_increasing_id())
-    stored, _ = materialize(numbered, "sorted-page")
-    part = F.shiftright(_POSITION, 33)
-    slot = F.col(_POSITION).bitwiseAND(F.lit((1 << 33) - 1))
-    counts = stored.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per sort task, so a single window over all of them is small.
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    end = request.offset + request.page_size
-    on_page = starts.where(
-        (F.col("start") < end) & (F.col("start") + F.col("rows") > request.offset)
-    ).select(_PART, "start")
-    # At most page_size parts overlap the page, so the broadcast is bounded.
-    row = F.col("start") + F.col(_SLOT)
-    return (
-        stored.withColumns({_PART: part, _SLOT: slot})
-        .join(F.broadcast(on_page), _PART)
-        .where((row >= request.offset) & (row < end))
-        .orderBy(*order)
-        .select(*df.columns)
-    )
+def gold_page(
+    pages: PreparedPages, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE
+) -> DataFrame:
+    """One page of a prepared datamart, sorted."""
+    check_page(page, page_size)
+    start, end = (page - 1) * page_size, page * page_size
+    stored = pages.spark.read.schema(pages.schema).parquet(pages.folder)
+    wanted = F.lit(False)
+    for part, before, rows in pages.parts:
+        low, high = max(start - before, 0), min(end - before, rows) - 1
+        if low <= high:
+            base = part << _SLOT_BITS
+            wanted |= F.col(_POSITION).between(base + low, base + high)
+    return stored.where(wanted).orderBy(_POSITION).select(*pages.columns)
 
 
 def page_info(
@@ -158,17 +195,17 @@ def page_info(
     page_size: int = DEFAULT_PAGE_SIZE,
     order_by: str | None = None,
     order_dir: str = "desc",
-) -> dict:
-    """What accompanies a page: row and page totals, the sort and the columns."""
+) -> DataFrame:
+    """What accompanies a page, in one row: row and page totals, the sort and the columns."""
     request = validate_page(df, table, page, page_size, order_by, order_dir)
-    total = df.count()
-    return {
-        "table": table,
-        "page": page,
-        "page_size": page_size,
-        "total_rows": total,
-        "total_pages": (total + page_size - 1) // page_size,
-        "order_by": request.order_by,
-        "order_dir": order_dir,
-        "columns": gold_columns(df),
-    }
+    total = F.count(F.lit(1))
+    return df.agg(total.alias("total_rows")).select(
+        F.lit(table).alias("table"),
+        F.lit(page).alias("page"),
+        F.lit(page_size).alias("page_size"),
+        "total_rows",
+        F.expr(f"(total_rows + {page_size - 1}) DIV {page_size}").alias("total_pages"),
+        F.lit(request.order_by).alias("order_by"),
+        F.lit(order_dir).alias("order_dir"),
+        F.array(*[F.lit(name) for name in gold_columns(df)]).alias("columns"),
+    )

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from datetime import date
+from datetime import UTC, date, datetime
 from functools import partial
 
 from pyspark import inheritable_thread_target
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratacart.operators.aggregates import product_sales
 from stratacart.plans import gold, silver
-from stratacart.schemas import BRONZE, GOLD_INPUTS, columns
+from stratacart.schemas import BRONZE, GOLD_INPUTS, SILVER, columns
 from stratacart.session import warn_unless_skew_is_split
-from stratacart.sources import catalog, lake
+from stratacart.sources import catalog, files, lake
 from stratacart.sources.landing import require_columns, write_jdbc
 from stratacart.sources.scratch import discard, materialize
 
@@ -65,12 +65,13 @@ def run_silver(
     bronze_root: str,
     silver_root: str,
     day: date,
-    key_type: str = "int",
+    key_type: str = "bigint",
     salt: int = 1,
 ) -> None:
     """Build the six silver tables of ``day``, replacing what that day had.
 
-    Every table is written once and read back by those that depend on it, so all agree
+    The day's record is taken back first and written last, so that a run that fails on the
+    way, the first or a later one, leaves no half-done day to be read as the latest. Every table is written once and read back by those that depend on it, so all agree
     on the same rows and nothing is computed twice.
     """
 
@@ -83,6 +84,7 @@ def run_silver(
 
     with _logged("silver"):
         warn_unless_skew_is_split(spark, salt)
+        lake.begin_day(spark, silver_root, day)
         customers, products = _side_by_side(
             spark,
             lambda: store(silver.dim_customers(raw("customers"), key_type), "dim_customers"),
@@ -108,15 +110,40 @@ def run_silver(
             ),
             lambda: store(silver.dim_date(orders), "dim_date"),
         )
+        lake.complete_day(spark, silver_root, day, list(SILVER), unique_ids=True)
 
 
-def parquet_sink(root: str) -> Sink:
-    """Store each datamart in a folder of its own."""
+class ParquetSink:
+    """Store each datamart in a folder of its own, a new one per run.
 
-    def write(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}")
+    Readers follow the file ``_current``, which ``commit`` points to the new run when all
+    datamarts are there, so they change at once and a failed run changes nothing. The run
+    before stays for those who still read it; older ones are deleted.
+    """
+
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+        self.run = f"run-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+
+    def __call__(self, df: DataFrame, table: str) -> None:
+        df.write.parquet(f"{self.root}/{self.run}/{table}")
+
+    def commit(self, spark: SparkSession) -> None:
+        files.write_bytes(spark, f"{self.root}/_current", self.run.encode())
+        runs = [n for n in files.child_folders(spark, self.root) if n.startswith("run-")]
+        for old in sorted(runs)[:-2]:
+            files.delete(spark, f"{self.root}/{old}")
+        self.run = f"run-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+
+
+def parquet_sink(root: str) -> ParquetSink:
+    return ParquetSink(root)
 
-    return write
+
+def read_gold(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A datamart of the last run that a ``ParquetSink`` committed."""
+    run = files.read_bytes(spark, f"{root.rstrip('/')}/_current").decode()
+    return spark.read.parquet(f"{root.rstrip('/')}/{run}/{table}")
 
 
 def table_sink(database: str) -> Sink:
@@ -129,10 +156,18 @@ def table_sink(database: str) -> Sink:
 
 
 def jdbc_sink(url: str, schema: str, **how) -> Sink:
-    """Store each datamart in a relational database; see ``jdbc_write_options``."""
+    """Store each datamart in a relational database; see ``jdbc_write_options``.
+
+    It is computed and stored first, in as many tasks as that takes: Spark's writer narrows
+    the frame it gets to the number of connections.
+    """
 
     def write(df: DataFrame, table: str) -> None:
-        write_jdbc(df, url, f"{schema}.{table}", **how)
+        stored, folder = materialize(df, f"jdbc-{table}")
+        try:
+            write_jdbc(stored, url, f"{schema}.{table}", **how)
+        finally:
+            discard(df.sparkSession, folder)
 
     return write
 
@@ -143,7 +178,7 @@ def read_gold_inputs(
     root: str | None = None,
     database: str | None = None,
     snapshot: lake.Snapshot = lake.LATEST,
-    key_type: str = "int",
+    key_type: str = "bigint",
 ) -> dict[str, DataFrame]:
     """The silver tables the datamarts need, all as of the same ingest date."""
     if (root is None) == (database is None):
@@ -185,26 +220,37 @@ def run_gold(
     root: str | None = None,
     database: str | None = None,
     snapshot: lake.Snapshot = lake.LATEST,
-    key_type: str = "int",
-    unique_ids: bool = False,
+    key_type: str = "bigint",
+    unique_ids: bool | None = None,
 ) -> None:
-    """Build the datamarts from silver folders or tables and hand each to ``sink``.
+    """Build the datamarts from silver folders or tables and hand each to ``sink``; one with
+    a ``commit`` publishes them when all are there.
 
     The items are read and aggregated by product once, for the three datamarts that need
-    it. Pass ``unique_ids`` when the snapshot is one date that ``run_silver`` wrote: its
-    order and review ids do not repeat, and counting them needs no extra shuffle.
+    it. Where no order or review id repeats, counting them needs no extra shuffle; by
+    default the day's record tells whether that is so.
     """
     with _logged("gold"):
+        if (root is None) == (database is None):
+            raise ValueError("give either the silver root folder or the database")
+        home = root or catalog.silver_root(spark, database, GOLD_INPUTS[0])
+        if snapshot == lake.LATEST:
+            snapshot = lake.latest_snapshot(spark, home)
         inputs = read_gold_inputs(
             spark, root=root, database=database, snapshot=snapshot, key_type=key_type
         )
         if unique_ids and snapshot == lake.ALL:
             raise ValueError("ids repeat across ingest dates: unique_ids needs one date")
+        if unique_ids is None:
+            record = None if snapshot == lake.ALL else lake.day_record(spark, home, snapshot)
+            unique_ids = record is not None and record.unique_ids
         sales, folder = materialize(
             product_sales(inputs["fact_order_items"]), "product-sales"
         )
         try:
             marts = datamarts(inputs, sales, unique_ids)
             _side_by_side(spark, *(partial(sink, df, table) for table, df in marts.items()))
+            if commit := getattr(sink, "commit", None):
+                commit(spark)
         finally:
             discard(spark, folder)

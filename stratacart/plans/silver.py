@@ -26,7 +26,7 @@ def _in_written_order(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns(SILVER[table]))
 
 
-def dim_customers(customers: DataFrame, key_type: str = "int") -> DataFrame:
+def dim_customers(customers: DataFrame, key_type: str = "bigint") -> DataFrame:
     return (
         customers.transform(cast_fields, BRONZE["customers"], key_type)
         .transform(require_key, "customer_id")
@@ -34,7 +34,7 @@ def dim_customers(customers: DataFrame, key_type: str = "int") -> DataFrame:
     )
 
 
-def dim_products(products: DataFrame, key_type: str = "int") -> DataFrame:
+def dim_products(products: DataFrame, key_type: str = "bigint") -> DataFrame:
     return (
         products.transform(cast_fields, BRONZE["products"], key_type)
         .transform(require_key, "product_id")
@@ -43,7 +43,7 @@ def dim_products(products: DataFrame, key_type: str = "int") -> DataFrame:
 
 
 def fact_orders(
-    orders: DataFrame, customers: DataFrame, key_type: str = "int", salt: int = 1
+    orders: DataFrame, customers: DataFrame, key_type: str = "bigint", salt: int = 1
 ) -> DataFrame:
     """Orders with a positive amount and a known customer; ``customers`` is dim_customers."""
     return (
@@ -59,7 +59,7 @@ def fact_order_items(
     items: DataFrame,
     orders: DataFrame,
     products: DataFrame,
-    key_type: str = "int",
+    key_type: str = "bigint",
     salt: int = 1,
 ) -> DataFrame:
     """Items of known orders and products, dated by their order; ``orders`` is fact_orders
@@ -83,7 +83,7 @@ def fact_reviews(
     reviews: DataFrame,
     products: DataFrame,
     customers: DataFrame,
-    key_type: str = "int",
+    key_type: str = "bigint",
     salt: int = 1,
 ) -> DataFrame:
     """Reviews rated 1 to 5 of known products by known customers."""

@@ -132,12 +132,12 @@ def columns(fields: Fields) -> list[str]:
     return [name for name, _ in fields]
 
 
-def spark_type(field_type: str, key_type: str = "int") -> str:
+def spark_type(field_type: str, key_type: str = "bigint") -> str:
     if key_type not in KEY_TYPES:
         raise ValueError(f"key_type must be one of {KEY_TYPES}, not {key_type!r}")
     return key_type if field_type == KEY else field_type
 
 
-def ddl(fields: Fields, key_type: str = "int") -> str:
+def ddl(fields: Fields, key_type: str = "bigint") -> str:
     """The fields as a DDL column list, as readers and CREATE TABLE take it."""
     return ", ".join(f"`{name}` {spark_type(kind, key_type)}" for name, kind in fields)

@@ -13,15 +13,13 @@ from pyspark.sql import SparkSession
 
 log = logging.getLogger(__name__)
 
-SHUFFLE_PARTITION_BYTES = 512 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def shuffle_partitions_for(input_bytes: int, cores: int = 1) -> int:
     """Shuffle partitions for the largest table: enough that one fits in a task's
     memory, at least one per core. AQE merges those that come out small."""
-    wanted = max(math.ceil(input_bytes / SHUFFLE_PARTITION_BYTES), cores)
-    return min(wanted, MAX_SHUFFLE_PARTITIONS)
+    return max(math.ceil(input_bytes / SHUFFLE_PARTITION_BYTES), cores)
 
 
 def open_session(

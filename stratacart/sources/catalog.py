@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacart.schemas import GOLD_INPUTS, SILVER, SILVER_PARTITION, columns, ddl
+from stratacart.sources import lake
 from stratacart.sources.lake import ALL, LATEST, Snapshot, as_day
 
 
@@ -28,7 +29,7 @@ def drop_table(spark: SparkSession, database: str, table: str) -> None:
 
 
 def register_table(
-    spark: SparkSession, database: str, table: str, root: str, key_type: str = "int"
+    spark: SparkSession, database: str, table: str, root: str, key_type: str = "bigint"
 ) -> None:
     """Declare a silver table over its folder; partitions show up after a repair."""
     partition = ", ".join(f"{name} INT" for name in SILVER_PARTITION)
@@ -46,7 +47,7 @@ def repair_partitions(spark: SparkSession, database: str, table: str) -> None:
 
 
 def register_silver(
-    spark: SparkSession, database: str, root: str, key_type: str = "int"
+    spark: SparkSession, database: str, root: str, key_type: str = "bigint"
 ) -> None:
     """Declare and repair all six silver tables; dim_date is declared anew each time."""
     create_database(spark, database)
@@ -56,24 +57,16 @@ def register_silver(
         repair_partitions(spark, database, table)
 
 
-def _ingest_dates(spark: SparkSession, database: str, table: str) -> DataFrame:
-    listed = spark.sql(f"SHOW PARTITIONS `{database}`.`{table}`")
-    parts = [
-        F.regexp_extract("partition", rf"{name}=(\d+)", 1).cast("int")
-        for name in SILVER_PARTITION
-    ]
-    return listed.select(F.make_date(*parts).alias("day"))
+def silver_root(spark: SparkSession, database: str, table: str) -> str:
+    """The folder that holds the table's folder."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{database}`.`{table}`")
+    location = described.where("col_name = 'Location'").select("data_type").head()[0]
+    return location.rstrip("/").rpartition("/")[0]
 
 
 def latest_snapshot(spark: SparkSession, database: str, tables=GOLD_INPUTS) -> date:
-    """The newest ingest date that every table has in the catalog."""
-    days = _ingest_dates(spark, database, tables[0])
-    for table in tables[1:]:
-        days = days.intersect(_ingest_dates(spark, database, table))
-    newest = days.agg(F.max("day")).first()[0]
-    if newest is None:
-        raise ValueError(f"no ingest date is complete in {database} for {', '.join(tables)}")
-    return newest
+    """The newest day that a run has recorded as finished below the tables' folder."""
+    return lake.latest_snapshot(spark, silver_root(spark, database, tables[0]), tables)
 
 
 def read_table(

@@ -27,6 +27,13 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory()]
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    fs, hadoop_path = _resolve(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isFile()]
+
+
 def any_file(spark: SparkSession, path: str) -> str | None:
     """Some file directly in ``path``, or None; reads one listing entry, not all."""
     fs, hadoop_path = _resolve(spark, path)
@@ -41,10 +48,20 @@ def any_file(spark: SparkSession, path: str) -> str | None:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Create the file ``path`` with ``data``; for what fits the driver's memory."""
+    """Create or replace the file ``path``; for what fits the driver's memory."""
     fs, hadoop_path = _resolve(spark, path)
     stream = fs.create(hadoop_path)
     try:
         stream.write(bytearray(data))
     finally:
         stream.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file whole."""
+    fs, hadoop_path = _resolve(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()

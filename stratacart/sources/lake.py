@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import logging
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ from stratacart.sources import files
 
 log = logging.getLogger(__name__)
 
+#: Folder of a silver root with a file per finished day; readers of tables pass it over.
+_RECORDS = "_completed"
+
 WRITE_MODES = ("overwrite", "append")
 
 LATEST = "latest"
@@ -79,6 +83,9 @@ def write_bronze(
 def write_silver(
     df: DataFrame, root: str, table: str, day: date, mode: str = "overwrite"
 ) -> None:
+    """Write one day of a silver table, dealt out evenly so that files come out near
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, neither tiny nor one per hot key."""
+    df = df.hint("rebalance")
     _write_day(df, root, table, SILVER_PARTITION, day, mode)
 
 
@@ -90,30 +97,51 @@ def read_bronze(spark: SparkSession, root: str, table: str, day: date) -> DataFr
     return spark.read.parquet(leaf_path(root, table, BRONZE_PARTITION, day))
 
 
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
-    pattern = re.compile(rf"{name}=(\d+)")
-    matches = map(pattern.fullmatch, files.child_folders(spark, path))
-    return sorted((int(m.group(1)) for m in matches if m), reverse=True)
+@dataclass(frozen=True)
+class DayRecord:
+    """What a finished run says of its day: the tables it wrote, and whether no id of a fact
+    repeats in them."""
+
+    day: date
+    tables: tuple[str, ...]
+    unique_ids: bool
+
+
+def _record_path(root: str, day: date) -> str:
+    return f"{root.rstrip('/')}/{_RECORDS}/{day.isoformat()}.json"
+
+
+def begin_day(spark: SparkSession, root: str, day: date) -> None:
+    """Take back the record of ``day``: until ``complete_day`` no snapshot is of it."""
+    files.delete(spark, _record_path(root, day))
+
+
+def complete_day(
+    spark: SparkSession, root: str, day: date, tables: Sequence[str], unique_ids: bool = False
+) -> None:
+    """Record that ``day`` has all its tables; the last step of a run."""
+    record = {"tables": list(tables), "unique_ids": unique_ids}
+    files.write_bytes(spark, _record_path(root, day), json.dumps(record).encode())
 
 
-def silver_days(spark: SparkSession, root: str, table: str) -> Iterator[date]:
-    """The ingest dates of a table, newest first, from folder names alone."""
-    year_name, month_name, day_name = SILVER_PARTITION
-    base = f"{root.rstrip('/')}/{table}"
-    for year in _numbers(spark, base, year_name):
-        in_year = f"{base}/{year_name}={year}"
-        for month in _numbers(spark, in_year, month_name):
-            for day in _numbers(spark, f"{in_year}/{month_name}={month}", day_name):
-                yield date(year, month, day)
+def day_record(spark: SparkSession, root: str, day: date) -> DayRecord | None:
+    path = _record_path(root, day)
+    if not files.exists(spark, path):
+        return None
+    record = json.loads(files.read_bytes(spark, path))
+    return DayRecord(day, tuple(record["tables"]), record["unique_ids"])
 
 
 def latest_snapshot(
     spark: SparkSession, root: str, tables: Sequence[str] = GOLD_INPUTS
 ) -> date:
-    """The newest ingest date that every table has, so a half-done run is passed over."""
-    for day in silver_days(spark, root, tables[0]):
-        leaves = (leaf_path(root, table, SILVER_PARTITION, day) for table in tables[1:])
-        if all(files.exists(spark, leaf) for leaf in leaves):
+    """The newest day whose run is recorded as finished and wrote all the tables. Folders do
+    not count: those of a day that is being written again are all there."""
+    names = files.child_files(spark, f"{root.rstrip('/')}/{_RECORDS}")
+    days = [date.fromisoformat(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+    for day in sorted(days, reverse=True):
+        record = day_record(spark, root, day)
+        if record is not None and set(tables) <= set(record.tables):
             return day
     raise ValueError(f"no ingest date is complete in {root} for {', '.join(tables)}")
 
@@ -123,7 +151,7 @@ def read_silver(
     root: str,
     table: str,
     snapshot: Snapshot = LATEST,
-    key_type: str = "int",
+    key_type: str = "bigint",
 ) -> DataFrame:
     """A silver table as of one ingest date, or of all dates one after another.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +17,34 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str) -> DataFr
     return df
 
 
-def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header: columns go by name, all are strings, extra ones are kept.
+def read_csv(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    required: Sequence[str] = (),
+    options: Mapping[str, str] | None = None,
+    corrupt_column: str | None = None,
+) -> DataFrame:
+    """CSV with headers: columns go by name, all are strings, extra ones are kept.
 
-    No schema is declared, since Spark would lay it over the columns by position.
+    Within a path all files must have the same header, else reading them fails; several
+    paths may differ and are put together by name, with NULL where one lacks a column.
+    ``options`` go to Spark's reader (delimiter, quote, ...); ``corrupt_column`` names a
+    column that takes the whole line where a row does not fit the header.
     """
-    return require_columns(spark.read.option("header", True).csv(path), required, path)
+
+    def one(path: str) -> DataFrame:
+        reader = spark.read.options(**(options or {})).option("header", True)
+        df = reader.option("enforceSchema", False).csv(path)
+        if corrupt_column is None:
+            return df
+        # Spark fills such a column only if the schema names it, by position at the end.
+        schema = df.schema.add(corrupt_column, "string")
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        return reader.option("enforceSchema", False).schema(schema).csv(path)
+
+    each = [one(path) for path in ([paths] if isinstance(paths, str) else paths)]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    return require_columns(df, required, str(paths))
 
 
 def jdbc_read_options(
@@ -32,12 +55,16 @@ def jdbc_read_options(
     lower_bound: int | None = None,
     upper_bound: int | None = None,
     num_partitions: int | None = None,
+    single_task: bool = False,
     options: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Reader options; a partition column makes executors read ranges of it side by side.
 
-    The bounds only place the cuts: rows outside them are still read.
+    The bounds only place the cuts: rows outside them are still read. Without them one task
+    reads the whole table, which must be asked for by ``single_task``.
     """
+    if single_task == (partition_column is not None):
+        raise ValueError("give a partition column, or single_task=True for a small table")
     split = (partition_column, lower_bound, upper_bound, num_partitions)
     if any(v is None for v in split) and any(v is not None for v in split):
         raise ValueError("a partitioned read needs column, both bounds and num_partitions")
@@ -80,5 +107,9 @@ def jdbc_write_options(
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **how) -> None:
-    """Save to a database table; see ``jdbc_write_options`` for ``how``."""
+    """Save to a database table; see ``jdbc_write_options`` for ``how``.
+
+    Spark narrows the frame itself to the number of connections, so hand over a stored one
+    (``jobs.jdbc_sink`` does), or its last joins and sums run in as few tasks.
+    """
     df.write.format("jdbc").options(**jdbc_write_options(url, table, **how)).mode(mode).save()

@@ -70,7 +70,7 @@ def test_sinks(spark, lakehouse, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS marts_test")
     jobs.run_gold(spark, jobs.table_sink("marts_test"), database="lakehouse")
     for table in GOLD:
-        stored = spark.read.parquet(f"{tmp_path}/{table}")
+        stored = jobs.read_gold(spark, str(tmp_path), table)
         assert rows(stored) == rows(spark.table(f"marts_test.{table}"))
     spark.sql("DROP DATABASE marts_test CASCADE")
 
@@ -105,6 +105,69 @@ def test_sink_failure_is_raised(spark, lakehouse):
         jobs.run_gold(spark, sink, database="lakehouse")
 
 
+def test_a_failed_run_publishes_nothing(spark, lakehouse, tmp_path):
+    sink = jobs.parquet_sink(str(tmp_path))
+    jobs.run_gold(spark, sink, database="lakehouse")
+    before = rows(jobs.read_gold(spark, str(tmp_path), "dm_sales_daily"))
+
+    class Failing(jobs.ParquetSink):
+        def __call__(self, df, table):
+            if table == "dm_stock_performance":
+                raise RuntimeError("no room")
+            super().__call__(df.limit(1), table)
+
+    with pytest.raises(RuntimeError, match="no room"):
+        jobs.run_gold(spark, Failing(str(tmp_path)), database="lakehouse")
+    assert rows(jobs.read_gold(spark, str(tmp_path), "dm_sales_daily")) == before
+
+
+def test_a_failing_rerun_takes_its_day_back(spark, lakehouse, tmp_path, monkeypatch):
+    root = str(tmp_path / "silver")
+    for day in (DAY, NEXT_DAY):
+        jobs.run_bronze(
+            {t: lake.read_bronze(spark, f"{lakehouse}/bronze", t, DAY) for t in adapter.BRONZE},
+            str(tmp_path / "bronze"),
+            day,
+        )
+        jobs.run_silver(spark, str(tmp_path / "bronze"), root, day)
+    assert lake.latest_snapshot(spark, root) == NEXT_DAY
+    assert lake.day_record(spark, root, NEXT_DAY).unique_ids
+
+    def broken(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(jobs.silver, "fact_order_items", broken)
+    with pytest.raises(RuntimeError, match="stopped"):
+        jobs.run_silver(spark, str(tmp_path / "bronze"), root, NEXT_DAY)
+    assert lake.latest_snapshot(spark, root) == DAY
+
+
+def test_the_record_saves_the_distinct_counts(spark, lakehouse):
+    plans = {}
+
+    def sink(df, table):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+
+    jobs.run_gold(spark, sink, database="lakehouse")
+    told = dict(plans)
+    jobs.run_gold(spark, sink, database="lakehouse", unique_ids=False)
+    assert plans["dm_sales_daily"].count("Exchange") > told["dm_sales_daily"].count("Exchange")
+
+
+def test_jdbc_sink_stores_before_it_writes(spark, monkeypatch):
+    seen = {}
+
+    def write(df, url, table, **how):
+        seen["plan"] = df._jdf.queryExecution().executedPlan().toString()
+        seen["rows"], seen["table"] = df.count(), table
+
+    monkeypatch.setattr(jobs, "write_jdbc", write)
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    jobs.jdbc_sink("jdbc:x:y", "gold", num_partitions=2)(df, "dm")
+    assert seen["table"] == "gold.dm" and seen["rows"] == 7
+    assert "FileScan parquet" in seen["plan"] and "Aggregate" not in seen["plan"]
+
+
 def test_bronze_checks_sources_before_writing(spark, tmp_path):
     with pytest.raises(ValueError, match="orders lacks"):
         jobs.run_bronze({"orders": spark.range(1)}, str(tmp_path), DAY)
@@ -121,8 +184,7 @@ def test_session_helpers(spark):
     assert open_session("again") is spark
     assert skew_is_split(spark)
     assert shuffle_partitions_for(0, cores=16) == 16
-    assert shuffle_partitions_for(10 * 1024**4) == 20480
-    assert shuffle_partitions_for(100 * 1024**4) == 100_000
+    assert shuffle_partitions_for(100 * 1024**4) == 100 * 1024**4 // (128 << 20)
 
 
 def test_warns_when_skew_is_not_split(with_conf, caplog):

@@ -34,6 +34,8 @@ def test_rerun_replaces_its_day_only(spark, tmp_path, dates_table):
     assert keys(lake.read_silver(spark, root, "dim_date", DAY)) == [ONE]
     assert keys(lake.read_silver(spark, root, "dim_date", NEXT_DAY)) == [TWO]
     assert keys(lake.read_silver(spark, root, "dim_date", lake.ALL)) == [ONE, TWO]
+    for day in (DAY, NEXT_DAY):
+        lake.complete_day(spark, root, day, ["dim_date"])
     assert keys(lake.read_silver(spark, root, "dim_date")) == [TWO]
 
 
@@ -58,8 +60,7 @@ def test_empty_rerun_empties_its_day(spark, tmp_path, dates_table):
 def test_first_run_without_rows_still_makes_the_day(spark, tmp_path, dates_table):
     root = str(tmp_path)
     lake.write_silver(dates_table(ONE).where("false"), root, "dim_date", DAY)
-    assert lake.latest_snapshot(spark, root, ["dim_date"]) == DAY
-    assert keys(lake.read_silver(spark, root, "dim_date")) == []
+    assert keys(lake.read_silver(spark, root, "dim_date", DAY)) == []
 
 
 def test_failed_rerun_keeps_the_old_day(spark, tmp_path, dates_table):
@@ -71,25 +72,37 @@ def test_failed_rerun_keeps_the_old_day(spark, tmp_path, dates_table):
     assert keys(lake.read_silver(spark, root, "dim_date", DAY)) == [ONE]
 
 
-def test_days_sort_as_dates_not_as_text(spark, tmp_path, dates_table):
+def test_days_sort_as_dates_not_as_text(spark, tmp_path):
     root = str(tmp_path)
-    days = [date(2024, 9, 30), date(2024, 10, 2), date(2024, 10, 10), date(2023, 12, 31)]
-    for day in days:
-        lake.write_silver(dates_table(ONE), root, "dim_date", day)
-    assert list(lake.silver_days(spark, root, "dim_date")) == sorted(days, reverse=True)
+    for day in [date(2024, 9, 30), date(2024, 10, 2), date(2024, 10, 10), date(2023, 12, 31)]:
+        lake.complete_day(spark, root, day, ["dim_date"])
+    assert lake.latest_snapshot(spark, root, ["dim_date"]) == date(2024, 10, 10)
 
 
-def test_latest_snapshot_passes_over_a_half_done_run(spark, tmp_path):
+def test_latest_snapshot_goes_by_records(spark, tmp_path):
     root = str(tmp_path)
-    for table in GOLD_INPUTS:
-        empty = spark.createDataFrame([], ddl(SILVER[table]))
-        lake.write_silver(empty, root, table, DAY)
-        if table.startswith("dim"):
-            lake.write_silver(empty, root, table, NEXT_DAY)
+    with pytest.raises(ValueError, match="complete"):
+        lake.latest_snapshot(spark, root)
+    lake.complete_day(spark, root, DAY, list(SILVER), unique_ids=True)
+    lake.complete_day(spark, root, NEXT_DAY, ["dim_products"])
     assert lake.latest_snapshot(spark, root) == DAY
     assert lake.latest_snapshot(spark, root, ["dim_products"]) == NEXT_DAY
-    with pytest.raises(ValueError, match="complete"):
-        lake.latest_snapshot(spark, str(tmp_path / "nothing"))
+    assert lake.day_record(spark, root, DAY).unique_ids
+    assert not lake.day_record(spark, root, NEXT_DAY).unique_ids
+    lake.begin_day(spark, root, NEXT_DAY)
+    assert lake.latest_snapshot(spark, root, ["dim_products"]) == DAY
+    assert lake.day_record(spark, root, NEXT_DAY) is None
+
+
+def test_silver_files_are_not_tiny(spark, tmp_path):
+    rows = spark.range(200_000, numPartitions=40).select(
+        F.lit(ONE).alias("date_key"),
+        *[(F.col("id") % m).cast("int").alias(n) for m, n in ((97, "year"), (89, "month"))],
+        *[F.lit(1).alias(n) for n in ("day", "week", "quarter")],
+    )
+    lake.write_silver(rows, str(tmp_path), "dim_date", DAY)
+    leaf = lake.leaf_path(str(tmp_path), "dim_date", lake.SILVER_PARTITION, DAY)
+    assert len([n for n in files.child_files(spark, leaf) if n.endswith(".parquet")]) < 8
 
 
 def test_bronze_reads_one_leaf_without_partition_columns(spark, tmp_path):
@@ -110,7 +123,7 @@ def test_files(spark, tmp_path):
     path = str(tmp_path / "x")
     assert files.any_file(spark, path) is None and files.child_folders(spark, path) == []
     spark.range(1).write.parquet(path + "/a=1")
-    assert files.child_folders(spark, path) == ["a=1"]
+    assert files.child_folders(spark, path) == ["a=1"] and files.child_files(spark, path) == []
     assert files.any_file(spark, path) is None
     assert files.exists(spark, files.any_file(spark, path + "/a=1"))
     files.delete(spark, path)
@@ -133,8 +146,10 @@ def test_catalog(spark, tmp_path, dates_table, database, executed_plan):
     catalog.repair_partitions(spark, database, "dim_date")
     assert keys(catalog.read_table(spark, database, "dim_date", lake.ALL)) == [ONE]
 
+    lake.complete_day(spark, root, DAY, ["dim_date"])
     lake.write_silver(dates_table(TWO), root, "dim_date", NEXT_DAY)
     assert keys(catalog.read_table(spark, database, "dim_date")) == [ONE]
+    lake.complete_day(spark, root, NEXT_DAY, ["dim_date"])
     catalog.repair_partitions(spark, database, "dim_date")
     latest = catalog.read_table(spark, database, "dim_date")
     assert keys(latest) == [TWO] and latest.columns == columns(SILVER["dim_date"])
@@ -152,6 +167,7 @@ def test_register_silver_twice_and_use(spark, tmp_path, database):
     for table in SILVER:
         empty = spark.createDataFrame([], ddl(SILVER[table], "bigint"))
         lake.write_silver(empty, root, table, DAY)
+    lake.complete_day(spark, root, DAY, list(SILVER))
     for _ in range(2):
         catalog.register_silver(spark, database, root, "bigint")
     assert catalog.latest_snapshot(spark, database) == DAY

@@ -35,13 +35,37 @@ def test_csv_columns_go_by_name(spark, tmp_path):
         read_csv(spark, str(path), ["id", "gender", "country"])
 
 
+def test_headers_that_differ_are_not_mixed_up(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.csv").write_text("id,name\n7,q\n")
+    (tmp_path / "raw" / "b.csv").write_text("name,id\nr,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "raw")).collect()
+    both = read_csv(spark, [str(tmp_path / "raw" / n) for n in ("a.csv", "b.csv")])
+    assert sorted(map(tuple, both.select("id", "name").collect())) == [("7", "q"), ("8", "r")]
+    (tmp_path / "c.csv").write_text("id\n9\n")
+    some = read_csv(spark, [str(tmp_path / "raw" / "a.csv"), str(tmp_path / "c.csv")])
+    assert sorted(map(tuple, some.select("id", "name").collect())) == [("7", "q"), ("9", None)]
+
+
+def test_options_and_rows_that_do_not_fit(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("id;name\n1;a\n2\n3;b;c\n")
+    df = read_csv(spark, str(path), ["id"], {"sep": ";"}, corrupt_column="bad")
+    assert sorted(map(tuple, df.collect())) == [
+        ("1", "a", None),
+        ("2", None, "2"),
+        ("3", "b", "3;b;c"),
+    ]
+
+
 def test_require_columns(spark):
     df = spark.range(1)
     assert require_columns(df, ["id"], "t") is df
 
 
 def test_jdbc_read_options():
-    assert jdbc_read_options("jdbc:x:y", "t", options={"user": "u"}) == {
+    assert jdbc_read_options("jdbc:x:y", "t", single_task=True, options={"user": "u"}) == {
         "url": "jdbc:x:y",
         "dbtable": "t",
         "fetchsize": "10000",
@@ -53,6 +77,8 @@ def test_jdbc_read_options():
     assert (split["partitionColumn"], split["numPartitions"]) == ("id", "3")
     with pytest.raises(ValueError, match="both bounds"):
         jdbc_read_options("jdbc:x:y", "t", partition_column="id")
+    with pytest.raises(ValueError, match="single_task"):
+        jdbc_read_options("jdbc:x:y", "t")
 
 
 def test_jdbc_write_options():

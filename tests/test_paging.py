@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratacart.operators import paging
 from stratacart.schemas import GOLD
+from stratacart.sources import files
 
 
 @pytest.fixture
@@ -41,36 +42,44 @@ ONE, TWO = date(2024, 1, 1), date(2024, 1, 2)
 
 def test_null_order(spark):
     df = daily(spark, ONE, None, TWO)
-    down = paging.gold_page(df, "dm_sales_daily")
-    assert [r.date for r in down.collect()] == [None, TWO, ONE]
-    up = paging.gold_page(df, "dm_sales_daily", order_dir="asc")
-    assert [r.date for r in up.collect()] == [ONE, TWO, None]
+    with paging.prepare_pages(df, "dm_sales_daily") as down:
+        assert [r.date for r in paging.gold_page(down).collect()] == [None, TWO, ONE]
+    with paging.prepare_pages(df, "dm_sales_daily", order_dir="asc") as up:
+        assert [r.date for r in paging.gold_page(up).collect()] == [ONE, TWO, None]
 
 
-def all_pages(df, size, **how):
-    last = -(-df.count() // size)
-    pages = (paging.gold_page(df, TABLE, page, size, **how) for page in range(1, last + 2))
-    return [tuple(r) for page in pages for r in page.collect()]
+def all_pages(pages, size):
+    last = -(-pages.total_rows // size)
+    each = (paging.gold_page(pages, page, size) for page in range(1, last + 2))
+    return [tuple(r) for page in each for r in page.collect()]
 
 
 @pytest.mark.parametrize("how", [{}, {"order_by": "product_name", "order_dir": "asc"}])
-def test_pages_make_up_the_sorted_table(stock, how, monkeypatch):
-    expected = all_pages(stock, 1000, **how)
+def test_pages_make_up_the_sorted_table(stock, how):
+    request = paging.validate_page(stock, TABLE, **how)
+    expected = [tuple(r) for r in stock.orderBy(*paging._total_order(stock, request)).collect()]
     assert len(set(expected)) == 1000
-    assert all_pages(stock, 300, **how) == expected
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 0)
-    assert all_pages(stock, 300, **how) == expected
+    for parts in (None, 7):
+        with paging.prepare_pages(stock, TABLE, **how, parts=parts) as pages:
+            assert pages.total_rows == 1000
+            assert all_pages(pages, 1000) == all_pages(pages, 170) == expected
 
 
-def test_near_page_is_a_top_k(stock, executed_plan):
-    plan = executed_plan(paging.gold_page(stock, TABLE, 2, 100))
-    assert "TakeOrderedAndProject(limit=200, offset=100" in plan
+def test_a_page_reads_its_rows_alone(spark, stock, executed_plan):
+    with paging.prepare_pages(stock, TABLE, parts=7) as pages:
+        page = paging.gold_page(pages, 9, 100)
+        plan = executed_plan(page)
+        assert "GreaterThanOrEqual(__position" in plan.split("PushedFilters: ")[1]
+        assert "TakeOrderedAndProject" not in plan and "Window" not in plan
+        scan = [part for part, before, rows in pages.parts if before < 900 and before + rows > 800]
+        assert len(scan) < 4
+        folder = pages.folder
+    assert not files.exists(spark, folder)
 
 
-def test_deep_page_carries_no_prefix(stock, executed_plan, monkeypatch):
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 500)
-    plan = executed_plan(paging.gold_page(stock, TABLE, 9, 100))
-    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+def test_no_rows(spark):
+    with paging.prepare_pages(daily(spark), "dm_sales_daily") as pages:
+        assert paging.gold_page(pages).collect() == [] and pages.total_rows == 0
 
 
 @pytest.mark.parametrize(
@@ -86,7 +95,7 @@ def test_deep_page_carries_no_prefix(stock, executed_plan, monkeypatch):
 )
 def test_bad_requests(stock, request_):
     with pytest.raises(paging.PageError):
-        paging.gold_page(stock, **{"table": TABLE, **request_})
+        paging.validate_page(stock, **{"table": TABLE, **request_})
 
 
 def test_defaults(stock):
@@ -100,11 +109,11 @@ def test_defaults(stock):
 
 
 def test_page_info(spark, stock):
-    info = paging.page_info(stock, TABLE, 2, 300, "product_id", "asc")
+    info = paging.page_info(stock, TABLE, 2, 300, "product_id", "asc").head()
     assert (info["total_rows"], info["total_pages"]) == (1000, 4)
     assert (info["page"], info["order_by"], info["order_dir"]) == (2, "product_id", "asc")
     assert info["columns"] == stock.columns
-    assert paging.page_info(daily(spark), "dm_sales_daily")["total_pages"] == 0
+    assert paging.page_info(daily(spark), "dm_sales_daily").head().total_pages == 0
 
 
 def test_gold_tables(spark):

@@ -194,13 +194,13 @@ def test_changed_attributes_split_a_product_over_all_dates(spark, items, product
 GOLD_TYPES = {
     "dm_sales_daily": "date date, total_revenue double, total_orders bigint, "
     "avg_order_value double",
-    "dm_sales_by_product": "product_id int, product_name string, category string, "
+    "dm_sales_by_product": "product_id bigint, product_name string, category string, "
     "brand string, total_quantity_sold bigint, total_revenue double",
-    "dm_customer_metrics": "customer_id int, country string, total_orders bigint, "
+    "dm_customer_metrics": "customer_id bigint, country string, total_orders bigint, "
     "total_spent double, first_order_date date, last_order_date date, avg_order_value double",
-    "dm_product_reviews_impact": "product_id int, product_name string, avg_rating double, "
+    "dm_product_reviews_impact": "product_id bigint, product_name string, avg_rating double, "
     "nb_reviews bigint, total_revenue double",
-    "dm_stock_performance": "product_id int, product_name string, category string, "
+    "dm_stock_performance": "product_id bigint, product_name string, category string, "
     "stock_quantity int, total_quantity_sold bigint, stock_turnover_ratio double",
 }
 
