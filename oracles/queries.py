@@ -29,7 +29,7 @@ from stratacart.operators.quality import (
     require_positive,
 )
 from stratacart.plans import gold, jobs, silver
-from stratacart.schemas import BRONZE, GOLD, SILVER, SILVER_PARTITION
+from stratacart.schemas import BRONZE, GOLD, SILVER, SILVER_PARTITION, columns
 from stratacart.sources import catalog, lake
 from stratacart.sources.landing import read_csv
 from stratacart.sources.scratch import scratch_path
@@ -794,6 +794,18 @@ def _register_job_tables() -> None:
 _register_job_tables()
 
 
+@query(text.with_gold(True, "SELECT * FROM dim_products"))
+def current_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by its bare name, while its database is the current one."""
+    _, database = _jobs_done(spark.sparkContext.applicationId, sf_dir)
+    before = spark.catalog.currentDatabase()
+    catalog.use_database(spark, database)
+    try:
+        return spark.table("dim_products").select(*columns(SILVER["dim_products"]))
+    finally:
+        catalog.use_database(spark, before)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales per day from raw orders: cast, filter, dedup, key check, aggregate, ratio."""
     return gold_table(spark, sf_dir, False, "dm_sales_daily")
