@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacart.sources.scratch import materialize
+from stratacart.sources.scratch import discard, materialize
 
 HOME = str(Path(__file__).resolve().parents[2])
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,7 +36,36 @@ def on_workers(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: computed once, and there when an
     executor is lost."""
-    return materialize(df, f"llm-{name}")[0]
+    return Steps(df.sparkSession).store(df, name)
+
+
+class Steps:
+    """Tables that the steps of a job hand on in the shared scratch folder. At the end of a
+    ``with`` block they are deleted, so what is returned must not read them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Compute ``df`` and write it. What was shuffled for it is then of no more use, but
+        Spark deletes shuffle files only when the driver happens to collect its garbage;
+        asking for that keeps the disks of a long job to what one step needs."""
+        table, folder = materialize(df, f"llm-{name}")
+        self.folders.append(folder)
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return table
+
+    def drop(self) -> None:
+        while self.folders:
+            discard(self.spark, self.folders.pop())
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -59,21 +89,22 @@ def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found["cuts"] or []})
 
 
+def parts_of(values: pa.Array, cuts: np.ndarray, unknown: int = 0) -> pa.Array:
+    """For each integer the number of ``cuts`` that are at most it; ``unknown`` for null."""
+    known = np.asarray(values.is_valid())
+    numbers = np.asarray(pc.fill_null(values, 0))
+    places = np.searchsorted(cuts, numbers, side="right")
+    return pa.array(np.where(known, places, unknown), type=pa.int32())
+
+
 def part_of(column: Column, cuts: Sequence[int]) -> Column:
-    """The number of ``cuts`` that are at most the value; null is below all of them."""
+    """``parts_of`` as an expression."""
     bounds = np.asarray(cuts, dtype=np.int64)
     on_workers(SparkSession.active())
 
     @F.arrow_udf("int")
     def place(values: pa.Array) -> pa.Array:
-        numbers = values.to_numpy(zero_copy_only=False)
-        if values.null_count:
-            known = np.asarray(values.is_valid())
-            out = np.zeros(len(values), dtype=np.int32)
-            out[known] = np.searchsorted(bounds, numbers[known].astype(np.int64), side="right")
-        else:
-            out = np.searchsorted(bounds, numbers, side="right").astype(np.int32)
-        return pa.array(out, type=pa.int32())
+        return parts_of(values, bounds)
 
     return place(column)
 

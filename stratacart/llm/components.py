@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import stored
+from stratacart.llm.common import Steps
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -38,16 +38,20 @@ def components(links: DataFrame) -> DataFrame:
     smallest node. Null ends and loops link nothing.
 
     Alternates large and small stars (Kiveris et al., 2014) until the links no longer change;
-    the number of rounds grows with the logarithm of the longest path. Each round is stored.
+    the number of rounds grows with the logarithm of the longest path. Each round is stored
+    and the one before deleted; the last stays in the scratch folder.
     """
-    found = stored(
-        links.where("a <> b").select("a", "b").distinct(), "links"
-    )
+    now = Steps(links.sparkSession)
+    found = now.store(links.where("a <> b").select("a", "b").distinct(), "links")
     before = None
     while True:
-        found = stored(_star(_star(found, large=True), large=False), "links")
+        done, now = now, Steps(links.sparkSession)
+        found = now.store(_star(_star(found, large=True), large=False), "links")
+        done.drop()
         state = found.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.crc32(F.concat_ws(",", "a", "b")))
+            F.count("*"),
+            F.bit_xor(F.xxhash64("a", "b")),
+            F.sum(F.crc32(F.concat_ws(",", "a", "b"))),
         ).head()
         if state == before:
             break

@@ -5,11 +5,11 @@ among the first few of each (the prefix), so candidates are joined on prefix n-g
 apart by length and position, and verified once per pair on their whole texts, where a
 suffix filter settles most of the unlike ones.
 
-Texts with equal sets are one node. Nodes that share a prefix n-gram are first paired with
-the smallest of their size class, which takes as many pairs as nodes. Of the pairs left, only
-those between nodes of different components can still join anything, and all of these follow.
-So a group of copies never has all its pairs built, and no link between two components is
-lost.
+Texts with equal sets are one node. Nodes meet first at the n-grams that most of them share,
+in chunks of a bounded size, where each is compared with groups it is not in yet. Of the pairs
+left, only those between nodes of different components can still join anything, and all of
+these follow. So a group of copies never has all its pairs built, and no link between two
+components is lost.
 
 Frequencies are counted over all texts in ``BINS`` counters, a fixed size that is also what
 is broadcast; the counters decide the order alone, never a result.
@@ -34,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import on_workers, slices, stored
+from stratacart.llm.common import Steps, on_workers, slices, stored
 from stratacart.llm.components import components
 from stratacart.llm.shingles import shingle_sets
 
 BINS = 1 << 20
 _BLOCKS = 16
+#: Nodes that are compared with each other in one place before pairs are built.
+CHUNK = 128
 BLOCK_BYTES = 2 << 20
 
 
@@ -148,8 +150,8 @@ def _apart(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return _apart(a[:i], b[:j], depth - 1) + _apart(a[i:], b[j:], depth - 1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose whole texts are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +187,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                     names=["a", "b"],
                 )
 
-    texts = docs.where("doc_id is not null")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(second, "b").join(first, "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -200,73 +202,176 @@ def _fits(percent: int) -> str:
     )
 
 
+def local_links(homes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between similar nodes among those of one home and chunk (node, home,
+    chunk). Each pair that is not yet connected in its chunk is verified; a chunk of
+    connected nodes takes as many comparisons as it has nodes."""
+
+    def settle(nodes: list[int], own: list[bytes]) -> tuple[list[int], list[int]]:
+        sets = shingle_sets(own, width)
+        groups: list[list[int]] = []
+        a: list[int] = []
+        b: list[int] = []
+        for i in range(len(nodes)):
+            joined, apart = [i], []
+            for members in groups:
+                match = next((j for j in members if similar(sets[i], sets[j], percent)), None)
+                if match is None:
+                    apart.append(members)
+                else:
+                    joined += members
+                    a.append(nodes[i])
+                    b.append(nodes[match])
+            groups = [*apart, joined]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, own = None, [], []
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("home", "chunk", "node"))
+            for home, chunk, node, text in zip(*columns, _texts(batch["text"]), strict=True):
+                if (home, chunk) != group:
+                    if len(nodes) > 1:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x, pa.int64()) for x in settle(nodes, own)], names=["a", "b"]
+                        )
+                    group, nodes, own = (home, chunk), [], []
+                nodes.append(node)
+                own.append(text)
+        if len(nodes) > 1:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in settle(nodes, own)], names=["a", "b"]
+            )
+
+    return (
+        homes.join(texts, "node")
+        .repartition("home", "chunk")
+        .sortWithinPartitions("home", "chunk")
+        .select("home", "chunk", "node", "text")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def _homes(shared: DataFrame) -> DataFrame:
+    """The n-grams where a node meets others: of those in at most ``CHUNK`` nodes the most
+    shared one, and the most shared one of the others twice, where nodes fall into chunks of
+    about ``CHUNK`` by another hash either time."""
+    top = F.struct("k", "token")
+    return (
+        shared.groupBy("node")
+        .agg(
+            F.max(F.when(F.col("k") <= CHUNK, top)).alias("small"),
+            F.max(F.when(F.col("k") > CHUNK, top)).alias("large"),
+        )
+        .select("node", F.posexplode(F.array("small", "large", "large")).alias("turn", "top"))
+        .where("top IS NOT NULL")
+        .select(
+            "node",
+            F.col("top.token").alias("home"),
+            F.expr(
+                f"CAST(2 * pmod(xxhash64(node, turn), ceil(top.k / {CHUNK})) AS INT) + turn DIV 2"
+            ).alias("chunk"),
+        )
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id of its group) of each row."""
     on_workers(docs.sparkSession)
-    own = stored(prefixes(docs, width, percent), "prefixes")
-    nodes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node"),
-        F.min_by(F.struct("n", "prefix"), "doc_id").alias("own"),
-    )
-    tokens = nodes.select(
-        "node", F.col("own.n").alias("n"), F.posexplode("own.prefix").alias("at", "token")
-    ).withColumn("size_class", F.floor(F.log("n") / float(-np.log(percent / 100))))
-    tokens = tokens.withColumn("me", F.struct("n", "node", "at"))
-    classes = tokens.groupBy("token", "size_class").agg(F.min("me").alias("first"), F.count("*").alias("k"))
-    groups = classes.groupBy("token").agg(
-        F.sum("k").alias("k"), F.collect_list(F.struct("size_class", "first")).alias("firsts")
-    ).where("k > 1")
-    # What stands in one set alone cannot join anything and goes no further.
-    shared = stored(
-        tokens.join(groups, "token").select(
-            "token",
+    with Steps(docs.sparkSession) as steps:
+        first = Steps(docs.sparkSession)
+        whole = first.store(prefixes(docs, width, percent), "prefixes")
+        own = stored(whole.select("doc_id", "digest", "n"), "sets")
+        nodes_with_prefixes = steps.store(
+            whole.where("n > 0 AND doc_id IS NOT NULL")
+            .groupBy("digest")
+            .agg(
+                F.min("doc_id").alias("node"),
+                F.min_by(F.struct("n", "prefix"), "doc_id").alias("own"),
+            ),
+            "nodes",
+        )
+        nodes = stored(nodes_with_prefixes.select("digest", "node"), "nodes")
+        first.drop()
+        tokens = nodes_with_prefixes.select(
             "node",
-            "n",
-            "at",
-            F.filter("firsts", lambda x: x["size_class"] == F.col("size_class"))[0]["first"].alias(
-                "first"
+            F.col("own.n").cast("int").alias("n"),
+            F.posexplode("own.prefix").alias("at", "token"),
+        ).select("token", "node", F.expr("shiftleft(CAST(n AS BIGINT), 32) | at").alias("place"))
+        # What stands in one set alone cannot join anything and goes no further.
+        size = F.shiftright("place", 32)
+        counts = (
+            tokens.groupBy("token")
+            .agg(F.count("*").alias("k"), F.min(size).alias("least"), F.max(size).alias("most"))
+            .where(f"k > 2 OR k = 2 AND 100 * least >= {percent} * most")
+            .select("token", "k")
+        )
+        shared = steps.store(tokens.join(counts, "token"), "shared")
+        texts = steps.store(
+            docs.select(F.col("doc_id").alias("node"), "text").join(
+                shared.select("node").distinct(), "node"
             ),
-        ),
-        "shared",
-    )
-    near = (
-        shared.select(
-            F.col("first.node").alias("a"),
-            F.col("first.n").alias("n_a"),
-            F.col("first.at").alias("at_a"),
-            F.col("node").alias("b"),
-            F.col("n").alias("n_b"),
-            F.col("at").alias("at_b"),
+            "texts",
         )
-        .where("a <> b")
-        .where(_fits(percent))
-        .select("a", "b")
-        .distinct()
+        near = steps.store(local_links(_homes(shared), texts, width, percent), "links")
+        found = components(near)
+        labelled = steps.store(
+            shared.join(found, "node", "left").select(
+                "token",
+                "node",
+                F.expr("CAST(shiftright(place, 32) AS INT)").alias("n"),
+                F.expr("CAST(place & 4294967295 AS INT)").alias("at"),
+                F.coalesce("component", "node").alias("component"),
+            ),
+            "labelled",
+        )
+        more = verified(_across(labelled, percent), texts, width, percent)
+        repeated = (
+            own.where("n > 0")
+            .groupBy("doc_id")
+            .agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+            .where("first <> last")
+            .select("doc_id")
+        )
+        same_id = (
+            own.join(repeated, "doc_id")
+            .join(nodes.select("digest", "node"), "digest")
+            .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        )
+        final = components(near.union(more).union(same_id))
+    named = nodes.select("digest", "node").join(final, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component")
     )
-    first_links = stored(verified(near, docs, width, percent), "links")
-    found = components(first_links)
-    labelled = stored(
-        shared.join(found, "node", "left").select(
-            "token", "node", "n", "at", F.coalesce("component", "node").alias("component")
-        ),
-        "labelled",
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return own.join(named, "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), group.alias("component_id")
     )
+
+
+def _across(labelled: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (a, b) between nodes of different components.
+
+    Of the nodes with one n-gram, those outside the largest component among them meet all
+    others; the largest component's nodes do not meet each other.
+    """
     mixed = (
         labelled.groupBy("token", "component")
         .agg(F.count("*").alias("k"))
         .groupBy("token")
-        .agg(F.count("*").alias("parts"), F.max_by("component", "k").alias("most"))
+        .agg(
+            F.count("*").alias("parts"),
+            F.max_by("component", F.struct("k", "component")).alias("most"),
+        )
         .where("parts > 1")
         .select("token", "most")
     )
     open_rows = labelled.join(mixed, "token")
+    columns = ("node", "n", "at", "component")
     few = open_rows.where("component <> most").select(
-        "token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "component")]
-    )
-    many = open_rows.select(
-        "token", "most", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "component")]
+        "token", *[F.col(c).alias(f"{c}_x") for c in columns]
     )
-    # A pair outside the token's largest component is met from either end: one is enough.
+    many = open_rows.select("token", "most", *[F.col(c).alias(f"{c}_y") for c in columns])
+    # A pair outside the largest component is met from either end: one is enough.
     met = few.join(many, "token").where(
         "component_x <> component_y AND (component_y = most OR node_x < node_y)"
     )
@@ -276,7 +381,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         other = "y" if side == "x" else "x"
         return F.when(ordered, F.col(f"{name}_{side}")).otherwise(F.col(f"{name}_{other}"))
 
-    across = (
+    return (
         met.select(
             end("node", "x").alias("a"),
             end("n", "x").alias("n_a"),
@@ -288,23 +393,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where(_fits(percent))
         .select("a", "b")
         .distinct()
-        .join(near, ["a", "b"], "left_anti")
-    )
-    more = verified(across, docs, width, percent)
-    repeated = (
-        own.where("n > 0").groupBy("doc_id").agg(F.min("digest"), F.max("digest").alias("last"))
-        .where("`min(digest)` <> last").select("doc_id")
-    )
-    same_id = (
-        own.join(repeated, "doc_id").join(nodes.select("digest", "node"), "digest")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
-    final = components(first_links.union(more).union(same_id))
-    named = nodes.select("digest", "node").join(final, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component")
-    )
-    return own.join(named, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import on_workers, stored
+from stratacart.llm.common import Steps, on_workers, stored
 from stratacart.llm.components import components
 
 #: Dimensions of a block, and those of them that the grid covers.
@@ -322,8 +322,9 @@ def near_vectors(
         .select("node", "n", "vector", F.size("vector").alias("dims")),
         "nodes",
     )
-    placed = stored(_placed(nodes, threshold), "placed")
-    found = stored(_links(_meetings(placed), threshold), "links")
+    with Steps(vectors.sparkSession) as steps:
+        placed = steps.store(_placed(nodes, threshold), "placed")
+        found = stored(_links(_meetings(placed), threshold), "links")
     groups = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
