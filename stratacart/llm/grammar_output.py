@@ -26,6 +26,7 @@ Results per row:
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratacart.llm.common import on_workers, part_of, quantiles, shuffle_partitions, slices
+from stratacart.llm.common import on_workers, parts_of, quantiles, shuffle_partitions, slices
 from stratacart.sources.scratch import scratch_path
 
 #: A shard is closed once it has this many ids; a longer document is a shard by itself.
@@ -48,7 +49,7 @@ MIN_COUNT = 128
 MIN_GAIN = 0.002
 BLOCK_BYTES = 1 << 20
 #: Pieces in the younger of the two dictionaries that a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Unknown pieces that the library gets as one text.
 JOINED = 256
 STEP = 256
@@ -112,8 +113,8 @@ class WordEncoder:
         unknown = set().union(*parted).difference(pieces)
         marked = {x for x in unknown if x[-1:] in self.marks and x[:-1].isalnum()}
         unknown = unknown.difference(marked).union(x[:-1] for x in marked).difference(pieces)
-        again = unknown.intersection(earlier)
-        pieces.update((x, earlier[x]) for x in again)
+        again = {x: earlier[x] for x in unknown if x in earlier}
+        pieces.update(again)
         self._learn(sorted(unknown.difference(again)))
         for x in marked:
             pieces[x] = pieces[x[:-1]] + self.marks[x[-1:]]
@@ -123,6 +124,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def _encoder(name: str) -> WordEncoder:
+    # Spark runs a task per core already; the library's own threads would only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(SparkFiles.get(name))
 
 
@@ -194,43 +197,41 @@ def pair_grammar(
     return sequence, pairs, lengths[base:]
 
 
-def expand(sequence: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids of ``sequence``: symbols are replaced by their pairs until none is left."""
-    while len(sequence) and sequence.max() >= base:
-        composed = sequence >= base
-        ends = np.cumsum(composed + 1)
-        out = np.empty(ends[-1], dtype=np.int64)
-        at = ends - 1 - composed
-        out[at[~composed]] = sequence[~composed]
-        pairs = rules[sequence[composed] - base]
-        out[at[composed]] = pairs[:, 0]
-        out[at[composed] + 1] = pairs[:, 1]
-        sequence = out
-    return sequence
-
-
-def read_range(
-    start: int,
-    stop: int,
-    sequence: np.ndarray,
-    steps: np.ndarray,
-    base: int,
-    rules: np.ndarray,
-    lengths: np.ndarray,
-) -> np.ndarray:
-    """Ids ``start`` to ``stop`` of a shard, from the symbols that cover them alone."""
-    first = max(int(np.searchsorted(steps, start, side="right")) - 1, 0)
-    last = int(np.searchsorted(steps, stop, side="left"))
-    window = sequence[first * STEP : last * STEP].astype(np.int64)
-    sizes = np.ones(len(window), dtype=np.int64)
-    composed = window >= base
-    sizes[composed] = lengths[window[composed] - base]
-    ends = np.cumsum(sizes) + steps[first]
-    low = int(np.searchsorted(ends, start, side="right"))
-    high = int(np.searchsorted(ends, stop, side="left")) + 1
-    ids = expand(window[low:high], base, rules)
-    offset = start - int(ends[low] - sizes[low]) if low < len(ends) else 0
-    return ids[offset : offset + stop - start]
+class Grammar:
+    """The rules of a shard, with the ids that each symbol stands for laid end to end."""
+
+    def __init__(self, base: int, rules: np.ndarray, lengths: np.ndarray) -> None:
+        self.sizes = np.concatenate((np.ones(base, dtype=np.int64), lengths))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.empty(self.sizes.sum(), dtype=np.uint32)
+        self.ids[:base] = np.arange(base)
+        for symbol, (a, b) in enumerate(rules.tolist(), base):  # both are earlier symbols
+            at = self.starts[symbol]
+            for part in (a, b):
+                n = self.sizes[part]
+                self.ids[at : at + n] = self.ids[self.starts[part] : self.starts[part] + n]
+                at += n
+
+    def expand(self, sequence: np.ndarray) -> np.ndarray:
+        """The ids of a sequence of symbols."""
+        sizes = self.sizes[sequence]
+        ends = np.cumsum(sizes)
+        shift = self.starts[sequence] - (ends - sizes)
+        return self.ids[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
+
+    def read_range(
+        self, start: int, stop: int, sequence: np.ndarray, steps: np.ndarray
+    ) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of a shard, from the symbols that cover them alone."""
+        first = max(int(np.searchsorted(steps, start, side="right")) - 1, 0)
+        last = int(np.searchsorted(steps, stop, side="left"))
+        window = sequence[first * STEP : last * STEP]
+        sizes = self.sizes[window]
+        ends = np.cumsum(sizes) + steps[first]
+        low = int(np.searchsorted(ends, start, side="right"))
+        high = int(np.searchsorted(ends, stop, side="left")) + 1
+        offset = start - int(ends[low] - sizes[low])
+        return self.expand(window[low:high])[offset : offset + stop - start]
 
 
 def _shard(part: int, shard: int, doc_ids: list, packed: list[bytes], base: int) -> dict:
@@ -290,6 +291,8 @@ def write_shards(
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+    cuts = np.asarray(quantiles(rows, "doc_id", parts), dtype=np.int64)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
         end = np.array([end_id], dtype="<u2").tobytes()
@@ -297,7 +300,10 @@ def write_shards(
             for piece in slices(batch, "text", BLOCK_BYTES):
                 texts = [x or "" for x in piece["text"].to_pylist()]
                 ids = pa.array([x + end for x in encoder.encode(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], ids], names=["doc_id", "ids"])
+                part = parts_of(piece["doc_id"], cuts, unknown=parts)
+                yield pa.RecordBatch.from_arrays(
+                    [part, piece["doc_id"], ids], names=["part", "doc_id", "ids"]
+                )
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, size = -1, 0, 0
@@ -319,20 +325,15 @@ def write_shards(
         if packed:
             yield _arrow([_shard(part, shard, doc_ids, packed, base)])
 
-    encoded = rows.mapInArrow(encode, "doc_id long, ids binary")
-    dealt = encoded.withColumn(
-        "part",
-        F.when(F.col("doc_id").isNull(), F.lit(parts)).otherwise(
-            part_of(F.col("doc_id"), quantiles(rows, "doc_id", parts))
-        ),
-    ).repartitionById(parts, F.col("part") % parts)
+    encoded = rows.mapInArrow(encode, "part int, doc_id long, ids binary")
+    dealt = encoded.repartitionById(parts, F.col("part") % parts)
     ordered = dealt.sortWithinPartitions("part", "doc_id", "ids")
     ordered.mapInArrow(shards, FORMAT).write.parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """Documents from shard rows: part, shard, place, doc_id, start (within the shard),
-    n_tokens and ids_crc32, each document read through the grammar by its own range."""
+    """Documents from shard rows: part, shard, doc_id, start (within the shard), n_tokens and
+    ids_crc32, all from the shard's expanded sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,16 +341,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 sequence = np.frombuffer(row["sequence"], "<u4")
-                steps = np.frombuffer(row["step_starts"], "<u8").astype(np.int64)
+                ids = Grammar(row["base"], rules, lengths).expand(sequence).astype("<u4").tobytes()
                 starts = row["doc_starts"]
                 stops = [*starts[1:], row["n_ids"]]
                 sums = [
-                    zlib.crc32(
-                        read_range(a, b, sequence, steps, row["base"], rules, lengths)
-                        .astype("<u4")
-                        .tobytes()
-                    )
-                    for a, b in zip(starts, stops, strict=True)
+                    zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, stops, strict=True)
                 ]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
@@ -381,11 +377,9 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
     before = totals.select(
         "part", "shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before")
     )
-    return (
-        read_documents(shards)
-        .join(before, ["part", "shard"])
-        .select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    start = (F.col("before") + F.col("start")).alias("start")
+    documents = read_documents(shards).join(before, ["part", "shard"])
+    return documents.select("doc_id", start, "n_tokens", "ids_crc32")
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

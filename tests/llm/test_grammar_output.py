@@ -9,11 +9,10 @@ import pytest
 from stratacart.llm import grammar_output
 from stratacart.llm.grammar_output import (
     STEP,
+    Grammar,
     WordEncoder,
     encode_to_files,
-    expand,
     pair_grammar,
-    read_range,
 )
 from tokenizers import Tokenizer
 
@@ -30,16 +29,16 @@ def test_grammar_expands_to_the_ids(seed):
     rng = np.random.default_rng(seed)
     ids = rng.integers(0, rng.integers(1, 6), rng.integers(0, 3000)).astype("<u4")
     sequence, rules, lengths = pair_grammar(ids, 6, 2)
-    assert (expand(sequence, 6, rules) == ids).all()
+    grammar = Grammar(6, rules, lengths)
+    assert (grammar.expand(sequence) == ids).all()
     for i, size in enumerate(lengths):
-        assert len(expand(np.array([6 + i]), 6, rules)) == size
-    sizes = np.where(sequence < 6, 1, lengths[np.maximum(sequence - 6, 0)] if len(lengths) else 1)
+        assert len(grammar.expand(np.array([6 + i]))) == size
+    sizes = grammar.sizes[sequence]
     steps = np.concatenate(([0], np.cumsum(sizes)))[: len(sequence) : STEP]
     for _ in range(20 if len(ids) else 0):
         a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
         if a < b:
-            got = read_range(a, b, sequence, steps, 6, rules, lengths)
-            assert (got == ids[a:b]).all()
+            assert (grammar.read_range(a, b, sequence, steps) == ids[a:b]).all()
 
 
 def test_repetition_shrinks():
