@@ -37,10 +37,12 @@ DRAW_BITS = 52
 
 
 def count_of(text: Column, word: str) -> Column:
-    """How often ``word`` stands between single spaces, matches not overlapping."""
+    """How often ``word`` stands between single spaces, matches not overlapping. By bytes,
+    whose number Spark knows of a string without going through it."""
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
     rest = F.replace(padded, F.lit(f" {word} "), F.lit(""))
-    return ((F.length(padded) - F.length(rest)) / (len(word) + 2)).cast("long")
+    size = len(f" {word} ".encode())
+    return ((F.octet_length(padded) - F.octet_length(rest)) / size).cast("long")
 
 
 def topic_of(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
@@ -62,8 +64,8 @@ def topic_of(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
 
 def token_count(text: Column) -> Column:
     """Pieces of the text between single spaces; none in an empty text."""
-    size = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.length(text) > 0, size).otherwise(0).cast("long")
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(F.octet_length(text) > 0, spaces + 1).otherwise(0).cast("long")
 
 
 def _targets(totals: Mapping, power: float) -> dict:
@@ -85,7 +87,7 @@ def raked_weights(
     pairs = cells.groupBy("lang", "topic").agg(F.sum("n").alias("n")).limit(MAX_TABLE + 1).collect()
     if len(pairs) > MAX_TABLE:
         raise ValueError(f"more than {MAX_TABLE} pairs of language and topic")
-    pairs.sort(key=lambda r: (r["lang"] is None, r["lang"] or "", r["topic"] is None, r["topic"] or ""))
+    pairs.sort(key=lambda r: [(x is None, x or "") for x in (r["lang"], r["topic"])])
     place = {(r["lang"], r["topic"]): i for i, r in enumerate(pairs)}
     langs: dict = {}
     topics: dict = {}
@@ -102,11 +104,12 @@ def raked_weights(
             "p_lang string, p_topic string, place int",
         )
     )
+    tokens = F.col("n").cast("double").alias("n")
     rows = (
         cells.join(places, F.expr("lang <=> p_lang AND topic <=> p_topic"))
         .groupBy("source")
         .agg(
-            F.sort_array(F.collect_list(F.struct("place", F.col("n").cast("double").alias("n")))).alias("cells"),
+            F.sort_array(F.collect_list(F.struct("place", tokens))).alias("cells"),
             F.sum("n").cast("double").alias("total"),
         )
     )
@@ -163,17 +166,17 @@ def raked_weights(
     )
     named = stored(
         named.select(
-            "source", F.col("p_lang").alias("lang"), F.col("p_topic").alias("topic"), "weight", "cell.n"
+            "source",
+            F.col("p_lang").alias("lang"),
+            F.col("p_topic").alias("topic"),
+            "weight",
+            "cell.n",
         ),
         "weights",
     )
     largest = named.where("n > 0").agg(F.max("weight")).head()[0] or 1.0
-    return named.select(
-        "source",
-        "lang",
-        "topic",
-        F.when(F.col("n") > 0, F.col("weight") / F.lit(largest)).otherwise(0.0).alias("probability"),
-    )
+    probability = F.when(F.col("n") > 0, F.col("weight") / F.lit(largest)).otherwise(0.0)
+    return named.select("source", "lang", "topic", probability.alias("probability"))
 
 
 def draw(key: Column, seed: int) -> Column:
