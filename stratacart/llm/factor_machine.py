@@ -80,7 +80,8 @@ _CLASSES = _class_table()
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``starts``, which may be equal."""
-    total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
+    running = np.cumsum(values, axis=0, dtype=np.float64)
+    total = np.concatenate((np.zeros((1, *values.shape[1:])), running))
     return total[starts[1:]] - total[starts[:-1]]
 
 
@@ -162,7 +163,8 @@ def scores(model: Model, rows: Features) -> np.ndarray:
 def _pick(rows: Features, chosen: np.ndarray) -> Features:
     counts = np.diff(rows.starts)[chosen]
     starts = np.concatenate(([0], np.cumsum(counts)))
-    at = np.repeat(rows.starts[chosen], counts) + np.arange(starts[-1]) - np.repeat(starts[:-1], counts)
+    shift = np.repeat(rows.starts[chosen] - starts[:-1], counts)
+    at = np.arange(starts[-1]) + shift
     return Features(starts, rows.index[at], rows.value[at])
 
 
@@ -223,7 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     )
     total = known.count()
     share = min(1.0, SAMPLE / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30))
+    chosen = known.where(drawn < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .sort_by([("id", "ascending")])
     )
     if not sample.num_rows:
-        return fit(Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)), np.zeros(0))
+        return fit(features([]), np.zeros(0))
     index = sample["index"].combine_chunks()
     starts = np.concatenate(([0], np.cumsum(np.asarray(index.value_lengths()))))
     value = sample["value"].combine_chunks()

@@ -83,10 +83,8 @@ class Digests:
         new[1:] = (ordered[1:] != ordered[:-1]) | (owners[1:] != owners[:-1])
         firsts = np.flatnonzero(new)
         repeat = np.arange(len(keys)) - firsts[np.cumsum(new) - 1]
-        with np.errstate(over="ignore"):
-            keys[order] = np.where(
-                repeat > 0, mixed(ordered + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ordered
-            )
+        again = mixed(ordered + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys[order] = np.where(repeat > 0, again, ordered)
         self.keys = keys
 
 

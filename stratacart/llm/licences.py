@@ -1,8 +1,8 @@
 """Licence notices by the Dice coefficient over word bigrams.
 
-A text's passages are its sentences, which lines end too, and its lines of several. A passage is normalised
-(A-Z to lower case, all but letters a-z and digits parting words) and compared with each
-template by twice the number of shared bigrams over the sum of both numbers of bigrams.
+A text's passages are its sentences, which lines end too, and its lines of several. A passage
+is normalised (A-Z to lower case, all but letters a-z and digits parting words) and compared
+with each template by twice the number of shared bigrams over the sum of both numbers of bigrams.
 
 Two bounds leave out what cannot reach the threshold. By size, templates are compared only
 with passages whose number of bigrams is near enough to theirs. And each template has anchor
@@ -118,13 +118,12 @@ def matches(text: Column, templates: Mapping[str, str], percent: int) -> Column:
 
     def best(found: Column) -> Column:
         fitting = F.filter(known, lambda t: F.size(found).between(t["low"], t["high"]))
-        scored = F.transform(
-            fitting,
-            lambda t: F.struct(
-                (2.0 * F.size(F.array_intersect(found, t["bigrams"])) / (F.size(found) + t["n"])).alias("dice"),
-                t["name"].alias("name"),
-            ),
-        )
+        def score(t: Column) -> Column:
+            shared = F.size(F.array_intersect(found, t["bigrams"]))
+            dice = 2.0 * shared / (F.size(found) + t["n"])
+            return F.struct(dice.alias("dice"), t["name"].alias("name"))
+
+        scored = F.transform(fitting, score)
         reached = F.filter(scored, lambda s: s["dice"] * 100 >= percent)
         return F.reduce(
             reached,
@@ -153,7 +152,10 @@ def scan(
         "hits",
         F.lit(None).cast("struct<dice:double,name:string>"),
         lambda a, b: F.when(
-            a.isNull() | (b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["name"] < a["name"])), b
+            a.isNull()
+            | (b["dice"] > a["dice"])
+            | ((b["dice"] == a["dice"]) & (b["name"] < a["name"])),
+            b,
         ).otherwise(a),
     )
     return hits.select(

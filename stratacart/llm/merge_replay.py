@@ -221,7 +221,8 @@ def encode_decode(
             pa.array([replay.decode(x) for x in ids], pa.binary()),
         ]
 
-    return _encoded(docs, ranks, pattern, text, (key, *keep), rows, "ids array<int>, decoded binary")
+    columns = "ids array<int>, decoded binary"
+    return _encoded(docs, ranks, pattern, text, (key, *keep), rows, columns)
 
 
 def token_digests(

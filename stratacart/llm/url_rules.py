@@ -63,7 +63,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def pack(rules: Iterable[Rule]) -> bytes:
     """The array as a file: a head, sorted keys, text offsets, verdicts, path lengths, texts."""
     unique = {(r.host, r.path): r for r in rules}
-    keyed = sorted((xxhash.xxh64_intdigest(r.text.encode(), SEED), r.text, r) for r in unique.values())
+    digest = xxhash.xxh64_intdigest
+    keyed = sorted((digest(r.text.encode(), SEED), r.text, r) for r in unique.values())
     texts = [text.encode() for _, text, _ in keyed]
     lengths = sorted({len(r.path) for _, _, r in keyed})
     parts = [
