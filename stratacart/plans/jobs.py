@@ -71,8 +71,9 @@ def run_silver(
     """Build the six silver tables of ``day``, replacing what that day had.
 
     The day's record is taken back first and written last, so that a run that fails on the
-    way, the first or a later one, leaves no half-done day to be read as the latest. Every table is written once and read back by those that depend on it, so all agree
-    on the same rows and nothing is computed twice.
+    way, the first or a later one, leaves no half-done day to be read as the latest. Every
+    table is written once and read back by those that depend on it, so all agree on the same
+    rows and nothing is computed twice.
     """
 
     def raw(table: str) -> DataFrame:
