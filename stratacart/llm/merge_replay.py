@@ -5,7 +5,7 @@ from the rank of each pair to the positions where it stands. Merges are applied
 order, each at all its positions, and only the two neighbours of a merged pair enter the
 index anew. Words do not touch each other, so a block gives each word the ids that a replay
 over the whole corpus would give it, and blocks need no shuffle. Words that earlier blocks of
-the same Python worker have settled are looked up.
+the same task have settled are looked up.
 
 Results per row:
 
@@ -34,8 +34,8 @@ from stratacart.llm.common import on_workers, slices
 
 #: Bytes of text whose unknown words are replayed together.
 BLOCK_BYTES = 4 << 20
-#: Settled pieces that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+#: Settled words, and pieces, that a task remembers; beyond, it starts afresh.
+REMEMBERED = 150_000
 _KEY = 1 << 17
 
 
@@ -63,6 +63,11 @@ class MergeReplay:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give back the memory, for what the worker does next."""
+        self.words.clear()
+        self.pieces.clear()
+
     def replay(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
         coded = [word.encode() for word in words]
@@ -272,5 +277,6 @@ def _encoded(
                 yield pa.RecordBatch.from_arrays(
                     [*(part[k] for k in keep), *rows(replay, encoded)], schema=schema
                 )
+        replay.forget()
 
     return picked.mapInArrow(run, result)
