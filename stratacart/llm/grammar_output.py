@@ -48,8 +48,8 @@ MIN_COUNT = 128
 #: A round of replacements goes on to another if it shortens the sequence by this part.
 MIN_GAIN = 0.002
 BLOCK_BYTES = 1 << 20
-#: Pieces in the younger of the two dictionaries that a Python worker remembers.
-REMEMBERED = 200_000
+#: Pieces in the younger of the two dictionaries that a task remembers.
+REMEMBERED = 150_000
 #: Unknown pieces that the library gets as one text.
 JOINED = 256
 STEP = 256
@@ -80,6 +80,10 @@ class WordEncoder:
         self.pieces: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Give back the memory, for what the worker does next."""
+        self.pieces, self.earlier = {}, {}
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
@@ -304,6 +308,7 @@ def write_shards(
                 yield pa.RecordBatch.from_arrays(
                     [part, piece["doc_id"], ids], names=["part", "doc_id", "ids"]
                 )
+        encoder.forget()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, size = -1, 0, 0
