@@ -26,6 +26,9 @@ from stratacart.llm.queries import BYTE_RANKS, LEXICON, MIX
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The part of all tokens that the mixture keeps, whatever its cells are.
+KEEP_SHARE = 0.66
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -58,8 +61,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with raked shares of sources, languages and topics."""
-    return mixing.mixed(docs, LEXICON, **MIX).where("kept").select(*COLUMNS)
+    """A sample of ``KEEP_SHARE`` of the tokens, with raked shares of sources, languages and
+    topics; what is too rare for its share is kept whole."""
+    mixed = mixing.mixed(docs, LEXICON, **MIX, keep_share=KEEP_SHARE)
+    return mixed.where("kept").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ every topic come to their target share, until ``ROUNDS`` are over. A document is
 probability in proportion to its cell's weight, scaled so that the largest is 1: the kept
 tokens have the raked shares in expectation, and no document is repeated.
 
+The rarest cell then decides how much of all others stays. With ``keep_share`` the scale is set
+by a budget instead: probabilities are the least of 1 and a multiple of the weight, by which
+that share of all tokens is kept in expectation. Cells at 1 are kept whole and stay below their
+raked share, since nothing is repeated; the others keep their proportions.
+
 A cell's weight is a product of one factor per source, language and topic. A source's factor
 follows from the others in its own row, so a round is one Spark job over a row per source,
 and the driver holds no more than the table of languages by topics (``MAX_TABLE`` cells).
@@ -17,6 +22,7 @@ Results per row:
 
 * a null source, language or topic is a category like others; a null id is drawn as one;
 * a null or empty text has no tokens; a source without any token is never kept;
+* with ``keep_share`` beyond the tokens of all cells of a weight, those are kept whole;
 * shares to the power 0 ask for equal shares, 1 for the corpus's own;
 * repeated ids are drawn together; an empty table gives an empty table;
 * the columns of the input stay; those with the name of an added one are replaced.
@@ -75,12 +81,43 @@ def _targets(totals: Mapping, power: float) -> dict:
     return {k: v / whole if whole else 0.0 for k, v in raised.items()}
 
 
+def scale_of(weights: DataFrame, keep_share: float) -> float:
+    """The multiple of ``weight`` whose probabilities, at most 1, keep ``keep_share`` of the
+    tokens ``n`` in expectation.
+
+    The kept tokens are concave and piecewise linear in the multiple, so Newton's steps from 0
+    rise to it and end at its piece. A step is one sum over the cells, none of which is moved.
+    """
+    total = weights.agg(F.sum("n")).head()[0] or 0
+    weight = F.col("weight")
+    scale, before = 0.0, -1
+    while True:
+        capped = weight * F.lit(scale) >= 1.0
+        found = (
+            weights.where("n > 0 AND weight > 0")
+            .agg(
+                F.count(F.when(capped, True)).alias("cells"),
+                F.sum(F.when(capped, F.col("n"))).alias("whole"),
+                F.sum(F.when(~capped, F.col("n") * weight)).alias("free"),
+                F.max(F.when(~capped, 1.0 / weight)).alias("last"),
+            )
+            .head()
+        )
+        if not found["free"] or found["cells"] == before:
+            return scale
+        before = found["cells"]
+        wanted = (keep_share * total - (found["whole"] or 0)) / found["free"]
+        # Where even the lightest cell is kept whole there is nothing more to keep.
+        scale = max(scale, min(wanted, found["last"]))
+
+
 def raked_weights(
     cells: DataFrame,
     source_power: float,
     lang_power: float,
     topic_power: float,
     rounds: int = ROUNDS,
+    keep_share: float | None = None,
 ) -> DataFrame:
     """source, lang, topic and probability, from the tokens ``n`` of each cell."""
     cells = stored(cells, "cells")
@@ -174,8 +211,12 @@ def raked_weights(
         ),
         "weights",
     )
-    largest = named.where("n > 0").agg(F.max("weight")).head()[0] or 1.0
-    probability = F.when(F.col("n") > 0, F.col("weight") / F.lit(largest)).otherwise(0.0)
+    if keep_share is None:
+        largest = named.where("n > 0").agg(F.max("weight")).head()[0] or 1.0
+        scaled = F.col("weight") / F.lit(largest)
+    else:
+        scaled = F.least(F.lit(1.0), F.col("weight") * F.lit(scale_of(named, keep_share)))
+    probability = F.when(F.col("n") > 0, scaled).otherwise(0.0)
     return named.select("source", "lang", "topic", probability.alias("probability"))
 
 
@@ -195,8 +236,9 @@ def mixed(
     seed: int = 0,
     key: str = "doc_id",
     text: str = "text",
+    keep_share: float | None = None,
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability and kept."""
+    """``docs`` with topic, n_tokens, probability and kept; see above for ``keep_share``."""
     added = ("topic", "n_tokens", "probability", "kept")
     mine = F.struct(*[docs[c] for c in docs.columns if c not in added])
     marked = docs.select(
@@ -205,9 +247,9 @@ def mixed(
         F.coalesce(token_count(docs[text]), F.lit(0)).alias("n_tokens"),
     )
     cells = marked.groupBy("mine.source", "mine.lang", "topic").agg(F.sum("n_tokens").alias("n"))
-    weights = raked_weights(cells, source_power, lang_power, topic_power).select(
-        F.struct("source", "lang", "topic").alias("cell"), "probability"
-    )
+    weights = raked_weights(
+        cells, source_power, lang_power, topic_power, keep_share=keep_share
+    ).select(F.struct("source", "lang", "topic").alias("cell"), "probability")
     # No hint: a row per cell, which Spark broadcasts if it is small and else splits hot keys.
     joined = marked.join(
         weights,

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from stratacart.llm.mixing import draw, mixed, raked_weights, topic_of
+from stratacart.llm.mixing import draw, mixed, raked_weights, scale_of, topic_of
 
 LEXICON = {"a": ["x", "y"], "b": ["z"]}
 POWERS = {"source_power": 0.5, "lang_power": 0.8, "topic_power": 0.0}
@@ -109,3 +110,39 @@ def test_topics_and_draws(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixed(table(spark, rows_of(20)), LEXICON, **POWERS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_rare_source_does_not_shrink_the_others(spark):
+    docs = table(spark, rows_of(600))
+    rare = docs.union(table(spark, [(-1, "z", "rare", "en", "")]))
+    kept = []
+    for t in (docs, rare):
+        found = mixed(t, LEXICON, **POWERS, keep_share=0.6).collect()
+        expected = sum(r.probability * r.n_tokens for r in found)
+        assert abs(expected / sum(r.n_tokens for r in found) - 0.6) < 1e-9
+        assert max(r.probability for r in found) <= 1.0
+        kept.append(sum(r.kept for r in found if r.source != "rare") / 600)
+    assert abs(kept[0] - kept[1]) < 0.05 and min(kept) > 0.5
+    assert [r.kept for r in found if r.source == "rare"] == [True]
+
+
+def test_scale_of_the_budget(spark):
+    cells = [("s", "l", f"t{i}", 2.0**-i, 10 + i) for i in range(12)] + [("s", "l", "t", 0.0, 7)]
+    weights = spark.createDataFrame(
+        cells, "source string, lang string, topic string, weight double, n long"
+    )
+    whole = sum(n for *_, n in cells)
+    for share in (0.01, 0.3, 0.9):
+        scale = scale_of(weights, share)
+        assert abs(sum(n * min(1.0, scale * w) for *_, w, n in cells) / whole - share) < 1e-9
+    assert scale_of(weights, 1.0) * 2.0**-11 == 1.0
+    assert scale_of(weights.limit(0), 0.5) == 0.0
+
+
+def test_the_pipeline_keeps_its_share(spark):
+    rows = [(i, t, s, k, 0) for i, t, s, k, _ in rows_of(600)] + [(-1, "z", "rare", "en", 0)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, lang string, n_chars long"
+    )
+    kept = corpus_pipeline.mixture(spark, docs, "").count()
+    assert abs(kept / len(rows) - corpus_pipeline.KEEP_SHARE) < 0.08
