@@ -63,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of ``KEEP_SHARE`` of the tokens, with raked shares of sources, languages and
     topics; what is too rare for its share is kept whole."""
-    mixed = mixing.mixed(docs, LEXICON, **MIX, keep_share=KEEP_SHARE)
+    mixed = mixing.mixed(docs, LEXICON, **MIX, keep_share=KEEP_SHARE, by_words=True)
     return mixed.where("kept").select(*COLUMNS)
 
 

@@ -11,6 +11,11 @@ by a budget instead: probabilities are the least of 1 and a multiple of the weig
 that share of all tokens is kept in expectation. Cells at 1 are kept whole and stay below their
 raked share, since nothing is repeated; the others keep their proportions.
 
+Words and tokens are pieces between single spaces in the text as it stands, and a word takes
+the space that the next one needs. With ``by_words`` words are lower-cased runs of letters and
+digits, and tokens runs of other than white space, so that line ends, punctuation, capitals and
+repeated words count alike.
+
 A cell's weight is a product of one factor per source, language and topic. A source's factor
 follows from the others in its own row, so a round is one Spark job over a row per source,
 and the driver holds no more than the table of languages by topics (``MAX_TABLE`` cells).
@@ -40,6 +45,9 @@ from stratacart.llm.common import stored
 ROUNDS = 25
 MAX_TABLE = 10_000
 DRAW_BITS = 52
+#: What parts words, and what a token is where words are counted, in any script.
+NOT_A_WORD = "[^\\p{L}\\p{M}\\p{N}]+"
+RUN = "(?U)\\S+"
 
 
 def count_of(text: Column, word: str) -> Column:
@@ -74,6 +82,46 @@ def token_count(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, spaces + 1).otherwise(0).cast("long")
 
 
+def topic_of_words(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
+    """``topic_of`` by words whatever their case and whatever parts them: all but letters,
+    their marks and digits. The text is cut once, and what no topic has is left out first."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD)
+    topics = {topic: [w.lower() for w in own] for topic, own in sorted(lexicon.items())}
+
+    def among(found: Column, own: Sequence[str]) -> Column:
+        return F.filter(found, lambda w: w.isin(list(own)))
+
+    known = among(words, sorted(set().union(*topics.values())))
+
+    def most(found: Column) -> Column:
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(
+                        F.size(among(found, own)).alias("n"),
+                        F.lit(-i).alias("order"),
+                        F.lit(topic).alias("topic"),
+                    )
+                    for i, (topic, own) in enumerate(topics.items())
+                ]
+            )
+        )
+
+    # As an array of one, so that the words are found once for all topics.
+    best = F.get(F.transform(F.array(known), most), F.lit(0))
+    return F.get(
+        F.transform(
+            F.array(best), lambda m: F.when(m["n"] > 0, m["topic"]).otherwise(F.lit("other"))
+        ),
+        F.lit(0),
+    )
+
+
+def run_count(text: Column) -> Column:
+    """Runs of other than white space in the text."""
+    return F.regexp_count(text, F.lit(RUN)).cast("long")
+
+
 def _targets(totals: Mapping, power: float) -> dict:
     """Shares in proportion to the totals to ``power``; nothing for categories without tokens."""
     raised = {k: float(v) ** power if v else 0.0 for k, v in totals.items()}
@@ -237,14 +285,17 @@ def mixed(
     key: str = "doc_id",
     text: str = "text",
     keep_share: float | None = None,
+    by_words: bool = False,
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability and kept; see above for ``keep_share``."""
+    """``docs`` with topic, n_tokens, probability and kept; see above for ``keep_share`` and
+    ``by_words``."""
+    topic, size = (topic_of_words, run_count) if by_words else (topic_of, token_count)
     added = ("topic", "n_tokens", "probability", "kept")
     mine = F.struct(*[docs[c] for c in docs.columns if c not in added])
     marked = docs.select(
         mine.alias("mine"),
-        topic_of(docs[text], lexicon).alias("topic"),
-        F.coalesce(token_count(docs[text]), F.lit(0)).alias("n_tokens"),
+        topic(docs[text], lexicon).alias("topic"),
+        F.coalesce(size(docs[text]), F.lit(0)).alias("n_tokens"),
     )
     cells = marked.groupBy("mine.source", "mine.lang", "topic").agg(F.sum("n_tokens").alias("n"))
     weights = raked_weights(

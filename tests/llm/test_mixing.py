@@ -5,7 +5,15 @@ import random
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from stratacart.llm.mixing import draw, mixed, raked_weights, scale_of, topic_of
+from stratacart.llm.mixing import (
+    draw,
+    mixed,
+    raked_weights,
+    run_count,
+    scale_of,
+    topic_of,
+    topic_of_words,
+)
 
 LEXICON = {"a": ["x", "y"], "b": ["z"]}
 POWERS = {"source_power": 0.5, "lang_power": 0.8, "topic_power": 0.0}
@@ -146,3 +154,31 @@ def test_the_pipeline_keeps_its_share(spark):
     )
     kept = corpus_pipeline.mixture(spark, docs, "").count()
     assert abs(kept / len(rows) - corpus_pipeline.KEEP_SHARE) < 0.08
+
+
+def test_words_and_tokens_by_words(spark):
+    texts = [
+        ("x", "a", 1), ("Z, z!\nz z\tx", "b", 5), ("z z z x y", "b", 5), ("x\n\nx\nz", "a", 3),
+        ("xx éx x\u0301 _", "other", 4), ("(X)", "a", 1), ("x z", "a", 2), (" \n ", "other", 0),
+        ("", "other", 0), (None, "other", None), ("z\u00a0z\u3000x", "b", 3),
+    ]
+    rows = spark.createDataFrame([(t,) for t, _, _ in texts], "text string").select(
+        topic_of_words(F.col("text"), LEXICON), run_count(F.col("text"))
+    )
+    assert [tuple(r) for r in rows.collect()] == [(topic, n) for _, topic, n in texts]
+
+
+def test_the_pipeline_counts_words(spark, monkeypatch):
+    """A word per line: topics and tokens are seen, and the margins are those of the words."""
+    seen = []
+    whole = corpus_pipeline.mixing.mixed
+    monkeypatch.setattr(
+        corpus_pipeline.mixing, "mixed", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1]
+    )
+    docs = spark.createDataFrame(
+        [(1, "He\nsaw\nYOU.", "en", "s", 11), (2, "in in from", "en", "s", 10)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    corpus_pipeline.mixture(spark, docs, "")
+    found = {r.doc_id: (r.topic, r.n_tokens) for r in seen[0].collect()}
+    assert found == {1: ("people", 3), 2: ("place", 3)}
