@@ -216,7 +216,8 @@ def _licence_sql() -> str:
 
 @query(_licence_sql())
 def op6_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), licences.NOTICES, percent=80)
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.NOTICES, percent=80, bodies=licences.BODIES)
 
 
 @query()

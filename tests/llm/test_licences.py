@@ -2,8 +2,19 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 
-from stratacart.llm.licences import NOTICES, anchors, bigrams_of, scan, size_bounds
+from stratacart.llm.licences import (
+    BODIES,
+    NOTICES,
+    anchors,
+    bigrams_of,
+    fewest_words,
+    scan,
+    size_bounds,
+    words_of,
+)
+from stratacart.llm.queries import QUERIES
 
 
 def brute(text: str | None, templates: dict[str, str], percent: int) -> tuple:
@@ -71,3 +82,43 @@ def test_one_projection(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def wrapped(body: str, width: int, mark: str) -> str:
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(body.split()), width))
+
+
+def test_wrapped_bodies_are_found(spark, tmp_path):
+    prose = "He saw the river in the morning, and it was cold.\n\n"
+    rows = []
+    for i, (width, mark) in enumerate(((60, ""), (72, " * "), (10_000, "# "))):
+        for j, body in enumerate(BODIES.values()):
+            rows.append((100 * i + j, prose * 5 + wrapped(body, width, mark) + "\n\n" + prose * 3))
+    both = wrapped(BODIES["MIT"], 70, "") + "\n" + prose * 4 + wrapped(BODIES["Zlib"], 70, "")
+    half = " ".join(BODIES["MIT"].split()[:80])
+    rows += [(900, both), (901, half), (902, prose * 2000), (903, None), (904, NOTICES["MIT"])]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    query = QUERIES["op6_licence_dice"](spark, folder)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    found = {r.doc_id: (r.licence, r.dice, r.n_hits) for r in query.collect()}
+    for i in range(3):
+        for j, name in enumerate(BODIES):
+            assert found[100 * i + j][0] == name, (i, name, found[100 * i + j])
+            assert found[100 * i + j][1] > 0.95 and found[100 * i + j][2] >= 1
+    assert found[900][2] == 2 and found[900][0] in ("MIT", "Zlib")
+    assert found[901] == found[902] == found[903] == (None, None, 0)
+    assert found[904] == ("MIT", 1.0, 1)
+
+
+def test_bounds_of_bodies_lose_nothing():
+    rng = random.Random(7)
+    for body in BODIES.values():
+        own = bigrams_of(body)
+        for _ in range(100):
+            kept = rng.sample(own, size_bounds(len(own), 80)[0])
+            present = {w for pair in kept for w in pair.split(" ")}
+            assert len(present & set(words_of(body))) >= fewest_words(body, 80)
