@@ -15,6 +15,7 @@ from stratacart.llm import (
     licences,
     line_dedup,
     merge_replay,
+    merkle,
     mixing,
     ngram_join,
     subspace_join,
@@ -268,3 +269,83 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+#: crc32 of the decimal id: a step of eight bits for each of its characters.
+_CRC32_SQL = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda v, bit: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = {"doc_id": "doc_id", "source": "source", "lang": "lang", "n_chars": n_chars, "text": "text"}
+    marked = [f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values.values()]
+    return f"sha256({' || '.join(marked)})"
+
+
+@query(
+    f"""
+    WITH RECURSIVE hashed AS (
+        SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+               CASE WHEN {_CRC32_SQL} % 7 = 0 THEN {_leaf_sql("n_chars + 1")}
+                    ELSE {_leaf_sql("n_chars")} END AS other
+        FROM documents
+    ), leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+        FROM hashed
+    ), nodes AS (
+        SELECT lang, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+        UNION ALL
+        SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)),
+               (any_value(n) + 1) // 2
+        FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2
+    ), subroots AS (
+        SELECT lang, level AS levels, digest AS subroot,
+               row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+        FROM nodes WHERE n = 1
+    ), tops AS (
+        SELECT 0 AS level, tree AS pos, subroot AS digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2
+        FROM tops WHERE n > 1 GROUP BY level, pos // 2
+    ), below AS (
+        SELECT doc_id, lang, leaf, 0 AS level, pos, other AS folded, '' AS siblings, levels, tree, subroot
+        FROM leaves JOIN subroots USING (lang)
+        UNION ALL
+        SELECT doc_id, w.lang, leaf, w.level + 1, w.pos // 2,
+               sha256(CASE WHEN w.pos % 2 = 0 THEN folded || coalesce(digest, '')
+                           ELSE digest || folded END),
+               siblings || coalesce(digest, ''), levels, tree, subroot
+        FROM below w LEFT JOIN nodes n
+          ON n.lang = w.lang AND n.level = w.level AND n.pos = xor(w.pos, 1)
+        WHERE w.level < w.levels
+    ), above AS (
+        SELECT doc_id, leaf, 0 AS level, tree AS pos, folded, siblings, subroot
+        FROM below WHERE level = levels
+        UNION ALL
+        SELECT doc_id, leaf, w.level + 1, w.pos // 2,
+               sha256(CASE WHEN w.pos % 2 = 0 THEN folded || coalesce(digest, '')
+                           ELSE digest || folded END),
+               siblings || coalesce(digest, ''), subroot
+        FROM above w LEFT JOIN tops n ON n.level = w.level AND n.pos = xor(w.pos, 1)
+        WHERE w.level < (SELECT max(level) FROM tops)
+    )
+    SELECT doc_id, leaf, subroot, r.digest AS root, sha256(siblings) AS proof_sha256,
+           folded AS folded_root, folded = r.digest AS verified
+    FROM above JOIN (SELECT digest, level AS top FROM tops WHERE n = 1) r ON level = top
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has a checksum that 7 divides claim one character more than they have."""
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(struck, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2("siblings", 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
