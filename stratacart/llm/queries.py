@@ -12,6 +12,7 @@ from stratacart.llm import (
     factor_machine,
     fingerprints,
     grammar_output,
+    lexical,
     licences,
     line_dedup,
     merge_replay,
@@ -271,6 +272,48 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    f"""
+    WITH wanted AS (
+        SELECT item, item_id, term, count(*) AS repeats
+        FROM (SELECT rowid_ AS item, item_id, unnest({_TERMS_SQL}) AS term
+              FROM (SELECT *, row_number() OVER () AS rowid_ FROM benchmark))
+        GROUP BY ALL
+    ), cut AS (
+        SELECT doc_id, {_TERMS_SQL} AS terms FROM documents
+    ), whole AS (
+        SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_all FROM cut WHERE len(terms) > 0
+    ), counted AS (
+        SELECT doc_id, len(terms)::BIGINT AS n, term, count(*)::BIGINT AS tf
+        FROM (SELECT doc_id, terms, unnest(terms) AS term FROM cut)
+        WHERE term IN (SELECT term FROM wanted)
+        GROUP BY doc_id, len(terms), term
+    ), weighted AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM counted, whole GROUP BY term
+    ), scored AS (
+        SELECT item, item_id, doc_id,
+               sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))))::BIGINT
+                   AS score
+        FROM wanted JOIN counted USING (term) JOIN weighted USING (term), whole
+        GROUP BY item, item_id, doc_id
+    )
+    SELECT item_id, doc_id, score,
+           row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """
+)
+def op12_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(
+        table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=20
+    )
+
+
 #: crc32 of the decimal id: a step of eight bits for each of its characters.
 _CRC32_SQL = """xor(4294967295, list_reduce(
     list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
