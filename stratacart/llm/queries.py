@@ -15,6 +15,7 @@ from stratacart.llm import (
     lexical,
     licences,
     line_dedup,
+    main_text,
     merge_replay,
     merkle,
     mixing,
@@ -272,6 +273,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op11_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 _TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
