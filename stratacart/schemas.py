@@ -1,8 +1,7 @@
 """Names, types and keys of the bronze, silver and gold tables.
 
 A field type is a Spark SQL type name or ``KEY``, which stands for the type of
-the identifiers: ``int`` unless the caller asks for ``bigint``, which any data
-set with more than 2**31 rows in a table needs.
+the identifiers: ``bigint`` unless the caller asks for ``int``.
 """
 
 from __future__ import annotations
@@ -95,6 +94,16 @@ SILVER: dict[str, Fields] = {
     ),
 }
 
+# The column of each silver table that no two of its rows share.
+SILVER_KEYS = {
+    "dim_customers": "customer_id",
+    "dim_products": "product_id",
+    "dim_date": "date_key",
+    "fact_orders": "order_id",
+    "fact_order_items": "order_item_id",
+    "fact_reviews": "review_id",
+}
+
 #: Silver tables the datamarts read; dim_date serves outside tools only.
 GOLD_INPUTS = ("fact_orders", "fact_order_items", "fact_reviews", "dim_products", "dim_customers")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -48,13 +50,24 @@ def any_file(spark: SparkSession, path: str) -> str | None:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Create or replace the file ``path``; for what fits the driver's memory."""
+    """Create the file ``path``; for what fits the driver's memory.
+
+    It is written beside and then renamed, so whoever sees it sees it whole. A file that is
+    there already is an error: what must change gets a new name.
+    """
     fs, hadoop_path = _resolve(spark, path)
-    stream = fs.create(hadoop_path)
+    if fs.exists(hadoop_path):
+        raise FileExistsError(path)
+    parent, name = hadoop_path.getParent(), hadoop_path.getName()
+    draft = spark._jvm.org.apache.hadoop.fs.Path(parent, f".{name}.{uuid.uuid4().hex}")
+    stream = fs.create(draft)
     try:
         stream.write(bytearray(data))
     finally:
         stream.close()
+    if not fs.rename(draft, hadoop_path):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:

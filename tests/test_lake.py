@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from conftest import DAY, NEXT_DAY
@@ -101,8 +101,9 @@ def test_silver_files_are_not_tiny(spark, tmp_path):
         *[F.lit(1).alias(n) for n in ("day", "week", "quarter")],
     )
     lake.write_silver(rows, str(tmp_path), "dim_date", DAY)
-    leaf = lake.leaf_path(str(tmp_path), "dim_date", lake.SILVER_PARTITION, DAY)
-    assert len([n for n in files.child_files(spark, leaf) if n.endswith(".parquet")]) < 8
+    run = lake.day_state(spark, str(tmp_path), DAY).runs["dim_date"]
+    folder = lake.run_path(str(tmp_path), "dim_date", DAY, run)
+    assert len([n for n in files.child_files(spark, folder) if n.endswith(".parquet")]) < 8
 
 
 def test_bronze_reads_one_leaf_without_partition_columns(spark, tmp_path):
@@ -114,6 +115,92 @@ def test_bronze_reads_one_leaf_without_partition_columns(spark, tmp_path):
     assert all("year=2024/month=1/day=31" in path for path in df.inputFiles())
 
 
+def test_records_are_folded_in_order(spark, tmp_path, dates_table):
+    root = str(tmp_path)
+    for n in range(4):
+        lake.write_silver(dates_table(*([ONE] * (n + 1))), root, "dim_date", DAY)
+        lake.write_silver(dates_table(TWO), root, "fact_reviews", DAY)
+    state = lake.day_state(spark, root, DAY)
+    assert set(state.runs) == {"dim_date", "fact_reviews"} and not state.tables
+    assert len(keys(lake.read_silver(spark, root, "dim_date", DAY))) == 4
+    assert lake.history(spark, root) == [state]
+    leaf = lake.leaf_path(root, "dim_date", lake.SILVER_PARTITION, DAY)
+    assert len(files.child_folders(spark, leaf)) == 2
+
+
+def test_old_records_are_cleared(spark, tmp_path, dates_table):
+    root = str(tmp_path)
+    for _ in range(5):
+        run = lake.new_run()
+        lake.stage_silver(dates_table(ONE), root, "dim_date", DAY, run)
+        lake.commit_day(spark, root, DAY, {"dim_date": run}, tables=["dim_date"])
+    assert len(lake.record_names(spark, root)) == 2
+    assert lake.day_record(spark, root, DAY).runs == {"dim_date": run}
+
+
+def test_a_broken_record_is_named(spark, tmp_path, dates_table):
+    root = str(tmp_path)
+    for text in (b"", b"[1]"):
+        files.write_bytes(spark, f"{root}/_days/{lake.RecordName(DAY, lake._stamp()).file}", text)
+        with pytest.raises(ValueError, match="no record of a day"):
+            lake.day_state(spark, root, DAY)
+
+
+def test_a_record_cleared_while_it_is_read(spark, tmp_path, dates_table, monkeypatch):
+    root, read = str(tmp_path), files.read_bytes
+    lake.write_silver(dates_table(ONE), root, "dim_date", DAY)
+    gone = lake.record_names(spark, root)[0]
+
+    def cleared(spark_, path):
+        if files.exists(spark, f"{root}/_days/{gone.file}"):
+            lake.write_silver.__globals__["files"].delete(spark, f"{root}/_days/{gone.file}")
+            files.write_bytes(
+                spark, f"{root}/_days/{lake.RecordName(DAY, lake._stamp()).file}", b'{"runs": {}}'
+            )
+        return read(spark_, path)
+
+    monkeypatch.setattr(files, "read_bytes", cleared)
+    assert lake.day_state(spark, root, DAY).runs == {}
+
+
+def test_a_table_that_was_not_written_is_named(spark, tmp_path, dates_table):
+    lake.write_silver(dates_table(ONE), str(tmp_path), "dim_date", DAY)
+    with pytest.raises(ValueError, match="no fact_orders of 2024-01-31"):
+        lake.read_silver(spark, str(tmp_path), "fact_orders", DAY)
+
+
+def test_files_are_not_rewritten(spark, tmp_path):
+    files.write_bytes(spark, str(tmp_path / "x"), b"one")
+    with pytest.raises(FileExistsError):
+        files.write_bytes(spark, str(tmp_path / "x"), b"two")
+    assert files.read_bytes(spark, str(tmp_path / "x")) == b"one"
+
+
+def test_newest_of_each_key(spark, tmp_path, dates_table):
+    root, days = str(tmp_path), [date(2024, 1, n) for n in (1, 2, 3)]
+    rows = [[(ONE, 1), (TWO, 1), (None, 1)], [(ONE, 2), (None, 2)], [(TWO, 3)]]
+    for day, part in zip(days, rows, strict=True):
+        df = spark.createDataFrame(
+            [(k, v, 1, 1, 1, 1) for k, v in part], ddl(SILVER["dim_date"])
+        )
+        lake.write_silver(df, root, "dim_date", day)
+        lake.commit_day(spark, root, day, tables=["dim_date"], full=False)
+
+    def seen(day=None):
+        df = lake.read_silver(spark, root, "dim_date", lake.AsOf(day))
+        return {r.date_key: r.year for r in df.collect()}
+
+    assert seen(days[0]) == {ONE: 1, TWO: 1, None: 1}
+    assert seen(days[1]) == {ONE: 2, TWO: 1, None: 2}
+    assert seen() == seen(days[2]) == {ONE: 2, TWO: 3, None: 2}
+    lake.commit_day(spark, root, days[1], full=True)
+    assert seen() == {ONE: 2, None: 2, TWO: 3}
+    lake.begin_day(spark, root, days[2])
+    assert seen() == {ONE: 2, None: 2}
+    with pytest.raises(ValueError, match="complete"):
+        seen(date(2023, 1, 1))
+
+
 def test_unknown_snapshot(spark, tmp_path):
     with pytest.raises(ValueError, match="snapshot"):
         lake.read_silver(spark, str(tmp_path), "dim_date", "yesterday")
@@ -162,6 +249,88 @@ def test_catalog(spark, tmp_path, dates_table, database, executed_plan):
     assert keys(lake.read_silver(spark, root, "dim_date", DAY)) == [ONE]
 
 
+def test_repair_touches_what_is_new(spark, tmp_path, dates_table, database, monkeypatch):
+    """Days that the catalog has already seen are neither listed nor read again."""
+    root, days = str(tmp_path), [date(2023, 12, n) for n in range(1, 6)]
+    for day in days:
+        lake.write_silver(dates_table(ONE), root, "dim_date", day)
+    catalog.register_table(spark, database, "dim_date", root)
+    assert catalog.repair_partitions(spark, database, "dim_date") == days
+    monkeypatch.setattr(catalog, "_CLOCKS", timedelta(0))
+    lake.write_silver(dates_table(ONE, TWO), root, "dim_date", days[1])
+    lake.write_silver(dates_table(TWO), root, "dim_date", DAY)
+    listed, child = [], files.child_folders
+    monkeypatch.setattr(files, "child_folders", lambda s, p: listed.append(p) or child(s, p))
+    changed = catalog.repair_partitions(spark, database, "dim_date")
+    assert set(changed) - {days[-1]} == {days[1], DAY} and listed == []
+    table = spark.table(f"{database}.dim_date")
+    assert table.where("ingest_day = 2").count() == 2 and table.count() == 7
+    assert spark.sql(f"SHOW PARTITIONS {database}.dim_date").count() == 6
+
+
+def test_partitions_of_a_rerun_move(spark, tmp_path, dates_table, database):
+    root = str(tmp_path)
+    lake.write_silver(dates_table(ONE), root, "dim_date", DAY)
+    catalog.register_table(spark, database, "dim_date", root)
+    catalog.repair_partitions(spark, database, "dim_date")
+    lake.write_silver(dates_table(TWO), root, "dim_date", DAY)
+    assert keys(spark.table(f"{database}.dim_date")) == [ONE]
+    catalog.repair_partitions(spark, database, "dim_date")
+    assert keys(spark.table(f"{database}.dim_date")) == [TWO]
+
+
+def reviews(spark, *ids):
+    rows = [(1, 1, i, 5, ONE) for i in ids]
+    return spark.createDataFrame(rows, ddl(SILVER["fact_reviews"], "bigint"))
+
+
+def test_an_older_declaration_follows(spark, tmp_path, database):
+    """Registered as int at one root, then as bigint at another."""
+    roots = [str(tmp_path / n) for n in "ab"]
+    for root in roots:
+        lake.write_silver(reviews(spark, 1, 3_000_000_000), root, "fact_reviews", DAY)
+        lake.complete_day(spark, root, DAY, ["fact_reviews"])
+    small = spark.createDataFrame([(1, 1, 7, 5, ONE)], ddl(SILVER["fact_reviews"], "int"))
+    lake.write_silver(small, roots[0], "fact_reviews", DAY)
+    for root, kind, ids in (
+        (roots[0], "int", [7]),
+        (roots[0], "bigint", [7]),
+        (roots[1], "bigint", [1, 3_000_000_000]),
+        (roots[1], "bigint", [1, 3_000_000_000]),
+    ):
+        catalog.register_table(spark, database, "fact_reviews", root, kind)
+        catalog.repair_partitions(spark, database, "fact_reviews")
+        found = catalog.read_table(spark, database, "fact_reviews", DAY)
+        assert dict(found.dtypes)["review_id"] == kind
+        assert sorted(r.review_id for r in found.collect()) == ids
+        assert catalog.silver_root(spark, database, "fact_reviews").endswith(root)
+    there = catalog.declared(spark, database, "fact_reviews")
+    assert there.columns[0] == ("customer_id", "bigint") and there.kind == "EXTERNAL"
+    assert there.partition == lake.SILVER_PARTITION
+
+
+def test_new_columns_are_added_in_place(spark, tmp_path, database):
+    fields = ", ".join(f"{n} INT" for n in lake.SILVER_PARTITION)
+    spark.sql(
+        f"CREATE TABLE {database}.dim_date (date_key DATE, year INT, {fields}) USING parquet "
+        f"PARTITIONED BY ({', '.join(lake.SILVER_PARTITION)}) LOCATION '{tmp_path}/dim_date'"
+    )
+    spark.sql(f"ALTER TABLE {database}.dim_date SET TBLPROPERTIES ('own' = 'kept')")
+    catalog.register_table(spark, database, "dim_date", str(tmp_path))
+    assert catalog.declared(spark, database, "dim_date").columns == SILVER["dim_date"]
+    kept = spark.sql(f"SHOW TBLPROPERTIES {database}.dim_date ('own')").head()
+    assert kept["value"] == "kept"
+
+
+def test_what_is_no_external_table_is_left_alone(spark, tmp_path, database):
+    spark.range(2).write.saveAsTable(f"{database}.dim_date")
+    spark.sql(f"CREATE VIEW {database}.fact_orders AS SELECT 1 AS x")
+    for table in ("dim_date", "fact_orders"):
+        with pytest.raises(ValueError, match=f"{table} is no external"):
+            catalog.register_table(spark, database, table, str(tmp_path))
+    assert spark.table(f"{database}.dim_date").count() == 2
+
+
 def test_register_silver_twice_and_use(spark, tmp_path, database):
     root = str(tmp_path)
     for table in SILVER:
