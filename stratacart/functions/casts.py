@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from stratacart.schemas import Fields, spark_type
 
@@ -65,13 +65,15 @@ def to_date_lenient(column: Column) -> Column:
     return F.try_to_date(column)
 
 
-def cast_fields(df: DataFrame, fields: Fields, key_type: str = "bigint") -> DataFrame:
-    """Select ``fields`` from ``df`` by name, each in its type.
+def cast_columns(
+    schema: StructType, fields: Fields, key_type: str = "bigint"
+) -> dict[str, Column]:
+    """The columns of ``fields`` over a frame of ``schema``, each in its type.
 
     Strings go through the casts above. Sources that bring their own types (JDBC)
     are cast from those; a number outside the target's range becomes NULL.
     """
-    schema, selected = df.schema, []
+    selected = {}
     for name, kind in fields:
         target = spark_type(kind, key_type)
         column = F.col(name)
@@ -86,5 +88,10 @@ def cast_fields(df: DataFrame, fields: Fields, key_type: str = "bigint") -> Data
                 column = to_int(column) if target == "int" else to_bigint(column)
             else:
                 column = column.try_cast(target)
-        selected.append(column.alias(name))
-    return df.select(*selected)
+        selected[name] = column.alias(name)
+    return selected
+
+
+def cast_fields(df: DataFrame, fields: Fields, key_type: str = "bigint") -> DataFrame:
+    """Select ``fields`` from ``df`` by name, each in its type; see ``cast_columns``."""
+    return df.select(*cast_columns(df.schema, fields, key_type).values())

@@ -13,6 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from stratacart.operators.aggregates import product_sales
+from stratacart.operators.counts import OUT, RowCounts
 from stratacart.plans import gold, silver
 from stratacart.schemas import BRONZE, GOLD_INPUTS, SILVER, columns
 from stratacart.session import warn_unless_skew_is_split
@@ -67,74 +68,140 @@ def run_silver(
     day: date,
     key_type: str = "bigint",
     salt: int = 1,
+    changes: bool = False,
 ) -> None:
     """Build the six silver tables of ``day``, replacing what that day had.
 
-    The day's record is taken back first and written last, so that a run that fails on the
-    way, the first or a later one, leaves no half-done day to be read as the latest. Every
-    table is written once and read back by those that depend on it, so all agree on the same
-    rows and nothing is computed twice.
+    Everything is written to folders of a new run, and one record then points the day at all
+    six: readers see the day as it was before or as it is after, and a run that fails leaves
+    it as it was. Every table is written once and read back by those that depend on it, so all
+    agree on the same rows and nothing is computed twice.
+
+    ``changes`` says that the raw tables hold only rows that are new or have changed since the
+    days before. Keys are then checked against the parents as of this day, and the day is to
+    be read by ``AsOf``.
+
+    The record also has how many rows each rule let through, counted as they pass.
     """
+    run = lake.new_run()
+    counts = {table: RowCounts() for table in SILVER}
 
     def raw(table: str) -> DataFrame:
         return lake.read_bronze(spark, bronze_root, table, day)
 
     def store(df: DataFrame, table: str) -> DataFrame:
-        lake.write_silver(df, silver_root, table, day)
-        return lake.read_silver(spark, silver_root, table, day, key_type)
+        lake.stage_silver(counts[table](df, OUT), silver_root, table, day, run)
+        return lake.read_staged(spark, silver_root, table, day, run, key_type)
+
+    def parent(df: DataFrame, table: str) -> DataFrame:
+        if not changes:
+            return df
+        return lake.read_with_changes(spark, silver_root, table, day, run, key_type)
+
+    def built(table: str, source: str, *parents: DataFrame) -> DataFrame:
+        build = getattr(silver, table)
+        extra = (salt,) if parents else ()
+        df = build(raw(source), *parents, key_type, *extra, counts=counts[table])
+        return store(df, table)
 
     with _logged("silver"):
         warn_unless_skew_is_split(spark, salt)
-        lake.begin_day(spark, silver_root, day)
-        customers, products = _side_by_side(
-            spark,
-            lambda: store(silver.dim_customers(raw("customers"), key_type), "dim_customers"),
-            lambda: store(silver.dim_products(raw("products"), key_type), "dim_products"),
-        )
-        orders, _ = _side_by_side(
-            spark,
-            lambda: store(
-                silver.fact_orders(raw("orders"), customers, key_type, salt), "fact_orders"
-            ),
-            lambda: store(
-                silver.fact_reviews(
-                    raw("product_reviews"), products, customers, key_type, salt
+        try:
+            customers, products = _side_by_side(
+                spark,
+                lambda: parent(built("dim_customers", "customers"), "dim_customers"),
+                lambda: parent(built("dim_products", "products"), "dim_products"),
+            )
+            orders, _ = _side_by_side(
+                spark,
+                lambda: built("fact_orders", "orders", customers),
+                lambda: built("fact_reviews", "product_reviews", products, customers),
+            )
+            _side_by_side(
+                spark,
+                lambda: built(
+                    "fact_order_items", "order_items", parent(orders, "fact_orders"), products
                 ),
-                "fact_reviews",
-            ),
-        )
-        _side_by_side(
-            spark,
-            lambda: store(
-                silver.fact_order_items(raw("order_items"), orders, products, key_type, salt),
-                "fact_order_items",
-            ),
-            lambda: store(silver.dim_date(orders), "dim_date"),
-        )
-        lake.complete_day(spark, silver_root, day, list(SILVER), unique_ids=True)
+                lambda: store(silver.dim_date(orders), "dim_date"),
+            )
+            lake.commit_day(
+                spark,
+                silver_root,
+                day,
+                dict.fromkeys(SILVER, run),
+                tables=list(SILVER),
+                unique_ids=True,
+                full=not changes,
+                counts={t: c.dropped() for t, c in counts.items()},
+            )
+        except BaseException:
+            lake.drop_staged(spark, silver_root, day, run)
+            raise
+
+
+def compact_silver(
+    spark: SparkSession, silver_root: str, day: date, key_type: str = "bigint"
+) -> None:
+    """Write the snapshot as of ``day`` as that day's tables, so that later snapshots start
+    there instead of at the first day of changes. What is read as of any day stays the same."""
+    with _logged("compaction"):
+        pinned = lake.pin(spark, silver_root, lake.AsOf(day), list(SILVER))
+        if pinned[-1].day != day:
+            raise ValueError(f"{day} is not complete in {silver_root}")
+        run = lake.new_run()
+        try:
+            for table in SILVER:
+                df = lake.read_pinned(spark, silver_root, table, pinned, key_type)
+                lake.stage_silver(df, silver_root, table, day, run)
+            lake.commit_day(
+                spark,
+                silver_root,
+                day,
+                dict.fromkeys(SILVER, run),
+                tables=list(SILVER),
+                unique_ids=all(r.unique_ids for r in pinned),
+                full=True,
+            )
+        except BaseException:
+            lake.drop_staged(spark, silver_root, day, run)
+            raise
+
+
+def _run_names() -> str:
+    return f"run-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
 
 
 class ParquetSink:
     """Store each datamart in a folder of its own, a new one per run.
 
-    Readers follow the file ``_current``, which ``commit`` points to the new run when all
-    datamarts are there, so they change at once and a failed run changes nothing. The run
-    before stays for those who still read it; older ones are deleted.
+    ``commit`` marks the run as whole when all datamarts are there, by an empty file that
+    appears at once; readers take the newest run with that mark, so the datamarts change
+    together and a failed run changes nothing. The run before stays for those who still read
+    it; older ones are deleted.
     """
 
     def __init__(self, root: str) -> None:
         self.root = root.rstrip("/")
-        self.run = f"run-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+        self.run = _run_names()
 
     def __call__(self, df: DataFrame, table: str) -> None:
         df.write.parquet(f"{self.root}/{self.run}/{table}")
 
     def commit(self, spark: SparkSession) -> None:
-        files.write_bytes(spark, f"{self.root}/_current", self.run.encode())
-        runs = [n for n in files.child_folders(spark, self.root) if n.startswith("run-")]
-        for old in sorted(runs)[:-2]:
+        files.write_bytes(spark, f"{self.root}/{_MARKS}/{self.run}", b"")
+        for old in _marked_runs(spark, self.root)[:-2]:
+            files.delete(spark, f"{self.root}/{_MARKS}/{old}")
             files.delete(spark, f"{self.root}/{old}")
-        self.run = f"run-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+        self.run = _run_names()
+
+
+#: Folder below a ``ParquetSink`` with an empty file per whole run.
+_MARKS = "_whole"
+
+
+def _marked_runs(spark: SparkSession, root: str) -> list[str]:
+    names = files.child_files(spark, f"{root}/{_MARKS}")
+    return sorted(n for n in names if n.startswith("run-"))
 
 
 def parquet_sink(root: str) -> ParquetSink:
@@ -143,17 +210,94 @@ def parquet_sink(root: str) -> ParquetSink:
 
 def read_gold(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A datamart of the last run that a ``ParquetSink`` committed."""
-    run = files.read_bytes(spark, f"{root.rstrip('/')}/_current").decode()
-    return spark.read.parquet(f"{root.rstrip('/')}/{run}/{table}")
+    root = root.rstrip("/")
+    runs = _marked_runs(spark, root)
+    if not runs:
+        raise ValueError(f"no run of the datamarts is complete in {root}")
+    return spark.read.parquet(f"{root}/{runs[-1]}/{table}")
 
 
-def table_sink(database: str) -> Sink:
-    """Store each datamart as a table of the catalog."""
+class TableSink:
+    """Publish each datamart in the catalog, as a view of a table that its run has written.
 
-    def write(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").saveAsTable(f"`{database}`.`{table}`")
+    Tables of a new run are filled first; ``commit`` then turns the views to them, one
+    statement each. If one fails, those turned before are turned back, so that the datamarts
+    stay those of one run. A table of an earlier version that has a datamart's own name is
+    kept under another one. The run before stays for those who still read it.
+    """
 
-    return write
+    def __init__(self, database: str) -> None:
+        self.database = database
+        self.run = self._new()
+        self.tables: list[str] = []
+
+    @staticmethod
+    def _new() -> str:
+        return _run_names().replace("-", "_").lower()
+
+    def _name(self, table: str) -> str:
+        return f"`{self.database}`.`{table}`"
+
+    def __call__(self, df: DataFrame, table: str) -> None:
+        df.write.mode("errorifexists").saveAsTable(self._name(f"{table}__{self.run}"))
+        self.tables.append(table)
+
+    def _turn(self, spark: SparkSession, table: str, run: str) -> None:
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {self._name(table)} AS "
+            f"SELECT * FROM {self._name(f'{table}__{run}')}"
+        )
+
+    def _runs(self, spark: SparkSession) -> dict[str, list[str]]:
+        """The runs of each datamart that have a table, oldest first."""
+        found: dict[str, list[str]] = {t: [] for t in self.tables}
+        for shown in spark.catalog.listTables(self.database):
+            table, mark, run = shown.name.rpartition("__")
+            if mark and table in found:
+                found[table].append(run)
+        return {t: sorted(runs) for t, runs in found.items()}
+
+    def _shown(self, spark: SparkSession, table: str) -> str | None:
+        """The run that the datamart's view is of."""
+        if not spark.catalog.tableExists(self._name(table)):
+            return None
+        text = spark.sql(f"SHOW CREATE TABLE {self._name(table)}").head()[0]
+        return text.rpartition(f"{table}__")[2].strip("`; \n)")
+
+    def commit(self, spark: SparkSession) -> None:
+        kinds = {t.name: t.tableType for t in spark.catalog.listTables(self.database)}
+        for table in self.tables:
+            if kinds.get(table, "VIEW") != "VIEW":
+                before = f"{table}__run_0before_{self.run}"
+                spark.sql(f"ALTER TABLE {self._name(table)} RENAME TO {self._name(before)}")
+                self._turn(spark, table, before.partition("__")[2])
+        shown = {table: self._shown(spark, table) for table in self.tables}
+        turned: list[str] = []
+        try:
+            for table in self.tables:
+                turned.append(table)
+                self._turn(spark, table, self.run)
+        except BaseException:
+            for table in turned:
+                if shown[table] is None:
+                    spark.sql(f"DROP VIEW IF EXISTS {self._name(table)}")
+                else:
+                    self._turn(spark, table, shown[table])
+            raise
+        for table, runs in self._runs(spark).items():
+            for old in set(runs) - {self.run, shown[table]}:
+                spark.sql(f"DROP TABLE IF EXISTS {self._name(f'{table}__{old}')}")
+        self.run, self.tables = self._new(), []
+
+    def abandon(self, spark: SparkSession) -> None:
+        """Drop what a run that failed has written."""
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {self._name(f'{table}__{self.run}')}")
+        self.run, self.tables = self._new(), []
+
+
+def table_sink(database: str) -> TableSink:
+    return TableSink(database)
 
 
 def jdbc_sink(url: str, schema: str, **how) -> Sink:
@@ -173,6 +317,16 @@ def jdbc_sink(url: str, schema: str, **how) -> Sink:
     return write
 
 
+def _pinned(
+    spark: SparkSession, root: str | None, database: str | None, snapshot: lake.Snapshot
+):
+    """The silver root, and what of it is read whatever is committed meanwhile."""
+    if (root is None) == (database is None):
+        raise ValueError("give either the silver root folder or the database")
+    home = root or catalog.silver_root(spark, database, GOLD_INPUTS[0])
+    return home, lake.pin(spark, home, snapshot)
+
+
 def read_gold_inputs(
     spark: SparkSession,
     *,
@@ -181,16 +335,15 @@ def read_gold_inputs(
     snapshot: lake.Snapshot = lake.LATEST,
     key_type: str = "bigint",
 ) -> dict[str, DataFrame]:
-    """The silver tables the datamarts need, all as of the same ingest date."""
-    if (root is None) == (database is None):
-        raise ValueError("give either the silver root folder or the database")
-    if root is not None:
-        if snapshot == lake.LATEST:
-            snapshot = lake.latest_snapshot(spark, root)
-        return {t: lake.read_silver(spark, root, t, snapshot, key_type) for t in GOLD_INPUTS}
-    if snapshot == lake.LATEST:
-        snapshot = catalog.latest_snapshot(spark, database)
-    return {t: catalog.read_table(spark, database, t, snapshot) for t in GOLD_INPUTS}
+    """The silver tables the datamarts need, all of the same snapshot and of the same runs.
+
+    Of a database the declared types and the folder are taken; the runs come from the records,
+    since the catalog's partitions change one by one.
+    """
+    home, pinned = _pinned(spark, root, database, snapshot)
+    if database is not None:
+        key_type = catalog.key_type_of(spark, database, GOLD_INPUTS[0])
+    return {t: lake.read_pinned(spark, home, t, pinned, key_type) for t in GOLD_INPUTS}
 
 
 def datamarts(
@@ -232,19 +385,15 @@ def run_gold(
     default the day's record tells whether that is so.
     """
     with _logged("gold"):
-        if (root is None) == (database is None):
-            raise ValueError("give either the silver root folder or the database")
-        home = root or catalog.silver_root(spark, database, GOLD_INPUTS[0])
-        if snapshot == lake.LATEST:
-            snapshot = lake.latest_snapshot(spark, home)
-        inputs = read_gold_inputs(
-            spark, root=root, database=database, snapshot=snapshot, key_type=key_type
-        )
+        home, pinned = _pinned(spark, root, database, snapshot)
+        if database is not None:
+            key_type = catalog.key_type_of(spark, database, GOLD_INPUTS[0])
         if unique_ids and snapshot == lake.ALL:
             raise ValueError("ids repeat across ingest dates: unique_ids needs one date")
         if unique_ids is None:
-            record = None if snapshot == lake.ALL else lake.day_record(spark, home, snapshot)
-            unique_ids = record is not None and record.unique_ids
+            records = [pinned] if isinstance(pinned, lake.DayRecord) else pinned
+            unique_ids = not isinstance(pinned, list) and all(r.unique_ids for r in records)
+        inputs = {t: lake.read_pinned(spark, home, t, pinned, key_type) for t in GOLD_INPUTS}
         sales, folder = materialize(
             product_sales(inputs["fact_order_items"]), "product-sales"
         )
@@ -253,5 +402,9 @@ def run_gold(
             _side_by_side(spark, *(partial(sink, df, table) for table, df in marts.items()))
             if commit := getattr(sink, "commit", None):
                 commit(spark)
+        except BaseException:
+            if abandon := getattr(sink, "abandon", None):
+                abandon(spark)
+            raise
         finally:
             discard(spark, folder)

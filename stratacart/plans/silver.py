@@ -2,6 +2,8 @@
 
 The order of the steps is part of the result: a row that fails a filter cannot win
 its duplicate group, and a winner without a valid foreign key takes its key with it.
+
+``counts`` sees the rows as they pass between the steps; see ``operators.counts``.
 """
 
 from __future__ import annotations
@@ -9,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.functions.casts import cast_fields
+from stratacart.functions.casts import cast_columns, cast_fields
 from stratacart.functions.scalars import date_parts, line_amount
+from stratacart.operators.counts import DISTINCT, FILTERED, IN, Counted, uncounted
 from stratacart.operators.joins import fk_enrich, fk_filter
 from stratacart.operators.quality import (
     dedup_by_key,
@@ -22,34 +25,67 @@ from stratacart.operators.quality import (
 from stratacart.schemas import BRONZE, SILVER, columns
 
 
+_RAW = "__raw_"
+
+
+def _cast(df: DataFrame, source: str, key_type: str, counts: Counted) -> DataFrame:
+    """The typed columns of a raw table; what could not be cast is counted on the way."""
+    fields = BRONZE[source]
+    if counts is uncounted:
+        return cast_fields(df, fields, key_type)
+    typed = cast_columns(df.schema, fields, key_type)
+    both = df.select(*typed.values(), *(F.col(n).alias(_RAW + n) for n in typed))
+    lost = {
+        f"bad_{n}": F.col(n).isNull() & F.col(_RAW + n).isNotNull()
+        for n, kind in fields
+        if kind != "string"
+    }
+    return counts(both, IN, lost).select(*typed)
+
+
 def _in_written_order(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns(SILVER[table]))
 
 
-def dim_customers(customers: DataFrame, key_type: str = "bigint") -> DataFrame:
+def dim_customers(
+    customers: DataFrame, key_type: str = "bigint", *, counts: Counted = uncounted
+) -> DataFrame:
     return (
-        customers.transform(cast_fields, BRONZE["customers"], key_type)
+        customers.transform(_cast, "customers", key_type, counts)
         .transform(require_key, "customer_id")
+        .transform(counts, FILTERED)
         .transform(dedup_by_key, "customer_id")
+        .transform(counts, DISTINCT)
     )
 
 
-def dim_products(products: DataFrame, key_type: str = "bigint") -> DataFrame:
+def dim_products(
+    products: DataFrame, key_type: str = "bigint", *, counts: Counted = uncounted
+) -> DataFrame:
     return (
-        products.transform(cast_fields, BRONZE["products"], key_type)
+        products.transform(_cast, "products", key_type, counts)
         .transform(require_key, "product_id")
+        .transform(counts, FILTERED)
         .transform(dedup_by_key, "product_id")
+        .transform(counts, DISTINCT)
     )
 
 
 def fact_orders(
-    orders: DataFrame, customers: DataFrame, key_type: str = "bigint", salt: int = 1
+    orders: DataFrame,
+    customers: DataFrame,
+    key_type: str = "bigint",
+    salt: int = 1,
+    *,
+    counts: Counted = uncounted,
 ) -> DataFrame:
     """Orders with a positive amount and a known customer; ``customers`` is dim_customers."""
     return (
-        orders.transform(cast_fields, BRONZE["orders"], key_type)
+        orders.transform(_cast, "orders", key_type, counts)
         .transform(require_positive, "total_amount")
+        .transform(counts, FILTERED)
         .transform(dedup_by_key, "order_id")
+        .transform(counts, DISTINCT)
         .transform(fk_filter, customers, "customer_id", salt)
         .transform(_in_written_order, "fact_orders")
     )
@@ -61,6 +97,8 @@ def fact_order_items(
     products: DataFrame,
     key_type: str = "bigint",
     salt: int = 1,
+    *,
+    counts: Counted = uncounted,
 ) -> DataFrame:
     """Items of known orders and products, dated by their order; ``orders`` is fact_orders
     and ``products`` dim_products.
@@ -69,9 +107,11 @@ def fact_order_items(
     broadcast, and then fewer rows travel to the join with orders.
     """
     return (
-        items.transform(cast_fields, BRONZE["order_items"], key_type)
+        items.transform(_cast, "order_items", key_type, counts)
         .transform(require_positive, "quantity", "unit_price")
+        .transform(counts, FILTERED)
         .transform(dedup_by_key, "order_item_id")
+        .transform(counts, DISTINCT)
         .transform(fk_filter, products, "product_id", salt)
         .transform(fk_enrich, orders, "order_id", "order_date", salt=salt)
         .withColumn("line_amount", line_amount(F.col("quantity"), F.col("unit_price")))
@@ -85,12 +125,16 @@ def fact_reviews(
     customers: DataFrame,
     key_type: str = "bigint",
     salt: int = 1,
+    *,
+    counts: Counted = uncounted,
 ) -> DataFrame:
     """Reviews rated 1 to 5 of known products by known customers."""
     return (
-        reviews.transform(cast_fields, BRONZE["product_reviews"], key_type)
+        reviews.transform(_cast, "product_reviews", key_type, counts)
         .transform(require_between, "rating", 1, 5)
+        .transform(counts, FILTERED)
         .transform(dedup_by_key, "review_id")
+        .transform(counts, DISTINCT)
         .transform(fk_filter, products, "product_id", salt)
         .transform(fk_filter, customers, "customer_id", salt)
         .transform(_in_written_order, "fact_reviews")

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import logging
+import shutil
+from datetime import date
+from pathlib import Path
 
 import pytest
 from conftest import DAY, NEXT_DAY
 from oracles import adapter
 from pyspark.sql import functions as F
 
-from stratacart.plans import jobs
+from stratacart.operators.counts import RowCounts
+from stratacart.plans import jobs, silver
 from stratacart.schemas import GOLD, SILVER
 from stratacart.session import open_session, shuffle_partitions_for, skew_is_split
 from stratacart.sources import catalog, files, lake
@@ -75,6 +79,79 @@ def test_sinks(spark, lakehouse, tmp_path):
     spark.sql("DROP DATABASE marts_test CASCADE")
 
 
+@pytest.fixture
+def marts_database(spark):
+    spark.sql("CREATE DATABASE marts_switch")
+    yield "marts_switch"
+    spark.sql("DROP DATABASE marts_switch CASCADE")
+
+
+class Broken(jobs.TableSink):
+    """Fails at one datamart, with one row in the others."""
+
+    def __call__(self, df, table):
+        if table == "dm_stock_performance":
+            raise RuntimeError("no room")
+        super().__call__(df.limit(1), table)
+
+
+def shown(spark, database):
+    return {t: rows(spark.table(f"{database}.{t}")) for t in GOLD}
+
+
+def run_tables(spark, database):
+    return sorted(t.name for t in spark.catalog.listTables(database) if "__" in t.name)
+
+
+def test_tables_are_published_together(spark, lakehouse, marts_database):
+    sink = jobs.table_sink(marts_database)
+    jobs.run_gold(spark, sink, database="lakehouse")
+    first, tables = shown(spark, marts_database), run_tables(spark, marts_database)
+    assert len(tables) == len(GOLD)
+    with pytest.raises(RuntimeError, match="no room"):
+        jobs.run_gold(spark, Broken(marts_database), database="lakehouse")
+    assert shown(spark, marts_database) == first
+    assert run_tables(spark, marts_database) == tables
+    for _ in range(2):
+        jobs.run_gold(spark, sink, database="lakehouse")
+        assert shown(spark, marts_database) == first
+        assert len(run_tables(spark, marts_database)) == 2 * len(GOLD)
+
+
+def test_a_switch_that_fails_is_turned_back(spark, lakehouse, marts_database, monkeypatch):
+    jobs.run_gold(spark, jobs.table_sink(marts_database), database="lakehouse")
+    first = shown(spark, marts_database)
+
+    class Stuck(jobs.TableSink):
+        turns = 0
+
+        def __call__(self, df, table):
+            super().__call__(df.limit(1), table)
+
+        def _turn(self, spark, table, run):
+            self.turns += run == self.run
+            if self.turns == 4 and run == self.run:
+                raise RuntimeError("catalog is away")
+            super()._turn(spark, table, run)
+
+    with pytest.raises(RuntimeError, match="away"):
+        jobs.run_gold(spark, Stuck(marts_database), database="lakehouse")
+    assert shown(spark, marts_database) == first
+
+
+def test_a_table_of_the_same_name_is_kept(spark, lakehouse, marts_database):
+    spark.range(3).write.saveAsTable(f"{marts_database}.dm_sales_daily")
+    jobs.run_gold(spark, jobs.table_sink(marts_database), database="lakehouse")
+    assert "date" in spark.table(f"{marts_database}.dm_sales_daily").columns
+    kept = [n for n in run_tables(spark, marts_database) if "0before" in n]
+    assert [spark.table(f"{marts_database}.{n}").count() for n in kept] == [3]
+
+
+def test_gold_of_no_run_is_named(spark, tmp_path):
+    with pytest.raises(ValueError, match="no run of the datamarts"):
+        jobs.read_gold(spark, str(tmp_path), "dm_sales_daily")
+
+
 def test_intermediate_is_discarded(spark, lakehouse):
     base = spark.conf.get("spark.checkpoint.dir")
     before = files.child_folders(spark, base)
@@ -121,25 +198,192 @@ def test_a_failed_run_publishes_nothing(spark, lakehouse, tmp_path):
     assert rows(jobs.read_gold(spark, str(tmp_path), "dm_sales_daily")) == before
 
 
-def test_a_failing_rerun_takes_its_day_back(spark, lakehouse, tmp_path, monkeypatch):
-    root = str(tmp_path / "silver")
+@pytest.fixture
+def two_days(spark, lakehouse, tmp_path):
+    """Bronze and silver of two days with equal content."""
     for day in (DAY, NEXT_DAY):
         jobs.run_bronze(
             {t: lake.read_bronze(spark, f"{lakehouse}/bronze", t, DAY) for t in adapter.BRONZE},
             str(tmp_path / "bronze"),
             day,
         )
-        jobs.run_silver(spark, str(tmp_path / "bronze"), root, day)
-    assert lake.latest_snapshot(spark, root) == NEXT_DAY
-    assert lake.day_record(spark, root, NEXT_DAY).unique_ids
+        jobs.run_silver(spark, str(tmp_path / "bronze"), str(tmp_path / "silver"), day)
+    return str(tmp_path / "bronze"), str(tmp_path / "silver")
+
+
+def folders(root, day):
+    year, month, day_no = day.year, day.month, day.day
+    leaf = f"ingest_year={year}/ingest_month={month}/ingest_day={day_no}"
+    return {t: sorted(p.name for p in Path(root, t, leaf).iterdir()) for t in SILVER}
+
 
-    def broken(*_):
+def test_a_failing_rerun_leaves_its_day(spark, two_days, monkeypatch):
+    bronze, root = two_days
+    before, there = lake.day_record(spark, root, NEXT_DAY), folders(root, NEXT_DAY)
+    assert before.unique_ids and set(before.runs) == set(SILVER)
+
+    def broken(*_, **__):
         raise RuntimeError("stopped")
 
     monkeypatch.setattr(jobs.silver, "fact_order_items", broken)
     with pytest.raises(RuntimeError, match="stopped"):
-        jobs.run_silver(spark, str(tmp_path / "bronze"), root, NEXT_DAY)
-    assert lake.latest_snapshot(spark, root) == DAY
+        jobs.run_silver(spark, bronze, root, NEXT_DAY)
+    assert lake.day_record(spark, root, NEXT_DAY) == before
+    assert lake.latest_snapshot(spark, root) == NEXT_DAY
+    assert folders(root, NEXT_DAY) == there
+
+
+def test_readers_see_one_run_before_during_and_after(spark, two_days, monkeypatch):
+    """All six tables change by one record, and the run before can still be read."""
+    bronze, root = two_days
+    old = {t: lake.read_silver(spark, root, t, NEXT_DAY) for t in SILVER}
+    sizes = {t: df.count() for t, df in old.items()}
+    few = {t: lake.read_bronze(spark, bronze, t, DAY).limit(60) for t in adapter.BRONZE}
+    jobs.run_bronze(few, bronze, NEXT_DAY)
+    during, commit = [], lake.commit_day
+
+    def watched(*args, **kwargs):
+        during.append({t: lake.read_silver(spark, root, t, NEXT_DAY).count() for t in SILVER})
+        commit(*args, **kwargs)
+        during.append({t: lake.read_silver(spark, root, t, NEXT_DAY).count() for t in SILVER})
+
+    monkeypatch.setattr(lake, "commit_day", watched)
+    jobs.run_silver(spark, bronze, root, NEXT_DAY)
+    assert during[0] == sizes and during[1] != sizes
+    assert during[1]["dim_customers"] <= 60 < sizes["dim_customers"]
+    assert {t: df.count() for t, df in old.items()} == sizes
+    assert all(len(runs) == 2 for runs in folders(root, NEXT_DAY).values())
+    jobs.run_silver(spark, bronze, root, NEXT_DAY)
+    assert all(len(runs) == 2 for runs in folders(root, NEXT_DAY).values())
+
+
+def test_gold_reads_one_run_whatever_is_committed_meanwhile(spark, two_days):
+    bronze, root = two_days
+    inputs = jobs.read_gold_inputs(spark, root=root)
+    sizes = {t: df.count() for t, df in inputs.items()}
+    jobs.run_bronze(
+        {t: lake.read_bronze(spark, bronze, t, DAY).limit(10) for t in adapter.BRONZE},
+        bronze,
+        NEXT_DAY,
+    )
+    jobs.run_silver(spark, bronze, root, NEXT_DAY)
+    assert {t: df.count() for t, df in inputs.items()} == sizes
+
+
+def test_counts_of_the_rules_add_up(spark, two_days):
+    bronze, root = two_days
+    counts = lake.day_record(spark, root, NEXT_DAY).counts
+    for table, source in (
+        ("dim_customers", "customers"), ("dim_products", "products"), ("fact_orders", "orders"),
+        ("fact_order_items", "order_items"), ("fact_reviews", "product_reviews"),
+    ):
+        found = counts[table]
+        assert found["in"] == lake.read_bronze(spark, bronze, source, DAY).count()
+        assert found["out"] == lake.read_silver(spark, root, table, DAY).count()
+        lost = found["filtered"] + found["duplicate"] + found["orphan"]
+        assert found["in"] - lost == found["out"] and min(found.values()) >= 0
+    assert counts["fact_orders"]["bad_order_id"] > 0
+    assert counts["dim_date"] == {"out": lake.read_silver(spark, root, "dim_date").count()}
+
+
+def test_counting_adds_no_pass(spark, two_days):
+    """The plan that writes reads the raw table once, whether rows are counted or not."""
+    bronze, _ = two_days
+    raw = lake.read_bronze(spark, bronze, "customers", DAY)
+    counts = RowCounts()
+    counted = counts(silver.dim_customers(raw, counts=counts), "out")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1
+
+
+def test_counts_where_a_join_turns_out_empty(spark):
+    orders = spark.createDataFrame(
+        [("1", "1", "2024-01-01", "5", "a", "b"), ("x", "1", "zz", "-5", "a", "b")],
+        "order_id string, customer_id string, order_date string, total_amount string, "
+        "payment_method string, shipping_country string",
+    )
+    none = spark.createDataFrame([], "customer_id bigint")
+    counts = RowCounts()
+    counts(silver.fact_orders(orders, none, counts=counts), "out").collect()
+    found = counts.dropped()
+    assert (found["in"], found["filtered"], found["orphan"], found["out"]) == (2, 1, 1, 0)
+    assert (found["bad_order_id"], found["bad_order_date"]) == (1, 1)
+
+
+# Days of changes.
+
+
+def changes_bronze(spark, root):
+    """Day one has most orders, some with another amount; day two what is new or changed."""
+    tables = {t: make(spark, "/root/testdata/sf0.001") for t, make in adapter.BRONZE.items()}
+    order = F.col("order_id").cast("long")
+    wrong = F.when(order % 5 == 0, F.lit("1.5")).otherwise(F.col("total_amount"))
+    one = tables | {
+        "orders": tables["orders"].where(order % 3 != 0).withColumn("total_amount", wrong),
+        "order_items": tables["order_items"].where(order % 3 != 0),
+    }
+    two = {
+        "customers": tables["customers"].limit(0),
+        "products": tables["products"].limit(0),
+        "orders": tables["orders"].where((order % 3 == 0) | (order % 5 == 0)),
+        "order_items": tables["order_items"].where(order % 3 == 0),
+        "product_reviews": tables["product_reviews"].limit(0),
+    }
+    for day, parts in ((DAY, one), (NEXT_DAY, two)):
+        jobs.run_bronze(parts, root, day)
+    return tables
+
+
+@pytest.fixture(scope="module")
+def changes(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("changes"))
+    tables = changes_bronze(spark, f"{root}/bronze")
+    jobs.run_silver(spark, f"{root}/bronze", f"{root}/silver", DAY)
+    jobs.run_silver(spark, f"{root}/bronze", f"{root}/silver", NEXT_DAY, changes=True)
+    jobs.run_bronze(tables, f"{root}/bronze-whole", DAY)
+    jobs.run_silver(spark, f"{root}/bronze-whole", f"{root}/whole", DAY)
+    return root
+
+
+def test_changes_add_up_to_the_whole(spark, changes):
+    for table in SILVER:
+        as_of = lake.read_silver(spark, f"{changes}/silver", table, lake.AsOf())
+        assert rows(as_of) == rows(lake.read_silver(spark, f"{changes}/whole", table)), table
+        first = lake.read_silver(spark, f"{changes}/silver", table, lake.AsOf(DAY))
+        assert rows(first) == rows(lake.read_silver(spark, f"{changes}/silver", table, DAY))
+    marts, whole = {}, {}
+    jobs.run_gold(spark, collect_sink(marts), root=f"{changes}/silver", snapshot=lake.AsOf())
+    jobs.run_gold(spark, collect_sink(whole), root=f"{changes}/whole")
+    assert marts == whole
+    catalog.register_silver(spark, "changes_test", f"{changes}/silver")
+    by_catalog = catalog.read_table(spark, "changes_test", "fact_orders", lake.AsOf())
+    assert rows(by_catalog) == rows(lake.read_silver(spark, f"{changes}/whole", "fact_orders"))
+    spark.sql("DROP DATABASE changes_test CASCADE")
+
+
+def test_changes_read_by_one_group_limit(spark, changes):
+    as_of = lake.read_silver(spark, f"{changes}/silver", "fact_orders", lake.AsOf())
+    plan = as_of._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 1
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_compaction_keeps_the_snapshots(spark, changes, tmp_path):
+    root = str(tmp_path / "silver")
+    shutil.copytree(f"{changes}/silver", root)
+    before = {t: rows(lake.read_silver(spark, root, t, lake.AsOf())) for t in SILVER}
+    jobs.compact_silver(spark, root, NEXT_DAY)
+    record = lake.day_record(spark, root, NEXT_DAY)
+    assert record.full and record.unique_ids
+    for table in SILVER:
+        assert rows(lake.read_silver(spark, root, table, lake.AsOf())) == before[table]
+        assert rows(lake.read_silver(spark, root, table, NEXT_DAY)) == before[table]
+        first = lake.read_silver(spark, root, table, lake.AsOf(DAY))
+        assert rows(first) == rows(lake.read_silver(spark, root, table, DAY))
+    files_read = lake.read_silver(spark, root, "fact_orders", lake.AsOf()).inputFiles()
+    assert all("ingest_day=1/" in f for f in files_read)
+    with pytest.raises(ValueError, match="not complete"):
+        jobs.compact_silver(spark, root, date(2030, 1, 1))
 
 
 def test_the_record_saves_the_distinct_counts(spark, lakehouse):
