@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+from stratacart.llm import merkle
+
+KIND = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    shown = (None if v is None else str(v) for v in row)
+    return h("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in shown))
+
+
+def levels(digests):
+    found = [digests]
+    while len(found[-1]) > 1:
+        last = found[-1]
+        found.append([h(*last[i : i + 2]) for i in range(0, len(last), 2)])
+    return found
+
+
+def up(tree, place, folded):
+    beside = ""
+    for level in tree[:-1]:
+        other = level[place ^ 1 : (place ^ 1) + 1]
+        folded = h(folded, *other) if place % 2 == 0 else h(*other, folded)
+        beside += "".join(other)
+        place //= 2
+    return beside, folded
+
+
+def brute(rows):
+    parts = {}
+    for row in rows:
+        parts.setdefault(row[2], []).append(row)
+    names = sorted(parts, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for name, own in parts.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[name] = levels([leaf(r) for r in own])
+    top = levels([trees[n][-1][0] for n in names])
+    found = []
+    for n, name in enumerate(names):
+        for place, row in enumerate(parts[name]):
+            changed = list(row)
+            if row[3] is not None and (row[0] or 0) % 3 == 0:
+                changed[3] += 1
+            below, subroot = up(trees[name], place, leaf(changed))
+            above, root = up(top, n, subroot)
+            found.append(
+                (row[0], name, leaf(row), trees[name][-1][0], top[-1][0], below + above, root)
+            )
+    return sorted(found, key=str)
+
+
+def claimed():
+    struck = F.coalesce("doc_id", F.lit(0)) % 3 == 0
+    return F.when(struck, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+
+
+def made(spark, rows, rungs):
+    df = spark.createDataFrame(rows, KIND)
+    found = merkle.manifest(df, claimed(), rungs=rungs)
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def some(n, langs):
+    return [(i * 7 % n, f"s{i % 3}", langs[i % len(langs)], i, f"text é {i}") for i in range(n)]
+
+
+@pytest.mark.parametrize("rungs", [1, 2, 8])
+@pytest.mark.parametrize("n", [1, 2, 5, 37])
+def test_equals_plain_trees(spark, rungs, n):
+    rows = some(n, ["en", None, "é", "de", "z"])
+    assert made(spark, rows, rungs) == brute(rows)
+
+
+def test_one_part_over_several_heights(spark):
+    rows = some(70, ["en"])
+    assert made(spark, rows, 2) == brute(rows)
+
+
+def test_many_parts(spark):
+    rows = some(60, [f"l{i}" for i in range(30)])
+    assert made(spark, rows, 2) == brute(rows)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (None, None, None, None, None), (None, None, None, None, None), (3, "s", "en", None, ""),
+        (3, "s", "en", 4, "a"), (3, "s", "en", 4, "a"), (6, "", "", 0, "x" * 100_000),
+    ]
+    assert made(spark, rows, 8) == brute(rows)
+
+
+def test_tampering_shows(spark):
+    rows = some(12, ["en", "de"])
+    for doc_id, _, _, _, root, _, folded in made(spark, rows, 8):
+        assert (folded == root) == (doc_id % 3 != 0)
+
+
+def test_empty_and_further_columns(spark):
+    df = spark.createDataFrame([(1, "s", "en", 1, "t", "x")], KIND + ", leaf string")
+    found = merkle.manifest(df, claimed()).collect()
+    assert [r.leaf for r in found] == [leaf((1, "s", "en", 1, "t"))]
+    assert merkle.manifest(df.limit(0), claimed()).count() == 0
+
+
+def test_the_limit_on_rows_of_recursion_is_restored(spark):
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name, None)
+    made(spark, some(5, ["en"]), 8)
+    assert spark.conf.get(name, None) == before

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import test_fingerprints
+import test_main_text
 import test_ngram_join
 import test_subspace_join
 import tiktoken
@@ -40,7 +41,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, docs):
@@ -113,6 +114,13 @@ def test_op9(spark, docs):
     assert got == sorted(test_ngram_join.brute(docs, 4, 85))
 
 
+def test_op11(spark, duck):
+    pages = duck.execute("SELECT page_id, url, html FROM pages").fetchall()
+    found = QUERIES["op11_tag_ratio_text"](spark, SF).collect()
+    texts = [(i, u, test_main_text.expected(h)) for i, u, h in pages]
+    assert sorted(map(tuple, found)) == sorted((i, u, t, len(t)) for i, u, t in texts)
+
+
 def test_pipeline(spark, duck, docs, tmp_path):
     """Each stage on what the one before has kept."""
     found = {}
