@@ -18,22 +18,25 @@ Results per row:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratacart.llm.common import Steps, shuffle_partitions
 
-#: Levels in one node row: it holds the digests of at most 2 ** RUNGS nodes and of those above.
-RUNGS = 8
-DIGEST_BYTES = 32
+#: Levels in one node row: it holds the digests of at most 2 ** RUNGS nodes and of those above,
+#: some 80 KB. Each step of the climb shuffles all leaves, so there should be few.
+RUNGS = 10
+#: Rows that one task may put in order.
+ONE_TASK = 1 << 16
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-#: Number of the tree over the subroots; those of the parts are counted from 0.
+#: The tree over the subroots; those of the parts go by the position of their first leaf.
 TOP_TREE = -1
 
 
@@ -87,6 +90,13 @@ def numbered(df: DataFrame, order: Sequence[str], steps: Steps, name: str) -> Da
     )
 
 
+def numbered_few(df: DataFrame, order: Sequence[str], steps: Steps, name: str) -> DataFrame:
+    """The same for a stored frame that mostly fits one task."""
+    if df.count() > ONE_TASK:
+        return numbered(df, order, steps, name)
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)) - F.lit(1))
+
+
 def node_name(tree: Column, height: int, number: Column) -> Column:
     return F.concat_ws("/", tree, F.lit(height), number)
 
@@ -123,15 +133,12 @@ def _climbed(leaves: DataFrame, sizes: DataFrame, height: int, rungs: int) -> Da
         .withColumn("rungs", F.when(more > 1, F.length(F.bin(more - 1))).otherwise(0))
         .withColumn("levels", F.expr(_LEVELS))
     )
-    joined = F.transform("levels", lambda level: F.unhex(F.array_join(
-        F.transform(level, F.hex), ""
-    )))
     return built.select(
         "tree",
         "row",
         "size",
         node_name(F.col("tree"), height, F.col("row")).alias("node"),
-        F.slice(joined, 1, F.col("rungs")).alias("beside"),
+        F.slice("levels", 1, F.col("rungs")).alias("beside"),
         F.element_at(F.element_at("levels", -1), 1).alias("top"),
     )
 
@@ -160,38 +167,37 @@ class Trees:
     def tops(self) -> DataFrame:
         """tree, top: one row per tree."""
         last = [h.where(F.col("size") <= 1 << self.rungs) for h in self.heights]
-        found = last[0]
-        for more in last[1:]:
-            found = found.union(more)
-        return found.select("tree", "top")
+        return reduce(DataFrame.union, last).select("tree", "top")
 
-    def nodes(self, parent: Column, place: Column) -> DataFrame:
+    def nodes(self, above: DataFrame | None) -> DataFrame:
         """Parent-linked rows: node, parent, place in the parent, the digests of its levels.
 
-        ``parent`` and ``place`` are those of a tree's last node row.
+        above: the number of each tree among the leaves of the top tree; None for that itself.
         """
+        low = (1 << self.rungs) - 1
         parts = []
         for height, rows in enumerate(self.heights):
-            done = F.col("size") <= 1 << self.rungs
             up = node_name(F.col("tree"), height + 1, F.shiftright("row", self.rungs))
-            slot = F.col("row").bitwiseAND((1 << self.rungs) - 1)
-            parts.append(
-                rows.select(
-                    "node",
-                    F.when(done, parent).otherwise(up).alias("parent"),
-                    F.when(done, place).otherwise(slot).cast("long").alias("place"),
-                    "beside",
-                )
+            done = F.col("size") <= 1 << self.rungs
+            inner = rows.where(~done).select(
+                "node", up.alias("parent"), F.col("row").bitwiseAND(low).alias("place"), "beside"
             )
-        found = parts[0]
-        for more in parts[1:]:
-            found = found.union(more)
-        return found
+            last = rows.where(done)
+            if above is None:
+                parent = F.lit(None).cast("string")
+                place = F.lit(None).cast("long")
+            else:
+                last = last.join(above, "tree")
+                parent = node_name(F.lit(TOP_TREE), 0, F.shiftright("above", self.rungs))
+                place = F.col("above").bitwiseAND(low).cast("long")
+            outer = last.select("node", parent.alias("parent"), place.alias("place"), "beside")
+            parts += [inner, outer]
+        return reduce(DataFrame.union, parts)
 
 
 #: One step up: the digests beside the way from ``place``, and the hash folded with them. At
 #: each level the other of the run stands at the place whose last bit differs, if it is there.
-_OTHER = f"substring(n.beside[rung], (way.place ^ 1) * {DIGEST_BYTES} + 1, {DIGEST_BYTES})"
+_OTHER = "coalesce(get(n.beside[rung], cast(way.place ^ 1 AS INT)), x'')"
 _STEP = f"""
 aggregate(
     if(size(n.beside) > 0, sequence(0, size(n.beside) - 1), array()),
@@ -208,45 +214,53 @@ aggregate(
 """
 
 
+#: For a recursive query over all leaves. Spark stops such a query at a number of rows, which
+#: would be a limit on the dataset; the steps are few, far below its limit on these. Between
+#: steps it deals all rows out anew, evenly, and has no need to cut the pieces smaller.
+_RECURSION = {
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "false",
+    "spark.sql.adaptive.localShuffleReader.enabled": "false",
+}
+
+
 @contextmanager
-def _endless_recursion(spark: SparkSession) -> Iterator[None]:
-    """Spark counts the rows of a recursive query and stops at a limit. Here each step gives a
-    row per leaf, so that the limit would be one on the size of the dataset; the number of
-    steps is that of node rows above each other, far below Spark's limit on it."""
-    name = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "-1")
+def _set(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def climb(leaves: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
-    """The last row of each leaf: leaf_no, folded, siblings.
+    """The last row of each leaf: key, tree, leaf, folded, siblings.
 
-    leaves: leaf_no, node, place, folded; nodes as of ``Trees.nodes``. The query runs here.
+    leaves: key, tree, leaf, node, place, folded; nodes as of ``Trees.nodes``. The query runs
+    here.
     """
-    spark = leaves.sparkSession
-    climbed = spark.sql(
+    climbed = leaves.sparkSession.sql(
         f"""
-        WITH RECURSIVE climb (leaf_no, node, place, folded, siblings) AS (
-            SELECT leaf_no, node, place, folded, CAST('' AS BINARY) FROM {{leaves}}
+        WITH RECURSIVE climb (key, tree, leaf, node, place, folded, siblings) AS (
+            SELECT key, tree, leaf, node, place, folded, x'' FROM {{leaves}}
             UNION ALL
-            SELECT leaf_no, parent, parent_place, way.folded, way.siblings FROM (
-                SELECT c.leaf_no, n.parent, n.place AS parent_place, {_STEP} AS way
+            SELECT key, tree, leaf, parent, parent_place, way.folded, way.siblings FROM (
+                SELECT c.key, c.tree, c.leaf, n.parent, n.place AS parent_place, {_STEP} AS way
                 FROM climb c JOIN {{nodes}} n ON c.node = n.node
             )
         )
-        SELECT leaf_no, folded, siblings FROM climb WHERE node IS NULL
+        SELECT key, tree, leaf, folded, siblings FROM climb WHERE node IS NULL
         """,
         leaves=leaves,
         nodes=nodes,
     )
-    with _endless_recursion(spark):
+    with _set(leaves.sparkSession, _RECURSION):
         return steps.store(climbed, "climbed")
 
 
@@ -274,24 +288,15 @@ def manifest(
         F.when(~tampered.eqNullSafe(F.col(changed)), leaf_hash(altered)).alias("other"),
     )
     leaves = numbered(hashed, ("part", "key", "leaf"), steps, "leaves")
-    found = leaves.groupBy("part").agg(
-        F.min("position").alias("first"), F.count(F.lit(1)).alias("size")
-    )
-    parts = numbered(found, ("part",), steps, "parts").withColumnRenamed("position", "tree")
-    named = parts.withColumnRenamed("part", "its_part")
-    placed = steps.store(
-        leaves.join(named, F.col("part").eqNullSafe(F.col("its_part"))).select(
-            F.col("position").alias("leaf_no"),
-            "key",
-            "part",
-            "tree",
-            (F.col("position") - F.col("first")).alias("number"),
-            "leaf",
-            F.coalesce("other", "leaf").alias("folded"),
+    parts = steps.store(
+        leaves.groupBy(F.col("part").alias("its_part")).agg(
+            F.min("position").alias("tree"), F.count(F.lit(1)).alias("size")
         ),
-        "placed",
+        "parts",
+    )
+    placed = leaves.join(parts, F.col("part").eqNullSafe(F.col("its_part"))).withColumn(
+        "number", F.col("position") - F.col("tree")
     )
-    low = F.col("number").bitwiseAND((1 << rungs) - 1)
 
     trees = Trees(
         placed.select("tree", "number", F.col("leaf").alias("digest")),
@@ -299,36 +304,35 @@ def manifest(
         steps,
         rungs,
     )
-    subroots = steps.store(trees.tops(), "subroots")
+    # Trees go by their first leaves, and so in the order of their parts.
+    subroots = numbered_few(steps.store(trees.tops(), "subroots"), ("tree",), steps, "roots")
+    above = subroots.select("tree", F.col("position").cast("long").alias("above"))
     roots = subroots.select(
         F.lit(TOP_TREE).cast("long").alias("tree"),
-        F.col("tree").alias("number"),
+        F.col("position").cast("long").alias("number"),
         F.col("top").alias("digest"),
     )
     top = Trees(roots, roots.groupBy("tree").agg(F.count(F.lit(1)).alias("size")), steps, rungs)
     last = top.tops().head()
 
-    first_row = node_name(F.lit(TOP_TREE), 0, F.shiftright("tree", rungs))
-    nodes = trees.nodes(first_row, F.col("tree").bitwiseAND((1 << rungs) - 1)).union(
-        top.nodes(F.lit(None).cast("string"), F.lit(None).cast("long"))
-    )
     ways = climb(
         placed.select(
-            "leaf_no",
+            "key",
+            "tree",
+            "leaf",
             node_name(F.col("tree"), 0, F.shiftright("number", rungs)).alias("node"),
-            low.cast("long").alias("place"),
-            "folded",
+            F.col("number").bitwiseAND((1 << rungs) - 1).alias("place"),
+            F.coalesce("other", "leaf").alias("folded"),
         ),
-        nodes,
+        trees.nodes(above).union(top.nodes(None)),
         steps,
     )
     return (
-        placed.drop("folded")
-        .join(ways, "leaf_no")
+        ways.join(parts, "tree")
         .join(subroots, "tree")
         .select(
             F.col("key").alias(key),
-            F.col("part").alias(part),
+            F.col("its_part").alias(part),
             shown(F.col("leaf")).alias("leaf"),
             shown(F.col("top")).alias("subroot"),
             F.lit(last["top"].hex() if last else None).cast("string").alias("root"),
