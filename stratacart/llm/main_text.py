@@ -88,6 +88,7 @@ ENDED_BY = {
 WALLS = frozenset("article main table td th".split())
 
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_UNFINISHED = re.compile(r"<[!/?A-Za-z]")
 _HIDDEN = re.compile(r"display\s*:\s*none")
 
 KEPT, AROUND, GONE = 0, 1, 2
@@ -172,7 +173,7 @@ class Lines(HTMLParser):
         self.parts, self.linked = [], 0
 
     def _close_to(self, place: int) -> None:
-        if any(e.tag in BLOCKS or e.cut != KEPT for e in self.open[place:]):
+        if any(e.tag in BLOCKS for e in self.open[place:]):
             self._close_line()
         del self.open[place:]
 
@@ -264,6 +265,8 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
     def close(self) -> None:
+        if _UNFINISHED.match(self.rawdata):
+            self.rawdata = ""
         super().close()
         self._close_line()
 
