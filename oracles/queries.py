@@ -108,18 +108,7 @@ class Silver:
         )
 
 
-class Doubled:
-    """The same tables as two ingest dates of equal content, read together."""
-
-    def __init__(self, tables: Silver) -> None:
-        self._tables = tables
-
-    def __getattr__(self, name: str) -> DataFrame:
-        df = getattr(self._tables, name)
-        return df.union(df)
-
-
-DATAMARTS: dict[str, Callable[[Silver | Doubled], DataFrame]] = {
+DATAMARTS: dict[str, Callable[[Silver], DataFrame]] = {
     "dm_sales_daily": lambda s: gold.dm_sales_daily(s.fact_orders),
     "dm_sales_by_product": lambda s: gold.dm_sales_by_product(
         s.fact_order_items, s.dim_products
@@ -686,7 +675,7 @@ def catalog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _copies_sql(name: str) -> str:
-    """The datamart over two ingest dates with equal content, stated on doubled tables."""
+    """The datamart over two stored ingest dates with equal content, stated on doubled tables."""
     tables = ("fact_orders", "fact_order_items", "fact_reviews", "dim_products", "dim_customers")
     doubled = ", ".join(
         f"twice_{t} AS (SELECT * FROM {t} UNION ALL SELECT * FROM {t})" for t in tables
@@ -698,20 +687,6 @@ def _copies_sql(name: str) -> str:
     return text.with_silver(True, f", {doubled}, {marts} SELECT * FROM {name}")
 
 
-def _register_copies() -> None:
-    def over_all_dates(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-        return rounded(DATAMARTS[name](Doubled(Silver(spark, sf_dir, True))))
-
-    for name in GOLD:
-        QUERIES[f"{name}_all_dates"] = lambda spark, sf_dir, n=name: over_all_dates(
-            spark, sf_dir, n
-        )
-        SQL[f"{name}_all_dates"] = _copies_sql(name)
-
-
-_register_copies()
-
-
 def _summary(tables: Mapping[str, DataFrame], totals: Mapping[str, Column]) -> DataFrame:
     parts = [
         df.agg(
@@ -760,7 +735,7 @@ def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def _jobs_done(application: str, sf_dir: str) -> tuple[str, str]:
     """CSV files to bronze to silver to catalog to datamarts, each job run twice, once in an
-    application: the folder and the database that they filled."""
+    application: the folder and the database that they filled. A second day has equal content."""
     spark = SparkSession.active()
     root, database = scratch_path(spark, "pipeline"), f"stratacart_{uuid4().hex}"
     catalog.create_database(spark, database, f"{root}/warehouse")
@@ -774,6 +749,9 @@ def _jobs_done(application: str, sf_dir: str) -> tuple[str, str]:
         jobs.run_silver(spark, f"{root}/bronze", f"{root}/silver", DAY_ONE, KEY_TYPE)
         catalog.register_silver(spark, database, f"{root}/silver", KEY_TYPE)
         jobs.run_gold(spark, jobs.parquet_sink(f"{root}/gold"), database=database)
+    jobs.run_bronze(sources, f"{root}/bronze", DAY_TWO)
+    jobs.run_silver(spark, f"{root}/bronze", f"{root}/silver", DAY_TWO, KEY_TYPE)
+    catalog.register_silver(spark, database, f"{root}/silver", KEY_TYPE)
     return root, database
 
 
@@ -794,6 +772,186 @@ def _register_job_tables() -> None:
 _register_job_tables()
 
 
+def _register_copies() -> None:
+    def over_all_dates(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        root, _ = _jobs_done(spark.sparkContext.applicationId, sf_dir)
+        inputs = jobs.read_gold_inputs(
+            spark, root=f"{root}/silver", snapshot=lake.ALL, key_type=KEY_TYPE
+        )
+        return rounded(jobs.datamarts(inputs)[name])
+
+    for name in GOLD:
+        QUERIES[f"{name}_all_dates"] = lambda spark, sf_dir, n=name: over_all_dates(
+            spark, sf_dir, n
+        )
+        SQL[f"{name}_all_dates"] = _copies_sql(name)
+
+
+_register_copies()
+
+
+# What the quality rules let through, counted while the job wrote the tables.
+
+_RULES = {
+    "dim_customers": ("b_customers", "customer_id IS NOT NULL"),
+    "dim_products": ("b_products", "product_id IS NOT NULL"),
+    "fact_orders": ("b_orders", "total_amount > 0"),
+    "fact_order_items": ("b_order_items", "quantity > 0 AND unit_price > 0"),
+    "fact_reviews": ("b_reviews", "rating BETWEEN 1 AND 5"),
+}
+
+
+def _rule_counts_sql(table: str, source: str, rule: str) -> str:
+    kept = f"(SELECT count(*) FROM ({text.first_per_key(source, rule)}))"
+    out = f"(SELECT count(*) FROM {table})"
+    return (
+        f"SELECT '{table}' AS \"table\", count(*) AS rows_in, "
+        f"count(*) - count(*) FILTER ({rule}) AS filtered, "
+        f"count(*) FILTER ({rule}) - {kept} AS duplicate, {kept} - {out} AS orphan, "
+        f"{out} AS rows_out FROM {source}"
+    )
+
+
+@query(
+    text.with_silver(
+        True, " UNION ALL ".join(_rule_counts_sql(t, *how) for t, how in _RULES.items())
+    )
+)
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record of the day says of the tables' rows."""
+    root, _ = _jobs_done(spark.sparkContext.applicationId, sf_dir)
+    counts = lake.day_record(spark, f"{root}/silver", DAY_ONE).counts
+    names = ("in", "filtered", "duplicate", "orphan", "out")
+    return spark.createDataFrame(
+        [(table, *(counts[table][n] for n in names)) for table in _RULES],
+        "`table` string, rows_in long, filtered long, duplicate long, orphan long, rows_out long",
+    )
+
+
+# Days of changes.
+
+
+def _order(name: str) -> Column:
+    return F.col(name).cast("bigint")
+
+
+@query(
+    text.with_silver(
+        False,
+        "SELECT * REPLACE (total_amount + CASE WHEN order_id % 4 = 1 THEN 1 ELSE 0 END "
+        "AS total_amount) FROM fact_orders",
+    )
+)
+def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full day without every third order, then a day with these and with raised amounts."""
+    root = scratch_path(spark, "changes")
+    orders = Silver(spark, sf_dir, False).fact_orders
+    raised = orders.withColumn("total_amount", F.col("total_amount") + 1)
+    key = F.col("order_id")
+    late = orders.where((key % 3 == 0) & (key % 4 != 1))
+    lake.write_silver(orders.where(key % 3 != 0), root, "fact_orders", DAY_ONE)
+    lake.write_silver(raised.where(key % 4 == 1).union(late), root, "fact_orders", DAY_TWO)
+    lake.commit_day(spark, root, DAY_ONE, tables=["fact_orders"], full=True)
+    lake.commit_day(spark, root, DAY_TWO, tables=["fact_orders"], full=False)
+    return lake.read_silver(spark, root, "fact_orders", lake.AsOf(), KEY_TYPE)
+
+
+@lru_cache(maxsize=4)
+def _changes_done(application: str, sf_dir: str) -> str:
+    """Silver of a full day and a day of changes that add up to the clean tables: every third
+    order comes on the second day with its items, and every fifth then gets its right amount."""
+    spark = SparkSession.active()
+    root = scratch_path(spark, "changes")
+    tables = {name: make(spark, sf_dir) for name, make in adapter.BRONZE.items()}
+    orders, items = tables["orders"], tables["order_items"]
+    wrong = F.when(_order("order_id") % 5 == 0, F.lit("0.5")).otherwise(F.col("total_amount"))
+    new = _order("order_id") % 3 == 0
+    one = tables | {
+        "orders": orders.where(~new).withColumn("total_amount", wrong),
+        "order_items": items.where(~new),
+    }
+    two = {name: df.limit(0) for name, df in tables.items()} | {
+        "orders": orders.where(new | (_order("order_id") % 5 == 0)),
+        "order_items": items.where(new),
+    }
+    for day, parts, changes in ((DAY_ONE, one, False), (DAY_TWO, two, True)):
+        jobs.run_bronze(parts, f"{root}/bronze", day)
+        jobs.run_silver(
+            spark, f"{root}/bronze", f"{root}/silver", day, KEY_TYPE, changes=changes
+        )
+    return f"{root}/silver"
+
+
+def _register_changes() -> None:
+    """Silver tables and datamarts as of the day of changes, as one full day gives them."""
+
+    def as_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        root = _changes_done(spark.sparkContext.applicationId, sf_dir)
+        if name in SILVER:
+            return lake.read_silver(spark, root, name, lake.AsOf(), KEY_TYPE)
+        inputs = jobs.read_gold_inputs(
+            spark, root=root, snapshot=lake.AsOf(), key_type=KEY_TYPE
+        )
+        return rounded(jobs.datamarts(inputs, unique_ids=True)[name])
+
+    for name in ("fact_orders", "fact_order_items", *GOLD):
+        QUERIES[f"{name}_as_of"] = lambda spark, sf_dir, n=name: as_of(spark, sf_dir, n)
+        SQL[f"{name}_as_of"] = text.with_gold(False, f"SELECT * FROM {name}")
+
+
+_register_changes()
+
+
+@query(text.with_silver(False, "SELECT * FROM fact_orders"))
+def compacted_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of changes as a full one, through the catalog."""
+    source = _changes_done(spark.sparkContext.applicationId, sf_dir)
+    root, database = scratch_path(spark, "compacted"), f"stratacart_{uuid4().hex}"
+    pinned = lake.pin(spark, source, lake.AsOf())
+    for table in SILVER:
+        for record in pinned:
+            runs = {record.day: record.runs[table]}
+            df = lake.read_runs(spark, source, table, runs, KEY_TYPE)
+            lake.write_silver(df.select(*columns(SILVER[table])), root, table, record.day)
+    for record in pinned:
+        lake.commit_day(spark, root, record.day, tables=list(SILVER), full=record.full)
+    jobs.compact_silver(spark, root, DAY_TWO, KEY_TYPE)
+    catalog.create_database(spark, database, f"{root}/warehouse")
+    catalog.register_table(spark, database, "fact_orders", root, KEY_TYPE)
+    catalog.repair_partitions(spark, database, "fact_orders")
+    return catalog.read_table(spark, database, "fact_orders", DAY_TWO)
+
+
+# The catalog and what is published in it.
+
+
+@query(text.with_silver(False, _DAY_TWO_SQL))
+def catalog_redeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared with int ids over one folder, then with bigint ids over another."""
+    database = f"stratacart_{uuid4().hex}"
+    orders = Silver(spark, sf_dir, False).fact_orders
+    narrow = orders.withColumns({n: F.col(n).cast("int") for n in ("customer_id", "order_id")})
+    catalog.create_database(spark, database, scratch_path(spark, "warehouse"))
+    for df, kind in ((narrow, "int"), (_plus_one(orders), KEY_TYPE)):
+        root = scratch_path(spark, "silver")
+        lake.write_silver(df, root, "fact_orders", DAY_ONE)
+        catalog.register_table(spark, database, "fact_orders", root, kind)
+        catalog.repair_partitions(spark, database, "fact_orders")
+    return catalog.read_table(spark, database, "fact_orders", DAY_ONE)
+
+
+@query(text.with_gold(True, "SELECT * FROM dm_customer_metrics"))
+def published_customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the view that readers of the catalog see, after a second run."""
+    _, silver_database = _jobs_done(spark.sparkContext.applicationId, sf_dir)
+    database = f"stratacart_{uuid4().hex}"
+    catalog.create_database(spark, database, scratch_path(spark, "marts"))
+    sink = jobs.table_sink(database)
+    for _ in range(2):
+        jobs.run_gold(spark, sink, database=silver_database, snapshot=DAY_ONE)
+    return rounded(spark.table(f"{database}.dm_customer_metrics"))
+
+
 @query(text.with_gold(True, "SELECT * FROM dim_products"))
 def current_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by its bare name, while its database is the current one."""
@@ -801,7 +959,8 @@ def current_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.catalog.currentDatabase()
     catalog.use_database(spark, database)
     try:
-        return spark.table("dim_products").select(*columns(SILVER["dim_products"]))
+        products = spark.table("dim_products").where(F.col("ingest_day") == DAY_ONE.day)
+        return products.select(*columns(SILVER["dim_products"]))
     finally:
         catalog.use_database(spark, before)
 
