@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -78,3 +79,47 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
         return bytes(stream.readAllBytes())
     finally:
         stream.close()
+
+
+def _visible(name: str) -> bool:
+    return not name.startswith((".", "_"))
+
+
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The files that Spark reads for ``path``, a file, folder or pattern, each with the folder
+    that its partition folders (``name=value``) start from, or ''."""
+    fs, pattern = _resolve(spark, path)
+    found: list[tuple[str, str]] = []
+
+    def walk(folder, base: str) -> None:
+        for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().toString()):
+            name = status.getPath().getName()
+            if not status.isDirectory():
+                if _visible(name):
+                    found.append((status.getPath().toString(), base))
+            elif "=" in name:
+                walk(status.getPath(), base or folder.toString())
+
+    for status in fs.globStatus(pattern) or []:
+        if status.isDirectory():
+            walk(status.getPath(), "")
+        else:
+            found.append((status.getPath().toString(), ""))
+    return found
+
+
+def literal(path: str) -> str:
+    """``path`` with what a pattern would take for a sign made plain."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file, unpacked if its name ends as that of a packed one."""
+    fs, hadoop_path = _resolve(spark, path)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(fs.getConf())
+    codec = codecs.getCodec(hadoop_path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes((codec.createInputStream(stream) if codec else stream).readNBytes(size))
+    finally:
+        stream.close()
