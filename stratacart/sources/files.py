@@ -23,6 +23,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that is there once the application ends."""
+    fs, hadoop_path = _resolve(spark, path)
+    fs.deleteOnExit(hadoop_path)
+
+
 def child_folders(spark: SparkSession, path: str) -> list[str]:
     fs, hadoop_path = _resolve(spark, path)
     if not fs.exists(hadoop_path):

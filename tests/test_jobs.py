@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import logging
 import shutil
+import subprocess
+import sys
+import time
 from datetime import date
 from pathlib import Path
 
@@ -15,7 +18,7 @@ from stratacart.plans import jobs, silver
 from stratacart.schemas import GOLD, SILVER
 from stratacart.session import open_session, shuffle_partitions_for, skew_is_split
 from stratacart.sources import catalog, files, lake
-from stratacart.sources.scratch import discard, materialize, scratch_path
+from stratacart.sources.scratch import discard, materialize, scratch_path, scratch_root
 
 
 @pytest.fixture(scope="module")
@@ -417,7 +420,7 @@ def test_bronze_checks_sources_before_writing(spark, tmp_path):
         jobs.run_bronze({"orders": spark.range(1)}, str(tmp_path), DAY)
     with pytest.raises(ValueError, match="unknown raw tables x"):
         jobs.run_bronze({"x": spark.range(1)}, str(tmp_path), DAY)
-    assert list(tmp_path.iterdir()) == []
+    assert list(tmp_path.glob("kept-*")) == []
 
 
 def test_jobs_take_the_date_they_are_given(spark, lakehouse):
@@ -448,3 +451,46 @@ def test_scratch_is_in_the_shared_folder(spark, with_conf):
     assert df.count() == 3 and path.startswith(base)
     discard(spark, path)
     assert not files.exists(spark, path)
+
+
+LEAVES = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, {home!r})
+from stratacart.sources.scratch import materialize
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+kept, path = materialize(spark.range(3), "kept")
+assert kept.count() == 3
+print(path)
+spark.stop()
+"""
+
+
+def test_scratch_goes_with_the_application(tmp_path):
+    home = str(Path(__file__).resolve().parents[1])
+    code = LEAVES.format(home=home, folder=str(tmp_path))
+    done = subprocess.run(
+        [sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True
+    )
+    assert done.stdout.strip().startswith(f"{tmp_path}/kept-")
+    for _ in range(100):
+        if not list(tmp_path.glob("kept-*")):
+            break
+        time.sleep(0.1)
+    assert list(tmp_path.glob("kept-*")) == []
+
+
+def test_scratch_that_may_not_be_shared_is_told(caplog):
+    class Conf:
+        def get(self, name, default=""):
+            return None if default is None else "/tmp/warehouse"
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    assert scratch_root(Session()) == "/tmp/warehouse/_scratch"
+    assert "spark.checkpoint.dir is unset" in caplog.text
