@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import textwrap
+from itertools import pairwise
 
 from stratacart.llm.licences import (
     BODIES,
@@ -16,6 +17,8 @@ from stratacart.llm.licences import (
 )
 from stratacart.llm.queries import QUERIES
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
 
 def brute(text: str | None, templates: dict[str, str], percent: int) -> tuple:
     """Best (licence, dice) over all passages and all templates, and the passages that match."""
@@ -122,3 +125,69 @@ def test_bounds_of_bodies_lose_nothing():
             kept = rng.sample(own, size_bounds(len(own), 80)[0])
             present = {w for pair in kept for w in pair.split(" ")}
             assert len(present & set(words_of(body))) >= fewest_words(body, 80)
+
+
+def brute_bodies(text: str | None, bodies: dict[str, str], percent: int) -> list[tuple]:
+    """(dice, name) of the best windows that do not overlap, over all runs of sentences of at
+    most the stated number of words and all bodies."""
+    cut = re.sub(r"([.!?])[ \t]+", r"\1\n", (text or "").translate(LOWER)).split("\n")
+    words: list[str] = []
+    bounds = [0]
+    for sentence in cut:
+        words += re.findall("[a-z0-9]+", sentence)
+        bounds.append(len(words))
+    bounds = sorted(set(bounds))
+    found = []
+    for name, body in bodies.items():
+        other = set(bigrams_of(body))
+        most = 2 * size_bounds(len(other), percent)[1] + 1
+        for start in bounds:
+            for end in (e for e in bounds if start < e <= start + most):
+                own = {" ".join(x) for x in pairwise(words[start:end])}
+                if own and 200 * len(own & other) >= percent * (len(own) + len(other)):
+                    dice = 2.0 * len(own & other) / (len(own) + len(other))
+                    found.append((-dice, name, start, end))
+    taken: list[tuple] = []
+    for window in sorted(found):
+        if all(window[3] <= t[2] or t[3] <= window[2] for t in taken):
+            taken.append(window)
+    return [(-t[0], t[1]) for t in taken]
+
+
+def body_corpus(bodies: dict[str, str]) -> list[str | None]:
+    rng = random.Random(11)
+    texts: list[str | None] = [None, "", "\n\n", *bodies.values(), "\n".join([*bodies.values()] * 2)]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(list(bodies.values())).split()
+            for _ in range(rng.randrange(len(words) // 5)):
+                i = rng.randrange(len(words))
+                words[i : i + 1] = rng.choice([[], ["extra.", words[i]], [words[i].upper()]])
+            parts.append(rng.choice([" ", "\n"]).join(words))
+        parts.insert(rng.randrange(len(parts) + 1), "He saw it. And so on! Was it so?")
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join(parts))
+    return texts
+
+
+def test_bodies_equal_all_windows(spark):
+    """Ties between bodies of one text, repeated rows, null ids and a column named as a result."""
+    bodies = {name: BODIES[name] for name in sorted(BODIES, key=lambda n: len(BODIES[n]))[:4]}
+    bodies |= {"Also": next(iter(bodies.values()))}
+    texts = body_corpus(bodies)
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    rows += [(5, texts[5], "x"), (None, texts[4], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licence string")
+    for percent in (80, 65):
+        expected = []
+        for i, t, _ in rows:
+            *_, n_hits = brute(t, NOTICES, percent)
+            notice = brute(t, NOTICES, percent)
+            hits = brute_bodies(t, bodies, percent)
+            if notice[0] is not None:
+                hits.append((notice[1], notice[0]))
+            best = min(hits, key=lambda h: (-h[0], h[1]), default=(None, None))
+            total = n_hits + len(hits) - (notice[0] is not None)
+            expected.append(str((i, best[1], best[0], total)))
+        found = scan(docs, NOTICES, percent, bodies=bodies).collect()
+        assert sorted(str(tuple(r)) for r in found) == sorted(expected)
