@@ -18,7 +18,13 @@ from stratacart.plans import gold, silver
 from stratacart.schemas import BRONZE, GOLD_INPUTS, SILVER, columns
 from stratacart.session import warn_unless_skew_is_split
 from stratacart.sources import catalog, files, lake
-from stratacart.sources.landing import require_columns, write_jdbc
+from stratacart.sources.landing import (
+    STAGED,
+    require_columns,
+    run_in_transaction,
+    switch_statements,
+    write_jdbc,
+)
 from stratacart.sources.scratch import discard, materialize
 
 log = logging.getLogger(__name__)
@@ -317,6 +323,34 @@ def jdbc_sink(url: str, schema: str, **how) -> Sink:
     return write
 
 
+class JdbcSink:
+    """Publish all datamarts of a run in a relational database at once.
+
+    Each is stored and written to a staged table beside its own; ``commit`` moves the rows of
+    all in one transaction, so that readers see those of one run and a run that fails changes
+    nothing. The tables must have the columns of the datamarts, or the transaction fails.
+    """
+
+    def __init__(self, url: str, schema: str, options: Mapping[str, str] | None = None, **how):
+        self.url, self.schema = url, schema
+        self.options, self.how = dict(options or {}), how
+        self.tables: list[str] = []
+
+    def __call__(self, df: DataFrame, table: str) -> None:
+        write = jdbc_sink(self.url, self.schema, options=self.options, truncate=False, **self.how)
+        write(df, f"{table}{STAGED}")
+        self.tables.append(table)
+
+    def commit(self, spark: SparkSession) -> None:
+        statements = switch_statements(self.schema, sorted(self.tables))
+        run_in_transaction(spark, self.url, statements, self.options)
+        self.tables = []
+
+    def abandon(self, spark: SparkSession) -> None:
+        """Forget the staged tables; the next run writes them anew."""
+        self.tables = []
+
+
 def _pinned(
     spark: SparkSession, root: str | None, database: str | None, snapshot: lake.Snapshot
 ):

@@ -215,3 +215,50 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **h
     (``jobs.jdbc_sink`` does), or its last joins and sums run in as few tasks.
     """
     df.write.format("jdbc").options(**jdbc_write_options(url, table, **how)).mode(mode).save()
+
+
+STAGED = "__new"
+
+
+def switch_statements(schema: str, tables: Sequence[str]) -> list[str]:
+    """SQL that moves the rows of staged tables into those that readers see, to be run in one
+    transaction. Tables that are there keep their grants and indexes; new ones are made."""
+    found: list[str] = []
+    for table in tables:
+        name, staged = f"{schema}.{table}", f"{schema}.{table}{STAGED}"
+        found += [
+            f"CREATE TABLE IF NOT EXISTS {name} AS SELECT * FROM {staged} WHERE 1 = 0",
+            f"DELETE FROM {name}",
+            f"INSERT INTO {name} SELECT * FROM {staged}",
+        ]
+    return found + [f"DROP TABLE {schema}.{table}{STAGED}" for table in tables]
+
+
+def run_in_transaction(
+    spark: SparkSession,
+    url: str,
+    statements: Sequence[str],
+    options: Mapping[str, str] | None = None,
+) -> None:
+    """Run SQL in a database through a connection of the driver's: all of it or, if a
+    statement fails, none."""
+    told = dict(options or {})
+    jvm = spark._jvm
+    if driver := told.pop("driver", None):
+        jvm.java.lang.Class.forName(driver)
+    properties = jvm.java.util.Properties()
+    for name, value in told.items():
+        properties.setProperty(name, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            for text in statements:
+                statement.execute(text)
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+    finally:
+        connection.close()

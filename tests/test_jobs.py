@@ -4,10 +4,12 @@ import logging
 import shutil
 import subprocess
 import sys
+import threading
 import time
 from datetime import date
 from pathlib import Path
 
+import duckdb
 import pytest
 from conftest import DAY, NEXT_DAY
 from oracles import adapter
@@ -18,6 +20,7 @@ from stratacart.plans import jobs, silver
 from stratacart.schemas import GOLD, SILVER
 from stratacart.session import open_session, shuffle_partitions_for, skew_is_split
 from stratacart.sources import catalog, files, lake
+from stratacart.sources.landing import run_in_transaction
 from stratacart.sources.scratch import discard, materialize, scratch_path, scratch_root
 
 
@@ -415,6 +418,90 @@ def test_jdbc_sink_stores_before_it_writes(spark, monkeypatch):
     assert "FileScan parquet" in seen["plan"] and "Aggregate" not in seen["plan"]
 
 
+def test_datamarts_of_a_database_change_together(spark, lakehouse, monkeypatch):
+    """The staged tables and the statements, in a database of this process; the connection of
+    the driver is not made here."""
+    base = duckdb.connect()
+    base.execute("CREATE SCHEMA gold")
+    base.execute("CREATE TABLE gold.dm_sales_daily AS SELECT DATE '2000-01-01' AS date, 1.0::DOUBLE AS "
+                 "total_revenue, 2::BIGINT AS total_orders, 3.0::DOUBLE AS avg_order_value")
+    base.execute("CREATE INDEX by_date ON gold.dm_sales_daily (date)")
+    lock = threading.Lock()
+
+    def write(df, url, table, truncate, options, **how):
+        assert not truncate and options == {"user": "u"}
+        staged = df.toPandas()
+        with lock:
+            base.register("staged", staged)
+            base.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT * FROM staged")
+
+    def together(spark_, url, statements, options):
+        base.execute("BEGIN")
+        try:
+            for text in statements:
+                base.execute(text)
+            base.execute("COMMIT")
+        except Exception:
+            base.execute("ROLLBACK")
+            raise
+
+    monkeypatch.setattr(jobs, "write_jdbc", write)
+    monkeypatch.setattr(jobs, "run_in_transaction", together)
+    sink = jobs.JdbcSink("jdbc:x:y", "gold", {"user": "u"})
+    jobs.run_gold(spark, sink, database="lakehouse")
+    expected = {}
+    jobs.run_gold(spark, collect_sink(expected), database="lakehouse")
+
+    def sizes():
+        return {t: base.execute(f"SELECT count(*) FROM gold.{t}").fetchone()[0] for t in GOLD}
+
+    first = sizes()
+    assert first == {t: len(r) for t, r in expected.items()}
+    shown = base.execute("SELECT table_name FROM information_schema.tables WHERE table_schema = 'gold'").fetchall()
+    assert sorted(n for (n,) in shown) == sorted(GOLD)
+    assert base.execute("SELECT count(*) FROM duckdb_indexes()").fetchone() == (1,)
+
+    class Short(jobs.JdbcSink):
+        def __call__(self, df, table):
+            narrow = table == "dm_stock_performance"
+            super().__call__(df.limit(1).drop("product_name") if narrow else df.limit(1), table)
+
+    with pytest.raises(duckdb.Error):
+        jobs.run_gold(spark, Short("jdbc:x:y", "gold", {"user": "u"}), database="lakehouse")
+    assert sizes() == first
+
+
+def test_a_transaction_is_taken_back(spark):
+    done = []
+
+    class Java:
+        """Stands in for the driver's connection."""
+
+        def __getattr__(self, name):
+            if name in ("java", "lang", "util", "sql", "Class", "DriverManager"):
+                return self
+
+            def call(*args):
+                done.append((name, *(a for a in args if isinstance(a, str | bool))))
+                if args == ("bad",):
+                    raise RuntimeError("no")
+                return self
+
+            return call
+
+    class Session:
+        _jvm = Java()
+
+    run_in_transaction(Session(), "jdbc:x:y", ["one"], {"driver": "d", "user": "u"})
+    names = [n for n, *_ in done]
+    assert done[0] == ("forName", "d") and ("setProperty", "user", "u") in done
+    assert names[-3:] == ["execute", "commit", "close"]
+    done.clear()
+    with pytest.raises(RuntimeError, match="no"):
+        run_in_transaction(Session(), "jdbc:x:y", ["one", "bad", "two"])
+    assert [n for n, *_ in done][-2:] == ["rollback", "close"] and ("execute", "two") not in done
+
+
 def test_bronze_checks_sources_before_writing(spark, tmp_path):
     with pytest.raises(ValueError, match="orders lacks"):
         jobs.run_bronze({"orders": spark.range(1)}, str(tmp_path), DAY)
