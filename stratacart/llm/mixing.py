@@ -2,23 +2,18 @@
 
 Documents fall into cells by source, language and topic. Starting from each cell's tokens,
 weights are raked in turn so that the tokens of every source, then of every language, then of
-every topic come to their target share, until ``ROUNDS`` are over. A document is kept with a
-probability in proportion to its cell's weight, scaled so that the largest is 1: the kept
-tokens have the raked shares in expectation, and no document is repeated.
+every topic come to their target share, until no margin is further than ``TOLERANCE`` from it.
+A document is kept with a probability that is the least of 1 and a multiple of its cell's
+weight, by which ``keep_share`` of all tokens is kept in expectation. Cells at 1 are kept whole
+and stay below their raked share, since nothing is repeated; the others keep their proportions.
 
-The rarest cell then decides how much of all others stays. With ``keep_share`` the scale is set
-by a budget instead: probabilities are the least of 1 and a multiple of the weight, by which
-that share of all tokens is kept in expectation. Cells at 1 are kept whole and stay below their
-raked share, since nothing is repeated; the others keep their proportions.
-
-Words and tokens are pieces between single spaces in the text as it stands, and a word takes
-the space that the next one needs. With ``by_words`` words are lower-cased runs of letters and
-digits, and tokens runs of other than white space, so that line ends, punctuation, capitals and
-repeated words count alike.
+Words are lower-cased runs of letters, marks and digits, and tokens runs of other than white
+space, whatever parts them. The texts are read once: what is counted of them is stored.
 
 A cell's weight is a product of one factor per source, language and topic. A source's factor
-follows from the others in its own row, so a round is one Spark job over a row per source,
-and the driver holds no more than the table of languages by topics (``MAX_TABLE`` cells).
+follows from the others in its own row, so a round is one Spark job over a row per source, while
+the driver holds the table of languages by topics. If that has more than ``MAX_TABLE`` cells,
+the factors are columns of the stored cells instead, and a round is a join and a sum for each.
 
 Whether a document is kept depends on its id and the seed alone, so a task that runs again
 decides alike.
@@ -35,56 +30,31 @@ Results per row:
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import stored
+from stratacart.llm.common import Steps
 
-ROUNDS = 25
+#: The largest error of a margin, as a part of its target, and when to give up reaching it:
+#: margins that contradict each other, as of cells that do not exist, are never reached.
+TOLERANCE = 1e-11
+ROUNDS = 200
 MAX_TABLE = 10_000
 DRAW_BITS = 52
-#: What parts words, and what a token is where words are counted, in any script.
+#: What parts words, and what a token is, in any script.
 NOT_A_WORD = "[^\\p{L}\\p{M}\\p{N}]+"
 RUN = "(?U)\\S+"
 
-
-def count_of(text: Column, word: str) -> Column:
-    """How often ``word`` stands between single spaces, matches not overlapping. By bytes,
-    whose number Spark knows of a string without going through it."""
-    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    rest = F.replace(padded, F.lit(f" {word} "), F.lit(""))
-    size = len(f" {word} ".encode())
-    return ((F.octet_length(padded) - F.octet_length(rest)) / size).cast("long")
-
-
-def topic_of(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
-    """The topic with most words in the text, the first by name among equals; ``other`` if
-    there is none."""
-    counts = F.array(
-        *[
-            F.struct(
-                sum((count_of(text, w) for w in words[1:]), count_of(text, words[0])).alias("n"),
-                F.lit(-i).alias("order"),
-                F.lit(topic).alias("topic"),
-            )
-            for i, (topic, words) in enumerate(sorted(lexicon.items()))
-        ]
-    )
-    most = F.array_max(counts)
-    return F.when(most["n"] > 0, most["topic"]).otherwise("other")
-
-
-def token_count(text: Column) -> Column:
-    """Pieces of the text between single spaces; none in an empty text."""
-    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(F.octet_length(text) > 0, spaces + 1).otherwise(0).cast("long")
+log = logging.getLogger(__name__)
 
 
 def topic_of_words(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
-    """``topic_of`` by words whatever their case and whatever parts them: all but letters,
-    their marks and digits. The text is cut once, and what no topic has is left out first."""
+    """The topic with most words in the text, the first by name among equals; ``other`` if
+    there is none. The text is cut once, and what no topic has is left out first."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD)
     topics = {topic: [w.lower() for w in own] for topic, own in sorted(lexicon.items())}
 
@@ -159,20 +129,17 @@ def scale_of(weights: DataFrame, keep_share: float) -> float:
         scale = max(scale, min(wanted, found["last"]))
 
 
-def raked_weights(
-    cells: DataFrame,
-    source_power: float,
-    lang_power: float,
-    topic_power: float,
-    rounds: int = ROUNDS,
-    keep_share: float | None = None,
+def _error(reached: Mapping, shares: Mapping) -> float:
+    """The largest difference of a reached total from its share, as a part of that."""
+    return max((abs(reached[k] - v) / v for k, v in shares.items() if v), default=0.0)
+
+
+def _raked_by_table(
+    cells: DataFrame, pairs: list, powers: tuple[float, float, float], rounds: int, steps: Steps
 ) -> DataFrame:
-    """source, lang, topic and probability, from the tokens ``n`` of each cell."""
-    cells = stored(cells, "cells")
-    pairs = cells.groupBy("lang", "topic").agg(F.sum("n").alias("n")).limit(MAX_TABLE + 1).collect()
-    if len(pairs) > MAX_TABLE:
-        raise ValueError(f"more than {MAX_TABLE} pairs of language and topic")
-    pairs.sort(key=lambda r: [(x is None, x or "") for x in (r["lang"], r["topic"])])
+    """source, lang, topic, n and weight, with the table of ``pairs`` in the driver."""
+    source_power, lang_power, topic_power = powers
+    pairs = sorted(pairs, key=lambda r: [(x is None, x or "") for x in (r["lang"], r["topic"])])
     place = {(r["lang"], r["topic"]): i for i, r in enumerate(pairs)}
     langs: dict = {}
     topics: dict = {}
@@ -199,7 +166,7 @@ def raked_weights(
         )
     )
     raised = F.when(F.col("total") > 0, F.pow("total", F.lit(source_power))).otherwise(0.0)
-    rows = stored(rows.withColumn("raised", raised), "sources")
+    rows = steps.store(rows.withColumn("raised", raised), "sources")
     whole = rows.agg(F.sum("raised")).head()[0] or 1.0
 
     def factored() -> DataFrame:
@@ -215,6 +182,15 @@ def raked_weights(
             F.when(F.col("reached") > 0, F.col("raised") / whole / F.col("reached")).otherwise(0.0),
         )
 
+    def margins(sums: Mapping[int, float]) -> tuple[dict, dict]:
+        found = dict.fromkeys(langs, 0.0), dict.fromkeys(topics, 0.0)
+        for (lang, topic), i in place.items():
+            reached = sums.get(i, 0.0) * by_lang[lang] * by_topic[topic]
+            found[0][lang] += reached
+            found[1][topic] += reached
+        return found
+
+    error = float("inf")
     for _ in range(rounds):
         sums = {
             r["place"]: r["mass"]
@@ -224,46 +200,123 @@ def raked_weights(
             .agg(F.sum(F.col("factor") * F.col("cell.n")).alias("mass"))
             .collect()
         }
-        for own, share, other, at in (
-            (by_lang, lang_share, by_topic, 0),
-            (by_topic, topic_share, by_lang, 1),
-        ):
-            reached = dict.fromkeys(own, 0.0)
-            for pair, i in place.items():
-                reached[pair[at]] += sums.get(i, 0.0) * other[pair[1 - at]]
-            for k in own:
-                own[k] = share[k] / reached[k] if reached[k] else 0.0
-    named = (
+        reached_langs, reached_topics = margins(sums)
+        error = max(_error(reached_langs, lang_share), _error(reached_topics, topic_share))
+        if error <= TOLERANCE:
+            break
+        for lang, share in lang_share.items():
+            by_lang[lang] *= share / reached_langs[lang] if reached_langs[lang] else 0.0
+        _, reached_topics = margins(sums)
+        for topic, share in topic_share.items():
+            by_topic[topic] *= share / reached_topics[topic] if reached_topics[topic] else 0.0
+    _tell(error, rounds)
+    weight = F.col("factor") * F.get(
+        F.array(
+            *[F.lit(by_lang[r["lang"]] * by_topic[r["topic"]]) for r in pairs] or [F.lit(0.0)]
+        ),
+        F.col("place"),
+    )
+    return (
         factored()
         .select("source", "factor", F.explode("cells").alias("cell"))
         .join(places, F.expr("cell.place = place"))
-        .withColumn(
-            "weight",
-            F.col("factor")
-            * F.get(
-                F.array(
-                    *[F.lit(by_lang[r["lang"]] * by_topic[r["topic"]]) for r in pairs]
-                    or [F.lit(0.0)]
-                ),
-                F.col("place"),
-            ),
-        )
-    )
-    named = stored(
-        named.select(
+        .select(
             "source",
             F.col("p_lang").alias("lang"),
             F.col("p_topic").alias("topic"),
-            "weight",
+            weight.alias("weight"),
             "cell.n",
-        ),
-        "weights",
+        )
+    )
+
+
+def _tell(error: float, rounds: int) -> None:
+    if error > TOLERANCE and rounds >= ROUNDS:
+        log.warning("after %d rounds a margin is off by %.1e of its target", rounds, error)
+
+
+_MARGINS = ("source", "lang", "topic")
+
+
+def _raked_by_joins(
+    cells: DataFrame, powers: tuple[float, float, float], rounds: int, steps: Steps
+) -> DataFrame:
+    """The same with all factors in Spark, for any number of categories."""
+    now = cells.withColumn("mass", F.col("n").cast("double"))
+
+    def with_totals(df: DataFrame, name: str, value: str, total: str) -> DataFrame:
+        sums = df.groupBy(F.col(name).alias("_name")).agg(F.sum(value).alias(total))
+        return df.join(sums, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+
+    for name, power in zip(_MARGINS, powers, strict=True):
+        totals = cells.groupBy(name).agg(F.sum("n").cast("double").alias("total"))
+        raised = F.when(F.col("total") > 0, F.pow("total", F.lit(power))).otherwise(0.0)
+        shares = totals.withColumn("raised", raised)
+        whole = shares.agg(F.sum("raised")).head()[0] or 1.0
+        share = shares.select(
+            F.col(name).alias("_name"), (F.col("raised") / whole).alias(f"{name}_share")
+        )
+        now = now.join(share, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+    now = steps.store(now, "shares")
+
+    def fitted(df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the margin reached."""
+        df = with_totals(df, name, "mass", "_reached")
+        share = F.col(f"{name}_share")
+        mass = F.when(F.col("_reached") > 0, F.col("mass") * share / F.col("_reached"))
+        return df.withColumn("mass", F.coalesce(mass, F.lit(0.0))).drop("_reached")
+
+    now = steps.store(fitted(now, "source"), "round")
+    error = float("inf")
+    for _ in range(rounds):
+        # The errors that languages and topics have while the sources are right.
+        seen = with_totals(with_totals(now, "lang", "mass", "_l"), "topic", "mass", "_t")
+        error = (
+            seen.agg(
+                F.max(
+                    F.greatest(
+                        *(
+                            F.when(
+                                F.col(f"{n}_share") > 0,
+                                F.abs(F.col(t) - F.col(f"{n}_share")) / F.col(f"{n}_share"),
+                            ).otherwise(0.0)
+                            for n, t in (("lang", "_l"), ("topic", "_t"))
+                        )
+                    )
+                )
+            ).head()[0]
+            or 0.0
+        )
+        if error <= TOLERANCE:
+            break
+        now = steps.store(reduce(fitted, ("lang", "topic", "source"), now), "round")
+    _tell(error, rounds)
+    weight = F.when(F.col("n") > 0, F.col("mass") / F.col("n")).otherwise(0.0)
+    return now.select(
+        "source", "lang", "topic", weight.alias("weight"), F.col("n").cast("double").alias("n")
     )
-    if keep_share is None:
-        largest = named.where("n > 0").agg(F.max("weight")).head()[0] or 1.0
-        scaled = F.col("weight") / F.lit(largest)
+
+
+def raked_weights(
+    cells: DataFrame,
+    source_power: float,
+    lang_power: float,
+    topic_power: float,
+    keep_share: float,
+    rounds: int = ROUNDS,
+    max_table: int = MAX_TABLE,
+) -> DataFrame:
+    """source, lang, topic and probability, from the tokens ``n`` of each cell."""
+    steps = Steps(cells.sparkSession)
+    cells = steps.store(cells, "cells")
+    powers = (source_power, lang_power, topic_power)
+    pairs = cells.groupBy("lang", "topic").agg(F.sum("n").alias("n")).limit(max_table + 1).collect()
+    if len(pairs) > max_table:
+        raked = _raked_by_joins(cells, powers, rounds, steps)
     else:
-        scaled = F.least(F.lit(1.0), F.col("weight") * F.lit(scale_of(named, keep_share)))
+        raked = _raked_by_table(cells, pairs, powers, rounds, steps)
+    named = steps.store(raked, "weights")
+    scaled = F.least(F.lit(1.0), F.col("weight") * F.lit(scale_of(named, keep_share)))
     probability = F.when(F.col("n") > 0, scaled).otherwise(0.0)
     return named.select("source", "lang", "topic", probability.alias("probability"))
 
@@ -281,32 +334,35 @@ def mixed(
     source_power: float,
     lang_power: float,
     topic_power: float,
+    keep_share: float,
     seed: int = 0,
     key: str = "doc_id",
     text: str = "text",
-    keep_share: float | None = None,
-    by_words: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability and kept; see above for ``keep_share`` and
-    ``by_words``."""
-    topic, size = (topic_of_words, run_count) if by_words else (topic_of, token_count)
+    """``docs`` with topic, n_tokens, probability and kept; ``columns`` names those of its own
+    that are wanted, since they are stored with what is counted."""
     added = ("topic", "n_tokens", "probability", "kept")
-    mine = F.struct(*[docs[c] for c in docs.columns if c not in added])
-    marked = docs.select(
-        mine.alias("mine"),
-        topic(docs[text], lexicon).alias("topic"),
-        F.coalesce(size(docs[text]), F.lit(0)).alias("n_tokens"),
+    wanted = [c for c in (docs.columns if columns is None else columns) if c not in added]
+    needed = [docs[c] for c in ("source", "lang", key)]
+    marked = Steps(docs.sparkSession).store(
+        docs.select(
+            F.struct(*[docs[c] for c in wanted]).alias("mine"),
+            F.struct(*[c.alias(n) for c, n in zip(needed, ("source", "lang", "key"), strict=True)])
+            .alias("by"),
+            topic_of_words(docs[text], lexicon).alias("topic"),
+            F.coalesce(run_count(docs[text]), F.lit(0)).alias("n_tokens"),
+        ),
+        "marked",
+    )
+    cells = marked.groupBy("by.source", "by.lang", "topic").agg(F.sum("n_tokens").alias("n"))
+    weights = raked_weights(cells, source_power, lang_power, topic_power, keep_share).select(
+        F.struct("source", "lang", "topic").alias("cell"), "probability"
     )
-    cells = marked.groupBy("mine.source", "mine.lang", "topic").agg(F.sum("n_tokens").alias("n"))
-    weights = raked_weights(
-        cells, source_power, lang_power, topic_power, keep_share=keep_share
-    ).select(F.struct("source", "lang", "topic").alias("cell"), "probability")
     # No hint: a row per cell, which Spark broadcasts if it is small and else splits hot keys.
     joined = marked.join(
         weights,
-        F.expr(
-            "mine.source <=> cell.source AND mine.lang <=> cell.lang AND topic <=> cell.topic"
-        ),
+        F.expr("by.source <=> cell.source AND by.lang <=> cell.lang AND topic <=> cell.topic"),
         "left",
     )
     return joined.select(
@@ -314,5 +370,5 @@ def mixed(
         "topic",
         "n_tokens",
         "probability",
-        (draw(F.col(f"mine.{key}"), seed) < F.col("probability")).alias("kept"),
+        (draw(F.col("by.key"), seed) < F.col("probability")).alias("kept"),
     )

@@ -69,24 +69,30 @@ LEXICON = {
 MIX = {"source_power": 0.7, "lang_power": 0.9, "topic_power": 0.9}
 
 
-def _counted(word: str) -> str:
-    padded = "' ' || coalesce(text, '') || ' '"
-    return (
-        f"((length({padded}) - length(replace({padded}, ' {word} ', '')))"
-        f" // {len(word) + 2})"
-    )
+#: The part of all tokens that is kept.
+KEEP_SHARE = 0.66
+#: White space as Java's regular expressions know it in Unicode.
+_SPACES = (
+    r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
+
+def _among(words: list[str]) -> str:
+    return f"len(list_filter(words, lambda w: w IN ({', '.join(map(repr, words))})))"
 
 
 def _mixing_sql() -> str:
-    counts = {t: " + ".join(map(_counted, words)) for t, words in sorted(LEXICON.items())}
+    counts = {t: _among(words) for t, words in sorted(LEXICON.items())}
     best = f"greatest({', '.join(counts.values())})"
     cases = " ".join(f"WHEN {n} = most THEN '{t}'" for t, n in counts.items())
     return f"""
-    WITH RECURSIVE counted AS (
-        SELECT *, {best} AS most,
-               CASE WHEN length(text) > 0
-                   THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS n_tokens
+    WITH RECURSIVE cut AS (
+        SELECT *, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') AS words,
+               len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda x: x <> ''))
+                   AS n_tokens
         FROM documents
+    ), counted AS (
+        SELECT *, {best} AS most FROM cut
     ), marked AS (
         SELECT doc_id, source, lang, n_tokens,
                CASE WHEN most = 0 THEN 'other' {cases} END AS topic
@@ -111,33 +117,38 @@ def _mixing_sql() -> str:
         FROM (
             SELECT * REPLACE (w * l / sum(w) OVER (PARTITION BY lang) AS w) FROM (
                 SELECT * REPLACE (w * s / sum(w) OVER (PARTITION BY source) AS w)
-                FROM raked WHERE step < {mixing.ROUNDS}
+                FROM raked WHERE step < 60
             )
         )
     ), last AS (
-        SELECT source, lang, topic, w * s / sum(w) OVER (PARTITION BY source) / n AS w
-        FROM raked WHERE step = {mixing.ROUNDS} AND n > 0
+        SELECT source, lang, topic, n, w * s / sum(w) OVER (PARTITION BY source) / n AS w
+        FROM raked WHERE step = 60 AND n > 0
+    ), heaviest AS (
+        SELECT *, row_number() OVER heavy AS pos, sum(n) OVER heavy - n AS whole,
+               sum(n * w) OVER () - sum(n * w) OVER heavy + n * w AS free
+        FROM last WINDOW heavy AS (ORDER BY w DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)
+    ), scale AS (
+        SELECT coalesce(
+            (SELECT arg_min(({KEEP_SHARE} * (SELECT sum(n) FROM cells) - whole) / free, pos)
+             FROM heaviest
+             WHERE ({KEEP_SHARE} * (SELECT sum(n) FROM cells) - whole) / free * w <= 1),
+            (SELECT max(1 / w) FROM last)) AS c
     )
     SELECT doc_id, m.source, m.lang, m.topic, n_tokens,
-           round(w / (SELECT max(w) FROM last), 9) AS probability,
+           round(least(1.0, w * c), 9) AS probability,
            ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT
-               / 4503599627370496.0 < w / (SELECT max(w) FROM last) AS kept
-    FROM marked m JOIN last c ON m.source IS NOT DISTINCT FROM c.source
-        AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic IS NOT DISTINCT FROM c.topic
+               / 4503599627370496.0 < least(1.0, w * c) AS kept
+    FROM marked m CROSS JOIN scale JOIN last ON m.source IS NOT DISTINCT FROM last.source
+        AND m.lang IS NOT DISTINCT FROM last.lang AND m.topic IS NOT DISTINCT FROM last.topic
     """
 
 
 @query(_mixing_sql())
 def op4_fitted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), LEXICON, **MIX).select(
-        "doc_id",
-        "source",
-        "lang",
-        "topic",
-        "n_tokens",
-        F.round("probability", 9).alias("probability"),
-        "kept",
-    )
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang")
+    mixture = mixing.mixed(docs, LEXICON, **MIX, keep_share=KEEP_SHARE, columns=columns)
+    return mixture.withColumn("probability", F.round("probability", 9))
 
 
 URL_RULES = [
