@@ -24,6 +24,7 @@ Results per row:
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -117,36 +118,49 @@ def named_cut(attributes: dict[str, str | None]) -> int:
 
 @dataclass
 class Line:
+    """Text between block boundaries; ``container`` is the innermost one, -1 for none."""
+
     text: str
     tags: int
     linked: int
-    within: tuple[int, ...]
+    container: int
     heading: str
 
 
 @dataclass
 class Open:
-    """An element whose end has not come."""
+    """An element whose end has not come, with what its parents say of what is inside."""
 
     tag: str
     cut: int
-    container: int = -1
-    headings_only: bool = False
+    container: int
+    heading: str
+    linked: bool
+    headings_only: bool
+    in_article: bool
 
 
 @dataclass
 class Page:
+    """Lines in order; containers by the order of their starts, each with its parent."""
+
     lines: list[Line] = field(default_factory=list)
     containers: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+
+
+_OUTSIDE = Open("", KEPT, -1, "", False, False, False)
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page. What is asked of open elements is known of the innermost
+    one, so that the work does not grow with their depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[Open] = []
+        self.counts: Counter[str] = Counter()
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -154,30 +168,30 @@ class Lines(HTMLParser):
         """Sections of other markup languages are comments in HTML."""
         return self.parse_bogus_comment(i)
 
-    # What the innermost open element says.
-
-    def _cut(self) -> int:
-        return self.open[-1].cut if self.open else KEPT
-
-    def _inside(self, *tags: str) -> bool:
-        return any(e.tag in tags for e in self.open)
+    def _inner(self) -> Open:
+        return self.open[-1] if self.open else _OUTSIDE
 
     def _close_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            heading = next((e.tag for e in self.open if e.tag in HEADINGS), "")
-            if heading or not any(e.headings_only for e in self.open):
-                within = tuple(e.container for e in self.open if e.container >= 0)
-                self.page.lines.append(Line(text, self.tags, self.linked, within, heading))
+            inner = self._inner()
+            if inner.heading or not inner.headings_only:
+                self.page.lines.append(
+                    Line(text, self.tags, self.linked, inner.container, inner.heading)
+                )
             self.tags = 0
         self.parts, self.linked = [], 0
 
     def _close_to(self, place: int) -> None:
-        if any(e.tag in BLOCKS for e in self.open[place:]):
+        ended = self.open[place:]
+        if any(e.tag in BLOCKS for e in ended):
             self._close_line()
+        self.counts.subtract(e.tag for e in ended)
         del self.open[place:]
 
     def _last(self, tags: tuple[str, ...], walls: frozenset[str]) -> int | None:
+        if not any(self.counts[t] > 0 for t in tags):
+            return None
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place].tag in tags:
                 return place
@@ -207,10 +221,11 @@ class Lines(HTMLParser):
         elif tag == "a" and (place := self._last(("a",), BLOCKS)) is not None:
             self._close_to(place)
         self.open.append(self._opened(tag, dict(attrs)))
+        self.counts[tag] += 1
 
     def _opened(self, tag: str, attributes: dict[str, str | None]) -> Open:
-        around = self._cut()
-        own, headings_only = KEPT, False
+        outer = self._inner()
+        around, own, headings_only = outer.cut, KEPT, outer.headings_only
         if tag in CUT:
             own = GONE
         elif tag not in ("html", "body"):
@@ -222,16 +237,23 @@ class Lines(HTMLParser):
                 around = KEPT if around == AROUND else around
             elif tag in HEADINGS:
                 own = KEPT
-            elif own == AROUND and self._inside("article", "main") and self._is_header(
-                tag, attributes
-            ):
+            elif own == AROUND and outer.in_article and self._is_header(tag, attributes):
                 own, headings_only = KEPT, True
-        element = Open(tag, max(own, around), headings_only=headings_only)
+        container = outer.container
         if tag in CONTAINERS:
-            element.container = len(self.page.containers)
             is_main = tag == "main" or (attributes.get("role") or "").lower() == "main"
+            self.page.parents.append(container)
+            container = len(self.page.containers)
             self.page.containers.append("main" if is_main else tag)
-        return element
+        return Open(
+            tag,
+            max(own, around),
+            container,
+            tag if tag in HEADINGS else outer.heading,
+            tag == "a" or (outer.linked and tag not in BLOCKS),
+            headings_only,
+            outer.in_article or tag in ("article", "main"),
+        )
 
     @staticmethod
     def _is_header(tag: str, attributes: dict[str, str | None]) -> bool:
@@ -258,10 +280,11 @@ class Lines(HTMLParser):
             self._close_to(place)
 
     def handle_data(self, data: str) -> None:
-        if self._cut() != KEPT:
+        inner = self._inner()
+        if inner.cut != KEPT:
             return
         self.parts.append(data)
-        if self._last(("a",), BLOCKS) is not None:
+        if inner.linked:
             self.linked += len(data)
 
     def close(self) -> None:
@@ -290,13 +313,24 @@ def content(lines: list[Line]) -> np.ndarray:
     return (values >= min(values.std(), values.max())) & (values > 0)
 
 
-def _mass(lines: list[Line], chosen: np.ndarray) -> dict[int, int]:
+def _mass(page: Page, chosen: np.ndarray) -> list[int]:
     """Characters of content in each container."""
-    found: dict[int, int] = {}
-    for line, is_content in zip(lines, chosen, strict=True):
-        if is_content:
-            for container in line.within:
-                found[container] = found.get(container, 0) + len(line.text)
+    found = [0] * len(page.containers)
+    for line, is_content in zip(page.lines, chosen, strict=True):
+        if is_content and line.container >= 0:
+            found[line.container] += len(line.text)
+    for container in range(len(found) - 1, 0, -1):  # parents start before their children
+        if page.parents[container] >= 0:
+            found[page.parents[container]] += found[container]
+    return found
+
+
+def _ends(page: Page) -> list[int]:
+    """The last container within each."""
+    found = list(range(len(page.containers)))
+    for container in range(len(found) - 1, 0, -1):
+        if (parent := page.parents[container]) >= 0:
+            found[parent] = max(found[parent], found[container])
     return found
 
 
@@ -308,32 +342,29 @@ def region(page: Page) -> list[Line]:
     chosen = content(lines)
     if not chosen.any():
         return []
-    mass = _mass(lines, chosen)
+    mass, ends = _mass(page, chosen), _ends(page)
     total = sum(len(x.text) for x, is_content in zip(lines, chosen, strict=True) if is_content)
+    large = [c for c, n in enumerate(mass) if n > MOST * total]
     for kind in ("article", "main"):
-        roots = [c for c in mass if page.containers[c] == kind and mass[c] > MOST * total]
+        roots = [c for c in large if page.containers[c] == kind]
         if roots:
-            return [x for x in lines if min(roots) in x.within]
-    root = -1
-    while True:
-        inner = [c for c in mass if c > root and mass[c] > MOST * total]
-        if not inner:
-            break
-        root = min(inner)
-    own = [root in x.within or root < 0 for x in lines]
-    # Beside the cluster, a container of its own without any content is not of the text.
-    depth = next((x.within.index(root) + 1 for x in lines if root in x.within), 0)
-
-    def kept(line: Line, inside: bool) -> bool:
-        if not inside:
-            return False
-        below = line.within[depth : depth + 1]
-        return not below or below[0] in mass
-
-    first = next(n for n, inside in enumerate(own) if inside)
+            return [x for x in lines if roots[0] <= x.container <= ends[roots[0]]]
+    # Containers that hold most of the content lie in each other.
+    root = large[-1] if large else -1
+    inside = [root < 0 or root <= x.container <= ends[root] for x in lines]
+    # Beside the cluster, a container in the root without any content is not of the text.
+    child = [-1] * len(mass)
+    for container, parent in enumerate(page.parents):
+        child[container] = container if parent == root else child[parent] if parent >= 0 else -1
+
+    def kept(line: Line) -> bool:
+        below = child[line.container] if line.container >= 0 else -1
+        return below < 0 or mass[below] > 0
+
+    first = inside.index(True)
     title = [x for x in lines[:first] if x.heading == "h1"][-1:]
-    has_title = any(x.heading == "h1" for x, inside in zip(lines, own, strict=True) if inside)
-    taken = [x for x, inside in zip(lines, own, strict=True) if kept(x, inside)]
+    has_title = any(x.heading == "h1" for x, within in zip(lines, inside, strict=True) if within)
+    taken = [x for x, within in zip(lines, inside, strict=True) if within and kept(x)]
     return taken if has_title else title + taken
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+import time
 
 import numpy as np
 import pytest
@@ -78,6 +79,17 @@ def test_long_pages_are_read_whole():
     assert m.main_text(f"<article>{many}</article>").count("\n") == 4_999
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<div>x" * 30_000, "<b>x" * 30_000, "<b>" * 30_000 + "x</i>" * 30_000, "<p><a>x" * 30_000,
+     "<li><b>x" * 30_000, "<table><tr><td>x" * 10_000, "<!-- x" * 30_000, "<p x" * 30_000],
+)
+def test_the_work_does_not_grow_with_the_depth(html):
+    start = time.process_time()
+    m.main_text(html)
+    assert time.process_time() - start < 10
+
+
 def test_smoothing_keeps_the_mean_of_equal_ratios():
     assert np.allclose(m.smoothed(np.full(9, 3.0)), 3.0)
     one = m.smoothed(np.array([0.0, 0, 0, 10, 0, 0, 0]))
