@@ -31,7 +31,7 @@ from stratacart.llm.common import Steps, shuffle_partitions
 #: Levels in one node row: it holds the digests of at most 2 ** RUNGS nodes and of those above,
 #: some 80 KB. Each step of the climb shuffles all leaves, so there should be few.
 RUNGS = 10
-#: Rows that one task may put in order.
+#: Rows that one task may put in order, and leaves that climb through one copy of a node row.
 ONE_TASK = 1 << 16
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -169,18 +169,34 @@ class Trees:
         last = [h.where(F.col("size") <= 1 << self.rungs) for h in self.heights]
         return reduce(DataFrame.union, last).select("tree", "top")
 
-    def nodes(self, above: DataFrame | None) -> DataFrame:
-        """Parent-linked rows: node, parent, place in the parent, the digests of its levels.
+    def nodes(self, above: DataFrame | None, n_leaves: int) -> DataFrame:
+        """Parent-linked rows: node, parent, its copies, place in it, the digests of the levels.
 
         above: the number of each tree among the leaves of the top tree; None for that itself.
+        All leaves of a tree climb through its last rows, so a row that more than ``ONE_TASK``
+        of ``n_leaves`` may pass stands in copies, between which these are dealt.
         """
         low = (1 << self.rungs) - 1
         parts = []
+
+        def below(height: int) -> int:
+            return n_leaves if above is None else min(n_leaves, 1 << self.rungs * (height + 1))
+
         for height, rows in enumerate(self.heights):
+            copies = F.explode(F.sequence(F.lit(0), F.lit(_copies(below(height)) - 1)))
+            if above is not None and not height:
+                rows = rows.withColumn("name", F.col("node"))
+            else:
+                rows = rows.withColumn("copy", copies)
+                rows = rows.withColumn("name", F.concat_ws("#", "node", "copy"))
             up = node_name(F.col("tree"), height + 1, F.shiftright("row", self.rungs))
             done = F.col("size") <= 1 << self.rungs
             inner = rows.where(~done).select(
-                "node", up.alias("parent"), F.col("row").bitwiseAND(low).alias("place"), "beside"
+                F.col("name").alias("node"),
+                up.alias("parent"),
+                F.lit(_copies(below(height + 1))).alias("copies"),
+                F.col("row").bitwiseAND(low).alias("place"),
+                "beside",
             )
             last = rows.where(done)
             if above is None:
@@ -190,11 +206,21 @@ class Trees:
                 last = last.join(above, "tree")
                 parent = node_name(F.lit(TOP_TREE), 0, F.shiftright("above", self.rungs))
                 place = F.col("above").bitwiseAND(low).cast("long")
-            outer = last.select("node", parent.alias("parent"), place.alias("place"), "beside")
+            outer = last.select(
+                F.col("name").alias("node"),
+                parent.alias("parent"),
+                F.lit(_copies(n_leaves)).alias("copies"),
+                place.alias("place"),
+                "beside",
+            )
             parts += [inner, outer]
         return reduce(DataFrame.union, parts)
 
 
+def _copies(n_leaves: int) -> int:
+    return max(1, -(-n_leaves // ONE_TASK))
+
+
 #: One step up: the digests beside the way from ``place``, and the hash folded with them. At
 #: each level the other of the run stands at the place whose last bit differs, if it is there.
 _OTHER = "coalesce(get(n.beside[rung], cast(way.place ^ 1 AS INT)), x'')"
@@ -242,16 +268,17 @@ def _set(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
 def climb(leaves: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
     """The last row of each leaf: key, tree, leaf, folded, siblings.
 
-    leaves: key, tree, leaf, node, place, folded; nodes as of ``Trees.nodes``. The query runs
-    here.
+    leaves: leaf_no, key, tree, leaf, node, place, folded; nodes as of ``Trees.nodes``. The
+    query runs here.
     """
     climbed = leaves.sparkSession.sql(
         f"""
-        WITH RECURSIVE climb (key, tree, leaf, node, place, folded, siblings) AS (
-            SELECT key, tree, leaf, node, place, folded, x'' FROM {{leaves}}
+        WITH RECURSIVE climb (leaf_no, key, tree, leaf, node, place, folded, siblings) AS (
+            SELECT leaf_no, key, tree, leaf, node, place, folded, x'' FROM {{leaves}}
             UNION ALL
-            SELECT key, tree, leaf, parent, parent_place, way.folded, way.siblings FROM (
-                SELECT c.key, c.tree, c.leaf, n.parent, n.place AS parent_place, {_STEP} AS way
+            SELECT leaf_no, key, tree, leaf, parent, parent_place, way.folded, way.siblings FROM (
+                SELECT c.leaf_no, c.key, c.tree, c.leaf, n.place AS parent_place, {_STEP} AS way,
+                       n.parent || '#' || pmod(xxhash64(c.leaf_no), n.copies) AS parent
                 FROM climb c JOIN {{nodes}} n ON c.node = n.node
             )
         )
@@ -314,9 +341,11 @@ def manifest(
     )
     top = Trees(roots, roots.groupBy("tree").agg(F.count(F.lit(1)).alias("size")), steps, rungs)
     last = top.tops().head()
+    n_leaves = parts.agg(F.sum("size")).head()[0] or 0
 
     ways = climb(
         placed.select(
+            F.col("position").alias("leaf_no"),
             "key",
             "tree",
             "leaf",
@@ -324,7 +353,7 @@ def manifest(
             F.col("number").bitwiseAND((1 << rungs) - 1).alias("place"),
             F.coalesce("other", "leaf").alias("folded"),
         ),
-        trees.nodes(above).union(top.nodes(None)),
+        trees.nodes(above, n_leaves).union(top.nodes(None, n_leaves)),
         steps,
     )
     return (

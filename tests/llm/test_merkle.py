@@ -75,21 +75,35 @@ def some(n, langs):
     return [(i * 7 % n, f"s{i % 3}", langs[i % len(langs)], i, f"text é {i}") for i in range(n)]
 
 
-@pytest.mark.parametrize("rungs", [1, 2, 8])
-@pytest.mark.parametrize("n", [1, 2, 5, 37])
-def test_equals_plain_trees(spark, rungs, n):
+@pytest.mark.parametrize(("n", "rungs"), [(1, 8), (2, 1), (37, 8), (37, 2)])
+def test_equals_plain_trees(spark, n, rungs):
     rows = some(n, ["en", None, "é", "de", "z"])
     assert made(spark, rows, rungs) == brute(rows)
 
 
-def test_one_part_over_several_heights(spark):
-    rows = some(70, ["en"])
+@pytest.mark.parametrize("langs", [["en"], [f"l{i}" for i in range(30)]])
+def test_several_heights_and_copies_of_their_rows(spark, langs, monkeypatch):
+    monkeypatch.setattr(merkle, "ONE_TASK", 7)
+    rows = some(70, langs)
     assert made(spark, rows, 2) == brute(rows)
 
 
-def test_many_parts(spark):
-    rows = some(60, [f"l{i}" for i in range(30)])
+def test_rows_that_all_leaves_pass_stand_in_copies(spark, monkeypatch):
+    """Repeated rows, too, are dealt between the copies."""
+    monkeypatch.setattr(merkle, "ONE_TASK", 10)
+    passed = {}
+    climb = merkle.climb
+
+    def watched(leaves, nodes, steps):
+        passed.update({r["node"]: r["copies"] for r in nodes.collect()})
+        return climb(leaves, nodes, steps)
+
+    monkeypatch.setattr(merkle, "climb", watched)
+    rows = [(1, "s", "en", 1, "same")] * 80
     assert made(spark, rows, 2) == brute(rows)
+    tops = [n for n in passed if n.startswith(f"{merkle.TOP_TREE}/")]
+    assert len(tops) == 8 and all(n in passed for n in ("0/2/0#0", "0/2/0#6", "0/3/0#7"))
+    assert "0/0/0" in passed and "0/1/0#1" in passed
 
 
 def test_odd_rows(spark):
