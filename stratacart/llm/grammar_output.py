@@ -14,7 +14,7 @@ The file format is Parquet, a row per shard:
 * ``doc_starts``: of each document's first id, counted from the shard's start
 * ``rules``: pairs of symbols, the i-th defining symbol ``base + i``; ``lengths``: the ids it
   expands to; ``base``: the first symbol that is not an id
-* ``sequence``: the compressed symbols; ``step_ends``: for every 256th symbol the position
+* ``sequence``: the compressed symbols; ``step_starts``: for every 256th symbol the position
   at which its expansion starts
 
 Results per row:
@@ -27,12 +27,16 @@ Results per row:
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,12 +47,12 @@ from stratacart.sources.scratch import scratch_path
 
 #: A shard is closed once it has this many ids; a longer document is a shard by itself.
 SHARD_IDS = 1 << 20
-#: A pair is replaced while it occurs at least so often in its shard.
-MIN_COUNT = 128
-#: A round of replacements goes on to another if it shortens the sequence by this part.
-MIN_GAIN = 0.002
-BLOCK_BYTES = 1 << 20
-#: Pieces in the younger of the two dictionaries that a task remembers.
+#: A pair is replaced while it occurs so often in its shard: a rule takes three numbers, and
+#: each replacement saves one.
+MIN_COUNT = 4
+BLOCK_BYTES = 4 << 20
+#: Pieces in the younger of the two dictionaries that a worker remembers, also for its next
+#: tasks: some 30 MB each.
 REMEMBERED = 150_000
 #: Unknown pieces that the library gets as one text.
 JOINED = 256
@@ -62,33 +66,49 @@ FORMAT = (
 )
 
 
+#: Letters followed by signs, neither of which the library's pattern lets share a match.
+_WORD_AND_SIGNS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
+#: The first character beyond the Latin letters that composing leaves as they are.
+_PLAIN = "\u0250"
+
+
 class WordEncoder:
     """The library's ids per piece of text between white space, each piece encoded once.
 
     The vocabulary drops white space and no rule of its file looks across it, so a text's ids
     are those of its pieces in turn. It lower-cases too, so pieces are remembered in lower
-    case, but for texts that may hold the name of a special token. A last comma or full stop
-    behind a letter or digit is a match by itself.
+    case, but for texts that may hold the name of a special token. Signs behind a word are a match
+    by themselves, and so are remembered by themselves. Words of small Latin letters, which
+    are neither normalised nor parted, go to the library's model at once.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {mark: self._plain([mark.decode()])[0] for mark in (b",", b".")}
+        #: The character that stands for a byte: itself where it can be seen.
+        seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = iter(range(0x100, 0x200))
+        self.shown = [chr(b) if b in seen else chr(next(rest)) for b in range(0x100)]
         #: A piece that parts others when many are encoded as one text.
         (self.bar,) = np.frombuffer(self._plain(["|"])[0], "<u2").tolist()
         #: Pieces met lately, and those before; what is met again moves to the former.
         self.pieces: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
 
-    def forget(self) -> None:
-        """Give back the memory, for what the worker does next."""
-        self.pieces, self.earlier = {}, {}
-
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
 
+    def _merged(self, word: str) -> bytes:
+        """The ids of a word that normaliser and pattern leave whole, from the library's model,
+        to which its bytes are shown as characters."""
+        shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def _learn(self, pieces: list[bytes]) -> None:
+        whole = {x: w for x in pieces if (w := x.decode()).isalpha() and w.islower() and max(w) < _PLAIN}
+        self.pieces.update((x, self._merged(w)) for x, w in whole.items())
+        pieces = [x for x in pieces if x not in whole]
         simple = [x for x in pieces if b"|" not in x]
         texts = [
             b" | ".join(simple[i : i + JOINED]).decode() for i in range(0, len(simple), JOINED)
@@ -105,25 +125,53 @@ class WordEncoder:
         other = [x for x in pieces if b"|" in x]
         self.pieces.update(zip(other, self._plain([x.decode() for x in other]), strict=True))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 16-bit ids of each text, without special tokens."""
+    def _settled(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, learning those that are not known."""
         if len(self.pieces) > REMEMBERED:
             self.earlier, self.pieces = self.pieces, {}
-        pieces, earlier = self.pieces, self.earlier
-        parted = []
-        for text in texts:
-            data = text.encode()
-            parted.append((data if b"<|" in data else data.lower()).split())
-        unknown = set().union(*parted).difference(pieces)
-        marked = {x for x in unknown if x[-1:] in self.marks and x[:-1].isalnum()}
-        unknown = unknown.difference(marked).union(x[:-1] for x in marked).difference(pieces)
+        known, earlier = self.pieces, self.earlier
+        unknown = set(pieces).difference(known)
+        parted = {
+            x: found.groups()
+            for x in unknown
+            if (found := _WORD_AND_SIGNS.fullmatch(x)) and found[1].decode().isalpha()
+        }
+        unknown = unknown.difference(parted).union(chain.from_iterable(parted.values()))
+        unknown = unknown.difference(known)
         again = {x: earlier[x] for x in unknown if x in earlier}
-        pieces.update(again)
+        known.update(again)
         self._learn(sorted(unknown.difference(again)))
-        for x in marked:
-            pieces[x] = pieces[x[:-1]] + self.marks[x[-1:]]
-        for parts in parted:
-            yield b"".join(map(pieces.__getitem__, parts))
+        for x, (word, signs) in parted.items():
+            known[x] = known[word] + known[signs]
+        return [known[x] for x in pieces]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The 16-bit ids of all texts, without special tokens, and where each text's begin
+        and the last one's end. Texts are cut and their pieces numbered by Arrow; Python sees
+        the distinct pieces alone."""
+        texts = pc.fill_null(texts, "")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(lower)
+        numbered = lists.flatten().dictionary_encode()
+        places = np.asarray(numbered.indices)
+        distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+        packed = self._settled([x for x in distinct if x])
+        if b"" in distinct:
+            packed.insert(distinct.index(b""), b"")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        ids = np.frombuffer(b"".join(packed), "<u2")
+        begins = (np.cumsum(sizes) - sizes)[places]
+        own = sizes[places]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        found = ids[np.repeat(begins - ends[:-1], own) + np.arange(ends[-1])]
+        counts = np.asarray(pc.list_value_length(lists))
+        return found, ends[np.concatenate(([0], np.cumsum(counts)))]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 16-bit ids of each text, without special tokens."""
+        ids, edges = self.encode_array(pa.array(texts, pa.string()))
+        for a, b in pairwise(edges.tolist()):
+            yield ids[a:b].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -141,8 +189,7 @@ def pair_grammar(
     Each round takes the frequent pairs from the most frequent down and skips a pair whose
     first symbol ends, or whose last symbol begins, a pair taken in this round. Pairs taken
     overlap in runs of one symbol alone, where every other one is replaced, so a round replaces
-    them all at once. Rounds end when no pair is frequent or one shortens the sequence by less
-    than a part in ``1 / MIN_GAIN``.
+    them all at once. Rounds end when no pair is frequent.
     """
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
@@ -188,8 +235,6 @@ def pair_grammar(
         sequence = np.delete(sequence, hits + 1)
         rules.append(chosen)
         n_rules += len(chosen)
-        if len(hits) < MIN_GAIN * len(sequence):
-            break
     flat = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
     pairs = np.stack([flat >> 32, flat & 0xFFFFFFFF], axis=1).astype(np.int64)
     lengths = np.ones(base + n_rules, dtype=np.int64)
@@ -209,12 +254,17 @@ class Grammar:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = np.empty(self.sizes.sum(), dtype=np.uint32)
         self.ids[:base] = np.arange(base)
-        for symbol, (a, b) in enumerate(rules.tolist(), base):  # both are earlier symbols
-            at = self.starts[symbol]
-            for part in (a, b):
-                n = self.sizes[part]
-                self.ids[at : at + n] = self.ids[self.starts[part] : self.starts[part] + n]
-                at += n
+        # Both symbols of a rule are earlier ones; rules in a row that need none of themselves
+        # are laid out at once.
+        latest = rules.max(axis=1) if len(rules) else np.zeros(0, dtype=np.int64)
+        done = 0
+        while done < len(rules):
+            late = np.flatnonzero(latest[done:] >= base + done)
+            stop = done + int(late[0]) if len(late) else len(rules)
+            at = int(self.starts[base + done])
+            laid = self.expand(rules[done:stop].ravel())
+            self.ids[at : at + len(laid)] = laid
+            done = stop
 
     def expand(self, sequence: np.ndarray) -> np.ndarray:
         """The ids of a sequence of symbols."""
@@ -299,16 +349,20 @@ def write_shards(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
-        end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             for piece in slices(batch, "text", BLOCK_BYTES):
-                texts = [x or "" for x in piece["text"].to_pylist()]
-                ids = pa.array([x + end for x in encoder.encode(texts)], pa.binary())
+                ids, edges = encoder.encode_array(piece["text"])
+                ended = np.insert(ids, edges[1:], end_id).astype("<u2")
+                edges = 2 * (edges + np.arange(len(edges)))
+                ids = pa.Array.from_buffers(
+                    pa.binary(),
+                    piece.num_rows,
+                    [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ended)],
+                )
                 part = parts_of(piece["doc_id"], cuts, unknown=parts)
                 yield pa.RecordBatch.from_arrays(
                     [part, piece["doc_id"], ids], names=["part", "doc_id", "ids"]
                 )
-        encoder.forget()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, size = -1, 0, 0
@@ -336,34 +390,40 @@ def write_shards(
     ordered.mapInArrow(shards, FORMAT).write.parquet(path)
 
 
+def _documents(row: dict) -> pa.RecordBatch:
+    """The documents of a shard, each read by its own range."""
+    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
+    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    sequence = np.frombuffer(row["sequence"], "<u4")
+    steps = np.frombuffer(row["step_starts"], "<u8").astype(np.int64)
+    grammar = Grammar(row["base"], rules, lengths)
+    starts = row["doc_starts"]
+    stops = [*starts[1:], row["n_ids"]]
+    sums = [
+        zlib.crc32(grammar.read_range(a, b, sequence, steps).astype("<u4").tobytes())
+        for a, b in zip(starts, stops, strict=True)
+    ]
+    n = len(starts)
+    columns = [
+        pa.array([row["part"]] * n, pa.int32()),
+        pa.array([row["shard"]] * n, pa.int32()),
+        pa.array(row["doc_ids"], pa.int64()),
+        pa.array(starts, pa.int64()),
+        pa.array(np.subtract(stops, starts), pa.int64()),
+        pa.array(sums, pa.int64()),
+    ]
+    names = ["part", "shard", "doc_id", "start", "n_tokens", "ids_crc32"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
     """Documents from shard rows: part, shard, doc_id, start (within the shard), n_tokens and
-    ids_crc32, all from the shard's expanded sequence."""
+    ids_crc32, from the symbols that cover each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-                lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                sequence = np.frombuffer(row["sequence"], "<u4")
-                ids = Grammar(row["base"], rules, lengths).expand(sequence).astype("<u4").tobytes()
-                starts = row["doc_starts"]
-                stops = [*starts[1:], row["n_ids"]]
-                sums = [
-                    zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, stops, strict=True)
-                ]
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["part"]] * n, pa.int32()),
-                        pa.array([row["shard"]] * n, pa.int32()),
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts, pa.int64()),
-                        pa.array([b - a for a, b in zip(starts, stops, strict=True)], pa.int64()),
-                        pa.array(sums, pa.int64()),
-                    ],
-                    names=["part", "shard", "doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+            for n in range(batch.num_rows):
+                yield _documents(batch.slice(n, 1).to_pylist()[0])
 
     return shards.mapInArrow(
         run, "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -373,14 +433,22 @@ def read_documents(shards: DataFrame) -> DataFrame:
 def document_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start over all shards, n_tokens and ids_crc32, from the files at ``path``.
 
-    The shards' totals, a row each, are summed in order in one task; documents are not.
+    Only the totals of the parts, as many as shuffle partitions, are summed by the driver;
+    within a part its shards are.
     """
     on_workers(spark)
     shards = spark.read.parquet(path)
     totals = shards.select("part", "shard", "n_ids")
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        "part", "shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before")
+    parts = sorted((r["part"], r["n"]) for r in
+                   totals.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    starts = accumulate((n for _, n in parts), initial=0)
+    known = [(part, start) for (part, _), start in zip(parts, starts, strict=False)]
+    begun = F.broadcast(spark.createDataFrame(known, "part int, part_start long"))
+    order = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("n_ids").over(order), F.lit(0))
+    before = totals.withColumn("within", within).join(begun, "part")
+    before = before.select(
+        "part", "shard", (F.col("part_start") + F.col("within")).alias("before")
     )
     start = (F.col("before") + F.col("start")).alias("start")
     documents = read_documents(shards).join(before, ["part", "shard"])

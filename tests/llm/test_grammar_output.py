@@ -3,17 +3,21 @@ from __future__ import annotations
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from stratacart.llm import grammar_output
 from stratacart.llm.grammar_output import (
+    MIN_COUNT,
     STEP,
     Grammar,
     WordEncoder,
     encode_to_files,
     pair_grammar,
+    write_shards,
 )
+from stratacart.sources.scratch import scratch_path
 from tokenizers import Tokenizer
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +82,52 @@ def test_rows_in_order(spark, library, monkeypatch):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc)
         start += len(ids)
     assert encode_to_files(docs.limit(0), FILE).collect() == []
+
+
+def real_ids(library, n: int) -> np.ndarray:
+    table = duckdb.connect().execute(
+        "SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id"
+    )
+    ids: list[int] = []
+    for (text,) in table.fetchall():
+        ids += library.encode(text, add_special_tokens=False).ids
+        if len(ids) >= n:
+            break
+    return np.array(ids[:n], dtype="<u4")
+
+
+def test_real_shards_shrink(library):
+    """Pairs are replaced as long as a rule pays, also in small shards."""
+    base = library.get_vocab_size()
+    for n, most, rules_at_least in ((20_000, 0.95, 300), (300_000, 0.75, 5_000)):
+        ids = real_ids(library, n)
+        sequence, rules, lengths = pair_grammar(ids, base)
+        assert len(rules) >= rules_at_least
+        assert len(sequence) + 2 * len(rules) < most * len(ids)
+        grammar = Grammar(base, rules, lengths)
+        assert (grammar.expand(sequence) == ids).all()
+        pairs, counts = np.unique(sequence[:-1] << 32 | sequence[1:], return_counts=True)
+        often = pairs[counts >= MIN_COUNT]
+        assert all(a == b for a, b in zip(often >> 32, often & 0xFFFFFFFF, strict=True))
+
+
+def test_words_that_go_to_the_model_at_once(library):
+    words = ["straße", "naïve", "ñandú", "ªº", "the***", "que&&&", "été,.", "don't", "o'", "ⅷ", "ǆ", "µm"]
+    words += ["ŉ", "ĳ", "ſt", "İx", "Ünder%%%", "12***", "x1,", "été", "a­", "the x"]
+    encoder = WordEncoder(FILE)
+    for word, packed in zip(words, encoder.encode(words), strict=True):
+        expected = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(packed, "<u2").tolist() == expected, repr(word)
+
+
+def test_documents_are_read_by_their_own_ranges(spark, monkeypatch):
+    """The result comes from random access, not from a shard that is laid out whole."""
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    path = scratch_path(spark, "shards")
+    write_shards(docs, FILE, path, 2)
+    rows = [r.asDict() for r in spark.read.parquet(path).collect()]
+    calls = []
+    read = Grammar.read_range
+    monkeypatch.setattr(Grammar, "read_range", lambda *a: calls.append(a[1:3]) or read(*a))
+    found = [grammar_output._documents(row).num_rows for row in rows]
+    assert sum(found) == len(calls) == 40
