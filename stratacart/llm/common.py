@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import AbstractContextManager, contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 from stratacart.sources.scratch import discard, materialize
 
+MapBatches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 HOME = str(Path(__file__).resolve().parents[2])
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The characters \x20 and \x09 to \x0D.
@@ -39,6 +43,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Steps(df.sparkSession).store(df, name)
 
 
+#: Bytes of a batch that crosses to Python while a step is stored. By rows, as Spark counts
+#: them by default, a batch of texts takes tens of megabytes on either side, for every task.
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def set_while(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Settings of the session that hold within the block."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    return set_while(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES})
+
+
 class Steps:
     """Tables that the steps of a job hand on in the shared scratch folder. At the end of a
     ``with`` block they are deleted, so what is returned must not read them."""
@@ -51,7 +80,8 @@ class Steps:
         """Compute ``df`` and write it. What was shuffled for it is then of no more use, but
         Spark deletes shuffle files only when the driver happens to collect its garbage;
         asking for that keeps the disks of a long job to what one step needs."""
-        table, folder = materialize(df, f"llm-{name}")
+        with small_batches(self.spark):
+            table, folder = materialize(df, f"llm-{name}")
         self.folders.append(folder)
         gc.collect()
         self.spark._jvm.System.gc()
@@ -68,6 +98,25 @@ class Steps:
         self.drop()
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system. Workers outlive their tasks, and
+    without this the next stage's are added to what the last stage's once needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def thrifty(run: MapBatches) -> MapBatches:
+    """A function for ``mapInArrow`` that gives memory back at its task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import on_workers, slices
+from stratacart.llm.common import on_workers, slices, thrifty
 from stratacart.llm.shingles import word_hashes
 
 WORD_BINS = 1 << 15
@@ -246,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = (
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "id")  # SAMPLE rows on average
-        .mapInArrow(run, "id long, label int, index array<int>, value array<float>")
+        .mapInArrow(thrifty(run), "id long, label int, index array<int>, value array<float>")
         .toArrow()
         .sort_by([("id", "ascending")])
     )
@@ -276,4 +276,4 @@ def score(
                 )
 
     rows = docs.select(*dict.fromkeys([*keep, text]))
-    return rows.mapInArrow(run, rows.select(*keep).schema.add("score", "double"))
+    return rows.mapInArrow(thrifty(run), rows.select(*keep).schema.add("score", "double"))

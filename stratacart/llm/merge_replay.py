@@ -20,20 +20,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from stratacart.llm.common import on_workers, slices
+from stratacart.llm.common import on_workers, slices, thrifty
 
-#: Bytes of text whose unknown words are replayed together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are split into words together.
+BLOCK_BYTES = 2 << 20
+#: Bytes of distinct words that are replayed together: some 100 bytes of memory for each.
+REPLAY_BYTES = 256 << 10
 #: Settled words, and pieces, that a task remembers; beyond, it starts afresh.
 REMEMBERED = 150_000
 _KEY = 1 << 17
@@ -58,7 +61,6 @@ class MergeReplay:
             [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int64
         )
         self.top = max(ranks.values())
-        self.shown = {rank: str(rank) for rank in self.tokens}
         #: Ids as little-endian 32-bit integers, of words and of pieces that a space leads.
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -148,10 +150,16 @@ class MergeReplay:
         return [packed[a:b] for a, b in zip(begin, end, strict=True)]
 
     def learn(self, parts: Iterable[list[str]]) -> None:
-        """Settle all the words in ``parts`` that are not known yet, in one replay."""
+        """Settle all the words in ``parts`` that are not known yet."""
         new = sorted(set().union(*parts).difference(self.words))
-        if new:
-            self.words.update(zip(new, self.replay(new), strict=True))
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        start = 0
+        while start < len(new):
+            below = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, below + REPLAY_BYTES, side="right")))
+            together = new[start:stop]
+            self.words.update(zip(together, self.replay(together), strict=True))
+            start = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Per text its ids as little-endian 32-bit integers.
@@ -190,6 +198,10 @@ class MergeReplay:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    @cached_property
+    def shown(self) -> dict[int, str]:
+        return {rank: str(rank) for rank in self.tokens}
+
     def text_of(self, ids: list[int]) -> str:
         """The ids in decimal, joined by one space."""
         return " ".join(map(self.shown.__getitem__, ids))
@@ -199,6 +211,13 @@ def _ids(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
+def _lists(encoded: list[bytes]) -> pa.ListArray:
+    """The packed ids as lists, by their bytes."""
+    ends = np.cumsum([0, *map(len, encoded)]) // 4
+    values = np.frombuffer(b"".join(encoded), "<i4")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
 @lru_cache(maxsize=2)
 def _replay(name: str, pattern: str) -> MergeReplay:
     with open(SparkFiles.get(name), "rb") as lines:
@@ -219,24 +238,46 @@ def encode_decode(
     rank file, of a fixed size, is shipped to each executor once.
     """
 
-    def rows(replay: MergeReplay, encoded: list[bytes]) -> list[pa.Array]:
-        ids = [_ids(packed) for packed in encoded]
-        return [
-            pa.array(ids, pa.list_(pa.int32())),
-            pa.array([replay.decode(x) for x in ids], pa.binary()),
-        ]
+    def rows(
+        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+    ) -> list[pa.Array]:
+        return [_lists(encoded), pa.array([replay.decode(_ids(x)) for x in encoded], pa.binary())]
 
     columns = "ids array<int>, decoded binary"
     return _encoded(docs, ranks, pattern, text, (key, *keep), rows, columns)
 
 
+def encode_checked(
+    docs: DataFrame,
+    ranks: str,
+    pattern: str,
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    key: str = "doc_id",
+) -> DataFrame:
+    """Key, ``keep``, ``n_tokens``, ``ids`` and whether the ids decode to the text
+    (``restored``), which the task that encodes finds out: no text leaves it."""
+
+    def rows(
+        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+    ) -> list[pa.Array]:
+        same = [replay.decode(_ids(x)) == t.encode() for x, t in zip(encoded, texts, strict=True)]
+        lists = _lists(encoded)
+        return [pc.list_value_length(lists).cast(pa.int64()), lists, pa.array(same, pa.bool_())]
+
+    columns = "n_tokens long, ids array<int>, restored boolean"
+    return _encoded(docs, ranks, pattern, text, (key, *keep), rows, columns)
+
+
 def token_digests(
     docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """Key, ``n_tokens`` and the SHA-256 digests ``ids_sha256`` of the decimal ids and
     ``decoded_sha256`` of the decoded bytes, taken in the task that encodes."""
 
-    def rows(replay: MergeReplay, encoded: list[bytes]) -> list[pa.Array]:
+    def rows(
+        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+    ) -> list[pa.Array]:
         counts, shown, decoded = [], [], []
         for packed in encoded:
             ids = _ids(packed)
@@ -259,7 +300,7 @@ def _encoded(
     pattern: str,
     text: str,
     keep: tuple[str, ...],
-    rows: Callable[[MergeReplay, list[bytes]], list[pa.Array]],
+    rows: Callable[[MergeReplay, list[bytes], list[str]], list[pa.Array]],
     columns: str,
 ) -> DataFrame:
     on_workers(docs.sparkSession)
@@ -273,10 +314,9 @@ def _encoded(
         replay = _replay(name, pattern)
         for batch in batches:
             for part in slices(batch, text, BLOCK_BYTES):
-                encoded = list(replay.encode([x or "" for x in part[text].to_pylist()]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[k] for k in keep), *rows(replay, encoded)], schema=schema
-                )
+                texts = [x or "" for x in part[text].to_pylist()]
+                found = rows(replay, list(replay.encode(texts)), texts)
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), *found], schema=schema)
         replay.forget()
 
-    return picked.mapInArrow(run, result)
+    return picked.mapInArrow(thrifty(run), result)

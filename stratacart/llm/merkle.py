@@ -18,15 +18,14 @@ Results per row:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import Steps, shuffle_partitions
+from stratacart.llm.common import Steps, set_while, shuffle_partitions
 
 #: Levels in one node row: it holds the digests of at most 2 ** RUNGS nodes and of those above,
 #: some 80 KB. Each step of the climb shuffles all leaves, so there should be few.
@@ -250,21 +249,6 @@ _RECURSION = {
 }
 
 
-@contextmanager
-def _set(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 def climb(leaves: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
     """The last row of each leaf: key, tree, leaf, folded, siblings.
 
@@ -287,7 +271,7 @@ def climb(leaves: DataFrame, nodes: DataFrame, steps: Steps) -> DataFrame:
         leaves=leaves,
         nodes=nodes,
     )
-    with _set(leaves.sparkSession, _RECURSION):
+    with set_while(leaves.sparkSession, _RECURSION):
         return steps.store(climbed, "climbed")
 
 

@@ -34,7 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacart.llm.common import Steps, on_workers, slices, stored
+from stratacart.llm.common import (
+    Steps,
+    on_workers,
+    slices,
+    small_batches,
+    stored,
+    thrifty,
+)
 from stratacart.llm.components import components
 from stratacart.llm.shingles import shingle_sets
 
@@ -42,7 +49,8 @@ BINS = 1 << 20
 _BLOCKS = 16
 #: Nodes that are compared with each other in one place before pairs are built.
 CHUNK = 128
-BLOCK_BYTES = 2 << 20
+#: Bytes of text whose shingles are made together: some 30 bytes of memory for each.
+BLOCK_BYTES = 512 << 10
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -83,9 +91,11 @@ def frequency_order(docs: DataFrame, width: int) -> np.ndarray:
             )
 
     kind = "block int, counts binary"
-    counted = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind)
+    counted = docs.select("text").mapInArrow(thrifty(count), kind)
     total = np.zeros((_BLOCKS, BINS // _BLOCKS), dtype=np.uint64)
-    for row in counted.collect():  # _BLOCKS rows of a fixed size
+    with small_batches(docs.sparkSession):
+        added = counted.repartition("block").mapInArrow(add, kind).collect()
+    for row in added:  # _BLOCKS rows of a fixed size
         total[row["block"]] = np.frombuffer(row["counts"], "<u8")
     return np.round(256 * np.log2(1.0 + total.ravel())).astype(np.uint16)
 
@@ -124,7 +134,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, digest binary, n long, prefix array<long>"
+        thrifty(run), "doc_id long, digest binary, n long, prefix array<long>"
     )
 
 
@@ -190,7 +200,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(second, "b").join(first, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(run), "a long, b long")
 
 
 def _fits(percent: int) -> str:
@@ -248,7 +258,7 @@ def local_links(homes: DataFrame, texts: DataFrame, width: int, percent: int) ->
         .repartition("home", "chunk")
         .sortWithinPartitions("home", "chunk")
         .select("home", "chunk", "node", "text")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(thrifty(run), "a long, b long")
     )
 
 

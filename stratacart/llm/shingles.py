@@ -9,7 +9,8 @@ import numpy as np
 from stratacart.llm.common import ASCII_SPACE, ASCII_UPPER
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 16
+#: A table of powers for up to a megabyte of text; longer ones get a larger one.
+_TABLE_BITS = 20
 
 
 @lru_cache(maxsize=1)
@@ -32,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_table(size)
 
 
-@lru_cache(maxsize=3)
+@lru_cache(maxsize=2)
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, _ODD)
     up[0] = 1

@@ -8,7 +8,12 @@ import public_tokenizers
 import pytest
 import tiktoken
 from stratacart.llm import merge_replay
-from stratacart.llm.merge_replay import MergeReplay, encode_decode, token_digests
+from stratacart.llm.merge_replay import (
+    MergeReplay,
+    encode_checked,
+    encode_decode,
+    token_digests,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -88,3 +93,22 @@ def test_rows(spark, library):
     digests = {r.doc_id: r.n_tokens for r in token_digests(docs, RANKS, PATTERN).collect()}
     assert digests[2] == digests[3] == 0 and digests[5] == len(library.encode_ordinary(rows[-1][1]))
     assert token_digests(docs.limit(0), RANKS, PATTERN).collect() == []
+
+
+def test_pieces_of_the_replay_change_nothing(library, monkeypatch):
+    texts = odd_texts(300)
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(merge_replay, "REPLAY_BYTES", size)
+        with open(RANKS, "rb") as lines:
+            own = MergeReplay(lines, PATTERN)
+        for text, packed in zip(texts, own.encode(texts), strict=True):
+            assert ids(packed) == library.encode_ordinary(text)
+
+
+def test_checked_ids(spark, library):
+    texts = ["a b c", None, "", "é" * 1000, "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, encode_checked(docs, RANKS, PATTERN).collect()))
+    expected = [library.encode_ordinary(t or "") for t in texts]
+    assert found == [(i, len(x), x, True) for i, x in enumerate(expected)]
+    assert encode_checked(docs.limit(0), RANKS, PATTERN).count() == 0
