@@ -63,19 +63,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of ``KEEP_SHARE`` of the tokens, with raked shares of sources, languages and
     topics; what is too rare for its share is kept whole."""
-    mixed = mixing.mixed(docs, LEXICON, **MIX, keep_share=KEEP_SHARE, by_words=True)
+    mixed = mixing.mixed(docs.select(*COLUMNS), LEXICON, **MIX, keep_share=KEEP_SHARE)
     return mixed.where("kept").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
-    coded = merge_replay.encode_decode(
-        docs, BYTE_RANKS, public_tokenizers.PATTERN, keep=("text",)
-    )
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("restored")
-    )
+    return merge_replay.encode_checked(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
