@@ -1,6 +1,6 @@
 """Equi-joins of a fact with a table that has one row per key.
 
-No join strategy is requested: Catalyst broadcasts a side whose size it knows to be
+No join strategy is requested unless rows are copied: Catalyst broadcasts a side whose size it knows to be
 small and sort-merges otherwise, and AQE splits a foreign key that holds many rows.
 
 ``salt`` adds a second join column, a hash of the whole row modulo ``salt``, against
@@ -9,7 +9,9 @@ small and sort-merges otherwise, and AQE splits a foreign key that holds many ro
 * 1, the default for facts, copies nothing. It makes both sides shuffle for this join,
   without which AQE cannot split a hot key; a parent fresh from its deduplication is
   already laid out by the key and would pull the fact into that layout.
-* More spreads every key over that many tasks, for sessions without AQE.
+* More spreads every key over that many tasks, for sessions without AQE. Both sides are then
+  shuffled and merged whatever Spark takes the parent's size for: its estimate knows nothing of
+  the copies, and a parent that it would broadcast would go through the driver ``salt`` times.
 * None joins on the key alone, for a child that has few rows per key.
 
 Unlike a random number, the hash is the same when a lost task runs again.
@@ -34,11 +36,10 @@ def _join(
     hashed = [key] if salt == 1 else child.columns
     spread = F.pmod(F.xxhash64(*hashed), F.lit(salt)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-    return (
-        child.withColumn(_SALT, spread)
-        .join(parent.withColumn(_SALT, copies), [key, _SALT], how)
-        .drop(_SALT)
-    )
+    copied = parent.withColumn(_SALT, copies)
+    if salt > 1:
+        copied = copied.hint("merge")
+    return child.withColumn(_SALT, spread).join(copied, [key, _SALT], how).drop(_SALT)
 
 
 def fk_filter(

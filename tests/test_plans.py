@@ -52,6 +52,18 @@ def test_hot_foreign_key_is_split(split_small, executed_plan, tmp_path, join):
     assert re.search(rf"SortMergeJoin\(skew=true\)[^\n]*{kind}", plan)
 
 
+@pytest.mark.parametrize("join", [fk_filter, fk_enrich, left_enrich])
+def test_copies_of_a_parent_are_not_broadcast(spark, executed_plan, join):
+    """Spark takes the parent for as small as one copy of it."""
+    child = spark.range(0, 5000).select("id", (F.col("id") % 400).alias("k"))
+    parent = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    names = () if join is fk_filter else ("twice",)
+    salted = join(child, parent, "k", *names, salt=8)
+    assert "Broadcast" not in executed_plan(salted)
+    plain = join(child, parent, "k", *names, salt=None)
+    assert sorted(salted.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
 def test_hot_customer_is_split_in_fact_orders(split_small, executed_plan):
     """Also where the parent comes straight from its deduplication, laid out by the key."""
     sf_dir = "/root/testdata/sf0.01"
