@@ -912,7 +912,8 @@ def compacted_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         for record in pinned:
             runs = {record.day: record.runs[table]}
             df = lake.read_runs(spark, source, table, runs, KEY_TYPE)
-            lake.write_silver(df.select(*columns(SILVER[table])), root, table, record.day)
+            df = df.select(*columns(SILVER[table]))
+            lake.write_silver(df, root, table, record.day, deal=False)
     for record in pinned:
         lake.commit_day(spark, root, record.day, tables=list(SILVER), full=record.full)
     jobs.compact_silver(spark, root, DAY_TWO, KEY_TYPE)

@@ -96,7 +96,8 @@ def run_silver(
         return lake.read_bronze(spark, bronze_root, table, day)
 
     def store(df: DataFrame, table: str) -> DataFrame:
-        lake.stage_silver(counts[table](df, OUT), silver_root, table, day, run)
+        # Each ends in the shuffle of its duplicates, its last key check or its grouping.
+        lake.stage_silver(counts[table](df, OUT), silver_root, table, day, run, deal=False)
         return lake.read_staged(spark, silver_root, table, day, run, key_type)
 
     def parent(df: DataFrame, table: str) -> DataFrame:
@@ -158,7 +159,8 @@ def compact_silver(
         try:
             for table in SILVER:
                 df = lake.read_pinned(spark, silver_root, table, pinned, key_type)
-                lake.stage_silver(df, silver_root, table, day, run)
+                # Ends in the shuffle by key.
+                lake.stage_silver(df, silver_root, table, day, run, deal=False)
             lake.commit_day(
                 spark,
                 silver_root,

@@ -104,7 +104,9 @@ def fact_order_items(
     and ``products`` dim_products.
 
     The two key checks commute. Products go first: that side is often small enough to be
-    broadcast, and then fewer rows travel to the join with orders.
+    broadcast, and then fewer rows travel to the join with orders. Orders are a fact and are
+    merged: Spark goes by the bytes of their files, and a few megabytes of packed columns are
+    millions of rows, which a broadcast would send through the driver.
     """
     return (
         items.transform(_cast, "order_items", key_type, counts)
@@ -113,7 +115,7 @@ def fact_order_items(
         .transform(dedup_by_key, "order_item_id")
         .transform(counts, DISTINCT)
         .transform(fk_filter, products, "product_id", salt)
-        .transform(fk_enrich, orders, "order_id", "order_date", salt=salt)
+        .transform(fk_enrich, orders.hint("merge"), "order_id", "order_date", salt=salt)
         .withColumn("line_amount", line_amount(F.col("quantity"), F.col("unit_price")))
         .transform(_in_written_order, "fact_order_items")
     )

@@ -367,6 +367,27 @@ def test_changes_add_up_to_the_whole(spark, changes):
     spark.sql("DROP DATABASE changes_test CASCADE")
 
 
+def test_no_table_is_shuffled_only_to_be_written(spark, changes, tmp_path, monkeypatch):
+    shutil.copytree(f"{changes}/silver", root := str(tmp_path / "silver"))
+    hints, hint, stage = [], type(spark.range(1)).hint, lake.stage_silver
+    staged = []
+
+    def seen(df, name, *args):
+        hints.append(name)
+        return hint(df, name, *args)
+
+    def kept(df, root, table, *args, **how):
+        staged.append((table, "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, root, table, *args, **how)
+
+    monkeypatch.setattr(type(spark.range(1)), "hint", seen)
+    monkeypatch.setattr(lake, "stage_silver", kept)
+    jobs.run_silver(spark, f"{changes}/bronze", root, DAY)
+    jobs.compact_silver(spark, root, NEXT_DAY)
+    assert "rebalance" not in hints
+    assert sorted(staged) == sorted((table, True) for table in [*SILVER, *SILVER])
+
+
 def test_changes_read_by_one_group_limit(spark, changes):
     as_of = lake.read_silver(spark, f"{changes}/silver", "fact_orders", lake.AsOf())
     plan = as_of._jdf.queryExecution().executedPlan().toString()

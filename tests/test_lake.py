@@ -94,6 +94,18 @@ def test_latest_snapshot_goes_by_records(spark, tmp_path):
     assert lake.day_record(spark, root, NEXT_DAY) is None
 
 
+def test_silver_parts_are_written_as_they_come(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(ONE, 2024, n, 1, 1, 1) for n in range(1, 7)], ddl(SILVER["dim_date"])
+    )
+    root = str(tmp_path)
+    lake.write_silver(rows.repartition(3), root, "dim_date", DAY, deal=False)
+    folder = lake.run_path(root, "dim_date", DAY, lake.day_state(spark, root, DAY).runs["dim_date"])
+    written = [n for n in files.child_files(spark, folder) if n.endswith(".parquet")]
+    assert len(written) == 3 and all(".zstd." in n for n in written)
+    assert sorted(lake.read_silver(spark, root, "dim_date", DAY).collect()) == sorted(rows.collect())
+
+
 def test_silver_files_are_not_tiny(spark, tmp_path):
     rows = spark.range(200_000, numPartitions=40).select(
         F.lit(ONE).alias("date_key"),

@@ -73,6 +73,15 @@ def test_hot_customer_is_split_in_fact_orders(split_small, executed_plan):
     assert "SortMergeJoin(skew=true)" in plan
 
 
+def test_orders_are_not_broadcast_to_their_items(spark, executed_plan, sf_dir):
+    tables = {t: adapter.BRONZE[t](spark, sf_dir) for t in ("orders", "products", "customers")}
+    orders = silver.fact_orders(tables["orders"], silver.dim_customers(tables["customers"]))
+    items = silver.fact_order_items(
+        adapter.order_items(spark, sf_dir), orders, silver.dim_products(tables["products"])
+    )
+    assert executed_plan(items).partition("Initial Plan")[0].count("SortMergeJoin") == 1
+
+
 @pytest.fixture
 def tables(with_conf, tmp_path):
     """Empty silver tables on disk, planned without broadcast."""
