@@ -742,7 +742,8 @@ def _jobs_done(application: str, sf_dir: str) -> tuple[str, str]:
     sources = {}
     for name, make in adapter.BRONZE.items():
         path = f"{root}/landing/{name}"
-        make(spark, sf_dir, True).write.option("header", True).csv(path)
+        packed = make(spark, sf_dir, True).write.options(header=True, compression="gzip")
+        packed.csv(path)
         sources[name] = read_csv(spark, path)
     for _ in range(2):
         jobs.run_bronze(sources, f"{root}/bronze", DAY_ONE)
