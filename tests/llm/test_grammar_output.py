@@ -131,3 +131,46 @@ def test_documents_are_read_by_their_own_ranges(spark, monkeypatch):
     monkeypatch.setattr(Grammar, "read_range", lambda *a: calls.append(a[1:3]) or read(*a))
     found = [grammar_output._documents(row).num_rows for row in rows]
     assert sum(found) == len(calls) == 40
+
+
+def test_rounds_look_where_frequent_pairs_can_stand(library, monkeypatch):
+    """Later rounds leave most of the shard alone, and no frequent pair escapes them."""
+    ids = real_ids(library, 60_000)
+    looked = []
+    plain = grammar_output._frequent
+
+    def watched(sequence, places, top, min_count):
+        pairs, counts = np.unique(sequence[:-1] << 32 | sequence[1:], return_counts=True)
+        found = plain(sequence, places, top, min_count)
+        often = counts >= min_count
+        assert (found[0] == pairs[often]).all() and (found[1] == counts[often]).all()
+        looked.append(len(places))
+        return found
+
+    monkeypatch.setattr(grammar_output, "_frequent", watched)
+    pair_grammar(ids, library.get_vocab_size())
+    assert looked[0] == len(ids) - 1
+    assert len(looked) > 5 and sum(looked[2:]) < len(ids)
+
+
+def test_wide_symbols_and_narrow_ones_give_the_same_rules():
+    ids = np.random.default_rng(5).integers(0, 6, 20_000).astype("<u4")
+    narrow, wide = pair_grammar(ids, 8), pair_grammar(ids, 1 << 30)
+    shift = (1 << 30) - 8
+    for a, b in zip(narrow[:2], wide[:2], strict=True):
+        assert (np.where(a >= 8, a + shift, a) == b).all()
+    assert (narrow[2] == wide[2]).all()
+
+
+def test_words_and_numbers_are_learned_once_whatever_signs_follow(library, monkeypatch):
+    encoder = WordEncoder(FILE)
+    learned = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    texts = ["In 2024, Größe, it's", "2024. größe!! (2024,", "2024 GRÖSSE. größe, <|endoftext|>,"]
+    for text, packed in zip(texts, encoder.encode(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, "<u2").tolist() == expected
+    assert len(learned) == len(set(learned))
+    assert {"2024", "größe", ",", ".", "!!"} <= set(learned)
+    assert not {"2024,", "2024.", "größe,", "größe!!"} & set(learned)
