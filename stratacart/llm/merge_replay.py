@@ -2,10 +2,15 @@
 
 The distinct words of a block lie in one flat array of symbols. An inverted index leads
 from the rank of each pair to the positions where it stands. Merges are applied in rank
-order, each at all its positions, and only the two neighbours of a merged pair enter the
-index anew. Words do not touch each other, so a block gives each word the ids that a replay
-over the whole corpus would give it, and blocks need no shuffle. Words that earlier blocks of
-the same task have settled are looked up.
+order, and only the two neighbours of a merged pair enter the index anew. Words do not touch
+each other, so a block gives each word the ids that a replay over the whole corpus would give
+it, and blocks need no shuffle. Words that earlier blocks of the same task have settled are
+looked up.
+
+For short words the index has a window of ranks per entry, and windows are taken in order.
+Within one, the lowest pair of every word is merged, all words at once, until none is left:
+the order within each word is that of the ranks. Long words go rank by rank, each rank at all
+its positions, in time that grows with their length alone.
 
 Results per row:
 
@@ -21,6 +26,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,51 @@ from stratacart.llm.common import on_workers, slices, thrifty
 BLOCK_BYTES = 2 << 20
 #: Bytes of distinct words that are replayed together: some 100 bytes of memory for each.
 REPLAY_BYTES = 256 << 10
+#: Bytes of the longest words that are short.
+SHORT = 64
 #: Settled words, and pieces, that a task remembers; beyond, it starts afresh.
 REMEMBERED = 150_000
 _KEY = 1 << 17
+_MIX = np.int64(-7046029254386353131)
+_RANK_BITS = 17
+
+
+class PairRanks:
+    """The ranks of many pairs at once: a hash table in arrays, with linear probing."""
+
+    def __init__(self, merges: dict[int, int]) -> None:
+        bits = max(4, (4 * len(merges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << bits, -1, dtype=np.int32)
+        keys = np.fromiter(merges.keys(), np.int64, len(merges))
+        ranks = np.fromiter(merges.values(), np.int32, len(merges))
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.ranks[slots[placed]] = ranks[placed]
+            keys, ranks = keys[~placed], ranks[~placed]
+            slots = slots[~placed] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MIX).view(np.uint64) >> self.shift).view(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Per pair of symbols its rank, -1 where they do not merge."""
+        keys = left.astype(np.int64) * _KEY + right
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        found = np.where(there == keys, self.ranks[slots], np.int32(-1))
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            slots[open_] = slots[open_] + 1 & self.mask
+            there = self.keys[slots[open_]]
+            same = there == keys[open_]
+            found[open_[same]] = self.ranks[slots[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return found
 
 
 class MergeReplay:
@@ -61,6 +109,9 @@ class MergeReplay:
             [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int64
         )
         self.top = max(ranks.values())
+        self.pair_ranks = PairRanks(self.merges)
+        #: The window of the index that a rank belongs to.
+        self.window = np.array([r.bit_length() for r in range(self.top + 1)], dtype=np.int8)
         #: Ids as little-endian 32-bit integers, of words and of pieces that a space leads.
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -73,6 +124,78 @@ class MergeReplay:
     def replay(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
         coded = [word.encode() for word in words]
+        long = [i for i, word in enumerate(coded) if len(word) > SHORT]
+        if not long:
+            return self._replay_short(coded)
+        found = self._replay_short([word for word in coded if len(word) <= SHORT])
+        for i, packed in zip(long, self._replay_long([coded[i] for i in long]), strict=True):
+            found.insert(i, packed)
+        return found
+
+    def _replay_short(self, coded: list[bytes]) -> list[bytes]:
+        if not coded:
+            return []
+        data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        size = len(data)
+        # A place behind the last, in no word, stands for what is before or behind all.
+        word = np.append(np.repeat(np.arange(len(coded), dtype=np.int32), lengths), np.int32(-1))
+        symbols = np.append(self.byte_ids[data], -1).astype(np.int32)
+        after = np.arange(1, size + 2, dtype=np.int32)
+        before = np.arange(-1, size, dtype=np.int32)
+        rank_at = np.full(size + 1, -1, dtype=np.int32)  # of the pair that begins at a place
+        rank_at[: size - 1] = self.byte_ranks[data[:-1].astype(np.int64) * 256 + data[1:]]
+        rank_at[np.cumsum(lengths) - 1] = -1
+
+        place_bits = size.bit_length()
+        index: list[list[np.ndarray]] = [[] for _ in range(int(self.window[-1]) + 1)]
+
+        def enter(places: np.ndarray) -> int:
+            """Index the pairs that begin at the places; the lowest of their windows."""
+            places = places[rank_at[places] >= 0]
+            ranks = rank_at[places]
+            keys = word[places].astype(np.int64) << _RANK_BITS | ranks
+            keys = keys << place_bits | places
+            windows = self.window[ranks]
+            order = np.argsort(windows, kind="stable")
+            keys, counts = keys[order], np.bincount(windows, minlength=len(index))
+            ends = np.cumsum(counts)
+            for w in np.flatnonzero(counts).tolist():
+                index[w].append(keys[ends[w] - counts[w] : ends[w]])
+            return int(windows.min()) if len(windows) else len(index)
+
+        w = enter(np.arange(size))
+        while w < len(index):
+            if not index[w]:
+                w += 1
+                continue
+            keys = np.sort(np.concatenate(index[w]))
+            places = keys & ((1 << place_bits) - 1)
+            ranks = (keys >> place_bits & ((1 << _RANK_BITS) - 1)).astype(np.int32)
+            there = rank_at[places] == ranks  # else a neighbour was merged since
+            keys, places, ranks = keys[there], places[there], ranks[there]
+            own = keys >> (place_bits + _RANK_BITS)
+            lowest = np.ones(len(own), dtype=bool)
+            lowest[1:] = own[1:] != own[:-1]
+            index[w] = [keys[~lowest]] if not lowest.all() else []
+            i, rank = places[lowest], ranks[lowest]
+            j, h = after[i], before[i]
+            k = after[j]
+            symbols[i], symbols[j] = rank, -1
+            after[i], before[k] = k, i
+            rank_at[i] = rank_at[j] = -1
+            right = np.flatnonzero(word[k] == word[i])
+            rank_at[i[right]] = self.pair_ranks.of(rank[right], symbols[k[right]])
+            left = np.flatnonzero(word[h] == word[i])
+            h = h[left]
+            rank_at[h] = self.pair_ranks.of(symbols[h], rank[left])
+            w = min(w, enter(np.concatenate((i[right], h))))
+        alive = symbols >= 0
+        packed = symbols[alive].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(word[alive], minlength=len(coded)))
+        return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _replay_long(self, coded: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"\0".join(coded) + b"\0", dtype=np.uint8)
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         ends = np.cumsum(lengths + 1) - 1  # where words end, with a symbol that pairs with none
@@ -149,9 +272,8 @@ class MergeReplay:
         end = (4 * kept[ends]).tolist()
         return [packed[a:b] for a, b in zip(begin, end, strict=True)]
 
-    def learn(self, parts: Iterable[list[str]]) -> None:
-        """Settle all the words in ``parts`` that are not known yet."""
-        new = sorted(set().union(*parts).difference(self.words))
+    def learn(self, new: list[str]) -> None:
+        """Settle distinct words that are not known yet."""
         ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
         start = 0
         while start < len(new):
@@ -161,61 +283,118 @@ class MergeReplay:
             self.words.update(zip(together, self.replay(together), strict=True))
             start = stop
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Per text its ids as little-endian 32-bit integers.
-
-        Where single spaces part pieces without white space at their ends, no match of the
-        pattern crosses a space, so such pieces are looked up whole. Other texts are split
-        into words from end to end.
-        """
+    def _split(self, pieces: list[str]) -> None:
+        """Learn the pieces from the words that they consist of."""
+        split = self.pattern.findall
+        # No match goes from other characters on to a space, so pieces that a space leads
+        # and none ends are split as one text.
+        single = [x for x in pieces if x[0] != " " or x[-1].isspace()]
+        joined = [x for x in pieces if x[0] == " " and not x[-1].isspace()]
+        words = split("".join(joined))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        edges = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        if ends[-1:].tolist() != edges[-1:].tolist():  # a pattern that leaves characters out
+            single, joined, words, edges = [*single, *joined], [], [], edges[:0]
+        parts = [split(x) for x in single]
+        begun = sum(map(len, parts))
+        stops = [*accumulate(map(len, parts)), *(begun + 1 + np.searchsorted(ends, edges)).tolist()]
+        words = [*chain.from_iterable(parts), *words]
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        numbered = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.words
+        self.learn([x for x in distinct if x not in known])
+        laid = pa.array([known[x] for x in distinct], pa.large_binary()).take(numbered.indices)
+        offsets, data = _laid(laid)
+        packed, cuts = data.to_pybytes(), offsets[np.array([0, *stops])].tolist()
+        own = (packed[a:b] for a, b in pairwise(cuts))
+        self.pieces.update(zip(chain(single, joined), own, strict=True))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The 32-bit ids of all texts, and where each text's begin and the last one's end.
+
+        Texts are cut before spaces, but for those behind white space, where the pattern may
+        look at what follows. Arrow numbers the pieces and lays out their ids; Python sees
+        the distinct pieces alone.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        edges, pieces = _pieces(texts)
+        numbered = pieces.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        split = self.pattern.findall
-        whole: list[list[str]] = []
-        parted: list[list[str]] = []
-        unknown: set[str] = set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            new = set(rest).difference(self.pieces)
-            if new and any(not x or x[0].isspace() or x[-1].isspace() for x in new):
-                first, rest = text, []
-            elif rest and (not first or first[-1].isspace()):
-                first, rest = text, []
-            else:
-                unknown |= new
-            whole.append(split(first))
-            parted.append(rest)
-        words = {piece: split(" " + piece) for piece in unknown}
-        self.learn([*whole, *words.values()])
-        known, pieces = self.words, self.pieces
-        for piece, own in words.items():
-            pieces[piece] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
-        for first, rest in zip(whole, parted, strict=True):
-            yield b"".join([known[w] for w in first] + [pieces[x] for x in rest])
+        found = list(map(self.pieces.get, distinct))
+        unknown = [i for i, packed in enumerate(found) if packed is None]
+        self._split([distinct[i] for i in unknown])
+        for i in unknown:
+            found[i] = self.pieces[distinct[i]]
+        offsets, ids = _laid(pa.array(found, pa.large_binary()).take(numbered.indices))
+        edges = offsets[edges] // 4
+        return np.frombuffer(ids, "<i4", edges[-1]), edges
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Per text its ids as little-endian 32-bit integers."""
+        ids, edges = self.encode_array(pa.array(texts, pa.large_string()))
+        for a, b in pairwise(edges.tolist()):
+            yield ids[a:b].tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     @cached_property
-    def shown(self) -> dict[int, str]:
-        return {rank: str(rank) for rank in self.tokens}
-
-    def text_of(self, ids: list[int]) -> str:
-        """The ids in decimal, joined by one space."""
-        return " ".join(map(self.shown.__getitem__, ids))
+    def token_bytes(self) -> pa.Array:
+        return pa.array([self.tokens.get(i, b"") for i in range(self.top + 1)], pa.large_binary())
 
-
-def _ids(packed: bytes) -> list[int]:
-    return np.frombuffer(packed, "<u4").tolist()
-
-
-def _lists(encoded: list[bytes]) -> pa.ListArray:
-    """The packed ids as lists, by their bytes."""
-    ends = np.cumsum([0, *map(len, encoded)]) // 4
-    values = np.frombuffer(b"".join(encoded), "<i4")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    @cached_property
+    def shown(self) -> pa.Array:
+        """Each id in decimal, and a space."""
+        return pa.array([b"%d " % i for i in range(self.top + 1)], pa.large_binary())
+
+    def decoded(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The bytes that each text's ids stand for."""
+        offsets, data = _laid(self.token_bytes.take(pa.array(ids)))
+        kept = pa.py_buffer(np.ascontiguousarray(offsets[edges]))
+        return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, kept, data])
+
+    def texts_of(self, ids: np.ndarray, edges: np.ndarray) -> Iterator[memoryview]:
+        """Each text's ids in decimal, joined by one space."""
+        offsets, data = _laid(self.shown.take(pa.array(ids)))
+        shown = memoryview(data)
+        for a, b in pairwise(offsets[edges].tolist()):
+            yield shown[a : max(a, b - 1)]
+
+
+def _laid(values: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """The offsets of strings with 64-bit offsets, and the bytes that they count in."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(1, dtype=np.int64), pa.py_buffer(b"")
+    kept = np.frombuffer(offsets, np.int64, len(values) + 1, 8 * values.offset)
+    return kept, data or pa.py_buffer(b"")
+
+
+def _pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The pieces of all texts, and the number of each text's first one and of the end."""
+    offsets, data = _laid(texts)
+    begin, end = int(offsets[0]), int(offsets[-1])
+    laid = np.frombuffer(data, np.uint8, end)
+    spaces = np.flatnonzero(laid[begin:end] == 0x20) + begin
+    spaces = spaces[spaces > begin]
+    last, last_but_one = laid[spaces - 1], laid[np.maximum(spaces - 2, 0)]
+    # White space beyond ASCII has one of these bytes before its last one; so have some
+    # letters, behind which texts then stay whole.
+    wide = (last >= 0x80) & np.isin(last_but_one, [0xC2, 0x80, 0x81, 0x9A])
+    cut = np.zeros(end - begin + 1, dtype=bool)
+    cut[spaces[(last > 0x20) & ~wide] - begin] = True
+    cut[offsets - begin] = True
+    bounds = np.flatnonzero(cut) + begin
+    pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), data)
+    return np.searchsorted(bounds, offsets), pieces
+
+
+def _lists(ids: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))
 
 
 @lru_cache(maxsize=2)
@@ -239,9 +418,9 @@ def encode_decode(
     """
 
     def rows(
-        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+        replay: MergeReplay, ids: np.ndarray, edges: np.ndarray, texts: pa.Array
     ) -> list[pa.Array]:
-        return [_lists(encoded), pa.array([replay.decode(_ids(x)) for x in encoded], pa.binary())]
+        return [_lists(ids, edges), replay.decoded(ids, edges).cast(pa.binary())]
 
     columns = "ids array<int>, decoded binary"
     return _encoded(docs, ranks, pattern, text, (key, *keep), rows, columns)
@@ -259,11 +438,11 @@ def encode_checked(
     (``restored``), which the task that encodes finds out: no text leaves it."""
 
     def rows(
-        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+        replay: MergeReplay, ids: np.ndarray, edges: np.ndarray, texts: pa.Array
     ) -> list[pa.Array]:
-        same = [replay.decode(_ids(x)) == t.encode() for x, t in zip(encoded, texts, strict=True)]
-        lists = _lists(encoded)
-        return [pc.list_value_length(lists).cast(pa.int64()), lists, pa.array(same, pa.bool_())]
+        plain = pc.fill_null(texts, "").cast(pa.large_string()).cast(pa.large_binary())
+        same = pc.equal(replay.decoded(ids, edges), plain)
+        return [pa.array(np.diff(edges), pa.int64()), _lists(ids, edges), same]
 
     columns = "n_tokens long, ids array<int>, restored boolean"
     return _encoded(docs, ranks, pattern, text, (key, *keep), rows, columns)
@@ -276,18 +455,15 @@ def token_digests(
     ``decoded_sha256`` of the decoded bytes, taken in the task that encodes."""
 
     def rows(
-        replay: MergeReplay, encoded: list[bytes], texts: list[str]
+        replay: MergeReplay, ids: np.ndarray, edges: np.ndarray, texts: pa.Array
     ) -> list[pa.Array]:
-        counts, shown, decoded = [], [], []
-        for packed in encoded:
-            ids = _ids(packed)
-            counts.append(len(ids))
-            shown.append(hashlib.sha256(replay.text_of(ids).encode()).hexdigest())
-            decoded.append(hashlib.sha256(replay.decode(ids)).hexdigest())
+        offsets, data = _laid(replay.decoded(ids, edges))
+        plain = memoryview(data)
+        cuts = pairwise(offsets.tolist())
         return [
-            pa.array(counts, pa.int64()),
-            pa.array(shown, pa.string()),
-            pa.array(decoded, pa.string()),
+            pa.array(np.diff(edges), pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in replay.texts_of(ids, edges)]),
+            pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in cuts]),
         ]
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -300,7 +476,7 @@ def _encoded(
     pattern: str,
     text: str,
     keep: tuple[str, ...],
-    rows: Callable[[MergeReplay, list[bytes], list[str]], list[pa.Array]],
+    rows: Callable[[MergeReplay, np.ndarray, np.ndarray, pa.Array], list[pa.Array]],
     columns: str,
 ) -> DataFrame:
     on_workers(docs.sparkSession)
@@ -314,8 +490,7 @@ def _encoded(
         replay = _replay(name, pattern)
         for batch in batches:
             for part in slices(batch, text, BLOCK_BYTES):
-                texts = [x or "" for x in part[text].to_pylist()]
-                found = rows(replay, list(replay.encode(texts)), texts)
+                found = rows(replay, *replay.encode_array(part[text]), part[text])
                 yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), *found], schema=schema)
         replay.forget()
 

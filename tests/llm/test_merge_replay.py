@@ -112,3 +112,42 @@ def test_checked_ids(spark, library):
     expected = [library.encode_ordinary(t or "") for t in texts]
     assert found == [(i, len(x), x, True) for i, x in enumerate(expected)]
     assert encode_checked(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+class Counted:
+    """A pattern that remembers the lengths of what it splits."""
+
+    def __init__(self, pattern) -> None:
+        self.pattern, self.sizes = pattern, []
+
+    def findall(self, text: str) -> list[str]:
+        self.sizes.append(len(text))
+        return self.pattern.findall(text)
+
+
+def test_new_pieces_are_split_together_and_known_ones_not_again(library):
+    with open(RANKS, "rb") as lines:
+        own = MergeReplay(lines, PATTERN)
+    own.pattern = counted = Counted(own.pattern)
+    words = [f"w{i:x}, x\n{i}." for i in range(3000)]
+    texts = [" ".join(words[i : i + 100]) + "  \n" * (i % 3) for i in range(0, 3000, 100)] + ["a  b "]
+    for _ in range(2):
+        for text, packed in zip(texts, own.encode(texts), strict=True):
+            assert ids(packed) == library.encode_ordinary(text)
+    assert len(counted.sizes) < 3 * len(texts)
+    assert sum(counted.sizes) <= sum(map(len, texts))
+
+
+def test_short_words_get_the_ids_of_a_replay_rank_by_rank(replay):
+    tokens = [*(bytes([b]) for b in range(256)), b"bc", b"abc", b"ab", b"cd", b"bcd", b"aa", b"da"]
+    odd = MergeReplay([base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)], r".+")
+    rng = random.Random(2)
+    for own, letters in ((replay, "aeinorst é"), (replay, "ab"), (odd, "abcd")):
+        words = {"".join(rng.choices(letters, k=rng.randrange(1, 40))).encode() for _ in range(500)}
+        assert own._replay_short(sorted(words)) == own._replay_long(sorted(words))
+
+
+def test_a_pattern_that_leaves_characters_out():
+    lines = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)]
+    own = MergeReplay(lines, r" ?[a-z]+")
+    assert [ids(x) for x in own.encode(["ab 1c d!", " e!! f"])] == [[*b"abc d"], [*b" e f"]]
