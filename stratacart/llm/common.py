@@ -64,8 +64,18 @@ def set_while(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None
                 spark.conf.set(name, value)
 
 
+_MAX_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
-    return set_while(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES})
+    return set_while(spark, {_MAX_BYTES: BATCH_BYTES})
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """``small_batches`` from now on, for frames that are computed by whoever gets them. A size
+    that the session has been given stays."""
+    if spark.conf.get(_MAX_BYTES, None) is None:
+        spark.conf.set(_MAX_BYTES, BATCH_BYTES)
 
 
 class Steps:

@@ -39,7 +39,8 @@ EPOCHS = 6
 BATCH = 64
 RATE = 0.08
 DECAY = 1e-5
-BLOCK_BYTES = 2 << 20
+#: Bytes of text whose features are made together: some 80 bytes of memory for each.
+BLOCK_BYTES = 512 << 10
 STATISTICS = (
     "upper", "digits", "symbols", "stops", "shouts", "spaces", "line_ends", "distinct_words",
     "repeated_neighbours", "most_frequent_word", "word_length", "stop_words", "chars", "words",

@@ -34,6 +34,7 @@ import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,12 +150,13 @@ def _raked_by_table(
     lang_share, topic_share = _targets(langs, lang_power), _targets(topics, topic_power)
     by_lang, by_topic = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
-    # A row per source: its cells as (place in the table, tokens), and its target share.
+    # A row per source: its cells as (place in the table, tokens), and its target share. The
+    # table goes by Arrow, since a list would start Python workers beside those of other steps.
+    columns = zip(*([(*k, i) for k, i in place.items()] or [(None, None, 0)]), strict=True)
+    kinds = {"p_lang": pa.string(), "p_topic": pa.string(), "place": pa.int32()}
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)]
     places = F.broadcast(
-        cells.sparkSession.createDataFrame(
-            [(*k, i) for k, i in place.items()] or [(None, None, 0)],
-            "p_lang string, p_topic string, place int",
-        )
+        cells.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=list(kinds)))
     )
     tokens = F.col("n").cast("double").alias("n")
     rows = (

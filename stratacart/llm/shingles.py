@@ -9,7 +9,7 @@ import numpy as np
 from stratacart.llm.common import ASCII_SPACE, ASCII_UPPER
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A table of powers for up to a megabyte of text; longer ones get a larger one.
+#: A table of powers for less than a megabyte of text is kept; longer texts make their own.
 _TABLE_BITS = 20
 
 
@@ -29,11 +29,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
-    size = 1 << max(_TABLE_BITS, int(n).bit_length())
-    return _power_table(size)
+    return _kept_table() if n <= 1 << _TABLE_BITS else _power_table(n)
+
+
+@lru_cache(maxsize=1)
+def _kept_table() -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(1 << _TABLE_BITS)
 
 
-@lru_cache(maxsize=2)
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, _ODD)
     up[0] = 1

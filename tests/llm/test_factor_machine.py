@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from stratacart.llm import shingles
+from stratacart.llm.common import slices
 from stratacart.llm.factor_machine import (
+    BLOCK_BYTES,
     FACTORS,
     FEATURES,
     STATISTICS,
@@ -89,3 +94,32 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in score(docs, learn(docs, labels)).collect()] == [0.5]
     assert scores(Model(0.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS))), features([b"x"])) == [0.5]
+
+
+def test_a_batch_of_many_texts_takes_little_memory():
+    """Two workers of an executor score at once, beside all that its JVM holds."""
+    words = [f"w{i}" for i in range(5_000)]
+    rng = random.Random(6)
+    long = [" ".join(rng.choices(words, k=700)) for _ in range(1_500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(long)], names=["text"])
+    model = Model(0.1, np.ones(FEATURES, np.float32), np.ones((FEATURES, FACTORS), np.float32))
+    whole = scores(model, features([t.encode() for t in long]))
+    tracemalloc.start()
+    found = [
+        scores(model, features([t.encode() for t in part["text"].to_pylist()]))
+        for part in slices(batch, "text", BLOCK_BYTES)
+    ]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert np.allclose(np.concatenate(found), whole, rtol=0, atol=1e-12)
+    assert batch.nbytes > 4 << 20 and peak < 80 << 20
+
+
+def test_long_texts_leave_no_tables_behind():
+    tracemalloc.start()
+    short, _ = shingles.word_hashes([b"ab cd"])
+    before, _ = tracemalloc.get_traced_memory()
+    long, _ = shingles.word_hashes([b"\n" * (3 << 20) + b"ab cd"])
+    after, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (short == long).all() and after - before < 1 << 20

@@ -107,6 +107,18 @@ def test_any_number_of_languages(spark):
     assert abs(kept.head()[0] / cells.agg(F.sum("n")).head()[0] - 0.25) < 1e-9
 
 
+def test_raking_starts_no_python_workers(spark, monkeypatch):
+    """What goes from the driver to Spark as a list passes through workers."""
+    cells = spark.range(12).selectExpr(
+        "CONCAT('s', id % 2) AS source", "IF(id % 3 = 0, NULL, CONCAT('l', id % 3)) AS lang",
+        "CONCAT('t', id % 5) AS topic", "id + 1 AS n",
+    )
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)
+    found = raked_weights(cells, 1.0, 1.0, 1.0, keep_share=0.25)
+    assert found.count() == cells.count()
+    assert raked_weights(cells.limit(0), 1.0, 1.0, 1.0, keep_share=0.25).collect() == []
+
+
 def test_margins_that_cannot_be_reached_are_told(spark, caplog):
     cells = [("a", "x", "t", 9), ("b", "y", "t", 1)]
     table = spark.createDataFrame(cells, "source string, lang string, topic string, n long")

@@ -17,6 +17,7 @@ import test_main_text
 import test_ngram_join
 import test_subspace_join
 import tiktoken
+from stratacart.llm.common import BATCH_BYTES, set_while
 from stratacart.llm.fingerprints import edited_text
 from stratacart.llm.queries import BYTE_RANKS, QUERIES, SQL, WORD_TOKENIZER
 from tokenizers import Tokenizer
@@ -177,6 +178,16 @@ def test_run_gives_the_last_stage(spark):
     assert result.count() > 0
 
 
+def test_stages_bound_the_batches_of_whoever_computes_them(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own, after in ((None, BATCH_BYTES), ("9m", "9m")):
+        with set_while(spark, {} if own is None else {name: own}):
+            if own is None:
+                spark.conf.unset(name)
+            corpus_pipeline.tokens(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert spark.conf.get(name) == after
+
+
 def test_pipeline_takes_odd_rows(spark, tmp_path):
     """Nulls, empty and repeated rows, further columns; and no row at all."""
     rows = [
