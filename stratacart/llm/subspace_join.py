@@ -9,9 +9,11 @@ candidates. A candidate is verified by the cosine of the whole vectors, in the f
 alone in which it comes up.
 
 Equal vectors are one node. A cell's vectors are split into chunks of a bounded size, and
-chunks meet pairwise, so no task holds a whole cell, however many vectors it has. Tasks return
-how many links each vector has and one link to the smallest vector of its group, not the
-pairs.
+chunks meet pairwise, so no task holds a whole cell, however many vectors it has. Within a
+task, vectors that are close in the block form tiles, and tiles whose boxes are further apart than
+the block's distance are not compared; the others are by a product of the block in single
+precision, and what may be near is then decided in double precision. Tasks return how many
+links each vector has and one link to the smallest vector of its group, and keep no pairs.
 
 Results per row:
 
@@ -39,10 +41,17 @@ from stratacart.llm.components import components
 #: Dimensions of a block, and those of them that the grid covers.
 BLOCK_DIMS = 16
 GRID_DIMS = 2
-#: Vectors that a task holds, and that it meets, at most (on average over hashes).
-HELD = 8_192
-MET = 32_768
+#: Vectors that a task holds, and that it meets one batch after another, at most (on average
+#: over hashes). A vector is shuffled once for every so many that it meets. Of vectors with more
+#: than ``USUAL_DIMS`` dimensions a task holds as many fewer.
+HELD = 32_768
+MET = 131_072
+USUAL_DIMS = 128
 _TILE = 1_024
+#: Vectors of a tile, which has a box; tiles that are compared at once; pairs checked at once.
+_CLOSE = 256
+_WIDE = 8
+_PAIRS = 1 << 14
 _SLACK = 1e-9
 
 
@@ -80,74 +89,145 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-class Side:
-    """Vectors of one group, with what comparisons need of them."""
-
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.counts = ids, counts
-        self.units = unit(vectors)
-        self.turned = rotated(self.units)
+def _side_by_side(points: np.ndarray) -> np.ndarray:
+    """An order in which every ``_CLOSE`` rows in turn are near each other: halved at the
+    coordinate that spreads most, again and again."""
+    order = np.arange(len(points))
+    parts = [(0, len(points))]
+    while parts:
+        start, stop = parts.pop()
+        tiles = -(-(stop - start) // _CLOSE)
+        if tiles < 2:
+            continue
+        part = order[start:stop]
+        rows = points[part]
+        widest = rows[:, np.argmax(rows.max(axis=0) - rows.min(axis=0))]
+        half = tiles // 2 * _CLOSE
+        order[start:stop] = part[np.argpartition(widest, half)]
+        parts += [(start, start + half), (start + half, stop)]
+    return order
 
 
-def linked(a: Side, b: Side, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the linked pairs whose first fitting block is ``block``."""
+class Side:
+    """Vectors of one group, in an order that suits one block, with what comparisons there
+    need of them."""
+
+    def __init__(
+        self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, block: int
+    ) -> None:
+        units = unit(vectors)
+        dims = units.shape[1]
+        flat = (units @ rotation(dims)[:, blocks(dims)[block]]).astype(np.float32)
+        order = _side_by_side(flat)
+        self.ids, self.counts, self.units = ids[order], counts[order], units[order]
+        flat = flat[order]
+        tiles = np.arange(0, len(flat), _CLOSE)
+        self.low = np.minimum.reduceat(flat, tiles)
+        self.high = np.maximum.reduceat(flat, tiles)
+        # Of one side's ``left`` and another's ``right`` the product is the squared distance.
+        norms, ones = np.einsum("ij,ij->i", flat, flat), np.ones(len(flat), dtype=np.float32)
+        self.left = np.column_stack((-2 * flat, norms, ones))
+        self.right = np.vstack((flat.T, ones, norms))
+        self._turned = np.empty_like(self.units)
+        self._known = np.zeros(len(flat), dtype=bool)
+
+    def turned(self, at: np.ndarray) -> np.ndarray:
+        """The rotated vectors at these positions, each rotated when first asked for."""
+        new = np.unique(at[~self._known[at]])
+        if len(new):
+            self._turned[new] = rotated(self.units[new])
+            self._known[new] = True
+        return self._turned[at]
+
+
+def _runs(tiles: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and stop of runs of consecutive numbers, at most ``_WIDE`` each."""
+    for run in np.split(tiles, np.flatnonzero(np.diff(tiles) > 1) + 1):
+        for at in range(0, len(run), _WIDE):
+            yield int(run[at]), int(run[at : at + _WIDE][-1]) + 1
+
+
+def _near_in_block(a: Side, b: Side, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs whose squared distance in the sides' block is at most ``limit``,
+    and of some beyond by the rounding of single precision. Tiles whose boxes are further
+    apart are not compared."""
+    # 18 products and sums of numbers that add up to 4 at most, and the rounding of their terms.
+    limit = np.float32(limit + 8 * (len(a.left[0]) + 2) * np.finfo(np.float32).eps)
+    for tile in range(len(a.low)):
+        gaps = np.maximum(b.low - a.high[tile], a.low[tile] - b.high).clip(min=0)
+        near = np.einsum("ij,ij->i", gaps, gaps) <= limit
+        if a is b:
+            near[:tile] = False
+        top = tile * _CLOSE
+        left = a.left[top : top + _CLOSE]
+        for start, stop in _runs(np.flatnonzero(near)):
+            hits = left @ b.right[:, start * _CLOSE : stop * _CLOSE] <= limit
+            some = np.flatnonzero(hits.any(axis=1))
+            i, j = np.nonzero(hits[some])
+            i, j = some[i] + top, j + start * _CLOSE
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), _PAIRS):
+                yield i[at : at + _PAIRS], j[at : at + _PAIRS]
+
+
+def linked(
+    a: Side, b: Side, block: int, threshold: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the linked pairs whose first fitting block is ``block``, some at a time."""
     dims = a.units.shape[1]
-    own = blocks(dims)[block]
     shares = budgets(dims, threshold)
     starts = [s.start for s in blocks(dims)]
-    x, y = a.turned[:, own], b.turned[:, own]
-    y_norms = np.einsum("ij,ij->i", y, y)
-    found = []
-    for start in range(0, len(x), _TILE):
-        part = x[start : start + _TILE]
-        near = part @ y.T
-        near *= -2
-        near += y_norms
-        near += np.einsum("ij,ij->i", part, part)[:, None]
-        i, j = np.nonzero(near <= shares[block] + _SLACK)
-        i += start
-        if a is b:
-            i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), 1 << 16):
-            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            gaps = np.add.reduceat((a.turned[p] - b.turned[q]) ** 2, starts, axis=1)
-            fits = gaps <= shares
-            first = fits[:, block] & ~fits[:, :block].any(axis=1)
-            p, q = p[first], q[first]
-            close = np.einsum("ij,ij->i", a.units[p], b.units[q]) >= threshold
-            found.append((p[close], q[close]))
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _smallest(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For each position the smallest id it is connected to by the pairs (p, q)."""
-    label = ids.copy()
+    for p, q in _near_in_block(a, b, shares[block]):
+        fits = np.add.reduceat((a.turned(p) - b.turned(q)) ** 2, starts, axis=1) <= shares
+        first = fits[:, block] & ~fits[:, :block].any(axis=1)
+        p, q = p[first], q[first]
+        close = np.einsum("ij,ij->i", a.units[p], b.units[q]) >= threshold
+        if close.any():
+            yield p[close], q[close]
+
+
+def _merged(group: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Groups, each named by a position in it, after the pairs (p, q) are joined."""
+    p, q = group[p], group[q]
+    p, q = p[p != q], q[p != q]
+    if not len(p):
+        return group
+    label = np.arange(len(group))
     while True:
-        low = np.minimum(label[p], label[q])
+        x, y = label[p], label[q]
+        low = np.minimum(x, y)
         new = label.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
         if (new == label).all():
-            return label
+            return label[group]
         label = new
 
 
-def _summary(a: Side, b: Side, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+def _summary(a: Side, b: Side, block: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """How many links each vector has and the smallest of its group; no pairs are kept."""
     if a is b:
-        ids, counts = a.ids, a.counts
+        ids, counts, shift = a.ids, a.counts, 0
     else:
         ids, counts = np.concatenate((a.ids, b.ids)), np.concatenate((a.counts, b.counts))
-        q = q + len(a.ids)
+        shift = len(a.ids)
     links = np.zeros(len(ids), dtype=np.int64)
-    np.add.at(links, p, counts[q])
-    np.add.at(links, q, counts[p])
+    group = np.arange(len(ids))
+    for p, q in linked(a, b, block, threshold):
+        q = q + shift
+        np.add.at(links, p, counts[q])
+        np.add.at(links, q, counts[p])
+        group = _merged(group, p, q)
     some = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x[some]) for x in (ids, links, _smallest(ids, p, q))],
-        names=["node", "links", "other"],
-    )
+    if len(some):
+        smallest = ids.copy()
+        np.minimum.at(smallest, group, ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[some]) for x in (ids, links, smallest[group])],
+            names=["node", "links", "other"],
+        )
 
 
 def _usable(column: str) -> str:
@@ -214,7 +294,9 @@ def _meetings(placed: DataFrame) -> DataFrame:
         .join(F.broadcast(sizes), cell)
         .select(
             *cell,
-            F.ceil(F.col("size") / HELD).cast("int").alias("n_held"),
+            F.ceil(F.col("size") * F.greatest("dims", F.lit(USUAL_DIMS)) / (HELD * USUAL_DIMS))
+            .cast("int")
+            .alias("n_held"),
             F.ceil(F.col("meets") / MET).cast("int").alias("n_met"),
         )
     )
@@ -265,7 +347,10 @@ def _links(meetings: DataFrame, threshold: float) -> DataFrame:
         def side(rows: list[pa.RecordBatch]) -> Side:
             whole = pa.Table.from_batches(rows)
             return Side(
-                whole["node"].to_numpy(), whole["n"].to_numpy(), _matrix(whole["vector"])
+                whole["node"].to_numpy(),
+                whole["n"].to_numpy(),
+                _matrix(whole["vector"]),
+                group[1],
             )
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -273,9 +358,7 @@ def _links(meetings: DataFrame, threshold: float) -> DataFrame:
             if held is None and holding:
                 held, holding = side(holding), []
                 if group[-1] == 0:  # the held meet each other once
-                    p, q = linked(held, held, group[1], threshold)
-                    if len(p):
-                        yield _summary(held, held, p, q)
+                    yield from _summary(held, held, group[1], threshold)
 
         for batch in batches:
             keys = np.stack([np.asarray(batch[c]) for c in [*key, "visit"]], axis=1)
@@ -296,9 +379,7 @@ def _links(meetings: DataFrame, threshold: float) -> DataFrame:
                     continue
                 for at in range(0, rows.num_rows, 4 * _TILE):
                     guests = side([rows.slice(at, 4 * _TILE)])
-                    p, q = linked(held, guests, group[1], threshold)
-                    if len(p):
-                        yield _summary(held, guests, p, q)
+                    yield from _summary(held, guests, group[1], threshold)
         yield from settle()
 
     return (
@@ -327,16 +408,24 @@ def near_vectors(
         found = stored(_links(_meetings(placed), threshold), "links")
     groups = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
+    # By a hash first: sorting long arrays by their values is slow.
+    digest = F.xxhash64("vector").alias("digest")
     named = (
         nodes.join(totals, "node", "left")
         .join(groups, "node", "left")
         .select(
+            digest,
             "vector",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("component", "node").alias("component_id"),
         )
     )
-    linkable = rows.where("linkable").join(named, "vector").select("id", "n_links", "component_id")
+    linkable = (
+        rows.where("linkable")
+        .select("id", digest, "vector")
+        .join(named, ["digest", "vector"])
+        .select("id", "n_links", "component_id")
+    )
     alone = rows.where("NOT coalesce(linkable, false)").select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 from stratacart.llm import subspace_join
-from stratacart.llm.subspace_join import blocks, budgets, near_vectors, rotated, unit
+from stratacart.llm.subspace_join import Side, blocks, budgets, linked, near_vectors, rotated, unit
 
 
 def brute(rows: list[tuple], threshold: float) -> dict:
@@ -69,3 +72,92 @@ def test_some_block_is_within_its_budget():
     gaps = np.add.reduceat((rotated(x) - rotated(y)) ** 2, [b.start for b in blocks(64)], axis=1)
     assert close.any() and (gaps <= budgets(64, 0.9)).any(axis=1)[close].all()
     assert (rotated(x) == np.concatenate([rotated(x[i : i + 1]) for i in range(500)])).all()
+
+
+def _side(vectors: np.ndarray, block: int = 0) -> Side:
+    n = len(vectors)
+    return Side(np.arange(n), np.ones(n, dtype=np.int64), vectors.astype(np.float32), block)
+
+
+def test_a_task_finds_every_pair_once_in_any_order():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 64))
+    x = (base[rng.integers(40, size=1_500)] + rng.normal(size=(1_500, 64)) * 0.25).astype("f4")
+    units = unit(x)
+    cosines = np.einsum("ik,jk->ij", units, units)
+    pairs = np.stack(np.nonzero(np.triu(cosines >= 0.9, 1)), axis=1)
+    assert 5_000 < len(pairs) < 50_000
+    halves = np.arange(0, 700), np.arange(700, 1_500)
+    found = []
+    for block in range(len(blocks(64))):
+        sides = [Side(at, np.ones(len(at), dtype=np.int64), x[at], block) for at in halves]
+        for a, b in ((sides[0], sides[0]), (sides[1], sides[1]), (sides[0], sides[1])):
+            found += [np.stack((a.ids[p], b.ids[q]), 1) for p, q in linked(a, b, block, 0.9)]
+    found = np.sort(np.concatenate(found), axis=1)
+    assert np.array_equal(found[np.lexsort((found[:, 1], found[:, 0]))], pairs)
+
+
+def test_a_block_costs_less_than_comparing_whole_vectors():
+    """Vectors that spread alike in all directions: no grid and no box parts them."""
+    x = np.random.default_rng(4).normal(size=(6_000, 64))
+    units, side = unit(x), _side(x)
+
+    def least(run) -> float:
+        took = []
+        for _ in range(4):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    def whole() -> None:
+        for at in range(0, len(units), 256):
+            np.nonzero(units[at : at + 256] @ units.T >= 0.9)
+
+    assert least(lambda: list(linked(side, side, 0, 0.9))) < 0.5 * least(whole)
+
+
+def test_tiles_far_apart_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(32, 64))
+    x = np.repeat(base, 256, axis=0) + rng.normal(size=(32 * 256, 64)) * 0.02
+    compared, runs = [], subspace_join._runs
+
+    def counted(tiles):
+        compared.append(len(tiles))
+        return runs(tiles)
+
+    monkeypatch.setattr(subspace_join, "_runs", counted)
+    side = _side(x[rng.permutation(len(x))])
+    n = sum(len(p) for p, _ in linked(side, side, 0, 0.9))
+    assert n > 0 and sum(compared) < 0.3 * 32 * 33 / 2
+
+
+def test_a_group_of_near_copies_takes_bounded_memory():
+    """Its pairs, 18 million, would take 288 MB."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=64) + rng.normal(size=(6_000, 64)) * 0.01
+    side = _side(x)
+    tracemalloc.start()
+    rows = list(subspace_join._summary(side, side, 0, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert rows[0]["links"].to_pylist() == [5_999] * 6_000
+    assert rows[0]["other"].to_pylist() == [0] * 6_000
+
+
+def test_zeros_of_both_signs_are_equal(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, -0.0]), (4, [1.0, 0.0]), (5, [1.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(table).collect())
+    assert found == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_long_chains_merge_in_few_rounds():
+    n = 30_000
+    at = np.random.default_rng(7).permutation(n)
+    start = time.process_time()
+    group = subspace_join._merged(np.arange(n), at[:-1], at[1:])
+    group = subspace_join._merged(group, np.array([0]), np.array([n - 1]))
+    assert (group == 0).all() and time.process_time() - start < 1
