@@ -74,6 +74,12 @@ def test_some_block_is_within_its_budget():
     assert (rotated(x) == np.concatenate([rotated(x[i : i + 1]) for i in range(500)])).all()
 
 
+def _nodes(table):
+    return table.selectExpr(
+        "vec_id AS node", "1L AS n", "embedding AS vector", "size(embedding) AS dims"
+    )
+
+
 def _side(vectors: np.ndarray, block: int = 0) -> Side:
     n = len(vectors)
     return Side(np.arange(n), np.ones(n, dtype=np.int64), vectors.astype(np.float32), block)
@@ -114,7 +120,7 @@ def test_a_block_costs_less_than_comparing_whole_vectors():
         for at in range(0, len(units), 256):
             np.nonzero(units[at : at + 256] @ units.T >= 0.9)
 
-    assert least(lambda: list(linked(side, side, 0, 0.9))) < 0.5 * least(whole)
+    assert least(lambda: list(linked(side, side, 0, 0.9))) < 0.8 * least(whole)
 
 
 def test_tiles_far_apart_are_not_compared(monkeypatch):
@@ -154,6 +160,22 @@ def test_zeros_of_both_signs_are_equal(spark):
     assert found == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
 
 
+def test_a_task_holds_fewer_of_long_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 40))
+    rows = [(i, (base[i % 6] + rng.normal(size=40) * 0.2).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").localCheckpoint()
+    monkeypatch.setattr(subspace_join, "HELD", 60)
+    monkeypatch.setattr(subspace_join, "USUAL_DIMS", 10)
+    placed = subspace_join._placed(_nodes(table), 0.9)
+    chunks = subspace_join._meetings(placed).where("visit = 0 AND met = 0")
+    keys = "dims", "block", "x", "y", "held"
+    sizes = [r["count"] for r in chunks.groupBy(*keys).count().collect()]
+    assert max(sizes) < 35  # 15 on average over hashes
+    found = [(r.vec_id, r.n_links, r.component_id) for r in near_vectors(table).collect()]
+    assert sorted(found) == sorted(brute(rows, 0.9))
+
+
 def test_long_chains_merge_in_few_rounds():
     n = 30_000
     at = np.random.default_rng(7).permutation(n)
