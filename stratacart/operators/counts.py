@@ -29,6 +29,7 @@ class RowCounts:
 
     def __init__(self) -> None:
         self._observed: dict[str, tuple[Observation, DataFrame]] = {}
+        self._known: dict[str, dict[str, int]] = {}
 
     def __call__(
         self, df: DataFrame, point: str, also: Mapping[str, Column] | None = None
@@ -41,19 +42,25 @@ class RowCounts:
         self._observed[point] = (observation, df.select(*sums))
         return df.observe(observation, *sums)
 
-    @staticmethod
-    def _told(observation: Observation, counted: DataFrame) -> dict[str, int]:
+    def _told(self, point: str) -> dict[str, int]:
         """An adaptive plan that finds a join without rows drops what leads to it, the counts
         included. Only then are the rows counted by themselves."""
-        try:
-            return observation.get
-        except Py4JJavaError:
-            return counted.head().asDict()
+        if point not in self._known:
+            observation, counted = self._observed[point]
+            try:
+                self._known[point] = dict(observation.get)
+            except Py4JJavaError:
+                self._known[point] = counted.head().asDict()
+        return self._known[point]
+
+    def rows(self, point: str) -> int:
+        """How many rows passed ``point``."""
+        return self._told(point)["rows"]
 
     def dropped(self) -> dict[str, int]:
         """How many rows came in and went out, what became of the others (``filtered``,
         ``duplicate`` or ``orphan``), and per column how many values could not be cast."""
-        told = {point: dict(self._told(*seen)) for point, seen in self._observed.items()}
+        told = {point: dict(self._told(point)) for point in self._observed}
         rows = {point: t.pop("rows", 0) for point, t in told.items()}
         if set(rows) != {IN, FILTERED, DISTINCT, OUT}:
             return rows

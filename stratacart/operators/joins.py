@@ -1,7 +1,8 @@
 """Equi-joins of a fact with a table that has one row per key.
 
-No join strategy is requested unless rows are copied: Catalyst broadcasts a side whose size it knows to be
-small and sort-merges otherwise, and AQE splits a foreign key that holds many rows.
+No join strategy is requested unless rows are copied or a parent is ``bounded``: Catalyst broadcasts a
+side whose size it knows to be small and sort-merges otherwise, and AQE splits a foreign key that holds
+many rows.
 
 ``salt`` adds a second join column, a hash of the whole row modulo ``salt``, against
 ``salt`` copies of each parent key:
@@ -24,6 +25,19 @@ from pyspark.sql import functions as F
 
 _SALT = "__salt"
 
+#: Rows up to which the broadcast of a stored parent is left to Spark. Hashed, a row with little
+#: but its key takes some 110 bytes of the driver.
+BROADCAST_ROWS = 1 << 19
+
+
+def bounded(parent: DataFrame, rows: int | None) -> DataFrame:
+    """``parent``, to be shuffled and merged by a join unless it is known to have few rows.
+
+    Spark takes a table for as large as its share of the bytes of its files, and ten megabytes
+    of packed keys are millions of rows, which a broadcast would hash in the driver.
+    """
+    return parent if rows is not None and rows <= BROADCAST_ROWS else parent.hint("merge")
+
 
 def _join(
     child: DataFrame, parent: DataFrame, key: str, how: str, salt: int | None

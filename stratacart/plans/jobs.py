@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratacart.operators.aggregates import product_sales
 from stratacart.operators.counts import OUT, RowCounts
+from stratacart.operators.joins import bounded
 from stratacart.plans import gold, silver
 from stratacart.schemas import BRONZE, GOLD_INPUTS, SILVER, columns
 from stratacart.session import warn_unless_skew_is_split
@@ -101,9 +102,10 @@ def run_silver(
         return lake.read_staged(spark, silver_root, table, day, run, key_type)
 
     def parent(df: DataFrame, table: str) -> DataFrame:
+        rows = counts[table].rows(OUT)
         if not changes:
-            return df
-        return lake.read_with_changes(spark, silver_root, table, day, run, key_type)
+            return bounded(df, rows)
+        return lake.read_with_changes(spark, silver_root, table, day, run, key_type, rows)
 
     def built(table: str, source: str, *parents: DataFrame) -> DataFrame:
         build = getattr(silver, table)
@@ -140,6 +142,7 @@ def run_silver(
                 unique_ids=True,
                 full=not changes,
                 counts={t: c.dropped() for t, c in counts.items()},
+                rows={t: c.rows(OUT) for t, c in counts.items()},
             )
         except BaseException:
             lake.drop_staged(spark, silver_root, day, run)
@@ -156,10 +159,12 @@ def compact_silver(
         if pinned[-1].day != day:
             raise ValueError(f"{day} is not complete in {silver_root}")
         run = lake.new_run()
+        counts = {table: RowCounts() for table in SILVER}
         try:
             for table in SILVER:
                 df = lake.read_pinned(spark, silver_root, table, pinned, key_type)
                 # Ends in the shuffle by key.
+                df = counts[table](df, OUT)
                 lake.stage_silver(df, silver_root, table, day, run, deal=False)
             lake.commit_day(
                 spark,
@@ -169,6 +174,7 @@ def compact_silver(
                 tables=list(SILVER),
                 unique_ids=all(r.unique_ids for r in pinned),
                 full=True,
+                rows={t: c.rows(OUT) for t, c in counts.items()},
             )
         except BaseException:
             lake.drop_staged(spark, silver_root, day, run)
@@ -363,6 +369,16 @@ def _pinned(
     return home, lake.pin(spark, home, snapshot)
 
 
+def _inputs(spark: SparkSession, home: str, pinned, key_type: str) -> dict[str, DataFrame]:
+    """The silver tables of a pinned snapshot, the dimensions as parents of joins."""
+    tables = {t: lake.read_pinned(spark, home, t, pinned, key_type) for t in GOLD_INPUTS}
+    return tables | {
+        t: bounded(tables[t], lake.known_rows(pinned, t))
+        for t in GOLD_INPUTS
+        if t.startswith("dim_")
+    }
+
+
 def read_gold_inputs(
     spark: SparkSession,
     *,
@@ -379,7 +395,7 @@ def read_gold_inputs(
     home, pinned = _pinned(spark, root, database, snapshot)
     if database is not None:
         key_type = catalog.key_type_of(spark, database, GOLD_INPUTS[0])
-    return {t: lake.read_pinned(spark, home, t, pinned, key_type) for t in GOLD_INPUTS}
+    return _inputs(spark, home, pinned, key_type)
 
 
 def datamarts(
@@ -429,11 +445,13 @@ def run_gold(
         if unique_ids is None:
             records = [pinned] if isinstance(pinned, lake.DayRecord) else pinned
             unique_ids = not isinstance(pinned, list) and all(r.unique_ids for r in records)
-        inputs = {t: lake.read_pinned(spark, home, t, pinned, key_type) for t in GOLD_INPUTS}
+        inputs = _inputs(spark, home, pinned, key_type)
         sales, folder = materialize(
             product_sales(inputs["fact_order_items"]), "product-sales"
         )
         try:
+            # A row per known product at most.
+            sales = bounded(sales, lake.known_rows(pinned, "dim_products"))
             marts = datamarts(inputs, sales, unique_ids)
             _side_by_side(spark, *(partial(sink, df, table) for table, df in marts.items()))
             if commit := getattr(sink, "commit", None):

@@ -24,6 +24,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacart.operators.joins import bounded
 from stratacart.operators.quality import dedup_by_key
 from stratacart.schemas import (
     BRONZE_PARTITION,
@@ -122,7 +123,7 @@ class DayRecord:
     ``runs`` names the run of each table that was written; ``tables`` those that a finished job
     vouches for, with ``unique_ids`` if no id of a fact repeats in them. ``full`` tells an
     extract of everything from one of what changed, and ``counts`` has what the quality rules
-    of each table let through.
+    of each table let through. ``rows`` says how many rows a run has, where its job counted them.
     """
 
     day: date
@@ -131,6 +132,7 @@ class DayRecord:
     unique_ids: bool = False
     full: bool = True
     counts: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
+    rows: Mapping[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -182,10 +184,14 @@ def _contents(spark: SparkSession, root: str, name: RecordName) -> dict:
 
 def _folded(day: date, records: Iterable[Mapping]) -> DayRecord:
     runs, said = {}, {"tables": (), "unique_ids": False, "full": True, "counts": {}}
+    rows: dict[str, int] = {}
     for record in records:
-        runs |= record.get("runs", {})
+        new = record.get("runs", {})
+        # Rows are those of a run; one that does not tell has none of the run before.
+        rows = {t: n for t, n in rows.items() if t not in new} | record.get("rows", {})
+        runs |= new
         said |= {k: record[k] for k in said if k in record}
-    return DayRecord(day, runs, **(said | {"tables": tuple(said["tables"])}))
+    return DayRecord(day, runs, **(said | {"tables": tuple(said["tables"])}), rows=rows)
 
 
 def _records_of(spark: SparkSession, root: str, day: date) -> list[tuple[RecordName, dict]]:
@@ -416,11 +422,15 @@ def read_with_changes(
     day: date,
     run: str,
     key_type: str = "bigint",
+    rows: int | None = None,
 ) -> DataFrame:
-    """What a table will be once ``run`` is committed as the changes of ``day``."""
-    earlier = (r for r in _days_as_of(spark, root, [table], day) if r.day < day)
+    """What a table will be once ``run``, of so many ``rows``, is committed as the changes of
+    ``day``; for a join with its children (see ``joins.bounded``)."""
+    earlier = [r for r in _days_as_of(spark, root, [table], day) if r.day < day]
     runs = {r.day: _run_of(r, root, table) for r in earlier} | {day: run}
-    return newest_per_key(read_runs(spark, root, table, runs, key_type), table)
+    df = newest_per_key(read_runs(spark, root, table, runs, key_type), table)
+    before = known_rows(earlier, table)
+    return bounded(df, None if rows is None or before is None else before + rows)
 
 
 def pin(spark: SparkSession, root: str, snapshot: Snapshot, tables: Sequence[str] = GOLD_INPUTS):
@@ -452,6 +462,13 @@ def read_pinned(
     return read_runs(spark, root, table, runs, key_type).select(*columns(fields))
 
 
+def known_rows(pinned, table: str) -> int | None:
+    """How many rows a table of a pinned snapshot has at most, if the records tell of all days."""
+    records = [pinned] if isinstance(pinned, DayRecord) else pinned
+    found = [r.rows.get(table) for r in records if table in r.runs]
+    return None if None in found else sum(found)
+
+
 def read_silver(
     spark: SparkSession,
     root: str,

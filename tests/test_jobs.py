@@ -395,6 +395,119 @@ def test_changes_read_by_one_group_limit(spark, changes):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def many_products(spark, n):
+    """Raw tables with few facts, and dimensions of many rows in small files."""
+    text = lambda name: F.lit("x").alias(name)
+    ids = lambda df, *names: df.select(
+        *(F.col("id").cast("string").alias(name) for name in names), "*"
+    )
+    few = spark.range(0, 3 * n, n // 5)
+    day = F.lit("2024-01-05")
+    return {
+        "customers": ids(spark.range(n), "customer_id").select(
+            "customer_id", text("gender"), text("country"), day.alias("signup_date")
+        ),
+        "products": ids(spark.range(n), "product_id").select(
+            "product_id", text("product_name"), text("category"), text("brand"),
+            F.lit("1.5").alias("price"), F.lit("2").alias("stock_quantity"),
+        ),
+        "orders": ids(few, "order_id", "customer_id").select(
+            "order_id", "customer_id", day.alias("order_date"), F.lit("3").alias("total_amount"),
+            text("payment_method"), text("shipping_country"),
+        ),
+        "order_items": ids(few, "order_item_id", "order_id", "product_id").select(
+            "order_item_id", "order_id", "product_id", F.lit("2").alias("quantity"),
+            F.lit("1.5").alias("unit_price"),
+        ),
+        "product_reviews": ids(few, "review_id", "product_id", "customer_id").select(
+            "review_id", "product_id", "customer_id", F.lit("4").alias("rating"),
+            day.alias("review_date"),
+        ),
+    }
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Bronze of a day with many customers and products, and one with changed facts only."""
+    root, tables = str(tmp_path_factory.mktemp("many")), many_products(spark, 600_000)
+    none = {t: tables[t].limit(0) for t in ("customers", "products")}
+    jobs.run_bronze(tables, root, DAY)
+    jobs.run_bronze(tables | none, root, NEXT_DAY)
+    return root
+
+
+def test_many_rows_are_not_broadcast_whatever_their_files_take(
+    spark, many, tmp_path, monkeypatch
+):
+    root, plans, stage = str(tmp_path / "silver"), {}, lake.stage_silver
+
+    def seen(df, table):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+
+    def kept(df, root, table, *args, **how):
+        seen(df, table)
+        return stage(df, root, table, *args, **how)
+
+    def parents_merged(*tables):
+        for table in tables:
+            assert "SortMergeJoin" in plans[table] and "Broadcast" not in plans[table], table
+        plans.clear()
+
+    facts, marts = ("fact_orders", "fact_order_items", "fact_reviews"), set(GOLD)
+    joined = marts - {"dm_sales_daily"}
+    monkeypatch.setattr(lake, "stage_silver", kept)
+    jobs.run_silver(spark, many, root, DAY)
+    parents_merged(*facts)
+    jobs.run_silver(spark, many, root, NEXT_DAY, changes=True)
+    parents_merged(*facts)
+    for snapshot in (DAY, lake.AsOf(), lake.ALL):
+        jobs.run_gold(spark, seen, root=root, snapshot=snapshot)
+        parents_merged(*joined)
+        inputs = jobs.read_gold_inputs(spark, root=root, snapshot=snapshot)
+        for table, df in jobs.datamarts(inputs).items():
+            seen(df, table)
+        # The others join sums of the few facts, which may be broadcast.
+        parents_merged("dm_sales_by_product", "dm_customer_metrics")
+    for table in facts:
+        # Keys are multiples of 120,000 up to 1,680,000; parents end at 599,999.
+        assert lake.read_silver(spark, root, table, lake.AsOf()).count() == 5
+
+
+def test_few_rows_may_be_broadcast(spark, lakehouse, tmp_path, monkeypatch):
+    plans, stage = {}, lake.stage_silver
+
+    def kept(df, root, table, *args, **how):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, root, table, *args, **how)
+
+    monkeypatch.setattr(lake, "stage_silver", kept)
+    jobs.run_silver(spark, f"{lakehouse}/bronze", str(tmp_path), DAY)
+    assert "Broadcast" in plans["fact_orders"] and "Broadcast" in plans["fact_order_items"]
+
+
+def test_the_record_tells_the_rows_of_its_runs(spark, changes, tmp_path):
+    shutil.copytree(f"{changes}/silver", root := str(tmp_path / "silver"))
+
+    def stored(snapshot, table):
+        return lake.read_silver(spark, root, table, snapshot).count()
+
+    for day in (DAY, NEXT_DAY):
+        rows_of = lake.day_record(spark, root, day).rows
+        assert rows_of == {t: stored(day, t) for t in SILVER}
+    both = lake.pin(spark, root, lake.ALL)
+    assert lake.known_rows(both, "fact_orders") == stored(lake.ALL, "fact_orders")
+    jobs.compact_silver(spark, root, NEXT_DAY)
+    assert lake.day_record(spark, root, NEXT_DAY).rows == {t: stored(NEXT_DAY, t) for t in SILVER}
+    # A run that nobody counted makes the day's number unknown, not that of the run before.
+    lake.write_silver(
+        lake.read_silver(spark, root, "dim_products", DAY), root, "dim_products", NEXT_DAY
+    )
+    record = lake.day_record(spark, root, NEXT_DAY)
+    assert lake.known_rows(record, "dim_products") is None
+    assert lake.known_rows(record, "dim_customers") == stored(NEXT_DAY, "dim_customers")
+    assert lake.known_rows(lake.pin(spark, root, lake.ALL), "dim_products") is None
+
+
 def test_compaction_keeps_the_snapshots(spark, changes, tmp_path):
     root = str(tmp_path / "silver")
     shutil.copytree(f"{changes}/silver", root)

@@ -9,7 +9,13 @@ from oracles import adapter
 from oracles.queries import KEY_TYPE
 from pyspark.sql import functions as F
 
-from stratacart.operators.joins import fk_enrich, fk_filter, left_enrich
+from stratacart.operators.joins import (
+    BROADCAST_ROWS,
+    bounded,
+    fk_enrich,
+    fk_filter,
+    left_enrich,
+)
 from stratacart.plans import gold, silver
 from stratacart.schemas import GOLD_INPUTS, SILVER, ddl
 
@@ -64,6 +70,18 @@ def test_copies_of_a_parent_are_not_broadcast(spark, executed_plan, join):
     assert sorted(salted.collect(), key=str) == sorted(plain.collect(), key=str)
 
 
+@pytest.mark.parametrize("join", [fk_filter, fk_enrich, left_enrich])
+def test_a_bounded_parent_is_broadcast_only_if_known_to_be_small(spark, executed_plan, join):
+    child = spark.range(0, 5000).select("id", (F.col("id") % 400).alias("k"))
+    parent = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    names = () if join is fk_filter else ("twice",)
+    plans = [
+        executed_plan(join(child, bounded(parent, rows), "k", *names))
+        for rows in (BROADCAST_ROWS, BROADCAST_ROWS + 1, None)
+    ]
+    assert ["Broadcast" in plan for plan in plans] == [True, False, False]
+
+
 def test_hot_customer_is_split_in_fact_orders(split_small, executed_plan):
     """Also where the parent comes straight from its deduplication, laid out by the key."""
     sf_dir = "/root/testdata/sf0.01"
